@@ -1 +1,5 @@
+"""SQL checks by query name."""
 
+from oracle import core
+
+CHECKS: dict[str, str] = {**core.CHECKS}
