@@ -1,5 +1,5 @@
 """SQL checks by query name."""
 
-from oracle import core
+from oracle import campaign, core
 
-CHECKS: dict[str, str] = {**core.CHECKS}
+CHECKS: dict[str, str] = {**core.CHECKS, **campaign.CHECKS}

@@ -84,8 +84,8 @@ CHECKS: dict[str, str] = {
     "snk03_append_partial_outputs": B.sql("SELECT CASE WHEN hybrid_warning_notification = 1 THEN 'firing' ELSE 'quiet' END AS run_id, count(*) AS n FROM fus GROUP BY 1", *BRANCH),
     "snk04_resume_by_config_hash": """SELECT DISTINCT o_orderpriority, o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y,
  sha256('{"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","y":' || year(o_orderdate) || '}') AS run_id FROM orders WHERE o_orderstatus <> 'F'""",
-    "snk05_latest_complete_run": """WITH r AS (SELECT l_suppkey AS grp, l_orderkey AS run_id, max(l_shipdate) AS c, count(DISTINCT CASE WHEN l_linestatus = 'O' THEN l_returnflag END) AS have
- FROM lineitem GROUP BY ALL HAVING have = 3) SELECT grp, strftime(c, '%Y-%m-%d %H:%M:%S') AS completed_at, run_id FROM r QUALIFY row_number() OVER (PARTITION BY grp ORDER BY c DESC, run_id DESC) = 1""",
+    "snk05_latest_complete_run": """WITH r AS (SELECT l_tax AS grp, l_orderkey AS run_id, max(l_shipdate) AS c, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_returnflag END) AS have
+ FROM lineitem GROUP BY ALL HAVING have = 2) SELECT grp, strftime(c, '%Y-%m-%d %H:%M:%S') AS completed_at, run_id FROM r QUALIFY row_number() OVER (PARTITION BY grp ORDER BY c DESC, run_id DESC) = 1""",
     "snk06_fingerprint": B.sql("SELECT 'readings' AS \"table\", 'same' AS status, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM raw UNION ALL "
                                "SELECT 'steps', 'changed', count(*), count(DISTINCT entity) FROM raw WHERE motion IS NOT NULL", B.RAW),
     "p03_parse_time": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events WHERE event_type <> 'error'",
@@ -99,6 +99,12 @@ CHECKS: dict[str, str] = {
     "p11_first_entities": B.sql("SELECT entity, count(*) AS n FROM raw WHERE entity IN (SELECT DISTINCT entity FROM raw ORDER BY entity LIMIT 5) GROUP BY entity", B.RAW),
     "p12_day_range": B.sql("SELECT entity, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, seq FROM raw WHERE t >= '2024-01-10' AND t < '2024-01-13'", B.RAW),
     "p13_detection_filter": B.sql(f"SELECT {cols('entity:s bin hybrid_warning_episode:i if_anomaly_point:i')} FROM fus WHERE hybrid_warning_episode = 1 AND if_anomaly_point = 1", *PRED),
+    "p14_filterable_table": B.sql("SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, dataset_split, round(coverage_pct, 6) + 0.0 AS coverage_pct, strftime(bin, '%Y-%m-%d') AS day, "
+        + cols(FUSE_COLS).split("AS bin, ")[1] + ", " + ", ".join(col(f"behavioral_warning_{x}", k) for x, k in (("score", ""), ("cusum", ""), ("families", "i"), ("candidate", "i"), ("episode", "i"), ("start", "i"), ("notification", "i")))
+        + ", " + ", ".join(col(f"instability_warning_{x}", k) for x, k in (("score", ""), ("cusum", ""), ("families", "i"), ("candidate", "i"), ("episode", "i"), ("start", "i"), ("notification", "i")))
+        + ", CAST(instability_coordinated_activity AS INTEGER) AS instability_coordinated_activity, 'HIERARCHICAL' AS hybrid_warning_fusion_mode, 'alerte comportementale a verifier, non diagnostique' AS hybrid_warning_scope, "
+        "'alerte comportementale a verifier, non diagnostique' AS behavioral_warning_scope, 'instabilite comportementale a verifier, non diagnostique' AS instability_warning_scope, "
+        "round(if_score, 6) + 0.0 AS if_score, round(q05, 6) + 0.0 AS if_score_q05, round(pct, 6) + 0.0 AS if_score_pct, CAST(if_anomaly_point AS INTEGER) AS if_anomaly_point FROM fus", *PRED),
     "p15_feature_selection": B.sql("SELECT DISTINCT entity, 40 AS n_features, 'motion_sum_rrz' AS first_motion FROM raw", B.RAW),
     "p16_coverage_gating": B.sql(f"SELECT {cols('entity:s bin coverage_pct if_anomaly_point:i if_anom_k:i n_families:i in_cooldown:i')}, CAST(spike AS INTEGER) AS mi_spike, {CONF} FROM rul", *RULES),
     "p17_point_validity": B.sql("SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, round(CASE WHEN coverage_pct >= 60 THEN steps_sum END, 6) + 0.0 AS score, CASE WHEN coverage_pct >= 60 THEN -1 ELSE 1 END AS if_pred FROM grid", *GRID),
@@ -164,8 +170,8 @@ CHECKS: dict[str, str] = {
     "w26_dedup_keep_first_last": "SELECT o_custkey, o_orderstatus, o_orderkey, round(o_totalprice, 6) AS o_totalprice, 'first' AS kept FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1 UNION ALL "
                                  "SELECT o_custkey, o_orderstatus, o_orderkey, round(o_totalprice, 6), 'last' FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) = 1",
     "d01_interval_features": B.sql(
-        "SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, round(coverage_pct, 6) AS coverage_pct, CAST(isodow(bin) - 1 AS INTEGER) AS dow, CAST(hour(bin) AS INTEGER) AS hour, "
-        + ", ".join(f"round({c}_{x}, 6) + 0.0 AS {c}_{x}" for c in B.FEATURES for x in ("rz", "rrz", "d1_per_hour", "mm7", "vs_mm7")) + " FROM dif",
+        "SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, round(coverage_pct, 7) AS coverage_pct, CAST(isodow(bin) - 1 AS INTEGER) AS dow, CAST(hour(bin) AS INTEGER) AS hour, "
+        + ", ".join(f"round({c}_{x}, 7) + 0.0 AS {c}_{x}" for c in B.FEATURES for x in ("rz", "rrz", "d1_per_hour", "mm7", "vs_mm7")) + " FROM dif",
         *FEAT, *FX.global_z("rrz"), *FX.differences("rz")),
     "d02_hypo_branch": B.sql(f"SELECT {cols(HYPO_COLS)} FROM hyp", *SPLIT, *D.hypo()),
     "d03_instability_branch": B.sql(f"SELECT {cols(INST_COLS)} FROM ins", *SPLIT, *D.instability("spl")),

@@ -93,7 +93,7 @@ def rules(src: str = "scored", name: str = "rul", mixed: bool = True, minutes: i
     }
     rate = 0.35 if mixed else 0.10
     g = lambda x: f"CASE WHEN low THEN 0 ELSE {x} END"
-    coh = f"(nf >= {2 if mixed else 1} AND core = 1){'' if mixed else ' OR spike = 1'}"
+    coh = f"(nf >= {2 if mixed else 1} AND corefam = 1){'' if mixed else ' OR spike = 1'}"
     return [
         (
             f"{name}_1",
@@ -105,7 +105,7 @@ def rules(src: str = "scored", name: str = "rul", mixed: bool = True, minutes: i
             f"SELECT *, {', '.join(f'{g(f'CAST(avg(h_{x}) {f} >= {rate} AS INTEGER)')} AS f_{x}' for x in fams)}, "
             f"{g('CAST(motion_sum_log_rrz >= 2.2 AS INTEGER)')} AS spike FROM {name}_1",
         ),
-        (f"{name}_3", f"SELECT *, f_activity + f_rest + f_transitions + f_other AS nf, greatest(f_activity, f_rest) AS core FROM {name}_2"),
+        (f"{name}_3", f"SELECT *, f_activity + f_rest + f_transitions + f_other AS nf, greatest(f_activity, f_rest) AS corefam FROM {name}_2"),
         (
             f"{name}_4",
             f"SELECT *, sum(if_anomaly_point) {f} AS ak, sum(if_anomaly_point) {f} / {float(k)} AS rk, max(nf) {f} AS nfk, sum(spike) {f} AS sk, "

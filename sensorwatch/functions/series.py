@@ -56,10 +56,10 @@ def rising(col: str, keys: Sequence[str] = ENTITY, by: str = "bin") -> Column:
     return ((F.col(col) == 1) & (before == 0)).cast("int")
 
 
-def add_cusum(df: DataFrame, evidence: str, drift: float, out: str, keys: Sequence[str] = ENTITY) -> DataFrame:
+def add_cusum(df: DataFrame, evidence: str, drift, out: str, keys: Sequence[str] = ENTITY) -> DataFrame:
     """One-sided CUSUM as a difference of running sums: S = C - min(0, running min of C)."""
     w = so_far(keys)
-    step = F.coalesce(F.col(evidence), F.lit(0.0)) - F.lit(float(drift))
+    step = F.coalesce(F.col(evidence), F.lit(0.0)) - (drift if isinstance(drift, Column) else F.lit(float(drift)))
     return (
         df.withColumn("_c", F.sum(step).over(w))
         .withColumn(out, F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w)))
@@ -68,7 +68,7 @@ def add_cusum(df: DataFrame, evidence: str, drift: float, out: str, keys: Sequen
 
 
 def add_cooldown(
-    df: DataFrame, start: str, wait: int, out: str, keys: Sequence[str] = ENTITY, pos: str = "pos"
+    df: DataFrame, start: str, wait: int | Column, out: str, keys: Sequence[str] = ENTITY, pos: str = "pos"
 ) -> DataFrame:
     """Let a start fire only when the last fired one is more than ``wait`` bins away.
 
@@ -79,7 +79,7 @@ def add_cooldown(
     w = ordered(keys)
     before = F.max(F.when(F.col(start) == 1, F.col(pos))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn(
-        "_opens", ((F.col(start) == 1) & (F.coalesce(F.col(pos) - before, F.lit(wait + 1)) > wait)).cast("int")
+        "_opens", ((F.col(start) == 1) & (F.coalesce(F.col(pos) - before > wait, F.lit(True)))).cast("int")
     ).withColumn("_burst", F.sum("_opens").over(so_far(keys)))
     burst = Window.partitionBy(*keys, "_burst").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_starts", F.collect_list(F.when(F.col(start) == 1, F.col(pos))).over(burst))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.config import SIGNALS, HypoConfig, bins
@@ -21,11 +21,24 @@ PERSISTENCE_SHARE = 0.45
 SCOPE = "alerte comportementale a verifier, non diagnostique"
 
 
-def add_drop_changes(df: DataFrame, interval: str, cfg: HypoConfig, keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """Ratios to the entity's references and the resulting change per behaviour family."""
-    n = bins(cfg.aggregation_hours, interval, 4)
+def choose(col: Column | None, options: dict) -> Column:
+    """The option named by an integer column; the only option when there is no column."""
+    if col is None:
+        return next(iter(options.values()))
+    return reduce(lambda acc, kv: acc.when(col == kv[0], kv[1]), options.items(), F.when(F.lit(False), None))
+
+
+def add_drop_changes(
+    df: DataFrame, interval: str, lengths: Sequence[int], keys: Sequence[str] = S.ENTITY, length: Column | None = None
+) -> DataFrame:
+    """Ratios to the entity's references and the resulting change per behaviour family.
+
+    ``lengths`` holds the window in bins; with several, ``length`` says which one a row uses.
+    """
     totals = {
-        f"_t_{s}": S.rolling_total(F.col(f"{s}_sum"), n, keys) if f"{s}_sum" in df.columns else F.lit(None).cast("double")
+        f"_t_{s}": choose(length, {n: S.rolling_total(F.col(f"{s}_sum"), n, keys) for n in lengths})
+        if f"{s}_sum" in df.columns
+        else F.lit(None).cast("double")
         for s in SIGNALS
     }
     df = df.withColumns(totals)
@@ -38,24 +51,39 @@ def add_drop_changes(df: DataFrame, interval: str, cfg: HypoConfig, keys: Sequen
     return df.withColumns(change).drop(*totals, *[f"_ratio_{t}" for t in totals])
 
 
-def add_drop_alerts(df: DataFrame, interval: str, cfg: HypoConfig, keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """Score, candidate, CUSUM, episode, start and notification from the family changes."""
-    active = [f for f in FAMILY_WEIGHTS if f in cfg.active_families] or list(FAMILY_WEIGHTS)
-    scale = sum(FAMILY_WEIGHTS[f] for f in active)
-    change = {f: F.col(f"warning_change_{f}") for f in active}
-    score = reduce(
-        lambda a, b: a + b, [F.lit(FAMILY_WEIGHTS[f] / scale) * F.coalesce(change[f], F.lit(0.0)) for f in active]
-    )
-    activity = [F.col(f"warning_ratio_{f}") for f in active if f != "posture"]
-    least = {f: cfg.posture_min_change if f == "posture" else cfg.family_min_change for f in active}
-    hits = {f: flag(change[f] >= least[f]) for f in active}
-    core = [hits[f] for f in ("steps", "motion") if f in active]
+def family_weights(active: Sequence[str]) -> dict[str, float]:
+    """Weights of the active families scaled to sum 1; 0 marks an inactive family."""
+    chosen = [f for f in FAMILY_WEIGHTS if f in active] or list(FAMILY_WEIGHTS)
+    total = sum(FAMILY_WEIGHTS[f] for f in chosen)
+    return {f: FAMILY_WEIGHTS[f] / total if f in chosen else 0.0 for f in FAMILY_WEIGHTS}
+
+
+def add_drop_alerts(
+    df: DataFrame,
+    interval: str,
+    cfg,
+    keys: Sequence[str] = S.ENTITY,
+    weights: dict | None = None,
+    persist: tuple[Sequence[int], Column | None] | None = None,
+    wait: Column | None = None,
+) -> DataFrame:
+    """Score, candidate, CUSUM, episode, start and notification from the family changes.
+
+    Thresholds and weights may be numbers or columns: with columns, one table
+    holding every (entity, configuration) is a whole sweep in one job.
+    """
+    weights = weights or family_weights(cfg.active_families)
+    w = {f: x if isinstance(x, Column) else F.lit(x) for f, x in weights.items()}
+    change = {f: F.col(f"warning_change_{f}") for f in w}
+    least = {f: cfg.posture_min_change if f == "posture" else cfg.family_min_change for f in w}
+    hits = {f: flag((w[f] > 0) & (change[f] >= least[f])) for f in w}
+    activity = [F.when(w[f] > 0, F.col(f"warning_ratio_{f}")) for f in w if f != "posture"]
     df = df.withColumns(
         {
-            "_score": score,
-            "_activity": row_mean(*activity) if activity else F.lit(None).cast("double"),
+            "_score": reduce(lambda a, b: a + b, [w[f] * F.coalesce(change[f], F.lit(0.0)) for f in w]),
+            "_activity": row_mean(*activity),
             "behavioral_warning_families": reduce(lambda a, b: a + b, hits.values()),
-            "_core": F.greatest(*core) if len(core) > 1 else core[0] if core else F.lit(1),
+            "_core": F.greatest(hits["steps"], hits["motion"], flag(w["steps"] + w["motion"] == 0)),
         }
     )
     lag = F.lag("_activity", bins(PROGRESSIVE_HOURS, interval, 2)).over(S.ordered(keys))
@@ -74,12 +102,10 @@ def add_drop_alerts(df: DataFrame, interval: str, cfg: HypoConfig, keys: Sequenc
     on = F.col("behavioral_warning_candidate") == 1
     df = df.withColumn("_evidence", F.when(on, F.col("_score") + PROGRESSIVE_WEIGHT * F.col("_drop")).otherwise(0.0))
     df = S.add_cusum(df, "_evidence", cfg.cusum_drift, "behavioral_warning_cusum", keys)
-    df = add_episode(
-        df, "behavioral_warning", bins(cfg.persistence_hours, interval, 2), PERSISTENCE_SHARE, cfg.cusum_threshold, keys
-    )
-    df = S.add_cooldown(
-        df, "behavioral_warning_start", bins(cfg.cooldown_hours, interval, 1), "behavioral_warning_notification", keys
-    )
+    lengths, length = persist or ([bins(cfg.persistence_hours, interval, 2)], None)
+    df = add_episode(df, "behavioral_warning", lengths, PERSISTENCE_SHARE, cfg.cusum_threshold, keys, length)
+    pause = bins(cfg.cooldown_hours, interval, 1) if wait is None else wait
+    df = S.add_cooldown(df, "behavioral_warning_start", pause, "behavioral_warning_notification", keys)
     return df.withColumns(
         {"behavioral_warning_score": clip(F.col("_score"), 0, 1), "behavioral_warning_scope": F.lit(SCOPE)}
     ).drop("_score", "_activity", "_core", "_drop", "_evidence")
@@ -91,11 +117,15 @@ def covered(df: DataFrame, least: float):
     return F.coalesce(F.col("coverage_pct"), F.lit(0.0)) >= least
 
 
-def add_episode(df: DataFrame, prefix: str, k: int, share: float, level: float, keys: Sequence[str]) -> DataFrame:
+def add_episode(
+    df: DataFrame, prefix: str, lengths: Sequence[int], share: float, level, keys: Sequence[str], length: Column | None = None
+) -> DataFrame:
     """Episode = enough candidates among exactly the last ``k`` bins, and a high CUSUM."""
-    w = S.trailing(k, keys)
-    rate = F.when(F.count(F.lit(1)).over(w) == k, F.avg(f"{prefix}_candidate").over(w))
-    df = df.withColumn("_rate", rate)
+    def rate(k: int) -> Column:
+        w = S.trailing(k, keys)
+        return F.when(F.count(F.lit(1)).over(w) == k, F.avg(f"{prefix}_candidate").over(w))
+
+    df = df.withColumn("_rate", choose(length, {k: rate(k) for k in lengths}))
     df = df.withColumn(f"{prefix}_episode", flag((F.col("_rate") >= share) & (F.col(f"{prefix}_cusum") >= level)))
     return df.withColumn(f"{prefix}_start", S.rising(f"{prefix}_episode", keys)).drop("_rate")
 
@@ -105,5 +135,5 @@ def hypo_branch(
 ) -> DataFrame:
     """Add the sustained-drop columns to an interval table."""
     df = add_reference_masks(df, only_if_missing=False, keys=keys)
-    df = add_drop_changes(df, interval, cfg, keys)
+    df = add_drop_changes(df, interval, [bins(cfg.aggregation_hours, interval, 4)], keys)
     return add_drop_alerts(df, interval, cfg, keys).drop("_base", "_future")

@@ -112,7 +112,7 @@ def instability_branch(
     )
     df = S.add_cusum(df, "_evidence", cfg.cusum_drift, "instability_warning_cusum", keys)
     df = add_episode(
-        df, "instability_warning", bins(cfg.persistence_hours, interval, 2), PERSISTENCE_SHARE, cfg.cusum_threshold, keys
+        df, "instability_warning", [bins(cfg.persistence_hours, interval, 2)], PERSISTENCE_SHARE, cfg.cusum_threshold, keys
     )
     df = S.add_cooldown(
         df, "instability_warning_start", bins(cfg.cooldown_hours, interval, 1), "instability_warning_notification", keys

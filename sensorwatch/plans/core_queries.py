@@ -15,6 +15,7 @@ from sensorwatch.operators import hypo as H
 from sensorwatch.operators import instability as I
 from sensorwatch.operators import report as RP
 from sensorwatch.operators import rules as R
+from sensorwatch.operators import sweep as SW
 from sensorwatch.plans import tables as T
 from sensorwatch.plans.output import tidy
 from sensorwatch.plans.registry import query
@@ -93,7 +94,7 @@ def _(spark, d):
     doc = F.struct("entity", F.struct(F.col("n"), F.round("steps", 2).alias("steps")).alias("meta"),
                    F.array(F.struct(F.lit("a").alias("id"), F.lit(0.18).alias("at")), F.struct(F.lit("b").alias("id"), F.lit(0.82).alias("at"))).alias("placements"))
     per.select(F.to_json(doc).alias("value")).write.text(path)
-    docs = RD.read_documents(spark, path)
+    docs = RD.read_documents(spark, path, one_per_line=True)
     return tidy(docs.select("entity", F.col("meta.n").alias("n"), F.col("meta.steps").alias("steps"), F.explode("placements").alias("p"))
                 .select("entity", "n", "steps", F.col("p.id").alias("placement"), F.col("p.at").alias("fraction")))
 
@@ -140,9 +141,9 @@ def _(spark, d):
 @query("snk05_latest_complete_run")
 def _(spark, d):
     li = table(spark, d, "lineitem")
-    manifest = li.select(F.col("l_suppkey").alias("grp"), F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("completed_at"),
-                         F.concat("l_returnflag", "l_linestatus").alias("artefact"))
-    return tidy(SK.latest_complete(manifest, ["AO", "NO", "RO"], ["grp"]))
+    manifest = li.select(F.col("l_tax").alias("grp"), F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("completed_at"),
+                         F.col("l_returnflag").alias("artefact"))
+    return tidy(SK.latest_complete(manifest, ["A", "N"], ["grp"]))
 
 
 @query("snk06_fingerprint")
@@ -514,7 +515,7 @@ def _(spark, d):
 @query("d01_interval_features")
 def _(spark, d):
     return tidy(T.feature_table(spark, d), "entity", "bin", "coverage_pct", "dow", "hour",
-                *[f"{c}_{x}" for c in FE.base_columns(T.feature_table(spark, d)) for x in ("rz", "rrz", "d1_per_hour", "mm7", "vs_mm7")])
+                *[f"{c}_{x}" for c in FE.base_columns(T.feature_table(spark, d)) for x in ("rz", "rrz", "d1_per_hour", "mm7", "vs_mm7")], digits=7)
 
 
 HYPO_COLS = (["entity", "bin", "coverage_pct", "dataset_split"] + [f"warning_ratio_{s}" for s in SIGNALS]
@@ -569,10 +570,6 @@ def _(spark, d):
 
 @query("d09_channel_ablation")
 def _(spark, d):
-    frames = []
-    for family in H.FAMILY_WEIGHTS:
-        cfg = HypoConfig(active_families=(family,), min_families=1)
-        run = H.hypo_branch(T.interval_table(spark, d), T.INTERVAL, cfg)
-        frames.append(run.groupBy("entity").agg(F.lit(family).alias("family"), F.sum("behavioral_warning_notification").alias("notifications"),
-                                                F.sum("behavioral_warning_episode").alias("episode_bins")))
-    return SK.union_ragged(frames)
+    run = SW.channel_ablation(T.interval_table(spark, d), T.INTERVAL)
+    return run.groupBy("entity", F.col("config").alias("family")).agg(
+        F.sum("behavioral_warning_notification").alias("notifications"), F.sum("behavioral_warning_episode").alias("episode_bins"))

@@ -96,9 +96,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).csv(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested JSON documents, one per file."""
-    return spark.read.option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Nested JSON documents: one per file, or one per line (files then split between tasks)."""
+    return spark.read.option("multiLine", not one_per_line).json(path)
 
 
 def load_readings(spark: SparkSession, path: str, uploaded: str | None = None) -> DataFrame:
