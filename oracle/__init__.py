@@ -1,5 +1,5 @@
 """SQL checks by query name."""
 
-from oracle import campaign, core
+from oracle import campaign, core, stats
 
-CHECKS: dict[str, str] = {**core.CHECKS, **campaign.CHECKS}
+CHECKS: dict[str, str] = {**core.CHECKS, **campaign.CHECKS, **stats.CHECKS}

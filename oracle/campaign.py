@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from oracle import base as B
 from oracle import detectors as D
-from oracle.core import BRANCH, FEAT, PRED, RULES, SPLIT, SUMS, cols
+from oracle import features as FX
+from oracle.core import BRANCH, PRED, RULES, SPLIT, SUMS, cols
 from sensorwatch.config import HypoConfig
 from sensorwatch.operators import adjust as A
 from sensorwatch.operators.sweep import INSTABILITY, OFAT
@@ -199,20 +200,26 @@ def confusion(c: str) -> str:
             f"round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, '{c}' AS measure FROM ({inner})")
 
 
-def hypo_args(cfg: HypoConfig) -> dict:
-    return dict(agg=cfg.aggregation_hours, persist=cfg.persistence_hours, cool=cfg.cooldown_hours, fam=cfg.family_min_change, post=cfg.posture_min_change, score=cfg.score_threshold,
-                drift=cfg.cusum_drift, thr=cfg.cusum_threshold, nfam=cfg.min_families, cov=cfg.coverage_min_pct)
-
-
 def swept(configs: dict[str, HypoConfig]) -> list[tuple[str, str]]:
-    """Event table ``cev`` over configurations, each compared with its own untouched run."""
+    """Event table ``cev`` over configurations, each compared with its own untouched run.
+
+    Thresholds come from a configuration table; only window lengths need a chain of their own.
+    """
+    groups: dict[tuple[float, float], dict[str, HypoConfig]] = {}
+    for name, c in configs.items():
+        groups.setdefault((c.aggregation_hours, c.persistence_hours), {})[name] = c
     out, parts, backs = [], [], []
-    for i, (name, cfg) in enumerate(configs.items()):
-        out += D.hypo("spl", f"k{i}", **hypo_args(cfg)) + D.hypo("adj", f"q{i}", keys=KEYS, **hypo_args(cfg))
-        out.append((f"r{i}", f"SELECT q.*, c.behavioral_warning_episode AS re, c.behavioral_warning_start AS rs FROM q{i} q LEFT JOIN k{i} c USING (entity, bin)"))
-        out += evaluate(f"r{i}", f"v{i}", "behavioral_warning_episode", "behavioral_warning_start", "behavioral_warning_score", "re", "rs")
-        parts.append(f"SELECT *, '{name}' AS config FROM v{i}")
-        backs.append(f"SELECT entity, '{name}' AS config, sum(behavioral_warning_notification) AS hypo_background_notifs FROM k{i} WHERE dataset_split = 'futur' GROUP BY entity")
+    names = dict(fam="x_fam", post="x_post", score="x_score", drift="x_drift", thr="x_thr", nfam="x_nfam", cov="x_cov", wait="x_wait")
+    for i, ((agg, persist), cs) in enumerate(groups.items()):
+        rows = ", ".join(f"('{k}', {c.family_min_change}, {c.posture_min_change}, {c.score_threshold}::DOUBLE, {c.cusum_drift}::DOUBLE, {c.cusum_threshold}, {c.min_families}, {c.coverage_min_pct}, {max(1, round(c.cooldown_hours / 4))})" for k, c in cs.items())
+        out.append((f"g{i}", f"SELECT * FROM (VALUES {rows}) v(config, x_fam, x_post, x_score, x_drift, x_thr, x_nfam, x_cov, x_wait)"))
+        for src, tag, keys in (("spl", "k", "entity, config"), ("adj", "q", KEYS + ", config")):
+            out.append((f"{tag}{i}_src", f"SELECT * FROM {src}, g{i}"))
+            out += D.hypo(f"{tag}{i}_src", f"{tag}{i}", keys=keys, agg=agg, persist=persist, **names)
+        out.append((f"r{i}", f"SELECT q.*, c.behavioral_warning_episode AS re, c.behavioral_warning_start AS rs FROM q{i} q LEFT JOIN k{i} c USING (entity, bin, config)"))
+        out += evaluate(f"r{i}", f"v{i}", "behavioral_warning_episode", "behavioral_warning_start", "behavioral_warning_score", "re", "rs", keys=KEYS + ", config")
+        parts.append(f"SELECT * FROM v{i}")
+        backs.append(f"SELECT entity, config, sum(behavioral_warning_notification) AS hypo_background_notifs FROM k{i} WHERE dataset_split = 'futur' GROUP BY entity, config")
     out.append(("cback", " UNION ALL ".join(backs)))
     out.append(("cev", "SELECT e.*, b.hypo_background_notifs, s.monitored_days FROM (" + " UNION ALL ".join(parts) + ") e LEFT JOIN cback b USING (entity, config) LEFT JOIN spn s USING (entity)"))
     return [*ADJ, *out]
@@ -229,8 +236,14 @@ RATES = {"progressive_new_start_rate": ("detected_any_overlap", GRAD), "progress
 CSUM = ("csum0", "SELECT config, count(DISTINCT entity) AS n_cows, count(*) AS n_events, median(CASE WHEN " + GRAD + " THEN onset_delay_hours END) AS dl, "
         + ", ".join(f"avg(CASE WHEN {c} THEN {m} END) AS {k}" for k, (m, c) in RATES.items()) + " FROM cev GROUP BY config")
 SWEEP = swept(ofat())
-VARIANTS = [*PRED, *D.hypo("spl", "vs", active=("steps",), nfam=1), *FEAT[-1:],
-            ("every0", "SELECT * REPLACE (1 AS if_anomaly_point) FROM scored")]
+P = "OVER (PARTITION BY entity ORDER BY bin)"
+INSIDE = "s.pos - p.start_pos >= 0 AND s.pos - p.start_pos < p.n"
+VARIANTS = [*PRED, *D.hypo("spl", "vs", active=("steps",), nfam=1), ("every0", "SELECT * EXCLUDE (if_score, if_anomaly_point), 1 AS if_anomaly_point, CAST(NULL AS DOUBLE) AS if_score FROM scored"), *FX.rules("every0", "every"),
+            ("alone0", f"SELECT *, CAST(if_anomaly_point = 1 AND coalesce(lag(if_anomaly_point) {P}, 0) = 0 AS INTEGER) AS c_start FROM fus"), *B.cooldown("alone0", "alone", "c_start", "c_notif", 3, "entity"),
+            ("variants", " UNION ALL ".join(f"SELECT entity, bin, dataset_split, '{v}' AS variant, {e} AS episode, {x} AS notification FROM {t}" for v, t, e, x in (
+                ("A", "fus", "behavioral_warning_episode", "behavioral_warning_notification"), ("B", "fus", "pred_lameness_episode", "notif_lameness"), ("C", "alone", "if_anomaly_point", "c_notif"),
+                ("E", "vs", "behavioral_warning_episode", "behavioral_warning_notification"), ("F", "every", "pred_lameness_episode", "notif_lameness")))),
+            ("vrates", "SELECT entity, variant, avg(episode) AS episode_rate, sum(notification) AS notifs FROM variants WHERE dataset_split = 'futur' GROUP BY ALL")]
 CURVE = swept({f"{x:.2f}": HypoConfig(score_threshold=x) for x in (0.04, 0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20)})
 SUMS3 = {k: SUMS[k] for k in ("problem_points", "lameness_notifs", "if_anomaly_points")}
 DAYS = [*PRED, ("days0", "SELECT entity, CAST(bin AS DATE) AS day, max(hybrid_warning_episode) AS day_alert, avg(hybrid_warning_episode) AS alert_rate, sum(if_anomaly_point) AS n_anomalies, count(*) AS n_bins, sum(hybrid_warning_notification) AS day_notifs FROM fus GROUP BY ALL"),
@@ -262,7 +275,7 @@ CHECKS: dict[str, str] = {
         "QUALIFY row_number() OVER (ORDER BY pool, ls, ln, long_series_ok DESC, injectability_ok DESC, series_length_score DESC, injectability_score DESC, ap DESC, entity) <= 2", *RULES, *INJ),
     "z08_overwritten_scores": B.sql(f"SELECT entity, {TS('bin')}, CAST(i >= 0 AND i < n AS INTEGER) AS inside, " + ", ".join(f"round(CASE WHEN i >= 0 AND i < n THEN CASE WHEN i % 2 = 0 THEN 4.0 ELSE -4.0 END ELSE {c} END, 6) + 0.0 AS {c}" for c in ("steps_sum_rrz", "motion_sum_rrz"))
         + ", CASE WHEN i >= 0 AND i < n THEN 1 ELSE CAST(if_anomaly_point AS INTEGER) END AS if_anomaly_point FROM (SELECT r.*, p.n, r.pos - p.start_pos AS i FROM rul r JOIN gplan p USING (entity) WHERE scenario = 'gradual_marked')", *RULES, *SPLIT, SPANS, *rotated()),
-    "a32_realised_changes": B.sql("SELECT entity, event_id, scenario, expected, " + ", ".join(f"round({a}_{s}_sum, 6) + 0.0 AS {a}_{s}_sum" for a in ("source", "adjusted") for s in ("steps", "motion", "transitions")) + ", " + ", ".join(f"round(realized_{s}_change, 6) + 0.0 AS realized_{s}_change" for s in ("steps", "motion", "transitions")) + ", posture_conserved, informative_source_window FROM real", *ADJ, REALV),
+    "a32_realised_changes": B.sql("SELECT entity, event_id, scenario, expected, " + ", ".join(f"round({a}_{s}_sum, 8) + 0.0 AS {a}_{s}_sum" for a in ("source", "adjusted") for s in ("steps", "motion", "transitions")) + ", " + ", ".join(f"round(realized_{s}_change, 8) + 0.0 AS realized_{s}_change" for s in ("steps", "motion", "transitions")) + ", posture_conserved, informative_source_window FROM real", *ADJ, REALV),
     "d10_attributable_evaluation": B.sql(f"SELECT entity, event_id, scenario, expected, {WIN}, {cols(METRICS)} FROM ev", *EVENTS),
     "d12_campaign_with_background": B.sql("SELECT entity, scenario, detected_any_overlap, round(monitored_days, 6) AS monitored_days, " + ", ".join(f"CAST({b}_background_notifs AS BIGINT) AS {b}_background_notifs" for b in ("hypo", "instability", "hybrid")) + " FROM ev", *EVENTS),
     "d12_stress_campaign": B.sql(f"SELECT entity, event_id, scenario, expected, {WIN}, fraction, {cols(METRICS)} FROM sev", *STRESS),
@@ -298,6 +311,31 @@ CHECKS: dict[str, str] = {
     "w22_window_overlap_checks": B.sql(f"SELECT entity, event_id, {WIN} FROM (SELECT *, lag(\"end\") OVER (PARTITION BY entity ORDER BY start, \"end\") AS pe FROM hplan) WHERE start <= pe", *SPLIT, SPANS, *slotted()),
     "d13_a13_ofat_summary_with_deltas": B.sql("SELECT s.config, s.n_cows, s.n_events, round(s.dl, 6) + 0.0 AS progressive_onset_delay_median_hours, " + ", ".join(f"round(s.{k}, 6) + 0.0 AS {k}, round(s.{k} - r.{k}, 6) + 0.0 AS delta_{k}_vs_reference" for k in RATES) + " FROM csum0 s, csum0 r WHERE r.config = 'reference'", *SWEEP, CSUM),
     "a13_ofat_by_scenario": B.sql(f"SELECT config, scenario, count(DISTINCT entity) AS n_cows, count(*) AS n_events, {AVG('detected_any_overlap')} AS new_start_rate, {AVG('episode_overlap')} AS attributable_coverage_rate, {AVG('best_iou')} AS best_iou_mean FROM cev GROUP BY ALL", *SWEEP),
+    "a14_largest_effect_per_parameter": B.sql("SELECT parameter, " + ", ".join(f"round(max(abs(s.{k} - r.{k})), 6) + 0.0 AS max_abs_{k}" for k in ("progressive_new_start_rate", "progressive_attributable_coverage_rate", "control_new_start_rate"))
+        + ", round(max(greatest(" + ", ".join(f"abs(s.{k} - r.{k})" for k in ("progressive_new_start_rate", "progressive_attributable_coverage_rate", "control_new_start_rate")) + ")), 6) + 0.0 AS max_abs_any FROM (SELECT *, split_part(config, '__', 1) AS parameter FROM csum0) s, csum0 r WHERE r.config = 'reference' AND s.config <> 'reference' GROUP BY parameter", *SWEEP, CSUM),
+    "a08_d08_ablation_variants": B.sql("SELECT variant, count(DISTINCT entity) AS n_cows, count(*) AS n_bins, CAST(sum(episode) AS BIGINT) AS episode_bins, CAST(sum(notification) AS BIGINT) AS notifications FROM variants GROUP BY variant", *VARIANTS),
+    "a09_variant_pivot": B.sql("SELECT entity, " + ", ".join(f"round(coalesce(max(CASE WHEN variant = '{v}' THEN episode_rate END), 0), 6) + 0.0 AS \"{v}\"" for v in "ABCEF") + " FROM vrates GROUP BY entity", *VARIANTS),
+    "a23_ablation_mean_std": B.sql("SELECT variant, " + ", ".join(f"round(avg({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std" for m in ("episode_rate", "notifs")) + " FROM vrates GROUP BY variant", *VARIANTS),
+    "j15_variant_pairs": B.sql("SELECT a.variant, b.variant AS variant2, count(*) AS n, round(avg(a.episode_rate - b.episode_rate), 6) + 0.0 AS mean_difference FROM vrates a JOIN vrates b USING (entity) WHERE a.variant < b.variant GROUP BY ALL", *VARIANTS),
+    "j16_paired_counts": B.sql("SELECT count(*) AS n_common, " + ", ".join(f"CAST(count(CASE WHEN b.{m} {o} a.{m} THEN 1 END) AS BIGINT) AS {m}_right_{n}" for m in ("episode_rate", "notifs") for n, o in (("gt", ">"), ("eq", "="), ("lt", "<"))) + " FROM vrates a JOIN vrates b USING (entity) WHERE a.variant = 'A' AND b.variant = 'B'", *VARIANTS),
+    "j06_before_after": B.sql("SELECT entity, " + ", ".join(f"b.{k} AS before_{k}, a.{k} AS after_{k}, a.{k} - b.{k} AS delta_{k}" for k in SUMS3) + " FROM bef b JOIN aft a USING (entity)", *RULES, *SPLIT, SPANS, *rotated(),
+        ("bef", "SELECT entity, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {k}" for k, c in SUMS3.items()) + " FROM rul GROUP BY entity"),
+        ("planted", "SELECT s.* REPLACE (" + ", ".join(f"CASE WHEN {INSIDE} THEN CASE WHEN (s.pos - p.start_pos) % 2 = 0 THEN 4.0 ELSE -4.0 END ELSE s.{c} END AS {c}" for c in [f"{x}_rrz" for x in B.FEATURES])
+         + f", CASE WHEN {INSIDE} THEN 1 ELSE s.if_anomaly_point END AS if_anomaly_point) FROM scored s JOIN gplan p USING (entity) WHERE p.scenario = 'gradual_marked'"),
+        *FX.rules("planted", "rul2"), ("aft", "SELECT entity, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {k}" for k, c in SUMS3.items()) + " FROM rul2 GROUP BY entity")),
+    "d11_raw_overlap_with_explanations": B.sql(
+        "SELECT entity, event_id, scenario, expected, hit AS detected_any_overlap, CAST(best >= 0.2 AS INTEGER) AS detected_iou20, round(best, 6) + 0.0 AS best_iou, CAST(nb AS INTEGER) AS duration_bins, km AS if_anom_k_max, round(rm, 6) + 0.0 AS anom_rate_k_max, round(cm, 6) + 0.0 AS coherence_boiterie_mean, round(cr, 6) + 0.0 AS cooldown_ratio, "
+        "CASE WHEN hit = 1 THEN 'Overlap with at least one predicted behavioral-warning episode.' ELSE coalesce(nullif(concat_ws(' ', CASE WHEN nb < 2 THEN printf('Duration too short for persistence window: %d < K=2.', nb) END, CASE WHEN rm < 0.24 THEN printf('anom_rate_k peak %.3f below threshold 0.240.', rm) END, "
+        "CASE WHEN km < 2 THEN printf('if_anom_k peak %.1f below alert_min 2.', km) END, CASE WHEN cm < 0.5 THEN 'Low coherence_boiterie on injected window.' END, CASE WHEN cr >= 0.8 THEN 'Most of the window is under cooldown.' END), ''), 'Signal remained below decision rules or was too fragmented.') END AS why FROM "
+        "(SELECT g.entity, g.event_id, g.scenario, g.expected, coalesce(i.iou, 0) AS best, CAST(coalesce(i.iou, 0) > 0 AS INTEGER) AS hit, count(*) AS nb, CAST(max(r.if_anom_k) AS DOUBLE) AS km, max(CASE WHEN r.low THEN 0 ELSE r.rk END) AS rm, avg(r.coherence_boiterie) AS cm, avg(r.in_cooldown) AS cr "
+        "FROM gplan g JOIN rul r ON r.entity = g.entity AND r.bin BETWEEN g.start AND g.\"end\" LEFT JOIN oiou i ON i.entity = g.entity AND i.event_id = g.event_id GROUP BY ALL)", *RULES, *SPLIT, SPANS, *rotated(),
+        ("osg", "SELECT entity, min(bin) AS s0, max(bin) AS s1 FROM (SELECT entity, bin, pos - row_number() OVER (PARTITION BY entity ORDER BY bin) AS isle FROM rul WHERE pred_lameness_episode = 1) GROUP BY entity, isle"),
+        ("oiou", f"SELECT entity, event_id, max({overlap('s0', 's1')} / (epoch(s1) - epoch(s0) + {STEP} + epoch(\"end\") - epoch(start) + {STEP} - {overlap('s0', 's1')})) AS iou FROM gplan JOIN osg USING (entity) GROUP BY ALL")),
+    "a27_d14_entity_calibration": B.sql("SELECT f.entity, round(f.baseline_std, 6) + 0.0 AS baseline_std, round(f.factor, 6) + 0.0 AS factor, CAST(r.n AS BIGINT) AS reference_notifs, CAST(c.n AS BIGINT) AS calibrated_notifs FROM fac f "
+        "LEFT JOIN (SELECT entity, sum(behavioral_warning_notification) AS n FROM fus WHERE dataset_split = 'futur' GROUP BY entity) r USING (entity) LEFT JOIN (SELECT entity, sum(behavioral_warning_notification) AS n FROM cal WHERE dataset_split = 'futur' GROUP BY entity) c USING (entity)", *BRANCH,
+        ("sd", "SELECT entity, stddev_samp(CASE WHEN dataset_split = 'baseline' THEN behavioral_warning_score END) AS baseline_std FROM fus GROUP BY entity"),
+        ("fac", "SELECT *, least(greatest(coalesce(baseline_std / nullif(median(baseline_std) OVER (), 0), 1.0), 0.6), 1.8) AS factor FROM sd"),
+        ("own", "SELECT spl.*, factor * 0.12 AS x_score FROM spl LEFT JOIN fac USING (entity)"), *D.hypo("own", "cal", score="x_score")),
     "j19_same_event_schedule": B.sql("SELECT count(*) AS n_differences FROM gplan WHERE event_id IS NULL", *SPLIT, SPANS, *rotated()),
     "a26_detection_background_curve": B.sql(
         f"SELECT e.config, b.n_cows, CAST(count(CASE WHEN {GRAD} THEN 1 END) AS BIGINT) AS n_gradual_events, round(b.bg, 6) + 0.0 AS background_per_cow_day, {AVG('episode_overlap', GRAD)} AS attributable_coverage, {AVG('CASE WHEN novel_start_count >= 1 THEN 1 ELSE 0 END', GRAD)} AS new_start_rate, "
@@ -316,6 +354,6 @@ CHECKS: dict[str, str] = {
     "a03_herd_days": B.sql("SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS cows, CAST(sum(day_alert) AS BIGINT) AS cows_alert, CAST(sum(day_notifs) AS BIGINT) AS total_notifs, round(sum(day_alert) / count(*) * 100.0, 6) + 0.0 AS pct_alert FROM days GROUP BY day", *DAYS),
     "a02_m07_entity_days": B.sql("SELECT entity, strftime(day, '%Y-%m-%d') AS day, CAST(day_alert AS INTEGER) AS day_alert, round(alert_rate, 6) + 0.0 AS alert_rate, CAST(n_anomalies AS BIGINT) AS n_anomalies, n_bins, CAST(day_notifs AS BIGINT) AS day_notifs, round(severity_raw, 6) + 0.0 AS severity_raw, round(severity, 6) + 0.0 AS severity FROM days", *DAYS),
     "k01_herd_ranking": B.sql(RANK, *BRANCH),
-    "k02_top_entities_and_alerts": B.sql("SELECT 'entity' AS kind, entity, CAST(NULL AS VARCHAR) AS bin, rank FROM (" + RANK + f") WHERE rank <= 9 UNION ALL SELECT * FROM (SELECT 'alert', entity, {TS('bin')}, CAST(NULL AS INTEGER) FROM fus WHERE hybrid_warning_start = 1 ORDER BY bin DESC, entity LIMIT 50)", *BRANCH),
+    "k02_top_entities_and_alerts": B.sql("SELECT 'entity' AS kind, entity, CAST(NULL AS VARCHAR) AS bin, rank FROM (" + RANK + f") WHERE rank <= 9 UNION ALL SELECT * FROM (SELECT 'alert', entity, {TS('bin')}, 0 FROM fus WHERE hybrid_warning_start = 1 ORDER BY bin DESC, entity LIMIT 50)", *BRANCH),
     "k05_alert_export": B.sql(f"SELECT entity, {TS('bin')}, hybrid_warning_type, CAST(hybrid_warning_priority AS INTEGER) AS hybrid_warning_priority, {REASON} FROM fus WHERE hybrid_warning_start = 1", *BRANCH),
 }

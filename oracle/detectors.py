@@ -63,7 +63,7 @@ def hypo(src: str = "spl", name: str = "hyp", minutes: int = 240, keys: str = "e
             f"CAST(sc >= {c['score']} AND behavioral_warning_families >= {c['nfam']} AND core = 1 AND coalesce(coverage_pct, 0) >= {c['cov']} AND fut AS INTEGER) AS behavioral_warning_candidate FROM {name}_h",
         ),
         (f"{name}_v", f"SELECT *, CASE WHEN behavioral_warning_candidate = 1 THEN sc + 0.35 * pdrop ELSE 0.0 END AS evidence FROM {name}_k"),
-        *B.cusum_cooldown(f"{name}_v", f"{name}_w", "behavioral_warning", c["drift"], c["thr"], n(c["persist"], 2, minutes), 0.45, n(c["cool"], 1, minutes), keys),
+        *B.cusum_cooldown(f"{name}_v", f"{name}_w", "behavioral_warning", c["drift"], c["thr"], n(c["persist"], 2, minutes), 0.45, c.get("wait") or n(c["cool"], 1, minutes), keys),
         (name, f"SELECT * EXCLUDE (base, fut, sc, core, act, pdrop, evidence, csum, prate), {B.clip('sc', '0.0', '1.0')} AS behavioral_warning_score FROM {name}_w"),
     ]
 

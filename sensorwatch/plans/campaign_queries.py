@@ -88,7 +88,7 @@ def _(spark, d):
 
 @query("a32_realised_changes")
 def _(spark, d):
-    return tidy(A.realised_changes(T.gradual_adjusted(spark, d)))
+    return tidy(A.realised_changes(T.gradual_adjusted(spark, d)), digits=8)
 
 
 @query("d10_attributable_evaluation")
@@ -400,7 +400,7 @@ def _(spark, d):
     r = RP.rank_entities(RP.entity_summary(T.branch_predictions(spark, d))).where("rank <= 9")
     alerts = T.branch_predictions(spark, d).where("hybrid_warning_start = 1").orderBy(F.desc("bin"), "entity").limit(50)
     top = r.select(F.lit("entity").alias("kind"), "entity", F.lit(None).cast("timestamp").alias("bin"), "rank")
-    return tidy(top.unionByName(alerts.select(F.lit("alert").alias("kind"), "entity", "bin", F.lit(None).cast("int").alias("rank"))))
+    return tidy(top.unionByName(alerts.select(F.lit("alert").alias("kind"), "entity", "bin", F.lit(0).alias("rank"))))
 
 
 @query("k05_alert_export")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -145,10 +144,14 @@ def modal_value(df: DataFrame, key: str, value: str) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(top)).where("_r = 1").drop("_r", "_n")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; an own one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorwatch-"))
+    return context.getCheckpointDir()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """Fresh folder under the cluster's shared checkpoint folder (own one only where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="sensorwatch-")
-        spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """Fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
