@@ -89,7 +89,7 @@ CHECKS: dict[str, str] = {
         "(SELECT k.r_name, m.mask, any_value(k.n) AS n, sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(rk) AS tot, sum(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN rk ELSE 0 END) AS w FROM sr k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY ALL", UNITS, DIFF,
         ("sr", "SELECT r_name, diff, i, n, rank() OVER (PARTITION BY r_name ORDER BY round(abs(diff), 12)) + (count(*) OVER (PARTITION BY r_name, round(abs(diff), 12)) - 1) / 2.0 AS rk FROM dif WHERE diff <> 0"), masks("sr")),
     "x08_sign_flip": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, round(o, 6) + 0.0 AS mean_difference, round(avg(CASE WHEN f >= o - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(f) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_two_sided FROM "
-        "(SELECT k.r_name, m.mask, any_value(k.n) AS n, avg(diff) AS o, avg(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN diff ELSE 0.0 - diff END) AS f FROM dif k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY r_name, n, round(o, 6), o", UNITS, DIFF, masks("dif")).replace("GROUP BY r_name, n, round(o, 6), o", "GROUP BY r_name, n, round(o, 6)").replace("round(o, 6) + 0.0 AS mean_difference", "round(o, 6) + 0.0 AS mean_difference"),
+        "(SELECT k.r_name, m.mask, any_value(k.n) AS n, avg(diff) AS o, avg(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN diff ELSE 0.0 - diff END) AS f FROM dif k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY r_name, n, round(o, 6)", UNITS, DIFF, masks("dif")),
     "x09_permutation_auc": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, CAST(np AS INTEGER) AS n_pos, round(any_value(oa), 6) AS auc, round(avg(CASE WHEN pa >= oa - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(pa - 0.5) >= abs(oa - 0.5) - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations FROM perm WHERE segment = 'BUILDING' GROUP BY r_name, n, np", UNITS, LONG, RANKS, masks("rnk"), PERM),
     "x10_max_stat_multiplicity": B.sql("SELECT b.r_name, round(any_value(o.oa), 6) AS observed_auc, round(avg(CASE WHEN m1 >= o.oa - 1e-12 THEN 1.0 WHEN m1 IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN m2 >= abs(o.oa - 0.5) - 1e-12 THEN 1.0 WHEN m2 IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations, any_value(t.nt) AS n_tests, any_value(t.nu) AS n_unique_score_vectors FROM "
         "(SELECT r_name, mask, max(pa) AS m1, max(abs(pa - 0.5)) AS m2 FROM perm GROUP BY ALL) b JOIN (SELECT r_name, any_value(oa) AS oa FROM perm WHERE segment = 'BUILDING' GROUP BY r_name) o USING (r_name) "
@@ -102,7 +102,7 @@ CHECKS: dict[str, str] = {
     "x13_fisher_exact": B.sql("SELECT lang, a, b, c, d, round(least(1.0, sum(CASE WHEN p <= o * (1 + 1e-7) THEN p ELSE 0 END)), 6) AS p_value FROM (SELECT *, max(CASE WHEN x = a THEN p END) OVER (PARTITION BY lang) AS o FROM (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1)) AS p FROM "
         "(SELECT *, unnest(generate_series(greatest(0, r + k - n), least(r, k))) AS x FROM (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM (SELECT lang, CAST(count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS INTEGER) AS a, CAST(count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS INTEGER) AS b, CAST(count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS INTEGER) AS c, CAST(count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS INTEGER) AS d FROM lab GROUP BY lang))))) GROUP BY lang, a, b, c, d", LAB),
     "x14_leave_one_positive_out": B.sql("SELECT lang, round(min(a), 6) AS auc_min, round(max(a), 6) AS auc_max FROM (SELECT h.lang, h.doc_id, (SELECT avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) FROM lab p JOIN lab q ON p.lang = q.lang WHERE p.lang = h.lang AND p.doc_id <> h.doc_id AND p.quality = 1 AND q.quality = 0) AS a FROM lab h WHERE h.quality = 1) GROUP BY lang", LAB),
-    "x15_holm": "SELECT l_returnflag, l_linenumber, round(p, 6) AS p, round(least(1.0, max(st) OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY l_returnflag) - row_number() OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber) + 1) * p AS st FROM (SELECT l_returnflag, l_linenumber, avg(l_discount) / (l_linenumber * 3) AS p FROM lineitem GROUP BY ALL))",
+    "x15_holm": "SELECT l_returnflag, l_linenumber, round(p, 6) AS p, round(least(1.0, max(st) OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY l_returnflag) - row_number() OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber) + 1) * p AS st FROM (SELECT l_returnflag, l_linenumber, avg(l_discount) / (max(l_linenumber) * 3) AS p FROM lineitem GROUP BY l_returnflag, l_linenumber))",
     "x16_autocorrelation": B.sql("SELECT entity, n_obs, lag, round(rho, 6) + 0.0 AS rho FROM acf", *HOURLY, *acf("hr", 24)),
     "x16_correlation_time": B.sql("SELECT entity, n_obs, coalesce(te, 24.0)::DOUBLE AS tau_e, round(ti, 6) AS tau_int, round(n_obs / ti, 6) AS n_eff FROM (SELECT entity, n_obs, min(CASE WHEN rho < exp(-1) THEN lag END) AS te, greatest(1.0, 1.0 + 2.0 * coalesce(sum(CASE WHEN lag < coalesce(st, 99) THEN rho END), 0)) AS ti FROM "
         "(SELECT *, min(CASE WHEN rho IS NULL OR rho <= 0 THEN lag END) OVER (PARTITION BY entity) AS st FROM acf) GROUP BY ALL)", *GRID, ("rl", f"SELECT entity, bin, {B.rolling_total('steps_sum', 3, least=3)} AS x FROM grid"), *acf("rl", 24)),
@@ -116,14 +116,14 @@ CHECKS: dict[str, str] = {
         ("fin", "SELECT s.entity, s.bin, s.coverage_pct, 0.0 - around / mine AS raw, quantile_cont(CASE WHEN s.tr THEN own END, 0.06) OVER (PARTITION BY s.entity) AS cut FROM scl s JOIN mine USING (entity, pos) LEFT JOIN own USING (entity, pos)")),
     "x19_robust_scaling": B.sql(f"SELECT entity, {TS('bin')}, {R6('steps_sum_scaled')}, {R6('lying_sum_scaled')} FROM scl", *SPLIT, SCALED),
     "x20_tolerant_table_diff": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority LIKE '1%' THEN '<row>' WHEN o_orderpriority LIKE '2%' THEN 'o_totalprice' ELSE 'o_orderpriority' END AS \"column\" FROM orders WHERE (o_orderstatus = 'P' AND o_orderpriority LIKE '1%') OR (o_orderpriority LIKE '2%' AND 10 > 1e-8 + 1e-7 * (o_totalprice + 10)) OR (o_orderstatus = 'F' AND o_orderpriority LIKE '3%')",
-    "j01_left_with_exclusions": "SELECT d.doc_id, lang, quality, toxic, CASE WHEN quality IS NULL THEN 'score_absent' END AS exclusion_reason FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "j01_left_with_exclusions": "SELECT d.doc_id, lang, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic, CASE WHEN quality IS NULL THEN 'score_absent' END AS exclusion_reason FROM documents d LEFT JOIN labels l USING (doc_id)",
     "j02_dimension_map": "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 6) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "j03_one_to_one_reconciliation": "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, round(round(sum(l_extendedprice), 2), 6) AS items, count(*) AS n_items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice",
-    "j04_d16_two_version_comparison": B.sql(f"SELECT l_tax, l_discount, CASE WHEN a.ok IS NULL THEN 0 ELSE 1 END AS in_v4, a.ok AS ok_v4, {R6('a.score', 'score_v4')}, CASE WHEN b.ok IS NULL THEN 0 ELSE 1 END AS in_v5, b.ok AS ok_v5, {R6('b.score', 'score_v5')}, CAST(a.ok = b.ok AS INTEGER) AS agree_v4_v5, {R6('b.score - a.score', 'delta_v4_v5')}, "
+    "j04_d16_two_version_comparison": B.sql(f"SELECT l_tax, l_discount, CASE WHEN a.ok IS NULL THEN 0 ELSE 1 END AS in_v4, CAST(a.ok AS DOUBLE) AS ok_v4, {R6('a.score', 'score_v4')}, CASE WHEN b.ok IS NULL THEN 0 ELSE 1 END AS in_v5, CAST(b.ok AS DOUBLE) AS ok_v5, {R6('b.score', 'score_v5')}, CAST(CAST(a.ok = b.ok AS INTEGER) AS DOUBLE) AS agree_v4_v5, {R6('b.score - a.score', 'delta_v4_v5')}, "
         "CASE WHEN a.ok IS NULL THEN 'right_only' WHEN b.ok IS NULL THEN 'left_only' ELSE 'both' END AS presence FROM va a FULL JOIN vb b USING (l_tax, l_discount)", *V),
-    "j05_d16_three_version_comparison": B.sql("SELECT l_tax, l_discount, " + ", ".join(f"CASE WHEN {t}.ok IS NULL THEN 0 ELSE 1 END AS in_{n}, {t}.ok AS ok_{n}, {R6(t + '.score', 'score_' + n)}" for t, n in (("va", "v4"), ("vb", "v5"), ("vc", "v6")))
-        + ", " + ", ".join(f"CAST({x}.ok = {y}.ok AS INTEGER) AS agree_{m}_{n}, {R6(f'{y}.score - {x}.score', f'delta_{m}_{n}')}" for x, y, m, n in (("va", "vb", "v4", "v5"), ("va", "vc", "v4", "v6"), ("vb", "vc", "v5", "v6")))
-        + ", CAST(va.ok = vb.ok AND va.ok = vc.ok AS INTEGER) AS agree_all FROM va FULL JOIN vb USING (l_tax, l_discount) FULL JOIN vc USING (l_tax, l_discount)", *V),
+    "j05_d16_three_version_comparison": B.sql("SELECT l_tax, l_discount, " + ", ".join(f"CASE WHEN {t}.ok IS NULL THEN 0 ELSE 1 END AS in_{n}, CAST({t}.ok AS DOUBLE) AS ok_{n}, {R6(t + '.score', 'score_' + n)}" for t, n in (("va", "v4"), ("vb", "v5"), ("vc", "v6")))
+        + ", " + ", ".join(f"CAST(CAST({x}.ok = {y}.ok AS INTEGER) AS DOUBLE) AS agree_{m}_{n}, {R6(f'{y}.score - {x}.score', f'delta_{m}_{n}')}" for x, y, m, n in (("va", "vb", "v4", "v5"), ("va", "vc", "v4", "v6"), ("vb", "vc", "v5", "v6")))
+        + ", CAST(CAST(va.ok = vb.ok AND va.ok = vc.ok AS INTEGER) AS DOUBLE) AS agree_all FROM va FULL JOIN vb USING (l_tax, l_discount) FULL JOIN vc USING (l_tax, l_discount)", *V),
     "j07_metric_assembly": B.sql("SELECT entity, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN coalesce({s}, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS {s}_nonzero, round(stddev_samp({s}), 6) AS {s}_std" for s in ("steps", "motion")) + ", round((epoch(date_trunc('second', max(t))) - epoch(date_trunc('second', min(t)))) / 86400, 6) AS span_days FROM raw GROUP BY entity", B.RAW),
     "j08_reference_lookup_last_wins": B.sql("SELECT p.entity, CAST(count(CASE WHEN behavioral_warning_episode = 1 AND coalesce(ep, 0) <> 1 THEN 1 END) AS BIGINT) AS attributable, CAST(sum(coalesce(ep, 0)) AS BIGINT) AS ref_bins, CAST(sum(coalesce(st, 0)) AS BIGINT) AS ref_starts FROM fus p LEFT JOIN "
         "(SELECT entity, time_bucket(INTERVAL 4 HOUR, t) AS bin, CAST(arg_max(coalesce(steps, 0) > 50, seq) AS INTEGER) AS ep, CAST(arg_max(coalesce(motion, 0) > 50, seq) AS INTEGER) AS st FROM raw GROUP BY ALL) r USING (entity, bin) GROUP BY p.entity", *BRANCH),
@@ -147,7 +147,7 @@ CHECKS: dict[str, str] = {
     "a22_collapsed_configs": B.sql("SELECT c.l_tax, c.l_linenumber, n_variants, c.ok, round(c.score, 6) AS score, CASE WHEN c.ok = 1 THEN 'OK' ELSE w.why END AS why FROM (SELECT l_tax, l_linenumber, count(*) AS n_variants, max(ok) AS ok, max(score) AS score FROM cfg GROUP BY ALL) c JOIN "
         "(SELECT l_tax, l_linenumber, string_agg(why, ' | ' ORDER BY f, why) AS why FROM (SELECT *, row_number() OVER (PARTITION BY l_tax, l_linenumber ORDER BY f, why) AS r FROM (SELECT l_tax, l_linenumber, why, min(seq) AS f FROM cfg GROUP BY ALL)) WHERE r <= 2 GROUP BY ALL) w USING (l_tax, l_linenumber)",
         ("cfg", "SELECT l_tax, l_linenumber, CASE WHEN l_linenumber < 4 THEN CAST(l_quantity >= 50 AS INTEGER) ELSE 0 END AS ok, l_extendedprice AS score, 'flag ' || l_returnflag AS why, l_orderkey * 10 + l_linenumber AS seq FROM lineitem")),
-    "a29_value_counts_and_mode": "SELECT user_id, event_type, count(*) AS n, any_value(m) AS modal FROM events JOIN (SELECT user_id, event_type AS m FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1) USING (user_id) GROUP BY ALL",
+    "a29_value_counts_and_mode": "SELECT user_id, event_type, count(*) AS n, any_value(m) AS modal FROM events JOIN (SELECT user_id, event_type AS m FROM events GROUP BY user_id, event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1) USING (user_id) GROUP BY ALL",
     "a30_component_validation": B.sql("SELECT conv_id, " + ", ".join(f"max({p}) AS {p}" for p in ("long_turn", "asks", "late")) + ", CAST(0 AS BIGINT) AS n_invalid, " + " + ".join(f"CAST(count(DISTINCT {p}) > 1 AS INTEGER)" for p in ("long_turn", "asks", "late")) + " AS conflicts, max(long_turn) + max(asks) + max(late) AS score FROM s GROUP BY conv_id",
         ("s", "SELECT conv_id, CAST(length(text) > 200 AS INTEGER) AS long_turn, CAST(role = 'user' AS INTEGER) AS asks, CAST(turn > 1 AS INTEGER) AS late FROM conversations")),
     "a33_timing_statistics": "SELECT *, round(med / n_rows * 1000, 6) AS seconds_per_1000_rows, round(n_rows / max(n_rows) OVER (), 6) AS rows_ratio_vs_full, round(med / first_value(med) OVER (ORDER BY n_rows DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS time_ratio_vs_full FROM (SELECT l_linenumber, count(*) AS repeats, l_linenumber * 1000 AS n_rows, avg(l_extendedprice / 1000) AS m, median(l_extendedprice / 1000) AS med, stddev_pop(l_extendedprice / 1000) AS sd, min(l_extendedprice / 1000) AS lo, max(l_extendedprice / 1000) AS hi FROM lineitem GROUP BY l_linenumber)",
@@ -167,7 +167,6 @@ CHECKS: dict[str, str] = {
     "u03_intersect": "SELECT l_suppkey AS key FROM lineitem INTERSECT SELECT o_custkey FROM orders",
     "k04_best_config_runs_events": B.sql("SELECT l_orderkey, l_tax, l_linenumber FROM lineitem JOIN (SELECT * FROM gs ORDER BY robust_pass DESC, selection_score DESC, mix_rate_thr, persist_hours LIMIT 1) b ON l_tax = b.mix_rate_thr AND l_linenumber = b.persist_hours", *GSUM),
     "w21_cumulative_share": "SELECT l_returnflag, l_linenumber, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY l_returnflag ORDER BY weight DESC, l_linenumber ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY l_returnflag), 6) AS cumulative_share FROM (SELECT l_returnflag, l_linenumber, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)",
-    "w23_position_of_time": B.sql("SELECT g.entity, CAST(min(CASE WHEN g.bin >= r.at THEN g.pos END) AS INTEGER) AS pos FROM grid g JOIN (SELECT entity, max(CASE WHEN steps > 200 THEN t END) AS at FROM raw GROUP BY entity) r USING (entity) GROUP BY g.entity", *GRID),
+    "w23_position_of_time": B.sql("SELECT g.entity, CAST(min(CASE WHEN g.bin >= r.at THEN g.pos END) AS DOUBLE) AS pos FROM grid g JOIN (SELECT entity, max(CASE WHEN steps > 200 THEN t END) AS at FROM raw GROUP BY entity) r USING (entity) GROUP BY g.entity", *GRID),
 }
 CHECKS["a33_timing_statistics"] = ("SELECT l_linenumber, repeats, n_rows, round(m, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max, seconds_per_1000_rows, rows_ratio_vs_full, time_ratio_vs_full FROM (" + CHECKS["a33_timing_statistics"] + ")")
-CHECKS["x08_sign_flip"] = CHECKS["x08_sign_flip"].replace("f >= o - 1e-12", "f >= o - 1e-12")

@@ -41,35 +41,54 @@ def flag_scores(df: DataFrame, raw: str, contamination: float, coverage_min_pct:
     return df.withColumns({"if_anomaly_point": hit, "if_pred": F.when(hit == 1, -1).otherwise(1)}).drop(raw)
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> tuple:
-    """Random isolation tree over ``x``: a leaf holds its path length, a node (feature, cut, left, right)."""
-    n = len(x)
-    spread = x.max(axis=0) - x.min(axis=0) if n else np.zeros(0)
-    live = np.flatnonzero(spread > 0)
-    if depth >= limit or n <= 1 or not len(live):
-        return (depth + average_path(n),)
-    f = rng.choice(live)
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    left = x[:, f] <= cut
-    return f, cut, grow_tree(x[left], rng, depth + 1, limit), grow_tree(x[~left], rng, depth + 1, limit)
-
-
-def average_path(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
-
-
-def path_lengths(tree: tuple, x: np.ndarray) -> np.ndarray:
-    out, todo = np.empty(len(x)), [(tree, np.arange(len(x)))]
-    while todo:
-        node, rows = todo.pop()
-        if len(node) == 1:
-            out[rows] = node[0]
-        else:
-            left = x[rows, node[0]] <= node[1]
-            todo += [(node[2], rows[left]), (node[3], rows[~left])]
-    return out
+def forest_task(cols: Sequence[str], n_trees: int, block: int, max_samples: int, feature_share: float, seed: int):
+    """Function scoring one block of an entity's rows with one block of its trees.
+
+    Everything it calls is nested, so Spark ships it whole to workers that do
+    not have this package.
+    """
+
+    def usual_path(n: float) -> float:
+        if n <= 1:
+            return 0.0
+        return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
+
+    def grow(x, rng, depth, limit):
+        live = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 else ()
+        if depth >= limit or not len(live):
+            return (depth + usual_path(len(x)),)
+        f = rng.choice(live)
+        cut = rng.uniform(x[:, f].min(), x[:, f].max())
+        left = x[:, f] <= cut
+        return f, cut, grow(x[left], rng, depth + 1, limit), grow(x[~left], rng, depth + 1, limit)
+
+    def lengths(tree, x):
+        out, todo = np.empty(len(x)), [(tree, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if len(node) == 1:
+                out[rows] = node[0]
+            else:
+                left = x[rows, node[0]] <= node[1]
+                todo += [(node[2], rows[left]), (node[3], rows[~left])]
+        return out
+
+    def score(key, data: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+        if data.empty or fit.empty:
+            return pd.DataFrame({"entity": [], "pos": [], "path": []})
+        x = data[list(cols)].to_numpy(float)
+        y = fit.sort_values("t_pos")[[f"t_{c}" for c in cols]].to_numpy(float)
+        size, keep = min(max_samples, len(y)), max(1, int(feature_share * len(cols)))
+        total = np.zeros(len(x))
+        for tree in range(key[2] * block, min(n_trees, (key[2] + 1) * block)):
+            rng = np.random.default_rng([seed, tree, *str(key[0]).encode()])
+            chosen = rng.choice(len(cols), keep, replace=False)
+            sample = y[rng.integers(0, len(y), size)][:, chosen]
+            total += lengths(grow(sample, rng, 0, int(np.ceil(np.log2(max(size, 2))))), x[:, chosen])
+        return pd.DataFrame({"entity": data["entity"], "pos": data["pos"], "path": total})
+
+    EULER_GAMMA = 0.5772156649015329
+    return score
 
 
 def isolation_scores(
@@ -91,22 +110,7 @@ def isolation_scores(
     train = df.where("train_point = 1").select("entity", F.col("pos"), *feats).join(parts, "entity")
     left, right = rows.withColumn("block", each), renamed(train.withColumn("block", each))
 
-    def score(key, data: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or fit.empty:
-            return pd.DataFrame({"entity": [], "pos": [], "path": []})
-        x = data[list(cols)].to_numpy(float)
-        y = fit.sort_values("t_pos")[[f"t_{c}" for c in cols]].to_numpy(float)
-        size = min(max_samples, len(y))
-        keep = max(1, int(feature_share * len(cols)))
-        total = np.zeros(len(x))
-        for tree in range(key[2] * block, min(n_trees, (key[2] + 1) * block)):
-            rng = np.random.default_rng([seed, tree, *str(key[0]).encode()])
-            chosen = rng.choice(len(cols), keep, replace=False)
-            sample = y[rng.integers(0, len(y), size)][:, chosen]
-            grown = grow_tree(sample, rng, 0, int(np.ceil(np.log2(max(size, 2)))))
-            total += path_lengths(grown, x[:, chosen])
-        return pd.DataFrame({"entity": data["entity"], "pos": data["pos"], "path": total})
-
+    score = forest_task(tuple(cols), n_trees, block, max_samples, feature_share, seed)
     by = ["entity", "part", "block"]
     paths = left.groupBy(*by).cogroup(right.groupBy(*[f"t_{c}" for c in by])).applyInPandas(score, "entity string, pos int, path double")
     mean = paths.groupBy("entity", "pos").agg((F.sum("path") / float(n_trees)).alias("_path"))

@@ -13,6 +13,7 @@ from sensorwatch.operators import fusion as FU
 from sensorwatch.operators import grid as G
 from sensorwatch.operators import hypo as H
 from sensorwatch.operators import instability as I
+from sensorwatch.operators import models as M
 from sensorwatch.operators import report as RP
 from sensorwatch.operators import rules as R
 from sensorwatch.operators import sweep as SW
@@ -568,6 +569,22 @@ def _(spark, d):
     return tidy(RP.entity_summary(T.predictions(spark, d)))
 
 
+@query("d06_pipeline_with_forest")
+def _(spark, d):
+    """The whole pipeline with the forest switched on: features, split, forest, rules, branches, fusion, summary."""
+    scored = M.isolation_scores(T.feature_table(spark, d), RP.model_features(T.feature_table(spark, d).columns), n_trees=100, block=25)
+    pred = FU.hybrid_warning(R.apply_rules(scored, T.INTERVAL), T.INTERVAL)
+    return tidy(RP.rank_entities(RP.entity_summary(pred)))
+
+
+@query("d08_local_outliers_with_rules")
+def _(spark, d):
+    cols = [c for c in T.feature_table(spark, d).columns if c.endswith("_sum_rrz")]
+    lof = M.local_outliers(M.robust_scale(T.feature_table(spark, d), cols), [f"{c}_scaled" for c in cols])
+    out = R.apply_rules(lof, T.INTERVAL)
+    return tidy(out.groupBy("entity").agg(F.sum("if_anomaly_point").alias("anomalies"), F.sum("pred_lameness_episode").alias("episode_bins"), F.sum("notif_lameness").alias("notifications")))
+
+
 @query("d09_channel_ablation")
 def _(spark, d):
     run = SW.channel_ablation(T.interval_table(spark, d), T.INTERVAL)

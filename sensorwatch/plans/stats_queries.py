@@ -166,7 +166,8 @@ def _(spark, d):
 @query("j01_left_with_exclusions")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return CO.with_labels(docs, table(spark, d, "labels"), "doc_id", "quality", "score_absent")
+    out = CO.with_labels(docs, table(spark, d, "labels"), "doc_id", "quality", "score_absent")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("quality", "toxic")})
 
 
 @query("j02_dimension_map")
@@ -190,15 +191,20 @@ def _configs(spark, d, flag, scale):
     return g.select("l_tax", "l_discount", (F.col("score") > 25.5).cast("int").alias("ok"), (F.col("score") * scale).alias("score"))
 
 
+def _flags_as_double(df):
+    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if c.startswith(("ok_", "agree_"))})
+
+
 @query("j04_d16_two_version_comparison")
 def _(spark, d):
-    return tidy(C.compare_versions({"v4": _configs(spark, d, "O", 1.0), "v5": _configs(spark, d, "F", 1.0)}, ["l_tax", "l_discount"], "ok", "score"))
+    frames = {"v4": _configs(spark, d, "O", 1.0), "v5": _configs(spark, d, "F", 1.0)}
+    return tidy(_flags_as_double(C.compare_versions(frames, ["l_tax", "l_discount"], "ok", "score")))
 
 
 @query("j05_d16_three_version_comparison")
 def _(spark, d):
     frames = {"v4": _configs(spark, d, "O", 1.0), "v5": _configs(spark, d, "F", 1.0), "v6": _configs(spark, d, "F", 2.0).where("l_tax > 0.03")}
-    return tidy(C.compare_versions(frames, ["l_tax", "l_discount"], "ok", "score"))
+    return tidy(_flags_as_double(C.compare_versions(frames, ["l_tax", "l_discount"], "ok", "score")))
 
 
 @query("j07_metric_assembly")
@@ -431,4 +437,4 @@ def _(spark, d):
 def _(spark, d):
     grid = T.interval_table(spark, d)
     times = event_readings(spark, d).groupBy("entity").agg(F.max(F.when(F.col("steps") > 200, F.col("t"))).alias("at"))
-    return CO.position_of_time(grid, times)
+    return CO.position_of_time(grid, times).withColumn("pos", F.col("pos").cast("double"))
