@@ -1,5 +1,5 @@
 """SQL checks by query name."""
 
-from oracle import campaign, core, stats
+from oracle import campaign, core, stats, streaming
 
-CHECKS: dict[str, str] = {**core.CHECKS, **campaign.CHECKS, **stats.CHECKS}
+CHECKS: dict[str, str] = {**core.CHECKS, **campaign.CHECKS, **stats.CHECKS, **streaming.CHECKS}

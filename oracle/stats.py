@@ -11,7 +11,7 @@ SEGS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 UNITS = ("units", "SELECT r_name, n_name, " + ", ".join(f"round(avg(CASE WHEN c_mktsegment = '{s}' THEN c_acctbal END), 4) AS {s}" for s in SEGS)
          + ", CAST(coalesce(any_value(s), 0) > 4500 AS INTEGER) AS label FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey "
          "LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY r_name, n_name")
-DIFF = ("dif", "SELECT r_name, n_name, BUILDING - MACHINERY AS diff, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM units")
+DIFF = ("dif", "SELECT r_name, n_name, BUILDING - MACHINERY AS diff, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM units WHERE BUILDING - MACHINERY IS NOT NULL")
 MASKS = ("masks", "SELECT r_name, n, unnest(generate_series(0::BIGINT, (1::BIGINT << CAST(n AS BIGINT)) - 1)) AS mask FROM (SELECT DISTINCT r_name, n FROM {src})")
 
 
@@ -32,7 +32,7 @@ RANKS = ("rnk", "SELECT *, rank() OVER (PARTITION BY r_name, segment ORDER BY sc
                  "count(*) OVER (PARTITION BY r_name, segment) AS n, sum(label) OVER (PARTITION BY r_name, segment) AS np FROM long")
 LONG = ("long", " UNION ALL ".join(f"SELECT r_name, n_name, label, '{s}' AS segment, {s} AS score FROM units WHERE {s} IS NOT NULL" for s in SEGS))
 PERM = ("perm", "SELECT r.r_name, r.segment, m.mask, any_value(r.n) AS n, any_value(r.np) AS np, (sum(CASE WHEN (m.mask >> r.i) & 1 = 1 THEN r.rk ELSE 0 END) - any_value(r.np) * (any_value(r.np) + 1) / 2.0) / nullif(any_value(r.np) * (any_value(r.n) - any_value(r.np)), 0) AS pa, "
-                "(sum(CASE WHEN r.label = 1 THEN r.rk ELSE 0 END) - any_value(r.np) * (any_value(r.np) + 1) / 2.0) / nullif(any_value(r.np) * (any_value(r.n) - any_value(r.np)), 0) AS oa FROM rnk r JOIN masks m ON m.r_name = r.r_name AND bit_count(m.mask) = r.np GROUP BY ALL")
+                "(sum(CASE WHEN r.label = 1 THEN r.rk ELSE 0 END) - any_value(r.np) * (any_value(r.np) + 1) / 2.0) / nullif(any_value(r.np) * (any_value(r.n) - any_value(r.np)), 0) AS oa FROM rnk r JOIN masks m ON m.r_name = r.r_name AND m.n = r.n AND bit_count(m.mask) = r.np GROUP BY ALL")
 GRIDRUN = ("SELECT l_tax AS mix_rate_thr, l_linenumber AS persist_hours, l_returnflag, l_quantity / 50.0 AS iou20, l_discount * 2 AS recall_any, l_discount AS leak, l_tax * 3 AS false_notif FROM lineitem")
 
 
@@ -87,7 +87,7 @@ CHECKS: dict[str, str] = {
     "x05_brier_and_ece": B.sql("SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS brier, round(sum(n * abs(y - pm)) / sum(n), 6) AS ece FROM (SELECT lang, least(floor(p * 10), 9) AS b, count(*) AS n, avg(quality) AS y, avg(p) AS pm, sum((p - quality) * (p - quality)) AS s FROM (SELECT *, score / (score + 1000.0) AS p FROM lab) GROUP BY ALL) GROUP BY lang", LAB),
     "x06_x07_wilcoxon_rank_biserial": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n_informative, CAST(npos AS INTEGER) AS n_positive, round(wp, 6) AS w_plus, round(avg(CASE WHEN abs(w - tot / 2) >= abs(wp - tot / 2) - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p_value, round(least(1.0, 2.0 / power(2, n)), 6) AS p_floor, round((2 * wp - tot) / tot, 6) + 0.0 AS rank_biserial FROM "
         "(SELECT k.r_name, m.mask, any_value(k.n) AS n, sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(rk) AS tot, sum(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN rk ELSE 0 END) AS w FROM sr k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY ALL", UNITS, DIFF,
-        ("sr", "SELECT r_name, diff, i, n, rank() OVER (PARTITION BY r_name ORDER BY round(abs(diff), 12)) + (count(*) OVER (PARTITION BY r_name, round(abs(diff), 12)) - 1) / 2.0 AS rk FROM dif WHERE diff <> 0"), masks("sr")),
+        ("sr", "SELECT r_name, diff, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n, rank() OVER (PARTITION BY r_name ORDER BY round(abs(diff), 12)) + (count(*) OVER (PARTITION BY r_name, round(abs(diff), 12)) - 1) / 2.0 AS rk FROM dif WHERE diff <> 0"), masks("sr")),
     "x08_sign_flip": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, round(o, 6) + 0.0 AS mean_difference, round(avg(CASE WHEN f >= o - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(f) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_two_sided FROM "
         "(SELECT k.r_name, m.mask, any_value(k.n) AS n, avg(diff) AS o, avg(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN diff ELSE 0.0 - diff END) AS f FROM dif k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY r_name, n, round(o, 6)", UNITS, DIFF, masks("dif")),
     "x09_permutation_auc": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, CAST(np AS INTEGER) AS n_pos, round(any_value(oa), 6) AS auc, round(avg(CASE WHEN pa >= oa - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(pa - 0.5) >= abs(oa - 0.5) - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations FROM perm WHERE segment = 'BUILDING' GROUP BY r_name, n, np", UNITS, LONG, RANKS, masks("rnk"), PERM),

@@ -44,63 +44,72 @@ def flag_scores(df: DataFrame, raw: str, contamination: float, coverage_min_pct:
 def forest_task(cols: Sequence[str], n_trees: int, block: int, max_samples: int, feature_share: float, seed: int):
     """Function scoring one block of an entity's rows with one block of its trees.
 
-    Everything it calls is nested, so Spark ships it whole to workers that do
-    not have this package.
+    All trees of the block grow level by level as arrays. Everything the
+    function calls is nested, so Spark ships it whole to workers that do not
+    have this package.
     """
 
-    def usual_path(n: float) -> float:
-        if n <= 1:
-            return 0.0
-        return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
-
-    def grow(x, rng, depth, limit):
-        live = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 else ()
-        if depth >= limit or not len(live):
-            return (depth + usual_path(len(x)),)
-        f = rng.choice(live)
-        cut = rng.uniform(x[:, f].min(), x[:, f].max())
-        left = x[:, f] <= cut
-        return f, cut, grow(x[left], rng, depth + 1, limit), grow(x[~left], rng, depth + 1, limit)
-
-    def lengths(tree, x):
-        out, todo = np.empty(len(x)), [(tree, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if len(node) == 1:
-                out[rows] = node[0]
-            else:
-                left = x[rows, node[0]] <= node[1]
-                todo += [(node[2], rows[left]), (node[3], rows[~left])]
-        return out
+    def usual_path(n):
+        n = np.asarray(n, float)
+        m = np.maximum(n, 2.0)
+        long = 2.0 * (np.log(np.maximum(m - 1.0, 1.0)) + 0.5772156649015329) - 2.0 * (m - 1.0) / m
+        return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
     def score(key, data: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
         if data.empty or fit.empty:
             return pd.DataFrame({"entity": [], "pos": [], "path": []})
         x = data[list(cols)].to_numpy(float)
         y = fit.sort_values("t_pos")[[f"t_{c}" for c in cols]].to_numpy(float)
-        size, keep = min(max_samples, len(y)), max(1, int(feature_share * len(cols)))
-        total = np.zeros(len(x))
-        for tree in range(key[2] * block, min(n_trees, (key[2] + 1) * block)):
-            rng = np.random.default_rng([seed, tree, *str(key[0]).encode()])
-            chosen = rng.choice(len(cols), keep, replace=False)
-            sample = y[rng.integers(0, len(y), size)][:, chosen]
-            total += lengths(grow(sample, rng, 0, int(np.ceil(np.log2(max(size, 2))))), x[:, chosen])
-        return pd.DataFrame({"entity": data["entity"], "pos": data["pos"], "path": total})
-
-    EULER_GAMMA = 0.5772156649015329
+        trees = min(n_trees, (key[2] + 1) * block) - key[2] * block
+        rng = np.random.default_rng([seed, key[2], *str(key[0]).encode()])
+        size, n_feat = min(max_samples, len(y)), len(cols)
+        kept = rng.random((trees, n_feat)).argsort(axis=1) < max(1, int(feature_share * n_feat))
+        sample = y[rng.integers(0, len(y), (trees, size))]
+        tree = np.arange(trees)[:, None]
+        at, live = np.zeros((trees, size), int), np.ones((trees, size), bool)
+        where, open_ = np.zeros((trees, len(x)), int), np.ones((trees, len(x)), bool)
+        path = np.zeros((trees, len(x)))
+        depth = int(np.ceil(np.log2(max(size, 2))))
+        for level in range(depth + 1):
+            nodes = 2**level
+            slot = (tree * nodes + at)[live]
+            count = np.bincount(slot, minlength=trees * nodes)
+            low, high = np.full((trees * nodes, n_feat), np.inf), np.full((trees * nodes, n_feat), -np.inf)
+            np.minimum.at(low, slot, sample[live])
+            np.maximum.at(high, slot, sample[live])
+            usable = (high > low) & np.repeat(kept, nodes, axis=0)
+            split = usable.any(axis=1) & (level < depth)
+            row_slot = tree * nodes + where
+            stop = open_ & ~split[row_slot]
+            path[stop] = level + usual_path(count[row_slot[stop]])
+            open_ &= ~stop
+            if not split.any():
+                break
+            f = np.argmax(rng.random(usable.shape) * usable, axis=1)
+            pick = np.arange(trees * nodes)
+            with np.errstate(invalid="ignore"):
+                cut = low[pick, f] + rng.random(trees * nodes) * (high[pick, f] - low[pick, f])
+            own = tree * nodes + at
+            live &= split[own]
+            at = 2 * at + (np.take_along_axis(sample, f[own][:, :, None], axis=2)[:, :, 0] > cut[own])
+            at[~live] = 0
+            where = 2 * where + (x[np.arange(len(x))[None, :], f[row_slot]] > cut[row_slot])
+            where[~open_] = 0
+        return pd.DataFrame({"entity": data["entity"], "pos": data["pos"], "path": path.sum(axis=0)})
+
     return score
 
 
 def isolation_scores(
     df: DataFrame, cols: Sequence[str], n_trees: int = 800, contamination: float = CONTAMINATION, max_samples: int = 256,
-    feature_share: float = 0.8, seed: int = 42, block: int = 50, rows_per_task: int = 20_000, coverage_min_pct: float = 25.0,
+    feature_share: float = 0.8, seed: int = 42, block: int = 200, rows_per_task: int = 20_000, coverage_min_pct: float = 25.0,
 ) -> DataFrame:
     """Isolation forest per entity, cut into (tree block, row block) tasks.
 
     Each task draws its trees from the entity's training rows and adds up the
     path lengths of its share of rows; the sums of the blocks are then averaged
-    by a plain aggregation. Trees depend on (entity, tree number) only, so a
-    repeated task gives the same result.
+    by a plain aggregation. Trees depend on the entity and block number only, so
+    every row block sees the same trees and a repeated task the same result.
     """
     blocks = -(-n_trees // block)
     feats = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]

@@ -7,7 +7,10 @@ recent totals, the CUSUM, the episode flag and the last fired bin.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,7 +76,7 @@ def with_reference(stream: DataFrame, reference: DataFrame) -> DataFrame:
 OUT = "entity string, bin timestamp, score double, cusum double, candidate int, episode int, start int, notification int"
 
 
-def score_stream(rows: DataFrame, interval: str, live_from: DataFrame | None = None, cfg: HypoConfig = HypoConfig()) -> DataFrame:
+def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConfig()) -> DataFrame:
     """Drop-branch alerts per bin; state per entity holds the last day of totals and six scalars.
 
     ``rows`` come from ``with_reference``, in time order per entity within a
@@ -81,6 +84,7 @@ def score_stream(rows: DataFrame, interval: str, live_from: DataFrame | None = N
     """
     if "live" not in rows.columns:
         rows = rows.withColumn("live", F.lit(1))
+    cfg = SimpleNamespace(**asdict(settings))  # plain values, so workers need no package
     step = pd.Timedelta(minutes=interval_minutes(interval))
     n, day, k = bins(cfg.aggregation_hours, interval, 4), bins(24, interval, 4), bins(cfg.persistence_hours, interval, 2)
     lag, wait = bins(PROGRESSIVE_HOURS, interval, 2), bins(cfg.cooldown_hours, interval, 1)
@@ -136,8 +140,6 @@ def score_stream(rows: DataFrame, interval: str, live_from: DataFrame | None = N
     def run(key, batches, state):
         s = dict(i=-1, sums=[], totals=[], levels=[], cands=[], cusum=0.0, episode=0, fired=-(10**9), last=None)
         if state.exists:
-            import json
-
             s = json.loads(state.get[0])
             s["last"] = pd.Timestamp(s["last"]) if s["last"] else None
         data = pd.concat(list(batches)).sort_values("bin")
@@ -149,8 +151,6 @@ def score_stream(rows: DataFrame, interval: str, live_from: DataFrame | None = N
                 out.append((key[0], s["last"], *advance(s, [0.0] * len(signals), gap)))
             s["last"] = row["bin"]
             out.append((key[0], row["bin"], *advance(s, [row[f"{x}_sum"] for x in signals], row)))
-        import json
-
         state.update((json.dumps(s | {"last": str(s["last"])}),))
         yield pd.DataFrame(out, columns=names)
 
