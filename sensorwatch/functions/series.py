@@ -56,41 +56,65 @@ def rising(col: str, keys: Sequence[str] = ENTITY, by: str = "bin") -> Column:
     return ((F.col(col) == 1) & (before == 0)).cast("int")
 
 
-def add_cusum(df: DataFrame, evidence: str, drift, out: str, keys: Sequence[str] = ENTITY) -> DataFrame:
-    """One-sided CUSUM as a difference of running sums: S = C - min(0, running min of C)."""
+def add_cusums(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = ENTITY) -> DataFrame:
+    """One-sided CUSUMs as differences of running sums: S = C - min(0, running min of C).
+
+    ``items`` are (evidence column, drift, output name); all share two windows.
+    """
     w = so_far(keys)
-    step = F.coalesce(F.col(evidence), F.lit(0.0)) - (drift if isinstance(drift, Column) else F.lit(float(drift)))
-    return (
-        df.withColumn("_c", F.sum(step).over(w))
-        .withColumn(out, F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w)))
-        .drop("_c")
-    )
+    drift = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    df = df.withColumns({f"_c_{out}": F.sum(F.coalesce(F.col(e), F.lit(0.0)) - drift(x)).over(w) for e, x, out in items})
+    return df.withColumns(
+        {out: F.col(f"_c_{out}") - F.least(F.lit(0.0), F.min(f"_c_{out}").over(w)) for _, _, out in items}
+    ).drop(*[f"_c_{out}" for _, _, out in items])
 
 
-def add_cooldown(
-    df: DataFrame, start: str, wait: int | Column, out: str, keys: Sequence[str] = ENTITY, pos: str = "pos"
-) -> DataFrame:
+def add_cusum(df: DataFrame, evidence: str, drift, out: str, keys: Sequence[str] = ENTITY) -> DataFrame:
+    return add_cusums(df, [(evidence, drift, out)], keys)
+
+
+def add_cooldowns(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = ENTITY, pos: str = "pos") -> DataFrame:
     """Let a start fire only when the last fired one is more than ``wait`` bins away.
 
-    A start further than ``wait`` from the previous start always fires, so the
-    decision is only ever needed inside a burst of close starts: starts are
-    numbered into bursts and each burst is folded on its own.
+    ``items`` are (start column, wait in bins, output name). A start further
+    than ``wait`` from the previous start always fires, so the decision is only
+    ever needed inside a burst of close starts: starts are numbered into bursts
+    and each burst is folded on its own.
     """
-    w = ordered(keys)
-    before = F.max(F.when(F.col(start) == 1, F.col(pos))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn(
-        "_opens", ((F.col(start) == 1) & (F.coalesce(F.col(pos) - before > wait, F.lit(True)))).cast("int")
-    ).withColumn("_burst", F.sum("_opens").over(so_far(keys)))
-    burst = Window.partitionBy(*keys, "_burst").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_starts", F.collect_list(F.when(F.col(start) == 1, F.col(pos))).over(burst))
-    fired = F.aggregate(
-        "_starts",
-        F.lit(-(10**9)).cast("int"),
-        lambda last, x: F.when(x - last > wait, x).otherwise(last),
+    earlier = ordered(keys).rowsBetween(Window.unboundedPreceding, -1)
+    at = {start: F.when(F.col(start) == 1, F.col(pos)) for start, _, _ in items}
+    df = df.withColumns(
+        {
+            f"_open_{out}": F.coalesce(at[start] - F.max(at[start]).over(earlier) > wait, at[start].isNotNull()).cast("int")
+            for start, wait, out in items
+        }
+    )
+    df = df.withColumns({f"_burst_{out}": F.sum(f"_open_{out}").over(so_far(keys)) for _, _, out in items})
+    df = df.withColumns(
+        {
+            f"_list_{out}": F.collect_list(at[start]).over(
+                Window.partitionBy(*keys, f"_burst_{out}").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+            )
+            for start, _, out in items
+        }
     )
-    return df.withColumn(
-        out, F.when(F.col(start) == 1, (fired == F.col(pos)).cast("int")).otherwise(F.lit(0))
-    ).drop("_opens", "_burst", "_starts")
+
+    def fired(out: str, wait) -> Column:
+        never = F.lit(-(10**9)).cast("int")
+        return F.aggregate(f"_list_{out}", never, lambda last, x: F.when(x - last > wait, x).otherwise(last))
+
+    return df.withColumns(
+        {
+            out: F.when(F.col(start) == 1, (fired(out, wait) == F.col(pos)).cast("int")).otherwise(F.lit(0))
+            for start, wait, out in items
+        }
+    ).drop(*[f"_{x}_{out}" for x in ("open", "burst", "list") for _, _, out in items])
+
+
+def add_cooldown(
+    df: DataFrame, start: str, wait: int | Column, out: str, keys: Sequence[str] = ENTITY, pos: str = "pos"
+) -> DataFrame:
+    return add_cooldowns(df, [(start, wait, out)], keys, pos)
 
 
 def add_prior_event(

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.functions import series as S
-from sensorwatch.functions.scalars import bounded_ratio, denominator_floor
-from sensorwatch.operators.grid import slot_of_day
 
 MIN_TRAIN = 30
+BASE = ("_base", "_future")
 
 
 def add_split(
@@ -56,8 +55,10 @@ def add_split(
     return df.drop("_ok", "_warm", "_first", "_cand", "_n_cand", "_n_ok", "_n", "_rank")
 
 
-def add_reference_masks(df: DataFrame, only_if_missing: bool, keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """Boolean ``_base``/``_future`` from the split labels, or from the first 60 % of the bins.
+def add_reference_masks(
+    df: DataFrame, only_if_missing: bool, keys: Sequence[str] = S.ENTITY, names: tuple[str, str] = BASE
+) -> DataFrame:
+    """Boolean columns ``names`` from the split labels, or from the first 60 % of the bins.
 
     ``only_if_missing`` keeps labels whenever the column exists; otherwise an
     entity whose labels lack a baseline or a future also falls back.
@@ -67,11 +68,11 @@ def add_reference_masks(df: DataFrame, only_if_missing: bool, keys: Sequence[str
         df = S.add_position(df, keys)
     cut = F.greatest(F.lit(MIN_TRAIN), F.rint(F.count(F.lit(1)).over(w) * 0.60).cast("int"))
     if "dataset_split" not in df.columns:
-        return df.withColumn("_base", F.col("pos") < cut).withColumn("_future", ~F.col("_base"))
+        return df.withColumn(names[0], F.col("pos") < cut).withColumn(names[1], ~F.col(names[0]))
     base = F.coalesce(F.col("dataset_split") == "baseline", F.lit(False))
     future = F.coalesce(F.col("dataset_split") == "futur", F.lit(False))
     if only_if_missing:
-        return df.withColumns({"_base": base, "_future": future})
+        return df.withColumns({names[0]: base, names[1]: future})
     df = df.withColumns(
         {
             "_cut": cut,
@@ -80,52 +81,60 @@ def add_reference_masks(df: DataFrame, only_if_missing: bool, keys: Sequence[str
     )
     return df.withColumns(
         {
-            "_base": F.when(F.col("_usable"), base).otherwise(F.col("pos") < F.col("_cut")),
-            "_future": F.when(F.col("_usable"), future).otherwise(F.col("pos") >= F.col("_cut")),
+            names[0]: F.when(F.col("_usable"), base).otherwise(F.col("pos") < F.col("_cut")),
+            names[1]: F.when(F.col("_usable"), future).otherwise(F.col("pos") >= F.col("_cut")),
         }
     ).drop("_cut", "_usable")
 
 
-def add_expected(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """``_exp_<col>``: baseline median of the same slot of day, else of the whole baseline, else of all rows."""
-    df = df.withColumn("_slot", slot_of_day())
-    base, w = F.col("_base"), S.whole(keys)
-    by_slot = S.whole((*keys, "_slot"))
-    df = df.withColumns({f"_slot_{c}": S.median_where(base, F.col(c), by_slot) for c in cols})
-    df = df.withColumns(
-        {f"_med_{c}": S.median_where(base, F.col(c), w) for c in cols}
-        | {f"_all_{c}": S.median_where(None, F.col(c), w) for c in cols}
-    )
-    expected = {
-        f"_exp_{c}": F.coalesce(f"_slot_{c}", f"_med_{c}", f"_all_{c}", F.lit(0.0)) for c in cols
-    }
-    return df.withColumns(expected).drop("_slot", *[f"_{p}_{c}" for p in ("slot", "med", "all") for c in cols])
+def _over(keys: Sequence[str], *more: str, order: str | None = None) -> str:
+    by = ", ".join((*keys, *more))
+    return f"OVER (PARTITION BY {by}{f' ORDER BY {order}' if order else ''})"
+
+
+def add_expected(
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = S.ENTITY, mask: dict[str, str] | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
+    """``_exp_<col>``: baseline median of the same slot of day, else of the whole baseline, else of all rows.
+
+    The expressions are written as SQL text: there are dozens per column, and
+    text reaches the JVM in one call.
+    """
+    whole, slot = _over(keys), _over(keys, "hour(bin) * 60 + minute(bin)")
+    exprs = []
+    for c in cols:
+        known = f"CASE WHEN {(mask or {}).get(c, '_base')} THEN {c} END"
+        exprs += [f"percentile({known}, 0.5D) {slot} AS _slot_{c}", f"percentile({known}, 0.5D) {whole} AS _med_{c}", f"percentile({c}, 0.5D) {whole} AS _all_{c}"]
+    kept = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr("*", *exprs, *extra)
+    names = [e.rsplit(" AS ", 1)[1] for e in extra]
+    return df.selectExpr(*kept, *names, *[f"coalesce(_slot_{c}, _med_{c}, _all_{c}, 0D) AS _exp_{c}" for c in cols])
 
 
 def add_reference_ratios(
-    df: DataFrame, cols: Sequence[str], day_bins: int, keys: Sequence[str] = S.ENTITY, high: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], day_bins: int, keys: Sequence[str] = S.ENTITY, high: Sequence[str] = (),
+    mask: dict[str, str] | None = None,
 ) -> DataFrame:
     """``_ratio_<col>``: the column against its expectation and against the same time yesterday.
 
     The smaller of the two ratios is kept (the larger for columns in ``high``),
-    so one unusual reference alone cannot create a change.
+    so one unusual reference alone cannot create a change. Denominators are held
+    above 5 % of their typical positive value, ratios within [0, 3].
     """
-    df = add_expected(df, cols, keys)
-    df = df.withColumns({f"_lag_{c}": F.lag(c, day_bins).over(S.ordered(keys)) for c in cols})
-    w = S.whole(keys)
-
-    def floor_of(name: str) -> Column:
-        return denominator_floor(S.median_where(F.col(name) > 0, F.col(name), w))
-
-    refs = [f"_{p}_{c}" for c in cols for p in ("exp", "lag")]
-    df = df.withColumns({f"_fl{r}": floor_of(r) for r in refs})
-    out = {}
-    for c in cols:
-        pick = F.greatest if c in high else F.least
-        out[f"_ratio_{c}"] = pick(
-            *[bounded_ratio(F.col(c), F.col(f"_{p}_{c}"), F.col(f"_fl_{p}_{c}")) for p in ("exp", "lag")]
-        )
-    return df.withColumns(out).drop(*refs, *[f"_fl{r}" for r in refs])
+    kept, whole = [f"`{c}`" for c in df.columns], _over(keys)
+    lags = [f"lag({c}, {day_bins}) {_over(keys, order='bin')} AS _lag_{c}" for c in cols]
+    df = add_expected(df, cols, keys, mask, lags)
+    refs = [f"_{kind}_{c}" for c in cols for kind in ("exp", "lag")]
+    df = df.selectExpr("*", *[f"percentile(CASE WHEN {r} > 0 THEN {r} END, 0.5D) {whole} AS _mid{r}" for r in refs])
+    df = df.selectExpr("*", *[f"CASE WHEN _mid{r} IS NULL THEN 1D ELSE greatest(1e-6D, _mid{r} * 0.05D) END AS _fl{r}" for r in refs])
+    df = df.selectExpr(*kept, *refs, *[f"{c} / CASE WHEN {r} < _fl{r} THEN _fl{r} ELSE {r} END AS _q{r}" for c in cols for r in (f"_exp_{c}", f"_lag_{c}")])
+
+    def held(q: str) -> str:
+        return f"CASE WHEN {q} < 0D THEN 0D WHEN {q} > 3D THEN 3D ELSE {q} END"
+
+    return df.selectExpr(
+        *kept, *[f"{'greatest' if c in high else 'least'}({held(f'_q_exp_{c}')}, {held(f'_q_lag_{c}')}) AS _ratio_{c}" for c in cols]
+    )
 
 
 def heldout_start(df: DataFrame, keys: Sequence[str] = S.ENTITY) -> DataFrame:

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from sensorwatch.config import FusionConfig, HypoConfig, InstabilityConfig, bins
 from sensorwatch.functions import series as S
 from sensorwatch.functions.scalars import flag
-from sensorwatch.operators.hypo import SCOPE, hypo_branch
-from sensorwatch.operators.instability import instability_branch
+from sensorwatch.operators.baseline import add_reference_masks, add_reference_ratios
+from sensorwatch.operators.hypo import SCOPE, drop_candidates, drop_changes, drop_stream, drop_totals, finish_alerts
+from sensorwatch.operators.instability import (
+    MEASURES,
+    add_densities,
+    instability_branch,
+    instability_candidates,
+    instability_stream,
+)
+
+OTHER = ("_base_i", "_future_i")  # masks of the instability branch, whose fallback rule differs
 
 
 def fuse(df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY) -> DataFrame:
@@ -79,8 +88,20 @@ def hybrid_warning(
     fusion: FusionConfig = FusionConfig(),
     keys: Sequence[str] = S.ENTITY,
 ) -> DataFrame:
-    """Both branches and their fusion; a drop branch already present is kept."""
-    if "behavioral_warning_episode" not in df.columns:
-        df = hypo_branch(df, interval, hypo, keys)
-    df = instability_branch(df, interval, instability, keys)
-    return fuse(df, interval, fusion, keys)
+    """Both branches and their fusion; a drop branch already present is kept.
+
+    The branches share every window they can: references, CUSUMs, persistence
+    and cooldowns of both are computed side by side.
+    """
+    if "behavioral_warning_episode" in df.columns:
+        return fuse(instability_branch(df, interval, instability, keys), interval, fusion, keys)
+    df = add_reference_masks(df, only_if_missing=False, keys=keys)
+    df = add_reference_masks(df, only_if_missing=True, keys=keys, names=OTHER)
+    totals = drop_totals(df, [bins(hypo.aggregation_hours, interval, 4)], keys)
+    df = add_densities(df, bins(instability.aggregation_hours, interval, 4), keys, more=totals)
+    mask = {m: OTHER[0] for m in MEASURES}
+    df = add_reference_ratios(df, [*totals, *MEASURES], bins(24, interval, 4), keys, high=["_t_lying"], mask=mask)
+    df = drop_candidates(drop_changes(df), interval, hypo, keys)
+    df = instability_candidates(df, instability, OTHER[1])
+    df = finish_alerts(df, [drop_stream(interval, hypo), instability_stream(interval, instability)], keys)
+    return fuse(df.drop("_base", "_future", *OTHER), interval, fusion, keys)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,27 +29,37 @@ def choose(col: Column | None, options: dict) -> Column:
     return reduce(lambda acc, kv: acc.when(col == kv[0], kv[1]), options.items(), F.when(F.lit(False), None))
 
 
-def add_drop_changes(
-    df: DataFrame, interval: str, lengths: Sequence[int], keys: Sequence[str] = S.ENTITY, length: Column | None = None
-) -> DataFrame:
-    """Ratios to the entity's references and the resulting change per behaviour family.
-
-    ``lengths`` holds the window in bins; with several, ``length`` says which one a row uses.
-    """
-    totals = {
+def drop_totals(df: DataFrame, lengths: Sequence[int], keys: Sequence[str] = S.ENTITY, length: Column | None = None) -> dict:
+    """Rolling totals ``_t_<signal>``; with several lengths, ``length`` says which one a row uses."""
+    return {
         f"_t_{s}": choose(length, {n: S.rolling_total(F.col(f"{s}_sum"), n, keys) for n in lengths})
         if f"{s}_sum" in df.columns
         else F.lit(None).cast("double")
         for s in SIGNALS
     }
-    df = df.withColumns(totals)
-    df = add_reference_ratios(df, list(totals), bins(24, interval, 4), keys, high=["_t_lying"])
-    df = df.withColumns({f"warning_ratio_{s}": F.col(f"_ratio__t_{s}") for s in SIGNALS})
-    change = {f"warning_change_{s}": clip(1.0 - F.col(f"warning_ratio_{s}"), 0, 1) for s in ("steps", "motion", "transitions")}
-    change["warning_change_posture"] = row_mean(
-        clip(F.col("warning_ratio_lying") - 1.0, 0, 1), clip(1.0 - F.col("warning_ratio_standing"), 0, 1)
+
+
+def drop_changes(df: DataFrame) -> DataFrame:
+    """Change per behaviour family from the ratios ``_ratio__t_<signal>``."""
+    held = lambda x: f"CASE WHEN {x} < 0D THEN 0D WHEN {x} > 1D THEN 1D ELSE {x} END"
+    names = [f"_ratio__t_{s}" for s in SIGNALS]
+    gone = {*names, *[f"_t_{s}" for s in SIGNALS]}
+    df = df.selectExpr(*[f"`{c}`" for c in df.columns if c not in gone], *[f"_ratio__t_{s} AS warning_ratio_{s}" for s in SIGNALS])
+    df = df.selectExpr(
+        "*",
+        *[f"{held(f'(1D - warning_ratio_{s})')} AS warning_change_{s}" for s in ("steps", "motion", "transitions")],
+        f"{held('(warning_ratio_lying - 1D)')} AS _up", f"{held('(1D - warning_ratio_standing)')} AS _down",
     )
-    return df.withColumns(change).drop(*totals, *[f"_ratio_{t}" for t in totals])
+    return df.withColumn("warning_change_posture", row_mean(F.col("_up"), F.col("_down"))).drop("_up", "_down")
+
+
+def add_drop_changes(
+    df: DataFrame, interval: str, lengths: Sequence[int], keys: Sequence[str] = S.ENTITY, length: Column | None = None
+) -> DataFrame:
+    """Ratios to the entity's references and the resulting change per behaviour family."""
+    totals = drop_totals(df, lengths, keys, length)
+    df = df.withColumns(totals)
+    return drop_changes(add_reference_ratios(df, list(totals), bins(24, interval, 4), keys, high=["_t_lying"]))
 
 
 def family_weights(active: Sequence[str]) -> dict[str, float]:
@@ -58,20 +69,10 @@ def family_weights(active: Sequence[str]) -> dict[str, float]:
     return {f: FAMILY_WEIGHTS[f] / total if f in chosen else 0.0 for f in FAMILY_WEIGHTS}
 
 
-def add_drop_alerts(
-    df: DataFrame,
-    interval: str,
-    cfg,
-    keys: Sequence[str] = S.ENTITY,
-    weights: dict | None = None,
-    persist: tuple[Sequence[int], Column | None] | None = None,
-    wait: Column | None = None,
+def drop_candidates(
+    df: DataFrame, interval: str, cfg, keys: Sequence[str] = S.ENTITY, weights: dict | None = None, future: str = "_future"
 ) -> DataFrame:
-    """Score, candidate, CUSUM, episode, start and notification from the family changes.
-
-    Thresholds and weights may be numbers or columns: with columns, one table
-    holding every (entity, configuration) is a whole sweep in one job.
-    """
+    """Score, agreeing families, candidate bins and their evidence."""
     weights = weights or family_weights(cfg.active_families)
     w = {f: x if isinstance(x, Column) else F.lit(x) for f, x in weights.items()}
     change = {f: F.col(f"warning_change_{f}") for f in w}
@@ -80,7 +81,7 @@ def add_drop_alerts(
     activity = [F.when(w[f] > 0, F.col(f"warning_ratio_{f}")) for f in w if f != "posture"]
     df = df.withColumns(
         {
-            "_score": reduce(lambda a, b: a + b, [w[f] * F.coalesce(change[f], F.lit(0.0)) for f in w]),
+            "behavioral_warning_score": reduce(lambda a, b: a + b, [w[f] * F.coalesce(change[f], F.lit(0.0)) for f in w]),
             "_activity": row_mean(*activity),
             "behavioral_warning_families": reduce(lambda a, b: a + b, hits.values()),
             "_core": F.greatest(hits["steps"], hits["motion"], flag(w["steps"] + w["motion"] == 0)),
@@ -91,24 +92,46 @@ def add_drop_alerts(
         {
             "_drop": F.coalesce(clip(lag - F.col("_activity"), 0, 1), F.lit(0.0)),
             "behavioral_warning_candidate": flag(
-                (F.col("_score") >= cfg.score_threshold)
+                (F.col("behavioral_warning_score") >= cfg.score_threshold)
                 & (F.col("behavioral_warning_families") >= cfg.min_families)
                 & (F.col("_core") == 1)
                 & covered(df, cfg.coverage_min_pct)
-                & F.col("_future")
+                & F.col(future)
             ),
         }
     )
-    on = F.col("behavioral_warning_candidate") == 1
-    df = df.withColumn("_evidence", F.when(on, F.col("_score") + PROGRESSIVE_WEIGHT * F.col("_drop")).otherwise(0.0))
-    df = S.add_cusum(df, "_evidence", cfg.cusum_drift, "behavioral_warning_cusum", keys)
+    evidence = F.col("behavioral_warning_score") + PROGRESSIVE_WEIGHT * F.col("_drop")
+    return df.withColumns(
+        {
+            "_ev_behavioral_warning": F.when(F.col("behavioral_warning_candidate") == 1, evidence).otherwise(0.0),
+            "behavioral_warning_score": clip(F.col("behavioral_warning_score"), 0, 1),
+            "behavioral_warning_scope": F.lit(SCOPE),
+        }
+    ).drop("_activity", "_core", "_drop")
+
+
+def drop_stream(interval: str, cfg, persist=None, wait=None) -> AlertStream:
     lengths, length = persist or ([bins(cfg.persistence_hours, interval, 2)], None)
-    df = add_episode(df, "behavioral_warning", lengths, PERSISTENCE_SHARE, cfg.cusum_threshold, keys, length)
     pause = bins(cfg.cooldown_hours, interval, 1) if wait is None else wait
-    df = S.add_cooldown(df, "behavioral_warning_start", pause, "behavioral_warning_notification", keys)
-    return df.withColumns(
-        {"behavioral_warning_score": clip(F.col("_score"), 0, 1), "behavioral_warning_scope": F.lit(SCOPE)}
-    ).drop("_score", "_activity", "_core", "_drop", "_evidence")
+    return AlertStream("behavioral_warning", cfg.cusum_drift, cfg.cusum_threshold, PERSISTENCE_SHARE, lengths, length, pause)
+
+
+def add_drop_alerts(
+    df: DataFrame,
+    interval: str,
+    cfg,
+    keys: Sequence[str] = S.ENTITY,
+    weights: dict | None = None,
+    persist: tuple[Sequence[int], Column | None] | None = None,
+    wait: Column | None = None,
+) -> DataFrame:
+    """Score, candidate, CUSUM, episode, start and notification from the family changes.
+
+    Thresholds and weights may be numbers or columns: with columns, one table
+    holding every (entity, configuration) is a whole sweep in one job.
+    """
+    df = drop_candidates(df, interval, cfg, keys, weights)
+    return finish_alerts(df, [drop_stream(interval, cfg, persist, wait)], keys)
 
 
 def covered(df: DataFrame, least: float):
@@ -117,17 +140,39 @@ def covered(df: DataFrame, least: float):
     return F.coalesce(F.col("coverage_pct"), F.lit(0.0)) >= least
 
 
-def add_episode(
-    df: DataFrame, prefix: str, lengths: Sequence[int], share: float, level, keys: Sequence[str], length: Column | None = None
-) -> DataFrame:
-    """Episode = enough candidates among exactly the last ``k`` bins, and a high CUSUM."""
-    def rate(k: int) -> Column:
+@dataclass(frozen=True)
+class AlertStream:
+    """How candidates of one branch (``<prefix>_candidate``, ``_ev_<prefix>``) become notifications."""
+
+    prefix: str
+    drift: float | Column
+    level: float | Column
+    share: float
+    lengths: Sequence[int]
+    length: Column | None
+    wait: int | Column
+
+
+def finish_alerts(df: DataFrame, streams: Sequence[AlertStream], keys: Sequence[str]) -> DataFrame:
+    """CUSUM, episode, start and notification of every stream; the streams share their windows.
+
+    Episode: enough candidates among exactly the last ``k`` bins, and a high CUSUM.
+    """
+    def rate(prefix: str, k: int) -> Column:
         w = S.trailing(k, keys)
         return F.when(F.count(F.lit(1)).over(w) == k, F.avg(f"{prefix}_candidate").over(w))
 
-    df = df.withColumn("_rate", choose(length, {k: rate(k) for k in lengths}))
-    df = df.withColumn(f"{prefix}_episode", flag((F.col("_rate") >= share) & (F.col(f"{prefix}_cusum") >= level)))
-    return df.withColumn(f"{prefix}_start", S.rising(f"{prefix}_episode", keys)).drop("_rate")
+    df = S.add_cusums(df, [(f"_ev_{a.prefix}", a.drift, f"{a.prefix}_cusum") for a in streams], keys)
+    df = df.withColumns({f"_rate_{a.prefix}": choose(a.length, {k: rate(a.prefix, k) for k in a.lengths}) for a in streams})
+    df = df.withColumns(
+        {
+            f"{a.prefix}_episode": flag((F.col(f"_rate_{a.prefix}") >= a.share) & (F.col(f"{a.prefix}_cusum") >= a.level))
+            for a in streams
+        }
+    )
+    df = df.withColumns({f"{a.prefix}_start": S.rising(f"{a.prefix}_episode", keys) for a in streams})
+    df = S.add_cooldowns(df, [(f"{a.prefix}_start", a.wait, f"{a.prefix}_notification") for a in streams], keys)
+    return df.drop(*[f"_{x}_{a.prefix}" for x in ("ev", "rate") for a in streams])
 
 
 def hypo_branch(

@@ -12,7 +12,7 @@ from sensorwatch.config import InstabilityConfig, bins
 from sensorwatch.functions import series as S
 from sensorwatch.functions.scalars import at_least, clip, denominator_floor, flag, safe_div
 from sensorwatch.operators.baseline import add_reference_masks, add_reference_ratios
-from sensorwatch.operators.hypo import add_episode, covered
+from sensorwatch.operators.hypo import AlertStream, covered, finish_alerts
 
 # Fixed values of the score.
 FAMILY_WEIGHTS = {"restless_motion": 0.35, "transition_density": 0.30, "fragmentation": 0.20, "posture_volatility": 0.15}
@@ -27,19 +27,23 @@ def _sum(df: DataFrame, signal: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("double")
 
 
-def add_densities(df: DataFrame, n: int, keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """Motion per step, transitions per step and per posture minute, and posture volatility."""
+def add_densities(df: DataFrame, n: int, keys: Sequence[str] = S.ENTITY, more: dict | None = None) -> DataFrame:
+    """Motion per step, transitions per step and per posture minute, and posture volatility.
+
+    ``more`` are further columns to compute in the same first pass.
+    """
     w = S.whole(keys)
     posture = _sum(df, "lying") + _sum(df, "standing")
     df = df.withColumns(
-        {f"_t_{s}": S.rolling_total(_sum(df, s), n, keys) for s in MOVEMENTS}
+        {f"_i_{s}": S.rolling_total(_sum(df, s), n, keys) for s in MOVEMENTS}
         | {
-            "_t_posture": S.rolling_total(posture, n, keys),
+            "_i_posture": S.rolling_total(posture, n, keys),
             "_lying_share": clip(F.when(posture > 0, safe_div(_sum(df, "lying"), posture)), 0, 1),
         }
+        | (more or {})
     )
     floors = {
-        f"_floor_{s}": denominator_floor(S.median_where(F.col(f"_t_{s}") > 0, F.col(f"_t_{s}"), w))
+        f"_floor_{s}": denominator_floor(S.median_where(F.col(f"_i_{s}") > 0, F.col(f"_i_{s}"), w))
         for s in ("steps", "posture")
     }
     df = df.withColumns(floors).withColumn(
@@ -47,40 +51,35 @@ def add_densities(df: DataFrame, n: int, keys: Sequence[str] = S.ENTITY) -> Data
     )
 
     def per(a: str, b: str):
-        return F.col(f"_t_{a}") / at_least(F.col(f"_t_{b}"), F.col(f"_floor_{b}"))
+        return F.col(f"_i_{a}") / at_least(F.col(f"_i_{b}"), F.col(f"_floor_{b}"))
 
     return df.withColumns(
         {
-            "_t_restless_motion": per("motion", "steps"),
-            "_t_transition_density": per("transitions", "steps"),
-            "_t_fragmentation": per("transitions", "posture"),
-            "_t_posture_volatility": S.rolling_mean(F.col("_swing"), n, max(4, n // 2), keys),
+            "_i_restless_motion": per("motion", "steps"),
+            "_i_transition_density": per("transitions", "steps"),
+            "_i_fragmentation": per("transitions", "posture"),
+            "_i_posture_volatility": S.rolling_mean(F.col("_swing"), n, max(4, n // 2), keys),
         }
-    ).drop("_t_posture", "_lying_share", "_swing", *floors)
+    ).drop("_i_posture", "_lying_share", "_swing", *floors)
 
 
-def instability_branch(
-    df: DataFrame, interval: str, cfg: InstabilityConfig = InstabilityConfig(), keys: Sequence[str] = S.ENTITY
-) -> DataFrame:
-    """Add the instability columns to an interval table."""
-    df = add_reference_masks(df, only_if_missing=True, keys=keys)
-    df = add_densities(df, bins(cfg.aggregation_hours, interval, 4), keys)
-    names = [*MOVEMENTS, *FAMILY_WEIGHTS]
-    df = add_reference_ratios(df, [f"_t_{x}" for x in names], bins(24, interval, 4), keys)
-    df = df.withColumns({f"instability_ratio_{x}": F.col(f"_ratio__t_{x}") for x in names})
-    df = df.drop(*[f"_t_{x}" for x in names], *[f"_ratio__t_{x}" for x in names])
-    df = df.withColumns(
-        {f"instability_change_{f}": clip(F.col(f"instability_ratio_{f}") - 1.0, 0, EXCESS_CAP) for f in FAMILY_WEIGHTS}
-        | {f"_up_{s}": clip(F.col(f"instability_ratio_{s}") - 1.0, 0) for s in ("steps", "motion")}
-    )
-    hit = {
-        f: flag(F.col(f"instability_change_{f}") >= getattr(cfg, f"{f}_min_change")) for f in FAMILY_WEIGHTS
-    }
+NAMES = (*MOVEMENTS, *FAMILY_WEIGHTS)
+MEASURES = tuple(f"_i_{x}" for x in NAMES)
+
+
+def instability_candidates(df: DataFrame, cfg: InstabilityConfig, future: str = "_future") -> DataFrame:
+    """Excesses, score, agreeing families, the coordinated-activity veto, candidates and evidence."""
+    gone = {*MEASURES, *[f"_ratio_{m}" for m in MEASURES]}
+    df = df.selectExpr(*[f"`{c}`" for c in df.columns if c not in gone], *[f"_ratio__i_{x} AS instability_ratio_{x}" for x in NAMES])
+    over = lambda x, cap: f"CASE WHEN instability_ratio_{x} - 1D < 0D THEN 0D {cap} ELSE instability_ratio_{x} - 1D END"
+    capped = lambda x: over(x, f"WHEN instability_ratio_{x} - 1D > {EXCESS_CAP}D THEN {EXCESS_CAP}D")
+    df = df.selectExpr("*", *[f"{capped(f)} AS instability_change_{f}" for f in FAMILY_WEIGHTS], *[f"{over(m, '')} AS _up_{m}" for m in ("steps", "motion")])
+    hit = {f: flag(F.col(f"instability_change_{f}") >= getattr(cfg, f"{f}_min_change")) for f in FAMILY_WEIGHTS}
     score = reduce(
         lambda a, b: a + b,
         [F.lit(w) * F.coalesce(F.col(f"instability_change_{f}"), F.lit(0.0)) for f, w in FAMILY_WEIGHTS.items()],
     )
-    df = df.withColumns({"_score": score} | {f"_hit_{f}": h for f, h in hit.items()})
+    df = df.withColumns({"instability_warning_score": score} | {f"_hit_{f}": h for f, h in hit.items()})
     h = {f: F.col(f"_hit_{f}") for f in FAMILY_WEIGHTS}
     least = cfg.coordinated_activity_min_change
     df = df.withColumns(
@@ -98,25 +97,38 @@ def instability_branch(
     df = df.withColumn(
         "instability_warning_candidate",
         flag(
-            (F.col("_score") >= cfg.score_threshold)
+            (F.col("instability_warning_score") >= cfg.score_threshold)
             & (F.col("instability_warning_families") >= cfg.min_families)
             & (h["restless_motion"] == 1)
             & (F.greatest(h["transition_density"], h["fragmentation"], h["posture_volatility"]) == 1)
             & (F.col("instability_coordinated_activity") == 0)
             & covered(df, cfg.coverage_min_pct)
-            & F.col("_future")
+            & F.col(future)
         ),
     )
-    df = df.withColumn(
-        "_evidence", F.when(F.col("instability_warning_candidate") == 1, F.col("_score")).otherwise(0.0)
-    )
-    df = S.add_cusum(df, "_evidence", cfg.cusum_drift, "instability_warning_cusum", keys)
-    df = add_episode(
-        df, "instability_warning", [bins(cfg.persistence_hours, interval, 2)], PERSISTENCE_SHARE, cfg.cusum_threshold, keys
-    )
-    df = S.add_cooldown(
-        df, "instability_warning_start", bins(cfg.cooldown_hours, interval, 1), "instability_warning_notification", keys
-    )
+    on = F.col("instability_warning_candidate") == 1
     return df.withColumns(
-        {"instability_warning_score": clip(F.col("_score"), 0, 1), "instability_warning_scope": F.lit(SCOPE)}
-    ).drop("_score", "_evidence", "_base", "_future", "_up_steps", "_up_motion", *[f"_hit_{f}" for f in h])
+        {
+            "_ev_instability_warning": F.when(on, F.col("instability_warning_score")).otherwise(0.0),
+            "instability_warning_score": clip(F.col("instability_warning_score"), 0, 1),
+            "instability_warning_scope": F.lit(SCOPE),
+        }
+    ).drop("_up_steps", "_up_motion", *[f"_hit_{f}" for f in h])
+
+
+def instability_stream(interval: str, cfg: InstabilityConfig) -> AlertStream:
+    return AlertStream(
+        "instability_warning", cfg.cusum_drift, cfg.cusum_threshold, PERSISTENCE_SHARE,
+        [bins(cfg.persistence_hours, interval, 2)], None, bins(cfg.cooldown_hours, interval, 1),
+    )
+
+
+def instability_branch(
+    df: DataFrame, interval: str, cfg: InstabilityConfig = InstabilityConfig(), keys: Sequence[str] = S.ENTITY
+) -> DataFrame:
+    """Add the instability columns to an interval table."""
+    df = add_reference_masks(df, only_if_missing=True, keys=keys)
+    df = add_densities(df, bins(cfg.aggregation_hours, interval, 4), keys)
+    df = add_reference_ratios(df, MEASURES, bins(24, interval, 4), keys)
+    df = instability_candidates(df, cfg)
+    return finish_alerts(df, [instability_stream(interval, cfg)], keys).drop("_base", "_future")

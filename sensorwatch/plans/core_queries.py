@@ -442,7 +442,7 @@ def _(spark, d):
 def _(spark, d):
     g = I.add_densities(T.interval_table(spark, d), 4)
     names = list(I.FAMILY_WEIGHTS)
-    return tidy(g.withColumnsRenamed({f"_t_{x}": x for x in names}), "entity", "bin", *names)
+    return tidy(g.withColumnsRenamed({f"_i_{x}": x for x in names}), "entity", "bin", *names)
 
 
 @query("w11_family_presence")

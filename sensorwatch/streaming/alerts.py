@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from sensorwatch.config import SIGNALS, HypoConfig, bins, interval_minutes
 from sensorwatch.functions import series as S
-from sensorwatch.operators.baseline import add_expected, add_reference_masks, slot_of_day
+from sensorwatch.operators.baseline import add_expected, add_reference_masks
+from sensorwatch.operators.grid import slot_of_day
 from sensorwatch.operators.hypo import PERSISTENCE_SHARE, PROGRESSIVE_HOURS, PROGRESSIVE_WEIGHT, family_weights
 
 
