@@ -32,11 +32,6 @@ def denominator_floor(typical: Column) -> Column:
     return F.when(typical.isNotNull(), F.greatest(F.lit(1e-6), typical * 0.05)).otherwise(F.lit(1.0))
 
 
-def bounded_ratio(num: Column, den: Column, floor: Column) -> Column:
-    """``num/den`` with the denominator held above ``floor``, kept within [0, 3]."""
-    return clip(num / at_least(den, floor), 0.0, 3.0)
-
-
 def row_mean(*cols: Column) -> Column:
     """Mean across columns of one row, ignoring missing values."""
     total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cols])
@@ -49,19 +44,6 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
-def sorted_quantile(ordered: Column, q: float) -> Column:
-    """Linearly interpolated quantile of an already sorted array column."""
-    pos = (F.size(ordered) - 1) * F.lit(float(q))
-    low = F.floor(pos).cast("int")
-    base = F.get(ordered, low)
-    return base + (F.coalesce(F.get(ordered, low + 1), base) - base) * (pos - low)
-
-
-def weighted_sum(weights: dict[str, float], prefix: str = "") -> Column:
-    terms = [F.lit(w) * F.coalesce(F.col(prefix + name), F.lit(0.0)) for name, w in weights.items()]
-    return reduce(lambda a, b: a + b, terms)
-
-
 def stable_seed(key: Column) -> Column:
     """Unsigned 32-bit seed from the first four bytes of a key's sha-256."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.config import interval_minutes
 from sensorwatch.functions import series as S
-from sensorwatch.functions.scalars import safe_div, sorted_quantile
 from sensorwatch.operators import grid as G
 
 # Fixed values of the robust scale estimates.
@@ -26,88 +26,101 @@ def base_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.endswith(("_sum", "_mean", "_sum_log", "_mean_log"))]
 
 
-def add_global_z(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """``<col>_rz``: deviation from the entity median in MAD units (IQR, then std as fallbacks)."""
-    w = S.whole(keys)
-    step = {}
-    for c in cols:
-        x = F.col(c)
-        step[f"_q_{c}"] = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-        step[f"_s_{c}"] = F.stddev_pop(x).over(w)
-        step[f"_n_{c}"] = F.count(x).over(w)
-    df = df.withColumns(step)
-    df = df.withColumns(
-        {f"_mad_{c}": F.percentile(F.abs(F.col(c) - F.col(f"_q_{c}")[1]), F.lit(0.5)).over(w) for c in cols}
-    )
-    out = {}
-    for c in cols:
-        quart = F.col(f"_q_{c}")
-        mad, iqr, std = F.col(f"_mad_{c}") * MAD_TO_SIGMA, quart[2] - quart[0], F.col(f"_s_{c}")
-        scale = (
-            F.when(mad >= TINY, mad)
-            .when((F.col(f"_n_{c}") >= 5) & (iqr > TINY), iqr / IQR_TO_SIGMA)
-            .when(std > TINY, std)
-            .otherwise(F.lit(1.0))
-        )
-        out[f"{c}_rz"] = F.coalesce((F.col(c) - quart[1]) / scale, F.lit(0.0))
-    return df.withColumns(out).drop(*step, *[f"_mad_{c}" for c in cols])
+# A feature family is a list of layers, each a list of "expression AS name"
+# texts that only need the layers before. Families are run side by side, so
+# expressions of one layer share their windows.
 
 
-def add_rolling_z(df: DataFrame, cols: Sequence[str], window: int, keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """``<col>_rrz``: the same idea against the trailing window only.
+def run_layers(df: DataFrame, families: Sequence[list[list[str]]]) -> DataFrame:
+    """Add the layers of all families; only names without a leading underscore are kept."""
+    kept = list(df.columns)
+    for layer in zip_longest(*families, fillvalue=[]):
+        exprs = [e for part in layer for e in part]
+        if exprs:
+            df = df.selectExpr("*", *exprs)
+    return df.select(*kept, *[c for c in df.columns if c not in set(kept) and not c.startswith("_")])
+
+
+def _over(keys: Sequence[str], n: int | None = None, order: bool = True) -> str:
+    rows = f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW" if n else ""
+    return f"OVER (PARTITION BY {', '.join(keys)}{' ORDER BY bin' if order else ''}{rows})"
+
+
+def _quantile(a: str, q: float) -> str:
+    """Linearly interpolated quantile of a sorted array."""
+    at = f"{q}D * (size({a}) - 1)"
+    low = f"CAST(floor({at}) AS INT)"
+    base = f"get({a}, {low})"
+    return f"({base} + (coalesce(get({a}, {low} + 1), {base}) - {base}) * ({at} - {low}))"
+
+
+def rolling_z_layers(cols: Sequence[str], window: int, keys: Sequence[str]) -> list[list[str]]:
+    """``<col>_rrz``: deviation from the trailing window's median in MAD units (IQR, then std as fallbacks).
 
     The window's values arrive once per column as a sorted array, from which all
     three quartiles are read; a sliding ``percentile`` would rebuild its
     histogram three times per row.
     """
-    w = S.trailing(window, keys)
-    enough = max(5, window // 4)
-    df = df.withColumns(
-        {f"_a_{c}": F.sort_array(F.collect_list(c).over(w)) for c in cols}
-        | {f"_s_{c}": F.stddev_samp(c).over(w) for c in cols}
-    )
-    quant = {}
+    w, enough = _over(keys, window), max(5, window // 4)
+    first, second, third, fourth, last = [], [], [], [], []
     for c in cols:
-        ready = F.size(f"_a_{c}") >= enough
-        quant[f"_med_{c}"] = F.when(ready, sorted_quantile(F.col(f"_a_{c}"), 0.5))
-        quant[f"_iqr_{c}"] = F.when(
-            ready, sorted_quantile(F.col(f"_a_{c}"), 0.75) - sorted_quantile(F.col(f"_a_{c}"), 0.25)
+        ready = f"CASE WHEN size(_a_{c}) >= {enough} THEN"
+        first += [f"sort_array(collect_list({c}) {w}) AS _a_{c}", f"stddev_samp({c}) {w} AS _sd_{c}"]
+        second += [
+            f"{ready} {_quantile(f'_a_{c}', 0.5)} END AS _med_{c}",
+            f"{ready} ({_quantile(f'_a_{c}', 0.75)} - {_quantile(f'_a_{c}', 0.25)}) / {IQR_TO_SIGMA}D END AS _iqr_{c}",
+        ]
+        third.append(f"sort_array(collect_list(abs({c} - _med_{c})) {w}) AS _b_{c}")
+        fourth.append(f"CASE WHEN size(_b_{c}) >= {enough} THEN {_quantile(f'_b_{c}', 0.5)} * {MAD_TO_SIGMA}D END AS _mad_{c}")
+        dev = f"({c} - _med_{c})"
+        last.append(
+            f"coalesce(CASE WHEN _mad_{c} >= {TINY}D THEN {dev} / _mad_{c} ELSE {dev} / nullif(_iqr_{c}, 0D) END, "
+            f"CASE WHEN size(_a_{c}) >= {enough} THEN {dev} / nullif(_sd_{c}, 0D) END, 0D) AS {c}_rrz"
         )
-        quant[f"_s_{c}"] = F.when(ready, F.col(f"_s_{c}"))
-    df = df.withColumns(quant).drop(*[f"_a_{c}" for c in cols])
-    df = df.withColumns({f"_d_{c}": F.abs(F.col(c) - F.col(f"_med_{c}")) for c in cols})
-    df = df.withColumns({f"_b_{c}": F.sort_array(F.collect_list(f"_d_{c}").over(w)) for c in cols})
-    df = df.withColumns(
-        {
-            f"_mad_{c}": F.when(F.size(f"_b_{c}") >= enough, sorted_quantile(F.col(f"_b_{c}"), 0.5) * MAD_TO_SIGMA)
-            for c in cols
-        }
-    )
-    out = {}
+    return [first, second, third, fourth, last]
+
+
+def global_z_layers(cols: Sequence[str], keys: Sequence[str]) -> list[list[str]]:
+    """``<col>_rz``: deviation from the entity median in MAD units (IQR, then std as fallbacks)."""
+    w = _over(keys, order=False)
+    first, third, last = [], [], []
     for c in cols:
-        dev, mad = F.col(c) - F.col(f"_med_{c}"), F.col(f"_mad_{c}")
-        out[f"{c}_rrz"] = F.coalesce(
-            F.when(mad >= TINY, dev / mad).otherwise(safe_div(dev, F.col(f"_iqr_{c}") / IQR_TO_SIGMA)),
-            safe_div(dev, F.col(f"_s_{c}")),
-            F.lit(0.0),
+        first += [
+            f"percentile({c}, array(0.25D, 0.5D, 0.75D)) {w} AS _q_{c}",
+            f"stddev_pop({c}) {w} AS _sp_{c}", f"count({c}) {w} AS _n_{c}",
+        ]
+        third.append(f"percentile(abs({c} - _q_{c}[1]), 0.5D) {w} * {MAD_TO_SIGMA}D AS _gm_{c}")
+        iqr = f"(_q_{c}[2] - _q_{c}[0])"
+        scale = (
+            f"CASE WHEN _gm_{c} >= {TINY}D THEN _gm_{c} WHEN _n_{c} >= 5 AND {iqr} > {TINY}D THEN {iqr} / {IQR_TO_SIGMA}D "
+            f"WHEN _sp_{c} > {TINY}D THEN _sp_{c} ELSE 1D END"
         )
-    scratch = [f"_{p}_{c}" for p in ("s", "med", "iqr", "d", "b", "mad") for c in cols]
-    return df.withColumns(out).drop(*scratch)
+        last.append(f"coalesce(({c} - _q_{c}[1]) / ({scale}), 0D) AS {c}_rz")
+    return [first, [], third, [], last]
 
 
-def add_differences(df: DataFrame, cols: Sequence[str], interval: str, keys: Sequence[str] = S.ENTITY) -> DataFrame:
+def difference_layers(cols: Sequence[str], interval: str, keys: Sequence[str]) -> list[list[str]]:
     """First difference (also per hour), 7-bin mean and the deviation from it."""
-    hours = interval_minutes(interval) / 60.0
-    w = S.ordered(keys)
-    step = {}
-    for c in cols:
-        step[f"{c}_d1"] = F.col(c) - F.lag(c).over(w)
-        step[f"{c}_mm7"] = S.rolling_mean(F.col(c), 7, 3, keys)
-    df = df.withColumns(step)
-    return df.withColumns(
-        {f"{c}_d1_per_hour": F.col(f"{c}_d1") / hours for c in cols}
-        | {f"{c}_vs_mm7": F.col(c) - F.col(f"{c}_mm7") for c in cols}
-    )
+    hours, w, e = interval_minutes(interval) / 60.0, _over(keys, 7), _over(keys)
+    first = [
+        x
+        for c in cols
+        for x in (f"{c} - lag({c}) {e} AS {c}_d1", f"CASE WHEN count({c}) {w} >= 3 THEN avg({c}) {w} END AS {c}_mm7")
+    ]
+    last = [x for c in cols for x in (f"{c}_d1 / {hours}D AS {c}_d1_per_hour", f"{c} - {c}_mm7 AS {c}_vs_mm7")]
+    return [first, [], [], [], last]
+
+
+def add_global_z(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = S.ENTITY) -> DataFrame:
+    return run_layers(df, [global_z_layers(cols, keys)])
+
+
+def add_rolling_z(df: DataFrame, cols: Sequence[str], window: int, keys: Sequence[str] = S.ENTITY) -> DataFrame:
+    return run_layers(df, [rolling_z_layers(cols, window, keys)])
+
+
+def add_differences(df: DataFrame, cols: Sequence[str], interval: str, keys: Sequence[str] = S.ENTITY) -> DataFrame:
+    return run_layers(df, [difference_layers(cols, interval, keys)])
 
 
 def add_log_levels(df: DataFrame) -> DataFrame:
@@ -122,7 +135,7 @@ def interval_features(
     df = G.add_coverage(add_log_levels(G.regular_grid(raw, interval, keys)), keys)
     cols = base_columns(df)
     if cols:
-        df = add_rolling_z(df, cols, window, keys)
-        df = add_differences(df, cols, interval, keys)
-        df = add_global_z(df, cols, keys)
+        df = run_layers(
+            df, [rolling_z_layers(cols, window, keys), difference_layers(cols, interval, keys), global_z_layers(cols, keys)]
+        )
     return G.add_calendar(df)
