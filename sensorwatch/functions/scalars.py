@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,9 @@ def flag(cond: Column) -> Column:
 def stable_seed(key: Column) -> Column:
     """Unsigned 32-bit seed from the first four bytes of a key's sha-256."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
+
+
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery (more than one row is an error)."""
+    value = row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", value).select(*[f"`{c}`" for c in df.columns], "_row.*")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorwatch.functions.scalars import safe_div
+from sensorwatch.functions.scalars import attach, safe_div
 from sensorwatch.sources.readings import keep_first
 
 RATES = ("detected_any_overlap", "episode_overlap", "detected_iou20", "best_iou")
@@ -110,7 +110,7 @@ def config_summary(events: DataFrame, by: Sequence[str] = ("config",)) -> DataFr
 def with_reference_deltas(summary: DataFrame, metrics: Sequence[str], key: str = "config", name: str = "reference") -> DataFrame:
     """Difference of every configuration to the reference row (which is one row)."""
     ref = summary.where(F.col(key) == name).select(*[F.col(m).alias(f"_{m}") for m in metrics])
-    out = summary.join(F.broadcast(ref))
+    out = attach(summary, ref)
     return out.withColumns({f"delta_{m}_vs_reference": F.col(m) - F.col(f"_{m}") for m in metrics}).drop(*[f"_{m}" for m in metrics])
 
 
@@ -183,7 +183,7 @@ def branch_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         mean_if("hybrid_detected_iou20", act).alias("actionable_iou20"),
         F.percentile(F.when(act, F.col("hybrid_onset_delay_hours")), F.lit(0.5)).alias("actionable_delay_h_median"),
     )
-    joined = main.join(back, list(by)) if by else main.join(F.broadcast(back))  # one row each
+    joined = main.join(back, list(by)) if by else attach(main, back)
     return utility(joined)
 
 
@@ -225,7 +225,7 @@ def protocol_checks(events: DataFrame, scenarios: Sequence[str]) -> DataFrame:
         F.array_sort(F.collect_set("scenario")).alias("scenarios"),  # at most the catalogue's names
         F.sum(1 - F.col("informative_source_window").cast("int")).alias("blind"),
     )
-    row = one.join(F.broadcast(ids)).join(F.broadcast(win))  # one row each
+    row = attach(attach(one, ids), win)
     text = lambda label, c: F.concat(F.lit(f"{label}="), F.coalesce(F.col(c), F.lit(0)).cast("string"))
     some = F.col("n") > 0
     checks = [
@@ -399,7 +399,7 @@ def injectability(raw: DataFrame) -> DataFrame:
         *[F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias(f"sd_{s}") for s in all_],
     )
     top = g.agg(F.max("series_bins").alias("_b"), F.max("span_days").alias("_s"), F.percentile("series_bins", F.lit(0.6)).alias("_p60"))
-    g = g.join(F.broadcast(top))  # one row
+    g = attach(g, top)
     mean = lambda cols: reduce(lambda x, y: x + y, cols) / len(cols)
     alive = mean([F.col(f"nz_{s}") for s in core])
     moving = mean([(F.col(f"sd_{s}") > 0).cast("double") for s in core])

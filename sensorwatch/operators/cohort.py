@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorwatch.functions.scalars import attach
+
 # Fixed values of the admission rules.
 WINDOW_DAYS, MIN_BASELINE_DAYS, MIN_COVERAGE = 7, 20, 0.70
 
@@ -105,7 +107,7 @@ def timing_stats(runs: DataFrame, by: Sequence[str], seconds: str, rows: str) ->
         F.percentile(seconds, F.lit(0.5)).alias("median"), F.stddev_pop(seconds).alias("std"), F.min(seconds).alias("min"), F.max(seconds).alias("max"),
     )
     full = g.agg(F.max_by(F.struct("n_rows", "median"), F.struct("n_rows", *by)).alias("_f"))
-    return g.join(F.broadcast(full)).withColumns(  # one row
+    return attach(g, full).withColumns(
         {
             "seconds_per_1000_rows": F.col("median") / F.greatest(F.col("n_rows"), F.lit(1)) * 1000.0,
             "rows_ratio_vs_full": F.col("n_rows") / F.col("_f.n_rows"),

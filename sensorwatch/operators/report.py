@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorwatch.functions.scalars import attach
+
 # Summary metric -> summed column.
 SUMMARY = {
     "if_anomaly_points": "if_anomaly_point",
@@ -83,7 +85,7 @@ def entity_days(pred: DataFrame) -> DataFrame:
     )
     g = g.withColumn("severity_raw", raw)
     worst = g.agg(F.max("severity_raw").alias("_worst"))
-    return g.join(F.broadcast(worst)).withColumn(  # one row
+    return attach(g, worst).withColumn(
         "severity", F.when(F.col("_worst") > 0, F.col("severity_raw") / F.col("_worst")).otherwise(F.col("severity_raw"))
     ).drop("_worst")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorwatch.functions.scalars import stable_seed
+from sensorwatch.functions.scalars import attach, stable_seed
 from sensorwatch.sources.readings import shared_folder
 
 EXACT_MAX = 20  # 2^20 sign patterns; larger samples use the normal approximation
@@ -301,7 +301,7 @@ def bootstrap_ci(units: DataFrame, num: str, den: str, n_boot: int, seed: int, u
     )
     ci = boot.agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"), F.count("_m").alias("n_boot"))
     point = numbered.agg((F.sum("_num") / F.sum("_den")).alias("value"), F.count(F.lit(1)).alias("n_groups"))
-    return point.join(F.broadcast(ci))  # one row each
+    return attach(point, ci)
 
 
 def autocorrelation(series: DataFrame, value: str, max_lag: int, least_pairs: int = 30, keys: Sequence[str] = ("entity",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorwatch.config import HypoConfig, InstabilityConfig, bins
 from sensorwatch.functions import series as S
+from sensorwatch.functions.scalars import attach
 from sensorwatch.operators import hypo as H
 from sensorwatch.operators.baseline import add_reference_masks
 
@@ -127,6 +128,6 @@ def calibration_factors(background: DataFrame, low: float = 0.6, high: float = 1
     """
     mid = background.agg(F.percentile("baseline_std", F.lit(0.5)).alias("_mid"))
     raw = F.col("baseline_std") / F.nullif(F.col("_mid"), F.lit(0.0))
-    return background.join(F.broadcast(mid)).withColumn(  # one row
+    return attach(background, mid).withColumn(
         "factor", F.least(F.greatest(F.coalesce(raw, F.lit(1.0)), F.lit(low)), F.lit(high))
     ).drop("_mid")
