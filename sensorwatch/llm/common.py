@@ -42,14 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
-    """One Arrow pass; ``fn`` turns a batch into column arrays (or a whole batch)."""
-    names = [f.name for f in StructType.fromDDL(schema).fields]
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str | StructType, rows: int = 512) -> DataFrame:
+    """One Arrow pass; ``fn`` turns up to ``rows`` rows at a time into column arrays."""
+    names = schema.fieldNames() if isinstance(schema, StructType) else StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(out, names=names)
+            for low in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays(fn(batch.slice(low, rows)), names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -63,12 +63,6 @@ def python_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def safe_copy(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
-    """The rows under prefixed column names, so that no input column can clash with an added one."""
-    names = {f"{prefix}{i}": c for i, c in enumerate(df.columns)}
-    return df.toDF(*names), names
-
-
 # ---------------------------------------------------------------- words in numpy
 
 _rng = np.random.default_rng(20240229)

@@ -251,7 +251,7 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
     reps = C.written(reps.withColumn("rep", F.xxhash64("set_key")), "classes")
     sketches = reps.select("rep", "n", F.expr(f"unhex(regexp_replace(hex(substring(sig, 1, {4 * cfg.sketch})), '(..)......', '$1'))").alias("sketch"))
     depth = depth_for(reps.count())
-    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth), "path long, rep long")
+    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth), "path long, rep long", rows=2048)
     found = spark.createDataFrame([], "x binary, y binary")
     for level in range(cfg.deeper + 1):
         paths = C.written(paths, "paths")
@@ -281,7 +281,7 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
             labels = components(found)
         if not left or level == cfg.deeper:
             return labels
-        paths = C.map_arrow(large.select("path", "rep").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long")
+        paths = C.map_arrow(large.select("path", "rep").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long", rows=8192)
     raise AssertionError
 
 

@@ -7,12 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorwatch.llm import bpe as BP
 from sensorwatch.llm import common as C
+from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_weighted_fair_mix(spark: SparkSession, d: str) -> DataFrame:
+    rows = MX.mixed(C.table(spark, d, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH r AS (
+  SELECT doc_id, md5('mix:' || CASE WHEN doc_id IS NULL THEN '' ELSE doc_id::VARCHAR || ':' END || md5(coalesce(text, ''))) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s FROM documents),
+g AS (SELECT s, sum(size)::BIGINT AS source_size FROM r GROUP BY s),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::INT] AS w, sum(source_size) OVER () * 1.5 AS b FROM g),
+l AS (SELECT *, (2 * source_size)::DOUBLE / w AS level, (2 * source_size)::DOUBLE AS cap FROM w),
+o AS (SELECT *, (b - coalesce(sum(cap) OVER (ORDER BY level, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY level, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own FROM l),
+t AS (SELECT s, source_size, least(w * (SELECT coalesce(max(own) FILTER (WHERE own <= level), 0) FROM o), cap) AS target FROM o),
+q AS (SELECT doc_id, k, s, size, source_size, target,
+             sum(size) OVER (PARTITION BY s ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served,
+             row_number() OVER () AS id FROM r JOIN t USING (s)),
+p AS (SELECT *, (source_size * turn + served)::DOUBLE / target AS f FROM q, (VALUES (0), (1)) v(turn) WHERE target > 0),
+c AS (SELECT *, sum(size) OVER (ORDER BY f, s, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p),
+m AS (SELECT id, sum(size)::BIGINT AS taken FROM c WHERE upto <= (SELECT sum(target) FROM t) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN m USING (id)
+"""
+
+
+def op10_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows = BP.tokenised(C.table(spark, d, "documents").select("doc_id", "text"), vocabulary())
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op7_chosen_path_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = ND.near_duplicates(C.table(spark, d, "documents"), ND.NearDup(shingle=2, percent=80))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
@@ -35,6 +77,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES: dict[str, Query] = {
+    "op5_weighted_fair_mix": op5_weighted_fair_mix,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
     "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
 }
-CHECKS: dict[str, str] = {"op7_chosen_path_near_duplicates": OP7_SQL}
+CHECKS: dict[str, str] = {"op5_weighted_fair_mix": OP5_SQL, "op7_chosen_path_near_duplicates": OP7_SQL}
