@@ -67,17 +67,18 @@ class Pieces(dict):
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         vocabulary = whole["model"]["vocab"]
         shown = byte_characters()
         byte_of = {c: b for b, c in enumerate(shown)}
         self.first = [vocabulary[c] for c in shown]
-        self.pairs = {}
+        self.ranks, self.made = {}, []  # rank by (left << 32 | right), merged id by rank
         for rank, merge in enumerate(whole["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[vocabulary[left], vocabulary[right]] = (rank, vocabulary[left + right])
+            self.ranks[vocabulary[left] << 32 | vocabulary[right]] = rank
+            self.made.append(vocabulary[left + right])
         self.strings = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.strings |= {i: t.encode() for t, i in self.added.items()}
@@ -87,27 +88,32 @@ class Bpe:
         self.pieces = Pieces(self, kept)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: lowest rank first, the leftmost pair on ties."""
+        """Ids of one piece: lowest rank first, the leftmost pair on ties. Queue entries are rank << 32 | position."""
         ids = [self.first[b] for b in piece]
-        n, pairs = len(ids), self.pairs
+        n, rank_of = len(ids), self.ranks.get
         if n < 2:
             return ids
-        after, before = list(range(1, n)) + [-1], list(range(-1, n - 1))
-        queue = [(p[0], i, p[1]) for i in range(n - 1) if (p := pairs.get((ids[i], ids[i + 1])))]
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        if not queue:
+            return ids
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, made = heapq.heappop(queue)
+            top = pop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if ids[i] < 0 or j < 0 or (p := pairs.get((ids[i], ids[j]))) is None or p[1] != made:
+            if j < 0 or ids[i] < 0 or rank_of(ids[i] << 32 | ids[j]) != top >> 32:
                 continue  # stale: one side has been merged since
-            ids[i], ids[j] = made, -1
+            ids[i] = made = self.made[top >> 32]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if p := pairs.get((made, ids[k])):
-                    heapq.heappush(queue, (p[0], i, p[1]))
-            if (h := before[i]) >= 0 and (p := pairs.get((ids[h], made))):
-                heapq.heappush(queue, (p[0], h, p[1]))
+                if (r := rank_of(made << 32 | ids[k])) is not None:
+                    push(queue, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank_of(ids[h] << 32 | made)) is not None:
+                push(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def find(self, text: str) -> list[str]:
