@@ -74,6 +74,7 @@ _LOWER[65:91] += 32
 _LOWERED = _BYTE[_LOWER]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -98,10 +99,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive documents: hashes, byte spans and each document's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, prefix: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, prefixes: tuple[int, ...] = (), letters: bool = False):
+        """``letters``: every ASCII byte but letters and digits separates; ``prefixes``: also hash so many first bytes."""
         n = len(data)
         self.data, self.offsets = data, offsets
-        word = ~_IS_SPACE[data]
+        word = _IS_LETTER[data] if letters else ~_IS_SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -115,12 +117,17 @@ class Words:
         np.cumsum((_LOWERED if lower else _BYTE)[data] * _power("up", n), out=total[1:])
         back = _power("down", max(n, 1))
         self.hash = mix((total[self.end] - total[self.start]) * back[self.start]) if n else np.zeros(0, np.uint64)
-        if prefix:
-            stop = np.minimum(self.start + prefix, self.end)
-            self.prefix = mix((total[stop] - total[self.start]) * back[self.start]) if n else np.zeros(0, np.uint64)
+        stops = [np.minimum(self.start + p, self.end) for p in prefixes]
+        self.prefixes = [mix((total[s] - total[self.start]) * back[self.start]) if n else np.zeros(0, np.uint64) for s in stops]
         self.first = np.searchsorted(self.start, offsets)
 
 
+def word_hash(word: str) -> int:
+    """The hash that ``Words`` gives a single lower-case word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(Words(data, np.array([0, len(data)])).hash[0])
+
+
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts, about ``most`` bytes each (one text at least)."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorwatch.llm import bpe as BP
 from sensorwatch.llm import common as C
 from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
+from sensorwatch.llm import toxicity as TX
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def remainder(modulus: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+def op3_convolutional_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = C.table(spark, d, "documents").select("doc_id", "text")
+    model = TX.fit(docs, C.table(spark, d, "labels"), remainder(5) != 0)
+    rows = TX.scored(docs, model)
+    return rows.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "language")
+
+
 def op5_weighted_fair_mix(spark: SparkSession, d: str) -> DataFrame:
     rows = MX.mixed(C.table(spark, d, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +89,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_convolutional_toxicity": op3_convolutional_toxicity,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
