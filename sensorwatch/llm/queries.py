@@ -11,6 +11,7 @@ from sensorwatch.llm import bpe as BP
 from sensorwatch.llm import common as C
 from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
+from sensorwatch.llm import secrets as SE
 from sensorwatch.llm import toxicity as TX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,15 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 
+def op8_secret_ownership(spark: SparkSession, d: str) -> DataFrame:
+    rows = SE.secrets(C.table(spark, d, "documents"))
+    one = lambda f: F.concat_ws(":", f["name"], f["start"], f["end"])
+    return rows.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.concat_ws(",", F.transform("found", one)).alias("spans"),
+        F.size(F.filter("found", lambda f: f["live"])).alias("n_live"), F.size(F.filter("found", lambda f: ~f["live"])).alias("n_copied"),
+    )
+
+
 def op10_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = BP.tokenised(C.table(spark, d, "documents").select("doc_id", "text"), vocabulary())
     return rows.select(
@@ -91,6 +101,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 QUERIES: dict[str, Query] = {
     "op3_convolutional_toxicity": op3_convolutional_toxicity,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
+    "op8_secret_ownership": op8_secret_ownership,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
 }
