@@ -4,27 +4,31 @@ Documents become sets of word shingles; equal sets are one class. Each class wal
 several independent trees: at a node, one or two coordinates of its minwise
 signature are selected by the node's own hash (1/similarity of them on average), and
 the tokens found there name the child nodes. Similar sets share a node far below
-the root; unlike ones part soon. A node of two is a candidate pair; in larger nodes
-every class is first held against the node's smallest one, linked classes are merged,
-and what is still apart in a small node is compared exhaustively on sketches. Large
-nodes that still hold several components branch further. Every candidate is confirmed
-on the full sets. Components are found by label propagation with pointer jumping.
-
-Nothing is capped: nodes too large at the deepest level are compared outsiders against
-all. Work tables go to the shared checkpoint folder.
+the root; unlike ones part soon. Nodes that are still large branch further, small
+nodes are compared exhaustively on byte sketches of the signatures.
+
+Only a spanning forest of what the sketches cannot rule out leaves a node, so a group of
+copies gives as many rows as it has members. Its components are loose clusters: every
+link lies inside one. Each cluster is then settled on the full sets, fetched once from the
+texts: a search from member to member, each held against those not reached yet. Clusters
+beyond ``block`` different texts are settled in pairs of blocks. Nothing is capped.
+
+Work tables go to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sensorwatch.llm import common as C
 
@@ -39,10 +43,10 @@ class NearDup:
     percent: int = 80  # least similarity, in hundredths; above 50
     trees: int = 16
     coordinates: int = 128
-    sketch: int = 64  # bytes kept of a signature to screen candidates
-    slack: float = 0.22  # screened out when the sketches say this much less than the threshold (over 4 deviations)
-    node: int = 256  # nodes up to this size are compared exhaustively
-    deeper: int = 8  # levels that large nodes may branch further
+    slack: float = 0.15  # ruled out when sketches say this much less than the threshold (over 4 deviations)
+    node: int = 4000  # nodes up to this size are compared exhaustively
+    deeper: int = 6  # levels that larger nodes may branch further
+    block: int = 10_000  # texts of a cluster that one task settles
 
     @property
     def smallest(self) -> int:
@@ -136,57 +140,6 @@ def depth_for(classes: int) -> int:
     return max(2, math.ceil(math.log(max(classes, 2)) / math.log(20)))
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame, cfg: NearDup) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches do not rule the similarity out."""
-    s = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    sized = pairs.join(s("a"), "a").join(s("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
-    least = _least_equal(cfg)
-
-    def screen(batch: pa.RecordBatch) -> list[pa.Array]:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, cfg.sketch) for i in (2, 3))
-        keep = pa.array((x == y).sum(axis=1) >= least)
-        return [batch.column(0).filter(keep), batch.column(1).filter(keep)]
-
-    return C.map_arrow(sized.select("a", "b", "sa", "sb"), screen, "a long, b long")
-
-
-def _least_equal(cfg: NearDup) -> int:
-    return math.ceil((cfg.percent / 100 - cfg.slack) * cfg.sketch)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, cfg: NearDup, key: str, text: str) -> DataFrame:
-    """Links between set hashes: the pairs whose full sets are similar enough, from the texts themselves."""
-    pairs = C.written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "row_key"), "rep").select("row_key").distinct()
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("row_key"), F.col(text).alias("text")).join(needed, "row_key", "left_semi").select("text")
-
-    def sets(batch: pa.RecordBatch) -> list[pa.Array]:
-        hashes, values = [], []
-        for _, _, data, offsets in C.text_chunks(batch.column(0)):
-            shingles, first = C.shingle_hashes(C.Words(data, offsets), cfg.shingle)
-            for d in range(len(offsets) - 1):
-                own = np.unique(shingles[first[d] : first[d + 1]]).tobytes()
-                hashes.append(blake2b(own, digest_size=16).digest() if own else None)
-                values.append(own)
-        return [C.binary(hashes), C.binary(values)]
-
-    full = C.map_arrow(rows, sets, "set_key binary, full binary").where("set_key is not null").groupBy("set_key").agg(F.first("full").alias("full"))
-    full = C.written(full.withColumn("rep", F.xxhash64("set_key")), "sets")
-    f = lambda x: full.select(F.col("rep").alias(x), F.col("set_key").alias(f"k{x}"), F.col("full").alias(f"f{x}"))
-
-    def compare(batch: pa.RecordBatch) -> list[pa.Array]:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= cfg.percent * (len(p) + len(q) - common))
-        return [batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))]
-
-    return C.map_arrow(pairs.join(f("a"), "a").join(f("b"), "b").select("ka", "kb", "fa", "fb"), compare, "x binary, y binary")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of the undirected edges (x, y)."""
     both = C.written(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
@@ -202,87 +155,185 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _exhaustive(members: DataFrame, sketches: DataFrame, cfg: NearDup) -> DataFrame:
-    """Candidate pairs of different components inside nodes of bounded size, compared on sketches node by node."""
-    least = _least_equal(cfg)
-    rows = members.join(sketches, "rep").select("path", "rep", "part", "n", "sketch")
-
-    def node(rep, part, n, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(rep) - 1):
-            rest = slice(i + 1, len(rep))
-            near = ((sketch[rest] == sketch[i]).sum(axis=1) >= least) & (part[rest] != part[i])
-            near &= np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * cfg.percent
-            if near.any():
-                other = rep[rest][near]
-                yield np.minimum(other, rep[i]), np.maximum(other, rep[i])
+def _groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], list[pa.Array]], schema: str) -> DataFrame:
+    """Run ``fn`` on the rows of each key group, streaming over sorted partitions; a group is held whole, a partition never."""
+    names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(part: pa.Table):
-            path = part.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
-            rep, comp, n = (part.column(i).to_numpy() for i in (1, 2, 3))
-            sketch = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(-1, cfg.sketch)
-            found = [p for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for p in node(rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
+        def settle(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            cut = np.zeros(max(len(part) - 1, 0), bool)
+            for i in range(len(keys)):
+                column = part.column(i).to_numpy()
+                cut |= column[1:] != column[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(part)]])
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high - low > 1:
+                    out = fn(part.slice(low, high - low))
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
+            if all(batch.column(i)[-1] == held[0].column(i)[0] for i in range(len(keys))):
+                continue  # one group so far
             whole = pa.Table.from_batches(held)
-            path = whole.column(0).to_numpy()
-            last = int(np.searchsorted(path, path[-1], "left"))  # the last node may go on in the next batch
-            if last:
-                yield from flush(whole.slice(0, last))
-                held = whole.slice(last).to_batches()
+            same = np.ones(len(whole), bool)
+            for i in range(len(keys)):
+                column = whole.column(i).to_numpy()
+                same &= column == column[-1]
+            last = int(np.flatnonzero(~same)[-1]) + 1  # the last group may go on in the next batch
+            yield from settle(whole.slice(0, last))
+            held = whole.slice(last).to_batches()
         if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+            yield from settle(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _loose_forest(cfg: NearDup):
+    """Spanning forest of the pairs of a node that sketches and sizes leave possible."""
+    least = math.floor((cfg.percent / 100 - cfg.slack) * cfg.coordinates)
+
+    def forest(node: pa.Table) -> list[pa.Array]:
+        rep, n = node.column("rep").to_numpy(), node.column("n").to_numpy()
+        sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        rest, stack, a, b = np.arange(len(rep)), [], [], []
+        while len(rest):
+            if not stack:
+                stack, rest = [rest[0]], rest[1:]
+            i = stack.pop()
+            near = (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * cfg.percent) & ((sketch[rest] == sketch[i]).sum(axis=1) >= least)
+            found = rest[near]
+            rest = rest[~near]
+            stack += found.tolist()
+            a.append(np.full(len(found), rep[i]))
+            b.append(rep[found])
+        return [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (a, b)]
+
+    return forest
+
+
+class _Postings:
+    """Which of some sets hold a token; tokens of one set only are left out."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        tokens = np.concatenate([sets[i] for i in members])
+        owner = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
+        order = np.argsort(tokens, kind="stable")
+        self.members, self.owner, tokens = members, owner[order], tokens[order]
+        self.first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.tokens, self.end = tokens[self.first], np.append(self.first[1:], len(tokens))
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """Size of the intersection with each member."""
+        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+        at = at[self.tokens[at] == own]
+        if not len(at):
+            return np.zeros(len(self.members), np.int64)
+        return np.bincount(np.concatenate([self.owner[self.first[i] : self.end[i]] for i in at]), minlength=len(self.members))
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Component number of every set: searched from set to set, each held against those not reached yet."""
+    size = np.array([len(x) for x in sets])
+    part = np.full(len(sets), -1)
+    postings = _Postings(sets, np.arange(len(sets)))
+    left, stack, current = len(sets), [], -1
+    for start in range(len(sets)):
+        if part[start] >= 0:
+            continue
+        current += 1
+        part[start] = current
+        left -= 1
+        stack = [start]
+        while stack and left:
+            if left * 2 < len(postings.members):
+                postings = _Postings(sets, np.flatnonzero(part < 0))
+            i = stack.pop()
+            members = postings.members
+            common = postings.common(sets[i])
+            near = members[(part[members] < 0) & (100 * common >= percent * (size[i] + size[members] - common))]
+            part[near] = current
+            left -= len(near)
+            stack += near.tolist()
+    return part
+
+
+def _settle(cfg: NearDup):
+    """Links between set hashes of a cluster: each with the smallest one of its component."""
+
+    def settle(cluster: pa.Table) -> list[pa.Array]:
+        keys = cluster.column("set_key").to_pylist()
+        part = linked([np.frombuffer(x, np.uint64) for x in cluster.column("full").to_pylist()], cfg.percent)
+        least: dict[int, bytes] = {}
+        for k, p in zip(keys, part, strict=True):
+            least[p] = min(k, least.get(p, k))
+        pairs = [(k, least[p]) for k, p in zip(keys, part, strict=True) if k != least[p]]
+        return [C.binary([k for k, _ in pairs]), C.binary([m for _, m in pairs])]
+
+    return settle
+
+
+def _in_blocks(df: DataFrame, group: str, own: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups up to ``size`` rows, rows of larger ones repeated for every pair of blocks they are in)."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
+    large = counts.where(F.col("members") > size).withColumn("blocks", F.ceil(F.col("members") / (size / 2)).cast("int"))
+    small = df.join(large.select(group), group, "left_anti")
+    split = df.join(large, group).withColumn("block", F.pmod(F.xxhash64(own, F.lit(1)), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    split = split.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return small, split.drop("members", "blocks", "block", "other")
 
 
 def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, label) over the set hashes that are linked with a different set."""
-    spark = docs.sparkSession
     reps = profile.where("sig is not null").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig"))
     reps = C.written(reps.withColumn("rep", F.xxhash64("set_key")), "classes")
-    sketches = reps.select("rep", "n", F.expr(f"unhex(regexp_replace(hex(substring(sig, 1, {4 * cfg.sketch})), '(..)......', '$1'))").alias("sketch"))
-    depth = depth_for(reps.count())
-    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth), "path long, rep long", rows=2048)
-    found = spark.createDataFrame([], "x binary, y binary")
+    sketches = reps.select("rep", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1")).alias("sketch"))
+    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth_for(reps.count())), "path long, rep long", rows=2048)
+    forests = []
     for level in range(cfg.deeper + 1):
         paths = C.written(paths, "paths")
-        nodes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("size > 1")
-        nodes = C.written(nodes, "nodes")
-        pairs = nodes.where("size = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-        crowd = C.written(paths.join(nodes.where("size > 2").drop("last"), "path"), "crowd")
-        star = crowd.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        fresh = pairs.union(star).where("a < b").distinct()
-        found = C.written(found.union(_confirmed(_sketched(fresh, sketches, cfg), docs, reps, cfg, key, text)), "links")
-        labels = components(found)
-        parts = labels.select(F.xxhash64("node").alias("rep"), F.xxhash64("label").alias("part"))
-        crowd = crowd.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        mixed = crowd.groupBy("path").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("path")
-        crowd = C.written(crowd.join(mixed, "path").select("path", "rep", "part", "size"), "mixed")
-        more = _exhaustive(crowd.where(F.col("size") <= cfg.node), sketches, cfg)
-        large = crowd.where(F.col("size") > cfg.node)
-        left = not large.isEmpty()
-        if left and level == cfg.deeper:
-            held = large.groupBy("path", "part").count().groupBy("path").agg(F.max_by("part", "count").alias("main"))
-            outside = large.join(held, "path").where("part <> main").select("path", F.col("rep").alias("a"), F.col("part").alias("pa"))
-            rest = outside.join(large.select("path", F.col("rep").alias("b"), F.col("part").alias("pb")), "path").where("pa <> pb")
-            more = more.union(_sketched(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches, cfg))
-        more = C.written(more.distinct(), "more")
-        if not more.isEmpty():
-            found = C.written(found.union(_confirmed(more, docs, reps, cfg, key, text)), "links")
-            labels = components(found)
-        if not left or level == cfg.deeper:
-            return labels
-        paths = C.map_arrow(large.select("path", "rep").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long", rows=8192)
-    raise AssertionError
+        nodes = C.written(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
+        crowd = paths.join(nodes, "path")
+        small = crowd.where(F.col("size") <= cfg.node).join(sketches, "rep").select("path", "rep", "n", "sketch")
+        forests.append(C.written(_groups(small, ["path"], _loose_forest(cfg), "x long, y long"), "forest"))
+        if nodes.where(F.col("size") > cfg.node).isEmpty():
+            break
+        large = crowd.where(F.col("size") > cfg.node).select("path", "rep")
+        if level == cfg.deeper:
+            _, split = _in_blocks(large, "path", "rep", cfg.node)
+            split = split.join(sketches, "rep").select("path", "lo", "hi", "rep", "n", "sketch")
+            forests.append(C.written(_groups(split, ["path", "lo", "hi"], _loose_forest(cfg), "x long, y long"), "forest"))
+            break
+        paths = C.map_arrow(large.join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long", rows=8192)
+    clusters = components(reduce(DataFrame.union, forests))
+    clusters = C.written(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
+
+    needed = reps.join(clusters, "rep").select("row_key").distinct()
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("row_key"), F.col(text).alias("text")).join(needed, "row_key", "left_semi").select("text")
+
+    def sets(batch: pa.RecordBatch) -> list[pa.Array]:
+        hashes, values = [], []
+        for _, _, data, offsets in C.text_chunks(batch.column(0)):
+            shingles, first = C.shingle_hashes(C.Words(data, offsets), cfg.shingle)
+            for d in range(len(offsets) - 1):
+                own = np.unique(shingles[first[d] : first[d + 1]]).tobytes()
+                hashes.append(blake2b(own, digest_size=16).digest() if own else None)
+                values.append(own)
+        return [C.binary(hashes), C.binary(values)]
+
+    full = C.map_arrow(rows, sets, "set_key binary, full binary").where("set_key is not null").groupBy("set_key").agg(F.first("full").alias("full"))
+    full = C.written(full.withColumn("rep", F.xxhash64("set_key")).join(clusters, "rep").select("cluster", "set_key", "full"), "sets")
+    small, split = _in_blocks(full, "cluster", "set_key", cfg.block)
+    small = C.written(_groups(small.select("cluster", "set_key", "full"), ["cluster"], _settle(cfg), "x binary, y binary"), "links")
+    split = C.written(_groups(split.select("cluster", "lo", "hi", "set_key", "full"), ["cluster", "lo", "hi"], _settle(cfg), "x binary, y binary"), "links")
+    settled = small.select(F.col("x").alias("node"), F.col("y").alias("label")).union(small.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())
+    return settled if split.isEmpty() else settled.union(components(split))
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_id", text: str = "text") -> DataFrame:
