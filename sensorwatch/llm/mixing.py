@@ -27,6 +27,16 @@ from sensorwatch.operators.stats import running
 CELL_ROWS = 50_000
 
 
+def shuffle_key(seed: str, key: str, text: str) -> Column:
+    """Seeded shuffle order of a document."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
+def source_key(source: str) -> Column:
+    """Source names that sort by code point with null last."""
+    return F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
+
+
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """(source_key, source_size, documents, target): weights repeat over sources by code point; a target
     stops at ``repeats`` times its source and the rest is shared again by weight."""
@@ -49,11 +59,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
           key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, shuffle_key, size, source_size, target, finish (virtual time of its first pass),
     copies (passes taken), taken (tokens taken, repeats counted)."""
-    shuffle = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    rows = docs.select(
-        F.col(key).alias("doc_id"), shuffle.alias("shuffle_key"), C.count_words(text).alias("size"),
-        F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string"))).alias("source_key"),
-    )
+    rows = docs.select(F.col(key).alias("doc_id"), shuffle_key(seed, key, text).alias("shuffle_key"), C.count_words(text).alias("size"), source_key(source).alias("source_key"))
     rows = C.written(rows, "sizes")
     targets = C.written(source_targets(rows, weights, share, repeats), "targets")
     most, budget, documents = targets.agg(F.max("documents"), F.sum("target"), F.sum("documents")).first()
@@ -89,7 +95,23 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
     copies = sum((F.coalesce(taken(p), F.lit(False)).cast("int") for p in range(repeats)), F.lit(0))
     out = queue.withColumn("copies", copies).withColumn("finish", F.when(F.col("target") > 0, _finish(0)))
-    return out.select("doc_id", "shuffle_key", "size", "source_size", "target", "finish", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "shuffle_key", "size", "source_size", "target", "source_key", "finish", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix",
+            key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents the mix takes, whole, as often as it takes them, range-sorted by virtual finish time. Columns as before.
+
+    Rows that agree in id, text and source are one document here, given out as often as all of them are taken.
+    """
+    plan = mixed(docs, weights, share, repeats, seed, key, text, source)
+    plan = plan.groupBy("shuffle_key", "source_key").agg(F.sum("copies").cast("int").alias("_copies"), F.min("finish").alias("finish")).where("_copies > 0")
+    keyed = docs.withColumn("shuffle_key", shuffle_key(seed, key, text)).withColumn("source_key", source_key(source))
+    rest = [c for c, t in docs.dtypes if c not in (key, text, source) and not t.startswith("map")]
+    one = Window.partitionBy("shuffle_key", "source_key").orderBy(*(rest or [F.lit(0)]))
+    keyed = keyed.withColumn("_place", F.row_number().over(one)).where("_place = 1")
+    taken = keyed.join(plan, ["shuffle_key", "source_key"]).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return in_mix_order(taken).select(*docs.columns)
 
 
 def in_mix_order(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -351,3 +351,16 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_i
     out = rows.where("part is not null").join(least, "part").select("doc_id", "row_key", "n_shingles", "set_key", "component_id")
     alone = rows.where("part is null").select("doc_id", "row_key", "n_shingles", "set_key", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group (smallest id; of repeated rows one), and every document without words."""
+    row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
+    worded = F.coalesce(F.regexp_like(F.col(text), F.lit(C.WORD)), F.lit(False))
+    groups = near_duplicates(docs.where(worded), cfg, key, text)
+    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("other")).agg(F.min_by("row_key", F.struct("doc_id", "row_key")).alias("_row"))
+    best = best.select("_row").distinct()
+    with_words = docs.where(worded).withColumn("_row", row_key)
+    first = Window.partitionBy("_row").orderBy(text, *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])
+    kept = with_words.withColumn("_place", F.row_number().over(first)).where("_place = 1").join(best, "_row", "left_semi")
+    return kept.select(*docs.columns).union(docs.where(~worded))

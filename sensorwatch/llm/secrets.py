@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sensorwatch.llm import common as C
 
@@ -72,11 +73,11 @@ def _digest(value: str) -> int:
     return int.from_bytes(blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-ROW = "doc_id long, row long, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,value:long>>"
+ROW = "doc_id long, row long, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,at:int,value:long>>"
 
 
-def scanned(docs: DataFrame, cfg: SecretConfig, key: str, text: str, repository: str) -> DataFrame:
-    """Candidates of every document, values as hashes."""
+def scanned(docs: DataFrame, cfg: SecretConfig, key: str, text: str, repository: str, carry: bool = False) -> DataFrame:
+    """Candidates of every document, values as hashes; ``carry`` keeps the document's columns in ``document``."""
 
     def scan(batch: pa.RecordBatch) -> list[pa.Array]:
         counts, digests, flat, cuts = [], [], [], [0]
@@ -84,15 +85,16 @@ def scanned(docs: DataFrame, cfg: SecretConfig, key: str, text: str, repository:
             own = candidates(x, cfg)
             counts.append([sum(c[0] == k for c in own) for k in range(BASE)])
             digests.append(sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in own if k < BASE).encode()).hexdigest())
-            flat += [(s, k, e, _digest(v)) for k, s, e, v in own]
+            flat += [(s, k, e, e if KINDS[k] == "private_key" else e - len(v), _digest(v)) for k, s, e, v in own]
             cuts.append(len(flat))
-        columns = list(zip(*flat, strict=True)) or [[]] * 4
-        struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["start", "kind", "end", "value"])
+        columns = list(zip(*flat, strict=True)) or [[]] * 5
+        struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["start", "kind", "end", "at", "value"])
         n = np.array(counts, np.int64).reshape(-1, BASE)
-        return [batch.column(0), batch.column(1), batch.column(2), *[pa.array(n[:, k]) for k in range(BASE)], pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), struct)]
+        return [batch.column(0), batch.column(1), batch.column(2), *[pa.array(n[:, k]) for k in range(BASE)], pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), struct), *batch.columns[4:]]
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.col(text).alias("text"))
-    return C.map_arrow(rows, scan, ROW)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.col(text).alias("text"), *[F.struct("*").alias("document")] * carry)
+    schema = StructType(list(StructType.fromDDL(ROW).fields))
+    return C.map_arrow(rows, scan, schema.add("document", StructType(list(docs.schema.fields))) if carry else schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -106,13 +108,42 @@ def ownership(found: DataFrame) -> DataFrame:
 def secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), key: str = "doc_id", text: str = "text", repository: str = "source") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, found (array of start, kind, end, value,
     owners, repositories, seen, live, by start and kind)."""
-    rows = C.written(scanned(docs, cfg, key, text, repository), "scan")
+    return judged(scanned(docs, cfg, key, text, repository), cfg)
+
+
+def judged(scan: DataFrame, cfg: SecretConfig) -> DataFrame:
+    """Decide every candidate by its value's ownership; documents without candidates are not shuffled."""
+    rows = C.written(scan, "scan")
     some = rows.where("size(found) > 0").select("row", "repository", F.explode("found").alias("f")).select("row", "repository", "f.*")
     live = F.col("owners") <= cfg.owners
-    judged = some.join(ownership(some), "value").withColumn("live", live).where((F.col("kind") != KINDS.index("bare")) | live)
+    spans = some.join(ownership(some), "value").withColumn("live", live).where((F.col("kind") != KINDS.index("bare")) | live)
     kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    judged = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", kinds.alias("name"), "end", "value", "owners", "repositories", "seen", "live"))).alias("found"))
-    out = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found"]
-    none = judged.schema["found"].dataType
-    with_some = rows.where("size(found) > 0").drop("found").join(judged, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(none))).select(*out)
-    return with_some.union(rows.where("size(found) = 0").withColumn("found", F.array().cast(none)).select(*out))
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", kinds.alias("name"), "end", "at", "value", "owners", "repositories", "seen", "live"))).alias("found"))
+    out = [c for c in rows.columns if c not in ("row", "repository")]
+    none = F.array().cast(spans.schema["found"].dataType)
+    with_some = rows.where("size(found) > 0").drop("found").join(spans, "row", "left").withColumn("found", F.coalesce("found", none)).select(*out)
+    return with_some.union(rows.where("size(found) = 0").withColumn("found", none).select(*out))
+
+
+def redacted(docs: DataFrame, cfg: SecretConfig = SecretConfig(), key: str = "doc_id", text: str = "text", repository: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """The documents with the value of every live-looking credential replaced; copied examples stay. Columns as before."""
+    rows = judged(scanned(docs, cfg, key, text, repository, carry=True), cfg)
+    place = docs.columns.index(text)
+    spot = F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(F.when(f["at"] < f["end"], f["at"]).otherwise(f["start"]).alias("at"), f["end"].alias("end")))
+    rows = rows.select("document.*", F.array_sort(spot).alias("_live"))
+    clean, dirty = rows.where("size(_live) = 0").drop("_live"), rows.where("size(_live) > 0")
+
+    def redact(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = []
+        for x, spots in zip(C.python_texts(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            parts, low = [], 0
+            for s in spots:
+                if s["at"] >= low:
+                    parts += [x[low : s["at"]], mark]
+                low = max(low, s["end"])
+            texts.append("".join([*parts, x[low:]]))
+        columns = batch.columns[:-1]
+        columns[place] = pa.array(texts, pa.string())
+        return columns
+
+    return clean.union(C.map_arrow(dirty, redact, StructType(list(docs.schema.fields))))
