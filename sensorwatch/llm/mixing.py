@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sensorwatch.llm import common as C
 from sensorwatch.operators.stats import running
 
-CELL_ROWS = 50_000
+CELL_ROWS = 8192
 
 
 def shuffle_key(seed: str, key: str, text: str) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sensorwatch.llm import bpe as BP
 from sensorwatch.llm import common as C
+from sensorwatch.llm import hamming as HM
 from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
 from sensorwatch.llm import secrets as SE
+from sensorwatch.llm import sharding as SH
 from sensorwatch.llm import toxicity as TX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,19 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op2_multi_index_hamming(spark: SparkSession, d: str) -> DataFrame:
+    return HM.nearest(C.table(spark, d, "embeddings"), F.col("id") % 20 == 0, k=10)
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT vec_id, [x > 0 FOR x IN embedding] AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, list_sum([(q.b[i] <> r.b[i])::INT FOR i IN range(1, len(q.b) + 1)])::INT AS distance
+      FROM c q JOIN c r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id AND len(q.b) = len(r.b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM p)
+SELECT query_id, rank, neighbor_id, distance FROM k WHERE rank <= 10
+"""
+
+
 def op3_convolutional_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = C.table(spark, d, "documents").select("doc_id", "text")
     model = TX.fit(docs, C.table(spark, d, "labels"), remainder(5) != 0)
@@ -63,6 +78,14 @@ def op8_secret_ownership(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_external_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    shuffled = SH.external_shuffle(C.table(spark, d, "documents"))
+    text = F.coalesce(F.col("document.text"), F.lit(""))
+    rows = shuffled.select(F.col("document.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "bucket", "place")
+    rows = SH.dealt(rows, 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = BP.tokenised(C.table(spark, d, "documents").select("doc_id", "text"), vocabulary())
     return rows.select(
@@ -99,10 +122,12 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_multi_index_hamming": op2_multi_index_hamming,
     "op3_convolutional_toxicity": op3_convolutional_toxicity,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
     "op8_secret_ownership": op8_secret_ownership,
+    "op9_external_shuffle": op9_external_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
 }
-CHECKS: dict[str, str] = {"op5_weighted_fair_mix": OP5_SQL, "op7_chosen_path_near_duplicates": OP7_SQL}
+CHECKS: dict[str, str] = {"op2_multi_index_hamming": OP2_SQL, "op5_weighted_fair_mix": OP5_SQL, "op7_chosen_path_near_duplicates": OP7_SQL}
