@@ -14,6 +14,7 @@ from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
 from sensorwatch.llm import secrets as SE
 from sensorwatch.llm import sharding as SH
+from sensorwatch.llm import spotsigs as SP
 from sensorwatch.llm import toxicity as TX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op1_spot_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return SP.edited_fingerprints(C.table(spark, d, "documents"))
+
+
 def op2_multi_index_hamming(spark: SparkSession, d: str) -> DataFrame:
     return HM.nearest(C.table(spark, d, "embeddings"), F.col("id") % 20 == 0, k=10)
 
@@ -122,6 +127,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FRO
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_spot_fingerprints": op1_spot_fingerprints,
     "op2_multi_index_hamming": op2_multi_index_hamming,
     "op3_convolutional_toxicity": op3_convolutional_toxicity,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
