@@ -12,6 +12,7 @@ from sensorwatch.llm import common as C
 from sensorwatch.llm import hamming as HM
 from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
+from sensorwatch.llm import quality as QU
 from sensorwatch.llm import secrets as SE
 from sensorwatch.llm import sharding as SH
 from sensorwatch.llm import spotsigs as SP
@@ -105,6 +106,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_additive_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = C.table(spark, d, "documents").select("doc_id", "text")
+    model = QU.fit(docs, C.table(spark, d, "labels"), remainder(4) != 2)
+    rows = QU.scored(docs, model)
+    return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_chosen_path_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = ND.near_duplicates(C.table(spark, d, "documents"), ND.NearDup(shingle=2, percent=80))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
@@ -131,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op2_multi_index_hamming": op2_multi_index_hamming,
     "op3_convolutional_toxicity": op3_convolutional_toxicity,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
+    "op6_additive_quality": op6_additive_quality,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
