@@ -17,6 +17,7 @@ from sensorwatch.llm import secrets as SE
 from sensorwatch.llm import sharding as SH
 from sensorwatch.llm import spotsigs as SP
 from sensorwatch.llm import toxicity as TX
+from sensorwatch.llm import wrapper as WR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,10 @@ def op3_convolutional_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "language")
 
 
+def op4_wrapper_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return WR.page_texts(C.table(spark, d, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_weighted_fair_mix(spark: SparkSession, d: str) -> DataFrame:
     rows = MX.mixed(C.table(spark, d, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -138,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op1_spot_fingerprints": op1_spot_fingerprints,
     "op2_multi_index_hamming": op2_multi_index_hamming,
     "op3_convolutional_toxicity": op3_convolutional_toxicity,
+    "op4_wrapper_main_text": op4_wrapper_main_text,
     "op5_weighted_fair_mix": op5_weighted_fair_mix,
     "op6_additive_quality": op6_additive_quality,
     "op8_secret_ownership": op8_secret_ownership,
