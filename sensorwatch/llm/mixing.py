@@ -52,7 +52,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 
 
 def _finish(turn: Column | int) -> Column:
-    return (F.col("source_size") * turn + F.col("served")).cast("double") / F.col("target")
+    return F.try_divide((F.col("source_size") * turn + F.col("served")).cast("double"), F.col("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix",
@@ -106,12 +106,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     """
     plan = mixed(docs, weights, share, repeats, seed, key, text, source)
     plan = plan.groupBy("shuffle_key", "source_key").agg(F.sum("copies").cast("int").alias("_copies"), F.min("finish").alias("finish")).where("_copies > 0")
-    keyed = docs.withColumn("shuffle_key", shuffle_key(seed, key, text)).withColumn("source_key", source_key(source))
-    rest = [c for c, t in docs.dtypes if c not in (key, text, source) and not t.startswith("map")]
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), shuffle_key(seed, key, text).alias("shuffle_key"), source_key(source).alias("source_key"))
+    rest = [F.col(f"document.`{c}`") for c, t in docs.dtypes if c not in (key, text, source) and not t.startswith("map")]
     one = Window.partitionBy("shuffle_key", "source_key").orderBy(*(rest or [F.lit(0)]))
-    keyed = keyed.withColumn("_place", F.row_number().over(one)).where("_place = 1")
-    taken = keyed.join(plan, ["shuffle_key", "source_key"]).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return in_mix_order(taken).select(*docs.columns)
+    keyed = keyed.withColumn("place", F.row_number().over(one)).where("place = 1")
+    taken = keyed.join(plan, ["shuffle_key", "source_key"]).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return in_mix_order(taken).select("document.*")
 
 
 def in_mix_order(rows: DataFrame) -> DataFrame:

@@ -358,7 +358,7 @@ def deduplicated(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_id",
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     worded = F.coalesce(F.regexp_like(F.col(text), F.lit(C.WORD)), F.lit(False))
     groups = near_duplicates(docs.where(worded), cfg, key, text)
-    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("other")).agg(F.min_by("row_key", F.struct("doc_id", "row_key")).alias("_row"))
+    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("other")).agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("_row"))
     best = best.select("_row").distinct()
     with_words = docs.where(worded).withColumn("_row", row_key)
     first = Window.partitionBy("_row").orderBy(text, *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])

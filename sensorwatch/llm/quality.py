@@ -36,7 +36,7 @@ class QualityConfig:
     rate: float = 0.1
     pairs: int = 6
     pair_bins: int = 8
-    pair_rounds: int = 40
+    pair_rounds: int = 120
     leaf: float = 20.0  # least weight of a leaf
     ridge: float = 2.0
     seed: int = 5
