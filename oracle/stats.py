@@ -76,6 +76,39 @@ SCALED = ("scl", "SELECT *, " + ", ".join(f"({c} - m_{c}) / CASE WHEN w_{c} > 0
     f"quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.5) OVER (PARTITION BY entity) AS m_{c}, quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.9) OVER (PARTITION BY entity) - quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.1) OVER (PARTITION BY entity) AS w_{c}" for c in LOFC) + " FROM spl)")
 DIST = "sqrt(" + " + ".join(f"power(a.{c}_scaled - b.{c}_scaled, 2)" for c in LOFC) + ")"
 
+CUST = ("cu", "SELECT c_nationkey, c_custkey, round(c_acctbal - 4500, 2) AS diff, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS label, c_acctbal FROM customer")
+
+
+def counted(ranks: str, limit: str, placed: bool) -> str:
+    """Null distribution of rank sums by adding one unit at a time: (g, s, c) with c the chance of sum s."""
+    pick = ", k + take AS k" if placed else ""
+    return (f"dp(g, i, k, s, c) AS (SELECT DISTINCT g, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM ({ranks}) UNION ALL "
+            f"SELECT d.g, d.i + 1, d.k + {'v.take' if placed else '0'}, d.s + v.take * r.r, sum(d.c) / 2 FROM dp d JOIN ({ranks}) r ON r.g = d.g AND r.i = d.i + 1 CROSS JOIN (VALUES (0::BIGINT), (1::BIGINT)) v(take) "
+            f"{limit} GROUP BY 1, 2, 3, 4)")
+
+
+W_RANKS = ("SELECT c_nationkey AS g, CAST(2 * rank() OVER (PARTITION BY c_nationkey ORDER BY abs(diff)) + count(*) OVER (PARTITION BY c_nationkey, abs(diff)) - 1 AS BIGINT) AS r, "
+           "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, diff FROM cu WHERE diff <> 0")
+P_RANKS = ("SELECT c_nationkey AS g, CAST(2 * rank() OVER (PARTITION BY c_nationkey ORDER BY diff) + count(*) OVER (PARTITION BY c_nationkey, diff) - 1 AS BIGINT) AS r, "
+           "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, label, sum(label) OVER (PARTITION BY c_nationkey) AS np FROM cu")
+LARGE = {
+    "x06_wilcoxon_large_groups": f"WITH RECURSIVE cu AS ({CUST[1]}), rk AS MATERIALIZED ({W_RANKS}), {counted('SELECT g, i, r FROM rk', '', False)}, "
+    "o AS (SELECT g, count(*) AS n, sum(CAST(diff > 0 AS INTEGER)) AS np, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w, sum(r) AS t FROM rk GROUP BY g) "
+    "SELECT o.g AS c_nationkey, CAST(o.n AS INTEGER) AS n_informative, CAST(o.np AS INTEGER) AS n_positive, round(o.w / 2.0, 6) + 0.0 AS w_plus, "
+    "round(least(1.0, sum(CASE WHEN abs(2 * d.s - o.t) >= abs(2 * o.w - o.t) THEN d.c ELSE 0 END)), 6) + 0.0 AS p_value, 'exact' AS method FROM o JOIN dp d ON d.g = o.g AND d.i = o.n GROUP BY o.g, o.n, o.np, o.w, o.t",
+    "x09_permutation_auc_large_groups": f"WITH RECURSIVE cu AS ({CUST[1]}), rk AS MATERIALIZED ({P_RANKS}), {counted('SELECT g, i, r, np FROM rk', 'WHERE d.k + v.take <= r.np', True)}, "
+    "o AS (SELECT g, count(*) AS n, any_value(np) AS np, sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS w FROM rk GROUP BY g), "
+    "f AS (SELECT o.*, d.s, d.c, sum(d.c) OVER (PARTITION BY o.g) AS al FROM o JOIN dp d ON d.g = o.g AND d.i = o.n AND d.k = o.np) "
+    "SELECT g AS c_nationkey, CAST(n AS INTEGER) AS n, CAST(np AS INTEGER) AS n_pos, round((w / 2.0 - np * (np + 1) / 2.0) / (np * (n - np)), 6) + 0.0 AS auc, "
+    "round(sum(CASE WHEN s >= w THEN c ELSE 0 END) / any_value(al), 6) + 0.0 AS p_one_sided, round(least(1.0, sum(CASE WHEN abs(s - np * (n + 1)) >= abs(w - np * (n + 1)) THEN c ELSE 0 END) / any_value(al)), 6) + 0.0 AS p_two_sided, "
+    "'exact' AS method FROM f GROUP BY g, n, np, w",
+    # |t| beyond the 5 % point: the rejection is checked against tabled quantiles by series around the normal one
+    "x12_spearman_p_value": f"WITH cu AS ({CUST[1]}), r AS (SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS a, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0 AS b FROM cu), "
+    "g AS (SELECT c_nationkey, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY 1), "
+    "q AS (SELECT *, n - 2 AS f, 1.959963984540054 AS z FROM g) "
+    "SELECT c_nationkey, n, round(rho, 6) + 0.0 AS rho, CAST(abs(rho) * sqrt(f / (1 - rho * rho)) > z + (pow(z, 3) + z) / (4 * f) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * f * f) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * f * f * f) AS INTEGER) AS reject FROM q",
+}
+
 CHECKS: dict[str, str] = {
     "x01_auc_global": B.sql(auc("lab", "quality", "score"), LAB),
     "x01_auc_by_stratum": B.sql(auc("lab", "quality", "score", "lang"), LAB),
@@ -170,3 +203,4 @@ CHECKS: dict[str, str] = {
     "w23_position_of_time": B.sql("SELECT g.entity, CAST(min(CASE WHEN g.bin >= r.at THEN g.pos END) AS DOUBLE) AS pos FROM grid g JOIN (SELECT entity, max(CASE WHEN steps > 200 THEN t END) AS at FROM raw GROUP BY entity) r USING (entity) GROUP BY g.entity", *GRID),
 }
 CHECKS["a33_timing_statistics"] = ("SELECT l_linenumber, repeats, n_rows, round(m, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max, seconds_per_1000_rows, rows_ratio_vs_full, time_ratio_vs_full FROM (" + CHECKS["a33_timing_statistics"] + ")")
+CHECKS |= LARGE

@@ -8,15 +8,18 @@ a frequent value nor a large group ends up in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb, log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sensorwatch.functions.scalars import attach, stable_seed
+from sensorwatch.operators.exact import label_placements, placed_sum_chances, sign_flip_p, student_tail, subset_sum_chances
 from sensorwatch.sources.readings import shared_folder
 
-EXACT_MAX = 20  # 2^20 sign patterns; larger samples use the normal approximation
-
 
 def running(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), desc: bool = False) -> DataFrame:
     """Add ``upto_<s>`` (running total, own row included) and ``all_<s>`` per key.
@@ -61,7 +64,7 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> Data
     r = running(by_value(df, label, score, keys), score, ["pos", "neg"], keys)
     wins = F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2.0)
     g = r.groupBy(*keys).agg(F.sum(wins).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return g.withColumn("auc", F.col("_u") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))).drop("_u")
+    return g.withColumn("auc", F.col("_u") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).drop("_u")
 
 
 def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +96,7 @@ def average_ranks(df: DataFrame, col: str, out: str, keys: Sequence[str] = ()) -
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation on complete pairs, with its t statistic."""
+    """Rank correlation on complete pairs, with its t statistic (``student_p`` gives its p value)."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     d = average_ranks(average_ranks(d, a, "_ra", keys), b, "_rb", keys)
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
@@ -101,6 +104,16 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     return g.withColumn("t", F.when(rest > 0, F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(rest, F.lit(0.0)))))
 
 
+def student_p(df: DataFrame, t: str, freedom: Column, out: str = "p_value") -> DataFrame:
+    """Two-sided p value of a t statistic: the regularised incomplete beta function by its continued fraction."""
+
+    def tail(ts: pd.Series, fs: pd.Series) -> pd.Series:
+        return pd.Series([student_tail(a, b) for a, b in zip(ts, fs, strict=True)], dtype="float64")
+
+    p = F.pandas_udf(tail, DoubleType())(F.col(t).cast("double"), freedom.cast("double"))
+    return df.withColumn(out, F.nanvl(p, F.lit(None).cast("double")))
+
+
 def normal_tail(z: Column) -> Column:
     """Two-sided normal p value (Abramowitz and Stegun 7.1.26, error below 1.5e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
@@ -119,7 +132,7 @@ def mann_whitney(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         (F.sum(F.col(score) * F.col("pos")) / F.sum("pos")).alias("mean_pos"),
         (F.sum(F.col(score) * F.col("neg")) / F.sum("neg")).alias("mean_neg"),
-        F.sum((t * t * t - t).cast("double")).alias("_ties"),
+        F.sum(t.cast("double") * t * t - t).alias("_ties"),
     )
     n1, n2 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     n = n1 + n2
@@ -128,107 +141,142 @@ def mann_whitney(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()
     return g.withColumn("p_normal", normal_tail(z)).drop("_ties")
 
 
-def sign_masks(df: DataFrame, n: str) -> DataFrame:
-    """One row per sign pattern of ``n`` values (``n`` at most ``EXACT_MAX``)."""
-    return df.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(n)) - 1)))
+EXACT = "exact"
+NORMAL = "normal"
 
 
-def bit(mask: Column, i: Column) -> Column:
-    return F.call_function("shiftrightunsigned", mask, i.cast("int")).bitwiseAND(F.lit(1))
+def _sized(df: DataFrame, keys: Sequence[str], exact_up_to: int) -> DataFrame:
+    """Adds ``n`` units and ``method``: groups up to ``exact_up_to`` units are counted out, larger ones approximated."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return df.join(n.withColumn("method", F.when(F.col("n") <= exact_up_to, EXACT).otherwise(NORMAL)), list(keys))
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number the units of groups that are small enough for exact tests."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    small = df.join(n.where(F.col("n") <= EXACT_MAX), list(keys))
-    return small.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def _key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _patterns(units: DataFrame, keys: Sequence[str], value: Column, collect: Sequence[str] = ("_i",)) -> DataFrame:
-    """(keys, mask, sum over units of value) for every pattern; the units of a group are at most twenty."""
-    lists = units.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))).alias("_u"))
-    return sign_masks(lists, "n")
+def sign_flip(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str], exact_up_to: int = 40) -> DataFrame:
+    """Sign-flip test of mean difference 0, one- and two-sided; ``method`` tells exact from normal groups."""
+    d = _sized(df.where(F.col(diff).isNotNull()), keys, exact_up_to)
 
+    def count(pdf):
+        one, two = sign_flip_p(pdf.sort_values(list(order))[diff].to_numpy(float))
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], one, two]], columns=[*keys, "p_one_sided", "p_two_sided"])
 
-def sign_flip(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Exact sign-flip test of mean difference 0, one- and two-sided."""
-    m = _patterns(_numbered(df.where(F.col(diff).isNotNull()), keys, order), keys, F.col(diff))
-    observed = F.aggregate("_u", F.lit(0.0), lambda a, x: a + x["v"])
-    flipped = F.aggregate("_u", F.lit(0.0), lambda a, x: a + F.when(bit(F.col("mask"), x["_i"]) == 1, x["v"]).otherwise(-x["v"]))
-    m = m.select(*keys, "n", (observed / F.col("n")).alias("mean_difference"), (flipped / F.col("n")).alias("_f"))
-    return m.groupBy(*keys, "n", "mean_difference").agg(
-        F.avg((F.col("_f") >= F.col("mean_difference") - 1e-12).cast("double")).alias("p_one_sided"),
-        F.avg((F.abs("_f") >= F.abs("mean_difference") - 1e-12).cast("double")).alias("p_two_sided"),
-    )
+    exact = d.where(F.col("method") == EXACT).groupBy(*keys).applyInPandas(count, f"{_key_ddl(d, keys)}, p_one_sided double, p_two_sided double")
+    g = d.groupBy(*keys, "n", "method").agg(F.avg(diff).alias("mean_difference"), F.sqrt(F.sum(F.col(diff) * F.col(diff))).alias("_sd"))
+    z = F.try_divide(F.col("mean_difference") * F.col("n"), F.col("_sd"))
+    two = F.coalesce(normal_tail(z), F.lit(1.0))
+    one = F.when(z >= 0, two / 2).otherwise(1 - two / 2)
+    g = g.join(exact, list(keys), "left")
+    return g.select(*keys, "n", "mean_difference", F.coalesce("p_one_sided", one).alias("p_one_sided"), F.coalesce("p_two_sided", two).alias("p_two_sided"), "method")
 
 
-def wilcoxon(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Signed-rank test on non-zero differences: exact by sign patterns up to twenty, normal above.
+def wilcoxon(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str], exact_up_to: int = 200) -> DataFrame:
+    """Signed-rank test on non-zero differences, with the mean difference of all units.
 
-    Also the informative count, the lowest reachable p value and the
-    rank-biserial effect.
+    Also the informative count, the lowest reachable p value, the rank-biserial
+    effect, and ``method``: exact by counting rank sums, or normal for larger groups.
     """
     d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_abs", F.round(F.abs(diff), 12))
-    d = average_ranks(d, "_abs", "_rank", keys)
-    up = F.sum(F.when(F.col(diff) > 0, F.col("_rank")).otherwise(F.lit(0.0)))
-    total = F.sum("_rank")
-    g = d.groupBy(*keys).agg(
+    d = _sized(average_ranks(d, "_abs", "_rank", keys), keys, exact_up_to)
+    g = d.groupBy(*keys, "method").agg(
         F.count(F.lit(1)).cast("int").alias("n_informative"),
         F.sum((F.col(diff) > 0).cast("int")).cast("int").alias("n_positive"),
-        up.alias("w_plus"), total.alias("_total"), F.sum(F.col("_rank") * F.col("_rank")).alias("_sq"),
+        F.sum(F.when(F.col(diff) > 0, F.col("_rank")).otherwise(F.lit(0.0))).alias("w_plus"),
+        F.sum("_rank").alias("_total"), F.sum(F.col("_rank") * F.col("_rank")).alias("_sq"),
     )
-    m = _patterns(_numbered(d, keys, order), keys, F.col("_rank")).join(g.select(*keys, "w_plus", "_total"), list(keys))
-    w = F.aggregate("_u", F.lit(0.0), lambda a, x: a + F.when(bit(F.col("mask"), x["_i"]) == 1, x["v"]).otherwise(F.lit(0.0)))
-    far = F.abs(w - F.col("_total") / 2) >= F.abs(F.col("w_plus") - F.col("_total") / 2) - 1e-9
-    exact = m.groupBy(*keys).agg(F.avg(far.cast("double")).alias("_exact"))
+
+    def count(pdf):
+        ranks = np.round(pdf["_rank"].to_numpy() * 2).astype(np.int64)  # average ranks are halves
+        observed = ranks[(pdf[diff] > 0).to_numpy()].sum()
+        chances = subset_sum_chances(ranks)
+        far = np.abs(2 * np.arange(len(chances)) - ranks.sum()) >= abs(2 * observed - ranks.sum())
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], min(float(chances[far].sum()), 1.0)]], columns=[*keys, "_exact"])
+
+    exact = d.where(F.col("method") == EXACT).groupBy(*keys).applyInPandas(count, f"{_key_ddl(d, keys)}, _exact double")
     z = (F.col("w_plus") - F.col("_total") / 2) / F.nullif(F.sqrt(F.col("_sq")) / 2, F.lit(0.0))
     return g.join(exact, list(keys), "left").select(
         *keys, "n_informative", "n_positive", "w_plus",
         F.coalesce("_exact", normal_tail(z)).alias("p_value"),
         F.least(F.lit(1.0), 2.0 / F.pow(F.lit(2.0), F.col("n_informative"))).alias("p_floor"),
         ((2 * F.col("w_plus") - F.col("_total")) / F.col("_total")).alias("rank_biserial"),
+        "method",
     )
 
 
-def permutation_auc(df: DataFrame, label: str, score: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Exact permutation test of AUC over all placements of the positives."""
-    m = permuted_aucs(df, label, score, keys, order)
-    return m.groupBy(*keys, "n", "n_pos", "auc").agg(
-        F.avg((F.col("perm_auc") >= F.col("auc") - 1e-12).cast("double")).alias("p_one_sided"),
-        F.avg((F.abs(F.col("perm_auc") - 0.5) >= F.abs(F.col("auc") - 0.5) - 1e-12).cast("double")).alias("p_two_sided"),
-        F.count(F.lit(1)).alias("n_permutations"),
-    )
-
+def permutation_auc(df: DataFrame, label: str, score: str, keys: Sequence[str], order: Sequence[str], exact_up_to: int = 100) -> DataFrame:
+    """Permutation test of AUC over all placements of the positives, counted by rank sums; every group has a row.
 
-def permuted_aucs(df: DataFrame, label: str, score: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """AUC of every placement of the positives among a group's units (the observed AUC alongside)."""
+    Groups of one class have NULL statistics; ``method`` tells exact groups from normal ones.
+    """
     d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    d = _numbered(average_ranks(d, score, "_rank", keys), keys, order)
-    counts = d.groupBy(*keys).agg(
-        F.sum(label).cast("int").alias("n_pos"), F.sum(F.when(F.col(label) == 1, F.col("_rank")).otherwise(F.lit(0.0))).alias("_obs")
+    d = _sized(average_ranks(d, score, "_rank", keys), keys, exact_up_to)
+    n, p = F.col("n").cast("double"), F.col("n_pos").cast("double")
+    q = n - p
+    g = d.groupBy(*keys, "n", "method").agg(
+        F.sum(label).cast("int").alias("n_pos"), F.sum(F.when(F.col(label) == 1, F.col("_rank")).otherwise(F.lit(0.0))).alias("_obs"),
+        F.sum(F.col("_rank") * F.col("_rank")).alias("_sq"),
     )
-    m = _patterns(d, keys, F.col("_rank")).join(counts, list(keys)).where(F.bit_count("mask") == F.col("n_pos"))
-    ranks = F.aggregate("_u", F.lit(0.0), lambda a, x: a + F.when(bit(F.col("mask"), x["_i"]) == 1, x["v"]).otherwise(F.lit(0.0)))
-    p, q = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
-    to_auc = lambda r: (r - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0))
-    return m.select(*keys, "n", "n_pos", "mask", to_auc(F.col("_obs")).alias("auc"), to_auc(ranks).alias("perm_auc"))
+    g = g.withColumn("auc", (F.col("_obs") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0)))
+
+    def count(pdf):
+        ranks = np.round(pdf["_rank"].to_numpy() * 2).astype(np.int64)
+        y = pdf[label].to_numpy(int)
+        k, size = int(y.sum()), len(y)
+        if not 0 < k < size:
+            return pd.DataFrame([], columns=[*keys, "_one", "_two", "_all"])
+        chances = placed_sum_chances(ranks, k)
+        middle, observed, sums = k * (size + 1), ranks[y == 1].sum(), np.arange(len(chances))
+        one, two = chances[sums >= observed].sum(), chances[np.abs(sums - middle) >= abs(observed - middle)].sum()
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], min(float(one), 1.0), min(float(two), 1.0), float(comb(size, k))]], columns=[*keys, "_one", "_two", "_all"])
+
+    exact = d.where(F.col("method") == EXACT).groupBy(*keys).applyInPandas(count, f"{_key_ddl(d, keys)}, _one double, _two double, _all double")
+    variance = p * q / F.nullif(n * (n - 1), F.lit(0.0)) * (F.col("_sq") - n * (n + 1) * (n + 1) / 4)
+    z = F.try_divide(F.col("_obs") - p * (n + 1) / 2, F.sqrt(variance))
+    two = normal_tail(z)
+    one = F.when(z >= 0, two / 2).otherwise(1 - two / 2)
+    return g.join(exact, list(keys), "left").select(
+        *keys, "n", "n_pos", "auc", F.coalesce("_one", one).alias("p_one_sided"), F.coalesce("_two", two).alias("p_two_sided"),
+        F.col("_all").alias("n_permutations"), "method",
+    )
 
 
-def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, keys: Sequence[str], order: Sequence[str], most: int = 1_000_000) -> DataFrame:
     """Multiplicity over a family of scores: the primary AUC against the best permuted AUC of any score.
 
-    ``df`` is long: one row per unit and score name (column ``family``).
+    ``df`` is long: one row per unit and score name (column ``family``). All placements
+    of the labels are tried up to ``most``; beyond that as many seeded random ones
+    (``method`` "sampled").
     """
-    m = permuted_aucs(df, label, score, [*keys, family], order)
-    best = m.groupBy(*keys, "mask").agg(F.max("perm_auc").alias("_one"), F.max(F.abs(F.col("perm_auc") - 0.5)).alias("_two"))
-    obs = m.where(F.col(family) == primary).groupBy(*keys).agg(F.first("auc").alias("observed_auc"))
+    d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    d = average_ranks(d, score, "_rank", [*keys, family])
+    names = ["observed_auc", "p_one_sided", "p_two_sided", "n_permutations", "method"]
+
+    def test(pdf):
+        units = pdf.drop_duplicates(list(order)).sort_values(list(order))
+        place = {u: i for i, u in enumerate(units[list(order)].itertuples(index=False, name=None))}
+        y = units[label].to_numpy(int)
+        rows, whole = label_placements(len(y), int(y.sum()), most)
+        best_one, best_two, observed = np.full(len(rows), np.nan), np.full(len(rows), np.nan), None
+        for name, own in pdf.groupby(family):
+            at = [place[u] for u in own[list(order)].itertuples(index=False, name=None)]  # units without this score stay out
+            ranks, n = own["_rank"].to_numpy(), len(own)
+            k = rows[:, at].sum(axis=1, dtype=np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                auc = np.where((k > 0) & (k < n), (rows[:, at] @ ranks - k * (k + 1) / 2) / (k * (n - k)), np.nan)
+            best_one, best_two = np.fmax(best_one, auc), np.fmax(best_two, np.abs(auc - 0.5))
+            own_k = int(y[at].sum())
+            if name == primary and 0 < own_k < n:
+                observed = float((ranks[y[at] == 1].sum() - own_k * (own_k + 1) / 2) / (own_k * (n - own_k)))
+        if observed is None:
+            return pd.DataFrame([], columns=[*keys, *names])
+        values = [observed, float((best_one >= observed - 1e-12).mean()), float((best_two >= abs(observed - 0.5) - 1e-12).mean()), len(best_one), EXACT if whole else "sampled"]
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], *values]], columns=[*keys, *names])
+
+    out = d.groupBy(*keys).applyInPandas(test, f"{_key_ddl(d, keys)}, observed_auc double, p_one_sided double, p_two_sided double, n_permutations long, method string")
     values = df.groupBy(*keys, family).agg(F.sum(F.xxhash64(*order, F.round(F.col(score), 12)).cast("decimal(38,0)")).alias("_h"))
     tests = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tests"), F.countDistinct("_h").alias("n_unique_score_vectors"))
-    out = best.join(obs, list(keys)).groupBy(*keys, "observed_auc").agg(
-        F.avg((F.col("_one") >= F.col("observed_auc") - 1e-12).cast("double")).alias("p_one_sided"),
-        F.avg((F.col("_two") >= F.abs(F.col("observed_auc") - 0.5) - 1e-12).cast("double")).alias("p_two_sided"),
-        F.count(F.lit(1)).alias("n_permutations"),
-    )
     return out.join(tests, list(keys))
 
 
@@ -244,21 +292,29 @@ def leave_one_out_auc(df: DataFrame, label: str, score: str, keys: Sequence[str]
         F.sum(F.col("pos") * F.col("_own")).alias("_u"), F.min("_own").alias("_lo"), F.max("_own").alias("_hi"),
         F.first("all_pos").alias("_p"), F.first("all_neg").alias("_n"),
     )
-    left = F.nullif(((F.col("_p") - 1) * F.col("_n")).cast("double"), F.lit(0.0))
+    left = F.nullif((F.col("_p").cast("double") - 1) * F.col("_n"), F.lit(0.0))
     return g.select(*keys, ((F.col("_u") - F.col("_hi")) / left).alias("auc_min"), ((F.col("_u") - F.col("_lo")) / left).alias("auc_max"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: a table below 20, Stirling's series from there (error below 1e-13)."""
+    m = F.greatest(n, F.lit(20)).cast("double")
+    series = m * F.ln(m) - m + 0.5 * F.ln(m * 6.283185307179586) + 1 / (12 * m) - 1 / (360 * m * m * m) + 1 / (1260 * F.pow(m, F.lit(5.0)))
+    small = F.array(*[F.lit(sum(log(i) for i in range(2, k + 1))) for k in range(20)])
+    return F.when(n < 20, F.element_at(small, (F.least(n, F.lit(19)) + 1).cast("int"))).otherwise(series)
+
+
 def fisher_exact(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two-sided Fisher test of 2x2 tables with columns a, b, c, d.
 
-    Terms are built from cumulative log-factorials of each table's margin.
+    A table costs one cheap row per possible cell.
     """
-    a, b, c, d = (F.col(x).cast("int") for x in "abcd")
+    a, b, c, d = (F.col(x).cast("long") for x in "abcd")
     t = tables.withColumns({"_r": a + b, "_k": a + c, "_n": a + b + c + d})
-    lf = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, x: s + F.ln(x))
     lo, hi = F.greatest(F.lit(0), F.col("_r") + F.col("_k") - F.col("_n")), F.least("_r", "_k")
     t = t.withColumn("x", F.explode(F.sequence(lo, hi)))
     r, k, n, x = (F.col(q) for q in ("_r", "_k", "_n", "x"))
+    lf = log_factorial
     log_p = lf(r) + lf(n - r) + lf(k) + lf(n - k) - lf(n) - lf(x) - lf(r - x) - lf(k - x) - lf(n - r - k + x)
     t = t.withColumn("_p", F.exp(log_p))
     seen = F.max(F.when(x == F.col("a"), F.col("_p"))).over(Window.partitionBy(*keys))

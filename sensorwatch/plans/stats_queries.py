@@ -70,18 +70,41 @@ def _(spark, d):
 @query("x06_x07_wilcoxon_rank_biserial")
 def _(spark, d):
     u = nation_units(spark, d).withColumn("diff", F.col("BUILDING") - F.col("MACHINERY"))
-    return tidy(ST.wilcoxon(u, "diff", ["r_name"], ["n_name"]))
+    return tidy(ST.wilcoxon(u, "diff", ["r_name"], ["n_name"]).drop("method"))
+
+
+def customer_units(spark, d):
+    """One row per customer: nation, balance above 4500, and whether the market segment is BUILDING."""
+    c = table(spark, d, "customer")
+    return c.select("c_nationkey", "c_custkey", F.round(F.col("c_acctbal") - 4500, 2).alias("diff"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"))
+
+
+@query("x06_wilcoxon_large_groups")
+def _(spark, d):
+    return tidy(ST.wilcoxon(customer_units(spark, d), "diff", ["c_nationkey"], ["c_custkey"], exact_up_to=1000).drop("p_floor", "rank_biserial"))
+
+
+@query("x09_permutation_auc_large_groups")
+def _(spark, d):
+    return tidy(ST.permutation_auc(customer_units(spark, d), "label", "diff", ["c_nationkey"], ["c_custkey"], exact_up_to=1000).drop("n_permutations"))
+
+
+@query("x12_spearman_p_value")
+def _(spark, d):
+    r = ST.spearman(table(spark, d, "customer"), "c_custkey", "c_acctbal", ["c_nationkey"])
+    return tidy(ST.student_p(r, "t", F.col("n") - 2).withColumn("reject", (F.col("p_value") < 0.05).cast("int")), "c_nationkey", "n", "rho", "reject")
 
 
 @query("x08_sign_flip")
 def _(spark, d):
     u = nation_units(spark, d).withColumn("diff", F.col("BUILDING") - F.col("MACHINERY"))
-    return tidy(ST.sign_flip(u, "diff", ["r_name"], ["n_name"]))
+    return tidy(ST.sign_flip(u, "diff", ["r_name"], ["n_name"]).drop("method"))
 
 
 @query("x09_permutation_auc")
 def _(spark, d):
-    return tidy(ST.permutation_auc(nation_units(spark, d), "label", "BUILDING", ["r_name"], ["n_name"]))
+    r = ST.permutation_auc(nation_units(spark, d), "label", "BUILDING", ["r_name"], ["n_name"])
+    return tidy(r.drop("method").withColumn("n_permutations", F.col("n_permutations").cast("long")))
 
 
 @query("x10_max_stat_multiplicity")
@@ -89,7 +112,7 @@ def _(spark, d):
     u = nation_units(spark, d)
     segs = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     long = u.select("r_name", "n_name", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), F.col(s).alias("score")) for s in segs])).alias("x")).select("r_name", "n_name", "label", "x.*")
-    return tidy(ST.max_stat(long, "label", "score", "segment", "BUILDING", ["r_name"], ["n_name"]))
+    return tidy(ST.max_stat(long, "label", "score", "segment", "BUILDING", ["r_name"], ["n_name"]).drop("method"))
 
 
 @query("x11_mann_whitney")
