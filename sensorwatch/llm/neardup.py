@@ -141,17 +141,28 @@ def depth_for(classes: int) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of the undirected edges (x, y)."""
-    both = C.written(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
-    labels = C.written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    """(node, label): the smallest node reachable, for every node of the undirected edges (x, y).
+
+    Every node points at its smallest smaller neighbour, pointers are followed to their roots by
+    doubling, and edges are redrawn between roots until none is left.
+    """
+    high, low = F.greatest("x", "y"), F.least("x", "y")
+    left = C.written(edges.where("x <> y").select(high.alias("x"), low.alias("y")).distinct(), "edges")
+    labels = left.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
-        near = both.join(labels, both.x == labels.node).groupBy(F.col("y").alias("node")).agg(F.min("label").alias("m"))
-        told = labels.join(near, "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        told = C.written(told, "told")
-        up = told.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = C.written(told.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "old"), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
+        roots = C.written(left.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")), "roots")
+        while True:
+            up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            further = C.written(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+            roots = further.select("node", "root")
+            if further.where("moved").isEmpty():
+                break
+        over = roots.select(F.col("node").alias("label"), "root")
+        labels = C.written(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        x, y = roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
+        redrawn = left.join(x, "x").join(y, "y", "left").select("rx", F.coalesce("ry", "y").alias("ry")).where("rx <> ry")
+        left = C.written(redrawn.select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct(), "edges")
+        if left.isEmpty():
             return labels
 
 
@@ -201,17 +212,20 @@ def _loose_forest(cfg: NearDup):
     def forest(node: pa.Table) -> list[pa.Array]:
         rep, n = node.column("rep").to_numpy(), node.column("n").to_numpy()
         sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        rest, stack, a, b = np.arange(len(rep)), [], [], []
-        while len(rest):
+        rest, stack, own, a, b = np.arange(len(rep)), [], [], [], []
+        while len(rest) or stack:
             if not stack:
-                stack, rest = [rest[0]], rest[1:]
+                own, stack, rest = [int(rest[0])], [int(rest[0])], rest[1:]
             i = stack.pop()
             near = (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * cfg.percent) & ((sketch[rest] == sketch[i]).sum(axis=1) >= least)
-            found = rest[near]
+            found = rest[near].tolist()
             rest = rest[~near]
-            stack += found.tolist()
-            a.append(np.full(len(found), rep[i]))
-            b.append(rep[found])
+            stack += found
+            own += found
+            if not stack and len(own) > 1:  # every member with the smallest one: the same few in most nodes of a group
+                members = rep[own]
+                a.append(members[members != members.min()])
+                b.append(np.full(len(a[-1]), members.min()))
         return [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (a, b)]
 
     return forest

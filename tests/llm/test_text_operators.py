@@ -101,6 +101,18 @@ def test_near_duplicates_equal_all_pairs(spark):
             assert got[i].kept == (got[i].component_id == i)
 
 
+def test_components_of_a_random_graph(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 220), rng.randrange(100, 220)) for _ in range(70)] + [(7, 7)]
+    part = {n: n for e in edges for n in e}
+    for a, b in edges * 60:
+        part[a] = part[b] = min(part[a], part[b])
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: part[n] for n in linked}
+    assert neardup.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     rows = neardup.near_duplicates(odd, neardup.NearDup(shingle=2)).collect()
     assert len(rows) == odd.count()
