@@ -84,14 +84,15 @@ class MultiIndex:
         return sorted((int(distance[i]), x) for i in near for x in self.ids[i])[:k]
 
 
-def nearest(rows: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", code_block: int = 1 << 18, query_block: int = 2048) -> DataFrame:
+def nearest(rows: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", code_block: int = 1 << 18, query_block: int = 1 << 16) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest other rows of every row that ``asked`` selects (of ``id``)."""
     packed = C.written(codes(rows, key, vector).distinct(), "codes")
     first = Window.partitionBy("bits", "code").orderBy("id")
     some = packed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
     entries = C.written(some.groupBy("bits", "code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
     queries = C.written(packed.where(asked).select("bits", "code").distinct(), "queries")
-    blocks, asks = -(-entries.count() // code_block) or 1, -(-queries.count() // query_block) or 1
+    blocks, wanted = -(-entries.count() // code_block) or 1, queries.count()
+    asks = max(1, -(-wanted // query_block), min(8, wanted // 256))  # a few tasks even for a small query set
     dealt = lambda df, n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("block", each(blocks)).withColumn("ask", dealt(queries, asks))
