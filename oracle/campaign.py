@@ -350,7 +350,7 @@ CHECKS: dict[str, str] = {
     "a20_entity_days_count": B.sql("SELECT count(DISTINCT (entity, CAST(t AS DATE))) AS entity_days FROM raw", B.RAW),
     "a19_detected_episodes": B.sql(f"SELECT entity, CAST(row_number() OVER (PARTITION BY entity ORDER BY min(bin)) AS BIGINT) AS island, {TS('min(bin)', 'start')}, {TS('max(bin)', chr(34) + 'end' + chr(34))}, count(*) AS n_bins, round(max(CASE WHEN low THEN 0 ELSE rk END), 6) + 0.0 AS rate_max, CAST(max(n_families) AS INTEGER) AS families_max, round(avg(round_even(conf, 1)), 6) + 0.0 AS confidence_mean "
         "FROM (SELECT *, pos - row_number() OVER (PARTITION BY entity ORDER BY bin) AS isle FROM rul WHERE pred_problem_episode = 1) GROUP BY entity, isle", *RULES),
-    "a04_severity_matrix": B.sql("SELECT entity, " + ", ".join(f"round(coalesce(sum(CASE WHEN day = DATE '2024-01-{i:02d}' THEN severity END), 0), 6) + 0.0 AS \"2024-01-{i:02d}\"" for i in range(1, 31)) + ", round(sum(severity), 6) + 0.0 AS total FROM days GROUP BY entity", *DAYS),
+    "a04_severity_matrix": B.sql("SELECT entity, strftime(day, '%Y-%m-%d') AS day, round(sum(severity), 6) + 0.0 AS severity, round(any_value(t), 6) + 0.0 AS total FROM (SELECT *, sum(severity) OVER (PARTITION BY entity) AS t FROM days) GROUP BY entity, day", *DAYS),
     "a03_herd_days": B.sql("SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS cows, CAST(sum(day_alert) AS BIGINT) AS cows_alert, CAST(sum(day_notifs) AS BIGINT) AS total_notifs, round(sum(day_alert) / count(*) * 100.0, 6) + 0.0 AS pct_alert FROM days GROUP BY day", *DAYS),
     "a02_m07_entity_days": B.sql("SELECT entity, strftime(day, '%Y-%m-%d') AS day, CAST(day_alert AS INTEGER) AS day_alert, round(alert_rate, 6) + 0.0 AS alert_rate, CAST(n_anomalies AS BIGINT) AS n_anomalies, n_bins, CAST(day_notifs AS BIGINT) AS day_notifs, round(severity_raw, 6) + 0.0 AS severity_raw, round(severity, 6) + 0.0 AS severity FROM days", *DAYS),
     "k01_herd_ranking": B.sql(RANK, *BRANCH),

@@ -93,6 +93,7 @@ class RulesConfig:
     lameness_min_families: int = 2
     require_mi_for_lameness: bool = False
     coverage_min_pct: float = 25.0
+    vote_columns: tuple[str, ...] | None = None  # rolling-z columns that vote; None: the standard panel
 
     @property
     def mixed(self) -> bool:

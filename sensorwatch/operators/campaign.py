@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorwatch.functions.scalars import attach, safe_div
+from sensorwatch.operators.stats import running
 from sensorwatch.sources.readings import keep_first
 
 RATES = ("detected_any_overlap", "episode_overlap", "detected_iou20", "best_iou")
@@ -353,18 +354,19 @@ def compare_versions(frames: dict[str, DataFrame], keys: Sequence[str], ok: str,
     return out.withColumns(both)
 
 
-def pareto(df: DataFrame, up: str, down: Sequence[str], depth: int = 20) -> DataFrame:
+def pareto(df: DataFrame, up: str, down: Sequence[str]) -> DataFrame:
     """Rows no other row beats: higher ``up`` and lower ``down`` (two columns) preferred.
 
     Only distinct points are looked at, and never in pairs. The levels of the
-    first cost are numbered, and every point is filed under the ``depth``
-    power-of-two blocks that hold its level. "All levels up to mine" is then a
+    first cost are numbered, and every point is filed under the power-of-two
+    blocks that hold its level, as many as the number of levels needs. "All levels up to mine" is then a
     handful of whole blocks, and within a block a running minimum over falling
     gain finds the best rival. A point is beaten when that rival is not itself.
     """
     a, b = down
     points = df.select(up, a, b).distinct()
-    level = points.select(a).distinct().withColumn("_r", F.row_number().over(Window.orderBy(a)) - 1)
+    level = running(points.select(a).distinct().withColumn("_one", F.lit(1).cast("long")), a, ["_one"]).select(a, (F.col("upto__one") - 1).alias("_r"))
+    depth = level.count().bit_length()
     points = points.join(level, a).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     shift = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_k"))).cast("long")
     filed = points.select(up, a, b, "_k", shift(F.col("_r")).alias("_block"), F.struct(b, (-F.col(up)).alias("g"), a).alias("_mine"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorwatch.functions.scalars import attach
@@ -59,11 +59,18 @@ def with_labels(cohort: DataFrame, labels: DataFrame, key: str, label: str, reas
 
 
 def one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that refuses repeated keys on either side."""
-    for side in (a, b):
-        if side.groupBy(*keys).count().where("count > 1").limit(1).count():
-            raise ValueError(f"keys {list(keys)} are not unique")
-    return a.join(b, list(keys))
+    """Inner join that refuses repeated keys on either side, checked in the join's own plan.
+
+    A repeated key that the other side lacks is refused as well: both sides are counted before they meet.
+    """
+    same = Window.partitionBy(*keys)
+    refuse = F.raise_error(F.lit(f"keys {list(keys)} are not unique"))
+
+    def once(side: DataFrame) -> DataFrame:
+        counted = side.withColumn("_times", F.count(F.lit(1)).over(same))
+        return counted.where(F.when(F.col("_times") > 1, refuse.cast("boolean")).otherwise(F.lit(True))).drop("_times")
+
+    return once(a).join(once(b), list(keys))
 
 
 def agreement(pairs: DataFrame, columns: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -44,6 +44,8 @@ def without_neighbour(points: DataFrame, others: DataFrame, t: str, hours: float
     own cell is always close enough; of the two neighbouring cells only the last
     and the first point matter. So every point meets at most three rows.
     """
+    if hours == 0:
+        return points.join(others.select(key, t).distinct(), [key, t], "left_anti").select(*points.columns)
     width = int(hours * 3600 * 1_000_000)
     us = F.unix_micros(F.col(t))
     cell = F.floor(us / width)

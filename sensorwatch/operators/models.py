@@ -231,6 +231,7 @@ def isotonic_out_of_fold(df: DataFrame, score: str, label: str, group: str, fold
     for f in range(folds):
         rest = cells.where(F.col("fold") != f).groupBy(score).agg((F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_y"), F.sum("_w").alias("_w"))
         if rest.agg(F.count_distinct("_y")).first()[0] < 2:
+            out.append(df.where(F.col("fold") == f).withColumn("probability", F.lit(None).cast("double")))  # nothing to learn from
             continue
         model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="probability").fit(vec.transform(rest))
         out.append(model.transform(vec.transform(df.where(F.col("fold") == f))).drop("_x"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorwatch.functions.scalars import attach
+from sensorwatch.operators.stats import running
 
 # Summary metric -> summed column.
 SUMMARY = {
@@ -58,17 +59,12 @@ def entity_summary(pred: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFr
 
 
 def rank_entities(summary: DataFrame) -> DataFrame:
-    """Most notified first (entity name settles ties). One row per entity reaches this sort.
-
-    Positions come from counts of distinct notification triples, so no task
-    holds all entities: ranks inside a triple are numbered within the triple.
-    """
+    """Most notified first (entity name settles ties). The entities are ranked range by range,
+    so neither all of them nor the many quiet ones meet in one task."""
     k = ["hybrid_warning_notifs", "behavioral_warning_notifs", "instability_warning_notifs"]
-    counts = summary.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.orderBy(*[F.desc(c) for c in k]).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*k).orderBy("entity")
-    return summary.join(counts, k).withColumn("rank", (F.col("_before") + F.row_number().over(within)).cast("int")).drop("_before")
+    order = F.struct(*[(-F.col(c)).alias(c) for c in k], "entity")
+    ranked = running(summary.withColumns({"_order": order, "_one": F.lit(1).cast("long")}), "_order", ["_one"])
+    return ranked.withColumn("rank", F.col("upto__one").cast("int")).drop("_order", "_one", "upto__one", "all__one")
 
 
 def entity_days(pred: DataFrame) -> DataFrame:
@@ -97,10 +93,14 @@ def herd_days(days: DataFrame) -> DataFrame:
 
 
 def severity_matrix(days: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Entities x days of severity with the row total; ``labels`` are the day columns."""
-    grid = days.withColumn("_d", F.date_format("day", "yyyy-MM-dd")).groupBy("entity").pivot("_d", list(labels)).agg(F.sum("severity"))
-    grid = grid.fillna(0.0)
-    return grid.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"`{x}`") for x in labels]))
+    """Entities x the days the caller lists; ``total`` is the entity's over all its days."""
+    rows = severity_rows(days).withColumn("_d", F.date_format("day", "yyyy-MM-dd"))
+    return rows.groupBy("entity", "total").pivot("_d", list(labels)).agg(F.sum("severity")).fillna(0.0)
+
+
+def severity_rows(days: DataFrame) -> DataFrame:
+    """Severity per entity and day, whatever the days, with the entity's total to order rows by."""
+    return days.groupBy("entity", "day").agg(F.sum("severity").alias("severity")).withColumn("total", F.sum("severity").over(Window.partitionBy("entity")))
 
 
 def filter_detections(df: DataFrame, episode=False, notification=False, candidate=False, anomaly=False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorwatch.config import RulesConfig, bins
@@ -30,7 +30,6 @@ PREFERRED = (
     "transitions_sum_rrz",
 )
 SPIKE_COLUMNS = ("motion_sum_log_rrz", "motion_sum_rrz", "motion_mean_log_rrz", "motion_mean_rrz")
-MAX_VOTERS = 10
 CONFIDENCE_WEIGHTS = {"family": 30, "anomaly_rate": 30, "spike": 20, "score": 20}
 FAMILY_RATE = {"MIX": 0.35, "IF-ONLY": 0.10}
 
@@ -39,13 +38,20 @@ def family_of(column: str) -> str:
     return FAMILY_OF_SIGNAL.get(column.split("_")[0], "other")
 
 
-def voters(columns: Sequence[str]) -> list[str]:
-    """Rolling-z columns that vote: the preferred ones, then the rest in table order."""
+def voters(columns: Sequence[str], asked: Sequence[str] | None = None) -> list[str]:
+    """Columns that vote: those the settings list, all of them; else the comparator's standard panel.
+
+    The panel is part of the comparator's definition: the preferred rolling-z columns filled up
+    to ten places in table order, or the first eight where none of them is there.
+    """
+    if asked is not None:
+        missing = [c for c in asked if c not in columns]
+        if missing:
+            raise ValueError(f"voting columns not in the table: {missing}")
+        return list(asked)
     z = [c for c in columns if c.endswith("_rrz")]
     first = [c for c in PREFERRED if c in z]
-    if not first:
-        return z[:8]
-    return (first + [c for c in z if c not in first])[:MAX_VOTERS]
+    return (first + [c for c in z if c not in first])[:10] if first else z[:8]
 
 
 def _any(conds: Sequence[Column]) -> Column:
@@ -84,7 +90,7 @@ def add_family_votes(
     df: DataFrame, cfg: RulesConfig, k: int, keys: Sequence[str] = S.ENTITY
 ) -> DataFrame:
     """``hit_<family>``: some voter beyond its bounds; ``fam_<family>``: often enough in the window."""
-    cols = voters(df.columns)
+    cols = voters(df.columns, cfg.vote_columns)
     hits = {}
     for fam in FAMILIES:
         z = [F.coalesce(F.col(c), F.lit(0.0)) for c in cols if family_of(c) == fam]
@@ -201,7 +207,7 @@ def _outputs(df: DataFrame, interval: str, cfg: RulesConfig, gate, gated, keys:
     wait = bins(cfg.cooldown_hours, interval, 1)
     df = S.add_cooldown(df, "pred_lameness_start", wait, "notif_lameness", keys)
     fired = F.max(F.when(F.col("notif_lameness") == 1, F.col("pos"))).over(
-        S.ordered(keys).rowsBetween(-(10**9), -1)
+        S.ordered(keys).rowsBetween(Window.unboundedPreceding, -1)
     )
     df = df.withColumn("in_cooldown", flag(F.col("pos") - fired <= wait))
     critical = (F.col("if_score") <= F.col("if_score_q05")) & (F.col("if_score_pct") <= cfg.pct_crit_thr)

@@ -420,9 +420,7 @@ def _(spark, d):
 
 @query("a04_severity_matrix")
 def _(spark, d):
-    days = RP.entity_days(T.predictions(spark, d))
-    labels = [f"2024-01-{i:02d}" for i in range(1, 31)]
-    return tidy(RP.severity_matrix(days, labels))
+    return tidy(RP.severity_rows(RP.entity_days(T.predictions(spark, d))))
 
 
 @query("a19_detected_episodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -119,7 +120,7 @@ def shape_of(df: DataFrame) -> str:
 def first_entities(df: DataFrame, n: int) -> DataFrame:
     """Rows of the first ``n`` entities in name order."""
     keep = df.select("entity").distinct().orderBy("entity").limit(n)
-    return df.join(F.broadcast(keep) if n <= 10_000 else keep, "entity", "left_semi")
+    return df.join(keep, "entity", "left_semi")
 
 
 def between_days(df: DataFrame, first: str, last: str, col: str = "t") -> DataFrame:
@@ -145,10 +146,17 @@ def modal_value(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; an own one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Unset, a temporary folder serves a session whose executors are threads of the
+    driver; on a cluster that would split the data over machines, so it is refused.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorwatch-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sensorwatch-"))
     return context.getCheckpointDir()
 
 

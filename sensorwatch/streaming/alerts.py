@@ -47,7 +47,8 @@ def episode_sessions(alerts: DataFrame, gap: str, late: str = "1 hour") -> DataF
 def frozen_reference(history: DataFrame, interval: str, cfg: HypoConfig = HypoConfig()) -> DataFrame:
     """What the scorer needs from the reference period: expected totals per slot, denominator floors, usual count.
 
-    One row per (entity, slot of day), computed in batch from the history.
+    One row per (entity, slot of day), computed in batch from the history. ``live_from`` is the first bin
+    that may alert, where the history tells its splits.
     """
     n = bins(cfg.aggregation_hours, interval, 4)
     cols = [f"_t_{s}" for s in SIGNALS]
@@ -61,27 +62,33 @@ def frozen_reference(history: DataFrame, interval: str, cfg: HypoConfig = HypoCo
         for kind, x in (("exp", f"_exp_{c}"), ("lag", f"_lag_{c}")):
             mid = F.percentile(F.when(F.col(x) > 0, F.col(x)), F.lit(0.5)).over(whole)
             floors[f"floor_{kind}_{s}"] = F.when(mid.isNotNull(), F.greatest(F.lit(1e-6), mid * 0.05)).otherwise(F.lit(1.0))
-    df = df.withColumns(floors).withColumn("slot", slot_of_day())
+    live_from = F.min(F.when(F.col("dataset_split") == "futur", F.col("bin"))).over(whole) if "dataset_split" in df.columns else F.lit(None).cast("timestamp")
+    df = df.withColumns(floors).withColumns({"slot": slot_of_day(), "live_from": live_from})
     return df.groupBy("entity", "slot").agg(
         *[F.first(f"_exp_{c}").alias(f"exp_{s}") for c, s in zip(cols, SIGNALS)],
         *[F.first(c).alias(c) for c in floors],
-        F.first("expected_raw_per_bin").alias("expected_raw_per_bin"),
+        F.first("expected_raw_per_bin").alias("expected_raw_per_bin"), F.first("live_from").alias("live_from"),
     )
 
 
 def with_reference(stream: DataFrame, reference: DataFrame) -> DataFrame:
-    """Stream-static join on (entity, slot)."""
-    return stream.withColumn("slot", slot_of_day()).join(reference, ["entity", "slot"])
+    """Stream-static join on the entity: a row carries its entity's reference of every slot of the day, since a silent
+    bin before it lies in another slot. Entities without a history stay, with a NULL reference."""
+    slots = F.struct("slot", *[c for c in reference.columns if c not in ("entity", "slot", "live_from")])
+    by_entity = reference.groupBy("entity").agg(F.sort_array(F.collect_list(slots)).alias("reference"), F.first("live_from").alias("live_from"))
+    return stream.join(by_entity, "entity", "left")
 
 
-OUT = "entity string, bin timestamp, score double, cusum double, candidate int, episode int, start int, notification int"
+OUT = "entity string, bin timestamp, score double, cusum double, candidate int, episode int, start int, notification int, late int"
 
 
 def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConfig()) -> DataFrame:
     """Drop-branch alerts per bin; state per entity holds the last day of totals and six scalars.
 
-    ``rows`` come from ``with_reference``, in time order per entity within a
-    micro-batch. A row's ``live`` column (default 1) says whether it may alert.
+    ``rows`` come from ``with_reference``. Silent bins are scored when the next bin of the entity
+    arrives, against their own slot's reference. A row that is not after the entity's last scored bin
+    comes too late: it leaves the state alone and is passed on with ``late`` 1 and no scores. A row's
+    ``live`` column (default 1) says whether it may alert; for silent bins ``live_from`` does.
     """
     if "live" not in rows.columns:
         rows = rows.withColumn("live", F.lit(1))
@@ -93,6 +100,7 @@ def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConf
     share, boost = PERSISTENCE_SHARE, PROGRESSIVE_WEIGHT
     need = max(4, n // 2)
     names = [c.split()[0] for c in OUT.split(", ")]
+    nothing = {f"exp_{x}": None for x in signals} | {f"floor_{k}_{x}": None for k in ("exp", "lag") for x in signals} | {"expected_raw_per_bin": None}
 
     def bounded(x, low, high):
         return None if x is None else min(max(x, low), high)
@@ -114,7 +122,7 @@ def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConf
             pair = []
             for ref, floor in ((row[f"exp_{name}"], row[f"floor_exp_{name}"]), (before[j], row[f"floor_lag_{name}"])):
                 if totals[j] is not None and ref is not None:
-                    pair.append(bounded(totals[j] / max(ref, floor), 0.0, 3.0))
+                    pair.append(bounded(totals[j] / max(ref, floor if floor is not None else 1.0), 0.0, 3.0))
             ratio[name] = (max(pair) if name == "lying" else min(pair)) if pair else None
         low = lambda x: None if x is None else bounded(1.0 - x, 0.0, 1.0)
         over = None if ratio["lying"] is None else bounded(ratio["lying"] - 1.0, 0.0, 1.0)
@@ -126,7 +134,8 @@ def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConf
         past = s["levels"][-1 - lag] if len(s["levels"]) > lag else None
         s["levels"] = s["levels"][-(lag + 1):]
         drop = bounded(past - level, 0.0, 1.0) if past is not None and level is not None else 0.0
-        covered = min(row["n_raw_samples"] / row["expected_raw_per_bin"], 1.0) * 100.0 >= cfg.coverage_min_pct
+        usual = row["expected_raw_per_bin"]
+        covered = usual is not None and usual > 0 and min(row["n_raw_samples"] / usual, 1.0) * 100.0 >= cfg.coverage_min_pct
         core = hit["steps"] or hit["motion"] or weights["steps"] + weights["motion"] == 0
         cand = int(bool(row["live"]) and score >= cfg.score_threshold and sum(hit.values()) >= cfg.min_families and core and covered)
         s["cusum"] = max(0.0, s["cusum"] + (score + boost * drop if cand else 0.0) - cfg.cusum_drift)
@@ -144,15 +153,22 @@ def score_stream(rows: DataFrame, interval: str, settings: HypoConfig = HypoConf
             s = json.loads(state.get[0])
             s["last"] = pd.Timestamp(s["last"]) if s["last"] else None
         data = pd.concat(list(batches)).sort_values("bin")
+        slots = next((x for x in data["reference"] if x is not None), None)
+        by_slot = {} if slots is None else {x["slot"]: {k: None if v is None or v != v else v for k, v in dict(x).items()} for x in slots}
+        at = lambda t: by_slot.get(t.hour * 60 + t.minute, nothing)
         out = []
-        for row in data.to_dict("records"):
+        for row in data.drop(columns="reference").to_dict("records"):
+            if s["last"] is not None and row["bin"] <= s["last"]:
+                out.append((key[0], row["bin"], None, None, None, None, None, None, 1))
+                continue
             while s["last"] is not None and s["last"] + step < row["bin"]:  # silent bins still pass
                 s["last"] += step
-                gap = row | {"n_raw_samples": 0.0}
-                out.append((key[0], s["last"], *advance(s, [0.0] * len(signals), gap)))
+                live = row["live"] if pd.isna(row["live_from"]) else int(s["last"] >= row["live_from"])
+                out.append((key[0], s["last"], *advance(s, [0.0] * len(signals), at(s["last"]) | {"n_raw_samples": 0.0, "live": live}), 0))
             s["last"] = row["bin"]
-            out.append((key[0], row["bin"], *advance(s, [row[f"{x}_sum"] for x in signals], row)))
+            out.append((key[0], row["bin"], *advance(s, [row[f"{x}_sum"] for x in signals], at(row["bin"]) | {"n_raw_samples": row["n_raw_samples"], "live": row["live"]}), 0))
         state.update((json.dumps(s | {"last": str(s["last"])}),))
-        yield pd.DataFrame(out, columns=names)
+        told = pd.DataFrame(out, columns=names)
+        yield told.astype({c: "Int64" for c in ("candidate", "episode", "start", "notification")})
 
     return rows.groupBy("entity").applyInPandasWithState(run, OUT, "s string", "append", "NoTimeout")
