@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +28,7 @@ def session() -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="bench-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
@@ -35,12 +37,14 @@ def session() -> SparkSession:
 
 
 def stages(spark: SparkSession, d: str) -> dict:
+    from sensorwatch.config import WatchConfig
     from sensorwatch.operators import features as FE
     from sensorwatch.operators import fusion as FU
     from sensorwatch.operators import grid as G
     from sensorwatch.operators import models as M
     from sensorwatch.operators import report as RP
     from sensorwatch.operators import rules as R
+    from sensorwatch.pipeline import run_herd
     from sensorwatch.plans import QUERIES
     from sensorwatch.plans import tables as T
     from sensorwatch.sources.tables import event_readings
@@ -61,6 +65,7 @@ def stages(spark: SparkSession, d: str) -> dict:
         "branches_and_fusion": lambda: FU.hybrid_warning(interval, T.INTERVAL),
         "isolation_forest_800": lambda: M.isolation_scores(interval, cols, n_trees=800),
         "herd_alerts_end_to_end": herd,
+        "run_herd_800_trees": lambda: run_herd(readings, WatchConfig(interval=T.INTERVAL))[0],
         "clustered_bootstrap": lambda: QUERIES["x03_clustered_bootstrap"](spark, d),
         "table_diff": lambda: QUERIES["x20_tolerant_table_diff"](spark, d),
     }

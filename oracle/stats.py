@@ -115,7 +115,7 @@ CHECKS: dict[str, str] = {
     "x02_average_precision": B.sql("SELECT lang, round(sum(p / nullif(tot, 0) * tp / (tp + fp)), 6) + 0.0 AS average_precision, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(q) AS BIGINT) AS n_neg FROM (SELECT lang, p, q, sum(p) OVER (PARTITION BY lang) AS tot, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM "
         "(SELECT lang, score, sum(quality) AS p, sum(1 - quality) AS q FROM lab GROUP BY ALL) WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY lang", LAB),
     "x03_clustered_bootstrap": B.sql("SELECT round((SELECT sum(a) / sum(b) FROM s), 6) AS value, (SELECT count(*) FROM s) AS n_groups, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS n_boot FROM "
-        "(SELECT rep, sum(p.a) / sum(p.b) AS m FROM s CROSS JOIN (SELECT unnest(range(200)) AS rep) JOIN s p ON p.i = CAST('0x' || substr(sha256('42|' || rep || '|' || s.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM s) GROUP BY rep)",
+        "(SELECT rep, sum(p.a) / sum(p.b) AS m FROM s CROSS JOIN (SELECT unnest(range(10000)) AS rep) JOIN s p ON p.i = CAST('0x' || substr(sha256('42|' || rep || '|' || s.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM s) GROUP BY rep)",
         ("s", "SELECT row_number() OVER (ORDER BY l_suppkey) - 1 AS i, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS a, count(*) AS b FROM lineitem GROUP BY l_suppkey")),
     "x05_brier_and_ece": B.sql("SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS brier, round(sum(n * abs(y - pm)) / sum(n), 6) AS ece FROM (SELECT lang, least(floor(p * 10), 9) AS b, count(*) AS n, avg(quality) AS y, avg(p) AS pm, sum((p - quality) * (p - quality)) AS s FROM (SELECT *, score / (score + 1000.0) AS p FROM lab) GROUP BY ALL) GROUP BY lang", LAB),
     "x06_x07_wilcoxon_rank_biserial": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n_informative, CAST(npos AS INTEGER) AS n_positive, round(wp, 6) AS w_plus, round(avg(CASE WHEN abs(w - tot / 2) >= abs(wp - tot / 2) - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p_value, round(least(1.0, 2.0 / power(2, n)), 6) AS p_floor, round((2 * wp - tot) / tot, 6) + 0.0 AS rank_biserial FROM "

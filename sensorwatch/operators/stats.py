@@ -7,7 +7,7 @@ a frequent value nor a large group ends up in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import comb, log
 
 import numpy as np
@@ -340,26 +340,33 @@ def holm(df: DataFrame, p: str, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("p_holm", F.least(F.lit(1.0), upto)).drop("_step")
 
 
-def bootstrap_ci(units: DataFrame, num: str, den: str, n_boot: int, seed: int, unit: str = "entity") -> DataFrame:
-    """95 % interval of sum(num)/sum(den) when whole entities are drawn with replacement.
+def bootstrap_metric(units: DataFrame, sums: dict[str, str], metric: Callable[[dict[str, Column]], Column], n_boot: int, seed: int, unit: str = "entity") -> DataFrame:
+    """95 % interval of any metric of entity sums when whole entities are drawn with replacement.
 
-    Entity sums are numbered; replicate r draws for slot i the entity number
-    hash(seed, r, i) mod n. Draws are counted per (replicate, entity) before
-    they meet the sums.
+    ``sums`` names the columns to add up per entity, ``metric`` turns their totals
+    into the statistic (a rate, an F1, a mean paired difference). Entities are
+    numbered; replicate r draws for slot i the entity number hash(seed, r, i) mod n.
+    Draws are counted per (replicate, entity) before they meet the sums.
     """
-    sums = units.groupBy(unit).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"), F.lit(1).cast("long").alias("_one"))
-    numbered = running(sums, unit, ["_one"]).select((F.col("upto__one") - 1).alias("_i"), F.col("all__one").alias("_n"), "_num", "_den")
+    one = {k: F.sum(v).alias(f"_s_{k}") for k, v in sums.items()}
+    total = {k: F.sum(F.col(f"_s_{k}")) for k in sums}
+    drawn = {k: F.sum(F.col(f"_s_{k}") * F.col("_times")) for k in sums}
+    by_unit = units.groupBy(unit).agg(*one.values(), F.lit(1).cast("long").alias("_one"))
+    numbered = running(by_unit, unit, ["_one"]).select((F.col("upto__one") - 1).alias("_i"), F.col("all__one").alias("_n"), *[f"_s_{k}" for k in sums])
     draws = numbered.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_rep"))
     pick = stable_seed(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_i").cast("string"))) % F.col("_n")
     counted = draws.groupBy("_rep", pick.alias("_i")).agg(F.count(F.lit(1)).alias("_times"))
-    boot = counted.join(numbered.drop("_n"), "_i").groupBy("_rep").agg(
-        (F.sum(F.col("_num") * F.col("_times")) / F.nullif(F.sum(F.col("_den") * F.col("_times")).cast("double"), F.lit(0.0))).alias("_m")
-    )
+    boot = counted.join(numbered.drop("_n"), "_i").groupBy("_rep").agg(metric(drawn).alias("_m"))
     ci = boot.agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"), F.count("_m").alias("n_boot"))
-    point = numbered.agg((F.sum("_num") / F.sum("_den")).alias("value"), F.count(F.lit(1)).alias("n_groups"))
+    point = numbered.agg(metric(total).alias("value"), F.count(F.lit(1)).alias("n_groups"))
     return attach(point, ci)
 
 
+def bootstrap_ci(units: DataFrame, num: str, den: str, n_boot: int, seed: int, unit: str = "entity") -> DataFrame:
+    """``bootstrap_metric`` of sum(num) / sum(den)."""
+    return bootstrap_metric(units, {"num": num, "den": den}, lambda t: t["num"] / F.nullif(t["den"].cast("double"), F.lit(0.0)), n_boot, seed, unit)
+
+
 def autocorrelation(series: DataFrame, value: str, max_lag: int, least_pairs: int = 30, keys: Sequence[str] = ("entity",)) -> DataFrame:
     """Pairwise-complete autocorrelation by lag on a regular grid with gaps as NULL.
 

@@ -53,7 +53,7 @@ def _(spark, d):
 @query("x03_clustered_bootstrap")
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
-    return tidy(ST.bootstrap_ci(li, "hit", "one", 200, 42, "l_suppkey"))
+    return tidy(ST.bootstrap_ci(li, "hit", "one", 10_000, 42, "l_suppkey"))
 
 
 @query("x04_isotonic_out_of_fold")
