@@ -337,6 +337,8 @@ CHECKS: dict[str, str] = {
         ("fac", "SELECT *, least(greatest(coalesce(baseline_std / nullif(median(baseline_std) OVER (), 0), 1.0), 0.6), 1.8) AS factor FROM sd"),
         ("own", "SELECT spl.*, factor * 0.12 AS x_score FROM spl LEFT JOIN fac USING (entity)"), *D.hypo("own", "cal", score="x_score")),
     "j19_same_event_schedule": B.sql("SELECT count(*) AS n_differences FROM gplan WHERE event_id IS NULL", *SPLIT, SPANS, *rotated()),
+    "j19_unequal_schedules": "WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'), b AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view'), "
+    "x AS (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT side, count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS users FROM x GROUP BY side",
     "a26_detection_background_curve": B.sql(
         f"SELECT e.config, b.n_cows, CAST(count(CASE WHEN {GRAD} THEN 1 END) AS BIGINT) AS n_gradual_events, round(b.bg, 6) + 0.0 AS background_per_cow_day, {AVG('episode_overlap', GRAD)} AS attributable_coverage, {AVG('CASE WHEN novel_start_count >= 1 THEN 1 ELSE 0 END', GRAD)} AS new_start_rate, "
         f"{AVG('detected_iou20', GRAD)} AS iou20_rate, {AVG('best_iou', GRAD)} AS mean_attributable_iou, round(1.0 - avg(CASE WHEN {CTRL} THEN episode_overlap END), 6) + 0.0 AS brief_control_rejection FROM cev e "

@@ -143,6 +143,10 @@ CHECKS: dict[str, str] = {
     "m10_stable_seed": "SELECT c_custkey, CAST('0x' || substr(sha256(c_name || '|schedule|42'), 1, 8) AS BIGINT) AS seed FROM customer",
     "m12_reason_sentences": B.sql("SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, printf('Alerte %s: score HYPO=%.2f, score INSTABILITÉ=%.2f. Vérification terrain requise.', hybrid_warning_type, behavioral_warning_score, instability_warning_score) AS reason FROM fus WHERE hybrid_warning_start = 1", *BRANCH),
     "m13_feature_labels": "SELECT event_type, count(*) AS n, event_type || '_sum_rrz' AS \"column\", event_type || '_sum_rrz - écart robuste glissant' AS label, event_type || '_sum_rrz (rrz)' AS short_label FROM events GROUP BY event_type",
+    "m15_guidance_lookup": B.sql("SELECT alert_level AS level, alert_level, count(*) AS n, CASE alert_level WHEN 'suspect' THEN 'Watch.' WHEN 'critique' THEN 'Call now.' END AS summary, "
+    "CASE alert_level WHEN 'suspect' THEN 'guide_a' WHEN 'critique' THEN 'b' END AS refs, CAST(CASE alert_level WHEN 'suspect' THEN 1 WHEN 'critique' THEN 2 END AS INTEGER) AS n_actions, "
+    "CASE alert_level WHEN 'suspect' THEN 'Watch. Action: Observe gait.' WHEN 'critique' THEN 'Call now. Action: Isolate.' WHEN 'normal' THEN 'Pas d''indice significatif; poursuivre la surveillance de routine. Action: Continuer le suivi quotidien et l''hygiène des sols/litière.' "
+    "ELSE 'Niveau non documente. Action: Vérifier le dossier clinique et réévaluer le cas.' END AS guidance FROM rul GROUP BY ALL", *RULES),
     "m14_level_priority": B.sql("SELECT alert_level AS level, CASE alert_level WHEN 'critique' THEN 3 WHEN 'probable' THEN 2 WHEN 'suspect' THEN 1 ELSE 0 END AS priority, count(*) AS n FROM rul GROUP BY ALL", *RULES),
     "w01_w02_differences": B.sql(f"SELECT {cols('entity:s bin ' + ' '.join(f'{c}_{x}' for c in ('steps_sum', 'lying_mean') for x in ('d1', 'd1_per_hour', 'mm7', 'vs_mm7')))} FROM dif", *GRID, *FX.differences("grid", cols=("steps_sum", "lying_mean"))),
     "w03_rolling_robust_z": B.sql(f"SELECT {cols('entity:s bin ' + ' '.join(f'{s}_sum_rrz' for s in S) + ' lying_mean_rrz')} FROM rrz", *FEAT),

@@ -91,7 +91,20 @@ W_RANKS = ("SELECT c_nationkey AS g, CAST(2 * rank() OVER (PARTITION BY c_nation
            "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, diff FROM cu WHERE diff <> 0")
 P_RANKS = ("SELECT c_nationkey AS g, CAST(2 * rank() OVER (PARTITION BY c_nationkey ORDER BY diff) + count(*) OVER (PARTITION BY c_nationkey, diff) - 1 AS BIGINT) AS r, "
            "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, label, sum(label) OVER (PARTITION BY c_nationkey) AS np FROM cu")
+ISOTONIC = (
+    "WITH lab AS (SELECT d.doc_id, d.source, CAST(d.n_chars AS DOUBLE) AS score, l.quality FROM documents d JOIN labels l USING (doc_id)), "
+    "fo AS (SELECT source, CAST((row_number() OVER (ORDER BY count(*) DESC, source) - 1) % 5 AS INTEGER) AS fold FROM lab GROUP BY source), "
+    "x AS MATERIALIZED (SELECT lab.*, fold FROM lab JOIN fo USING (source)), "
+    "t AS (SELECT f.fold, x.score, sum(quality) AS y, count(*) AS w FROM (SELECT DISTINCT fold FROM fo) f JOIN x ON x.fold <> f.fold GROUP BY 1, 2), "
+    "p AS MATERIALIZED (SELECT *, row_number() OVER v AS i, sum(y) OVER v AS cy, sum(w) OVER v AS cw FROM t WINDOW v AS (PARTITION BY fold ORDER BY score)), "
+    "m AS (SELECT a.fold, a.i AS j, b.i, min((b.cy - a.cy + a.y) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.fold, a.i ORDER BY b.i DESC) AS lo FROM p a JOIN p b ON a.fold = b.fold AND a.i <= b.i), "
+    "g AS MATERIALIZED (SELECT p.fold, p.score, max(lo) AS v FROM m JOIN p USING (fold, i) GROUP BY 1, 2), "
+    "n AS (SELECT x.doc_id, x.source, x.score, x.quality, x.fold, max(g.score) FILTER (WHERE g.score <= x.score) AS s0, min(g.score) FILTER (WHERE g.score >= x.score) AS s1 FROM x JOIN g USING (fold) GROUP BY ALL) "
+    "SELECT n.doc_id, n.source, n.score, n.quality, n.fold, round(CASE WHEN s0 IS NULL THEN b.v WHEN s1 IS NULL OR s0 = s1 THEN a.v ELSE a.v + (b.v - a.v) * (n.score - s0) / (s1 - s0) END, 6) + 0.0 AS probability "
+    "FROM n LEFT JOIN g a ON a.fold = n.fold AND a.score = s0 LEFT JOIN g b ON b.fold = n.fold AND b.score = s1"
+)
 LARGE = {
+    "x04_isotonic_out_of_fold": ISOTONIC,
     "x06_wilcoxon_large_groups": f"WITH RECURSIVE cu AS ({CUST[1]}), rk AS MATERIALIZED ({W_RANKS}), {counted('SELECT g, i, r FROM rk', '', False)}, "
     "o AS (SELECT g, count(*) AS n, sum(CAST(diff > 0 AS INTEGER)) AS np, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w, sum(r) AS t FROM rk GROUP BY g) "
     "SELECT o.g AS c_nationkey, CAST(o.n AS INTEGER) AS n_informative, CAST(o.np AS INTEGER) AS n_positive, round(o.w / 2.0, 6) + 0.0 AS w_plus, "
@@ -197,6 +210,7 @@ CHECKS: dict[str, str] = {
         ("lng", " UNION ALL ".join(f"SELECT entity, label, '{n}' AS metric, round({n}, 9) AS score FROM wk JOIN lbl USING (entity)" for n in ("pre7_hybrid_notifs", "pre7_hybrid_frac_time", "pre7_hybrid_score_max", "pre7_instability_surveillance_frac")))),
     "u01_union_ragged": "SELECT c_custkey AS key, c_mktsegment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, round(s_acctbal, 6) FROM supplier",
     "u02_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "u02_except_urgent": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "u03_intersect": "SELECT l_suppkey AS key FROM lineitem INTERSECT SELECT o_custkey FROM orders",
     "k04_best_config_runs_events": B.sql("SELECT l_orderkey, l_tax, l_linenumber FROM lineitem JOIN (SELECT * FROM gs ORDER BY robust_pass DESC, selection_score DESC, mix_rate_thr, persist_hours LIMIT 1) b ON l_tax = b.mix_rate_thr AND l_linenumber = b.persist_hours", *GSUM),
     "w21_cumulative_share": "SELECT l_returnflag, l_linenumber, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY l_returnflag ORDER BY weight DESC, l_linenumber ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY l_returnflag), 6) AS cumulative_share FROM (SELECT l_returnflag, l_linenumber, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)",

@@ -17,7 +17,7 @@ from sensorwatch.plans import tables as T
 from sensorwatch.plans.output import tidy
 from sensorwatch.plans.registry import query, shared
 from sensorwatch.sources import sinks as SK
-from sensorwatch.sources.tables import event_readings
+from sensorwatch.sources.tables import event_readings, table
 
 EV = ["entity", "event_id", "scenario", "expected", "start", "end"]
 METRICS = ["detected_any_overlap", "novel_start_count", "episode_overlap", "detected_iou20", "best_iou", "episode_overlap_raw",
@@ -279,6 +279,14 @@ def _(spark, d):
     return diff.groupBy().agg(F.count(F.lit(1)).alias("n_differences"))
 
 
+@query("j19_unequal_schedules")
+def _(spark, d):
+    """Two schedules that differ: days with clicks and days with views of each user, repeats counted."""
+    ev = table(spark, d, "events")
+    days = lambda kind: ev.where(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("day"))
+    return SK.same_rows(days("click"), days("view")).groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("user_id").alias("users"))
+
+
 @query("a26_detection_background_curve")
 def _(spark, d):
     configs = {f"{x:.2f}": HypoConfig(score_threshold=x) for x in (0.04, 0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20)}

@@ -433,6 +433,12 @@ def _(spark, d):
     return tidy(SK.union_ragged([a, b]))
 
 
+@query("u02_except_urgent")
+def _(spark, d):
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return table(spark, d, "customer").select("c_custkey").exceptAll(urgent.distinct())
+
+
 @query("u02_except")
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select("o_custkey").distinct())
