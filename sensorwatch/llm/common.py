@@ -35,13 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: a lost executor costs a re-read only."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the work tables this session has written, once their results are stored elsewhere."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """One Arrow pass; ``fn`` turns up to ``rows`` rows at a time into column arrays."""
     names = schema.fieldNames() if isinstance(schema, StructType) else StructType.fromDDL(schema).fieldNames()

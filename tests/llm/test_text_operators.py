@@ -78,6 +78,14 @@ def test_word_hashes_and_shingles():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_work_tables_can_be_cleared(spark):
+    common.clear(spark)
+    kept = common.written(spark.range(3), "some")
+    assert kept.count() == 3
+    common.clear(spark)
+    assert not os.path.exists(kept.inputFiles()[0].removeprefix("file://")) and not common._written
+
+
 # ------------------------------------------------------------------ 7 near-duplicates
 
 
