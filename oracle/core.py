@@ -15,6 +15,13 @@ SCORED = [*PRED0, *FX.distance_score()]
 RULES = [*SCORED, *FX.rules()]
 PRED = [*RULES, *D.hypo("rul"), *D.instability(), *D.fusion()]
 BRANCH = [*SPLIT, *D.hypo(), *D.instability(), *D.fusion()]
+LEVELS = (0.02, 0.04, 0.06, 0.08, 0.10)
+SWEPT = [
+    ("cont_1", FX.distance_score()[0][1]),
+    ("cont_2", f"SELECT *, quantile_cont(CASE WHEN dataset_split = 'baseline' THEN raw_score END, {list(LEVELS)}) OVER (PARTITION BY entity) AS offs FROM cont_1"),
+    ("cont", "SELECT s.* EXCLUDE (raw_score, offs), v.config, raw_score - offs[v.i] AS if_score, CAST(coalesce(raw_score - offs[v.i] < 0, false) AS INTEGER) AS if_anomaly_point FROM cont_2 s CROSS JOIN (VALUES "
+     + ", ".join(f"('contamination_{x:.2f}', {i})" for i, x in enumerate(LEVELS, 1)) + ") v(config, i)"),
+]
 INTS = ("n", "families", "candidate", "episode", "start", "notification", "surveillance", "priority", "activity", "anom", "k", "spike",
         "coherent", "coherence", "problem", "lameness", "notif", "cooldown", "hit", "fam", "point", "rank", "dow", "hour", "train")
 
@@ -147,6 +154,14 @@ CHECKS: dict[str, str] = {
     "CASE alert_level WHEN 'suspect' THEN 'guide_a' WHEN 'critique' THEN 'b' END AS refs, CAST(CASE alert_level WHEN 'suspect' THEN 1 WHEN 'critique' THEN 2 END AS INTEGER) AS n_actions, "
     "CASE alert_level WHEN 'suspect' THEN 'Watch. Action: Observe gait.' WHEN 'critique' THEN 'Call now. Action: Isolate.' WHEN 'normal' THEN 'Pas d''indice significatif; poursuivre la surveillance de routine. Action: Continuer le suivi quotidien et l''hygiène des sols/litière.' "
     "ELSE 'Niveau non documente. Action: Vérifier le dossier clinique et réévaluer le cas.' END AS guidance FROM rul GROUP BY ALL", *RULES),
+    "p02_mandatory_columns": "SELECT v AS verdict, (SELECT count(*) FROM events) AS n FROM (VALUES ('accepted'), ('columns not found: [''t'']'), ('columns not found: [''entity'', ''t'']')) x(v)",
+    "t01_interval_bins": B.sql("SELECT i AS interval, CAST(m AS INTEGER) AS minutes, count(DISTINCT (entity, time_bucket(to_minutes(m), t))) AS n_bins FROM raw CROSS JOIN (VALUES ('15T', 15), ('30T', 30), ('1H', 60), ('2H', 120), ('4H', 240)) v(i, m) GROUP BY ALL", B.RAW),
+    "m12_rule_reasons": B.sql("SELECT entity, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, concat_ws(' | ', printf('Persistance IF: %d/2 anomalies', CAST(if_anom_k AS BIGINT)), printf('Taux anomalies=%.1f%%', CASE WHEN low THEN 0.0 ELSE rk END * 100), "
+    "CASE WHEN f_activity + f_rest + f_transitions > 0 THEN 'Familles: ' || concat_ws(', ', CASE WHEN f_activity = 1 THEN 'activité' END, CASE WHEN f_rest = 1 THEN 'repos' END, CASE WHEN f_transitions = 1 THEN 'transitions' END) END, "
+    "CASE WHEN sk > 0 AND NOT low THEN printf('MI spike persistant=%d', CAST(sk AS BIGINT)) END, CASE WHEN coherence_boiterie = 1 THEN 'Cohérence multivariée=OK' END, CASE WHEN in_cooldown = 1 THEN 'En cooldown' END, CASE WHEN alert_level = 'critique' THEN 'Niveau critique' END) AS reason FROM rul", *RULES),
+    "d13_contamination_sweep": B.sql("SELECT config, CAST(sum(if_anomaly_point) AS BIGINT) AS anomalies, CAST(sum(pred_lameness_episode) AS BIGINT) AS episode_bins, CAST(sum(notif_lameness) AS BIGINT) AS notifications, "
+    "round(sum(notif_lameness) / count(DISTINCT (entity, CAST(bin AS DATE))), 6) + 0.0 AS notifications_per_entity_day, "
+    "CAST(rank() OVER (ORDER BY sum(notif_lameness) DESC, config) AS INTEGER) AS rank FROM rul GROUP BY config", *PRED0, *SWEPT, *FX.rules("cont", keys="entity, config")),
     "m14_level_priority": B.sql("SELECT alert_level AS level, CASE alert_level WHEN 'critique' THEN 3 WHEN 'probable' THEN 2 WHEN 'suspect' THEN 1 ELSE 0 END AS priority, count(*) AS n FROM rul GROUP BY ALL", *RULES),
     "w01_w02_differences": B.sql(f"SELECT {cols('entity:s bin ' + ' '.join(f'{c}_{x}' for c in ('steps_sum', 'lying_mean') for x in ('d1', 'd1_per_hour', 'mm7', 'vs_mm7')))} FROM dif", *GRID, *FX.differences("grid", cols=("steps_sum", "lying_mean"))),
     "w03_rolling_robust_z": B.sql(f"SELECT {cols('entity:s bin ' + ' '.join(f'{s}_sum_rrz' for s in S) + ' lying_mean_rrz')} FROM rrz", *FEAT),

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import asdict, replace
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorwatch.config import HypoConfig, InstabilityConfig, bins
+from sensorwatch.config import HypoConfig, InstabilityConfig, RulesConfig, bins
 from sensorwatch.functions import series as S
 from sensorwatch.functions.scalars import attach
 from sensorwatch.operators import hypo as H
+from sensorwatch.operators import rules as R
 from sensorwatch.operators.baseline import add_reference_masks
 
 # The one-factor-at-a-time variants around the reference.
@@ -131,3 +132,30 @@ def calibration_factors(background: DataFrame, low: float = 0.6, high: float = 1
     return attach(background, mid).withColumn(
         "factor", F.least(F.greatest(F.coalesce(raw, F.lit(1.0)), F.lit(low)), F.lit(high))
     ).drop("_mid")
+
+
+# Expected anomaly shares of the comparator sweep.
+CONTAMINATIONS = (0.02, 0.04, 0.06, 0.08, 0.10)
+
+
+def contamination_sweep(df: DataFrame, raw: str, interval: str, shares: Sequence[float] = CONTAMINATIONS, cfg: RulesConfig = RulesConfig(), keys: Sequence[str] = S.ENTITY) -> DataFrame:
+    """Comparator rules at several contaminations of one outlier score (column ``raw``), keyed by (entity, config).
+
+    All cuts of an entity come from one sort of its training scores.
+    """
+    cuts = F.percentile(F.when(F.col("dataset_split") == "baseline", F.col(raw)), F.array(*[F.lit(x) for x in shares])).over(S.whole(keys))
+    names = F.array(*[F.struct(F.lit(f"contamination_{x:.2f}").alias("config"), F.lit(i + 1).alias("i")) for i, x in enumerate(shares)])
+    df = df.withColumn("_cuts", cuts).withColumn("_c", F.explode(names)).withColumn("config", F.col("_c.config"))
+    df = df.withColumn("if_score", F.col(raw) - F.element_at("_cuts", F.col("_c.i")))
+    df = df.withColumn("if_anomaly_point", F.coalesce((F.col("if_score") < 0).cast("int"), F.lit(0))).drop("_cuts", "_c", raw)
+    return R.apply_rules(df, interval, cfg, (*keys, "config"))
+
+
+def contamination_summary(swept: DataFrame) -> DataFrame:
+    """Anomalies, episode bins and notifications (also per entity-day) of every contamination, most notifying first."""
+    g = swept.groupBy("config").agg(
+        F.sum("if_anomaly_point").cast("long").alias("anomalies"), F.sum("pred_lameness_episode").cast("long").alias("episode_bins"),
+        F.sum("notif_lameness").cast("long").alias("notifications"), F.count_distinct("entity", F.to_date("bin")).alias("_days"),
+    )
+    g = g.withColumn("notifications_per_entity_day", F.col("notifications") / F.col("_days")).drop("_days")
+    return g.withColumn("rank", F.rank().over(Window.orderBy(F.desc("notifications"), "config")).cast("int"))  # a row per configuration

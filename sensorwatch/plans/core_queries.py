@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from sensorwatch.config import SIGNALS, FusionConfig, HypoConfig, RulesConfig
+from sensorwatch.config import INTERVALS, SIGNALS, FusionConfig, HypoConfig, RulesConfig, interval_minutes
 from sensorwatch.functions import scalars as SC
 from sensorwatch.functions import series as S
 from sensorwatch.operators import baseline as BL
@@ -383,6 +385,41 @@ def _(spark, d):
     return RP.with_reasons(T.branch_predictions(spark, d)).select("entity", F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "reason")
 
 
+@query("m12_rule_reasons")
+def _(spark, d):
+    p = T.predictions(spark, d)
+    return p.select("entity", F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), RP.reason(p).alias("reason"))
+
+
+@query("d13_contamination_sweep")
+def _(spark, d):
+    df = T.feature_table(spark, d).withColumn("_raw", T.raw_distance())
+    return tidy(SW.contamination_summary(SW.contamination_sweep(df, "_raw", T.INTERVAL)))
+
+
+@query("p02_mandatory_columns")
+def _(spark, d):
+    """Readings with their mandatory columns pass; without one of them the table is refused by name."""
+    r = event_readings(spark, d)
+
+    def verdict(df):
+        try:
+            return RD.require_columns(df, "entity", "t").select(F.lit("accepted").alias("verdict"))
+        except ValueError as error:
+            return df.select(F.lit(str(error).split(";")[0]).alias("verdict"))
+
+    cases = [verdict(r), verdict(r.drop("t")), verdict(r.drop("entity", "t"))]
+    return reduce(lambda a, b: a.union(b), cases).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t01_interval_bins")
+def _(spark, d):
+    """Bins that hold readings at every accepted interval."""
+    r = event_readings(spark, d)
+    bins_ = [r.select(F.lit(i).alias("interval"), F.lit(interval_minutes(i)).alias("minutes"), "entity", G.bin_start(F.col("t"), i).alias("bin")) for i in INTERVALS]
+    return reduce(lambda a, b: a.union(b), bins_).groupBy("interval", "minutes").agg(F.count_distinct("entity", "bin").alias("n_bins"))
+
+
 @query("m13_feature_labels")
 def _(spark, d):
     ev = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

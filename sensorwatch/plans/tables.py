@@ -32,14 +32,19 @@ def feature_table(spark, d):
     return BL.add_split(FE.interval_features(event_readings(spark, d), INTERVAL))
 
 
+def raw_distance():
+    """Mean capped rolling z of the sums, negative; NULL for badly covered bins."""
+    z = sum((F.least(F.abs(f"{s}_sum_rrz"), F.lit(6.0)) for s in ("motion", "lying", "standing", "transitions")),
+            F.least(F.abs("steps_sum_rrz"), F.lit(6.0)))
+    return F.when(F.col("coverage_pct") >= 25.0, 0.0 - z / 5.0)
+
+
 def robust_distance_score(df, keys=S.ENTITY):
     """A deterministic outlier score from rolling z values, thresholded like the forest's.
 
     Stands in for the forest where a query is checked against SQL.
     """
-    z = sum((F.least(F.abs(f"{s}_sum_rrz"), F.lit(6.0)) for s in ("motion", "lying", "standing", "transitions")),
-            F.least(F.abs("steps_sum_rrz"), F.lit(6.0)))
-    df = df.withColumn("_raw", F.when(F.col("coverage_pct") >= 25.0, 0.0 - z / 5.0))
+    df = df.withColumn("_raw", raw_distance())
     cut = F.percentile(F.when(F.col("dataset_split") == "baseline", F.col("_raw")), F.lit(0.06)).over(S.whole(keys))
     return df.withColumn("if_score", F.col("_raw") - cut).withColumn(
         "if_anomaly_point", F.coalesce((F.col("if_score") < 0).cast("int"), F.lit(0))
