@@ -225,7 +225,7 @@ def permutation_auc(df: DataFrame, label: str, score: str, keys: Sequence[str],
         y = pdf[label].to_numpy(int)
         k, size = int(y.sum()), len(y)
         if not 0 < k < size:
-            return pd.DataFrame([], columns=[*keys, "_one", "_two", "_all"])
+            return pd.DataFrame([[*pdf.iloc[0][list(keys)], None, None, float(comb(size, k))]], columns=[*keys, "_one", "_two", "_all"])
         chances = placed_sum_chances(ranks, k)
         middle, observed, sums = k * (size + 1), ranks[y == 1].sum(), np.arange(len(chances))
         one, two = chances[sums >= observed].sum(), chances[np.abs(sums - middle) >= abs(observed - middle)].sum()
@@ -245,11 +245,14 @@ def permutation_auc(df: DataFrame, label: str, score: str, keys: Sequence[str],
 def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, keys: Sequence[str], order: Sequence[str], most: int = 1_000_000) -> DataFrame:
     """Multiplicity over a family of scores: the primary AUC against the best permuted AUC of any score.
 
-    ``df`` is long: one row per unit and score name (column ``family``). All placements
-    of the labels are tried up to ``most``; beyond that as many seeded random ones
-    (``method`` "sampled").
+    ``df`` is long: one row per unit and score name (column ``family``). Units that lack a
+    score or the label are left out. All placements of the labels are tried up to
+    ``most``; beyond that as many seeded random ones (``method`` "sampled"). Every
+    group has a row, with NULL statistics where one class is empty.
     """
-    d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    units = Window.partitionBy(*keys, *order)
+    whole = F.count(F.when(F.col(label).isNotNull() & F.col(score).isNotNull(), 1)).over(units) == F.count(F.lit(1)).over(units)
+    d = df.withColumn("_whole", whole).where("_whole").drop("_whole")
     d = average_ranks(d, score, "_rank", [*keys, family])
     names = ["observed_auc", "p_one_sided", "p_two_sided", "n_permutations", "method"]
 
@@ -259,18 +262,17 @@ def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, k
         y = units[label].to_numpy(int)
         rows, whole = label_placements(len(y), int(y.sum()), most)
         best_one, best_two, observed = np.full(len(rows), np.nan), np.full(len(rows), np.nan), None
-        for name, own in pdf.groupby(family):
-            at = [place[u] for u in own[list(order)].itertuples(index=False, name=None)]  # units without this score stay out
-            ranks, n = own["_rank"].to_numpy(), len(own)
-            k = rows[:, at].sum(axis=1, dtype=np.int64)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                auc = np.where((k > 0) & (k < n), (rows[:, at] @ ranks - k * (k + 1) / 2) / (k * (n - k)), np.nan)
+        n, k = len(y), int(y.sum())
+        for name, own in pdf.groupby(family) if 0 < k < n else ():
+            at = [place[u] for u in own[list(order)].itertuples(index=False, name=None)]
+            ranks = np.empty(n)
+            ranks[at] = own["_rank"].to_numpy()
+            auc = (rows @ ranks - k * (k + 1) / 2) / (k * (n - k))
             best_one, best_two = np.fmax(best_one, auc), np.fmax(best_two, np.abs(auc - 0.5))
-            own_k = int(y[at].sum())
-            if name == primary and 0 < own_k < n:
-                observed = float((ranks[y[at] == 1].sum() - own_k * (own_k + 1) / 2) / (own_k * (n - own_k)))
+            if name == primary:
+                observed = float((ranks[y == 1].sum() - k * (k + 1) / 2) / (k * (n - k)))
         if observed is None:
-            return pd.DataFrame([], columns=[*keys, *names])
+            return pd.DataFrame([[*pdf.iloc[0][list(keys)], None, None, None, len(rows), EXACT if whole else "sampled"]], columns=[*keys, *names])
         values = [observed, float((best_one >= observed - 1e-12).mean()), float((best_two >= abs(observed - 0.5) - 1e-12).mean()), len(best_one), EXACT if whole else "sampled"]
         return pd.DataFrame([[*pdf.iloc[0][list(keys)], *values]], columns=[*keys, *names])
 
