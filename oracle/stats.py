@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle import base as B
+from oracle import features as FX
 from oracle.campaign import ADJ, EVENTS, SPANS, TS, rotated
-from oracle.core import BRANCH, GRID, SPLIT
+from oracle.core import BRANCH, GRID, PRED0, SPLIT
 
 LAB = ("lab", "SELECT d.doc_id, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS score, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
 SEGS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -77,6 +80,24 @@ SCALED = ("scl", "SELECT *, " + ", ".join(f"({c} - m_{c}) / CASE WHEN w_{c} > 0
     f"quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.5) OVER (PARTITION BY entity) AS m_{c}, quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.9) OVER (PARTITION BY entity) - quantile_cont(CASE WHEN dataset_split = 'baseline' THEN {c} END, 0.1) OVER (PARTITION BY entity) AS w_{c}" for c in LOFC) + " FROM spl)")
 DIST = "sqrt(" + " + ".join(f"power(a.{c}_scaled - b.{c}_scaled, 2)" for c in LOFC) + ")"
 
+
+def local_outliers(dist: str) -> list[tuple[str, str]]:
+    """Local outlier factor of the scaled rows ``scl`` against training rows, as ``fin`` (raw, cut)."""
+    return [("inn", f"SELECT * FROM (SELECT a.entity, a.pos, b.pos AS near, {dist} AS d, row_number() OVER (PARTITION BY a.entity, a.pos ORDER BY {dist}, b.pos) AS k FROM scl a JOIN scl b ON a.entity = b.entity AND a.tr AND b.tr AND a.pos <> b.pos) WHERE k <= 20"),
+        ("kd", "SELECT entity, pos, max(d) AS kd FROM inn GROUP BY ALL"),
+        ("lrd", "SELECT i.entity, i.pos, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM inn i JOIN kd ON kd.entity = i.entity AND kd.pos = i.near GROUP BY ALL"),
+        ("outr", f"SELECT * FROM (SELECT a.entity, a.pos, b.pos AS near, {dist} AS d, row_number() OVER (PARTITION BY a.entity, a.pos ORDER BY {dist}, b.pos) AS k FROM scl a JOIN scl b ON a.entity = b.entity AND b.tr) WHERE k <= 20"),
+        ("mine", "SELECT i.entity, i.pos, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS mine, avg(lrd) AS around FROM outr i JOIN kd ON kd.entity = i.entity AND kd.pos = i.near JOIN lrd ON lrd.entity = i.entity AND lrd.pos = i.near GROUP BY ALL"),
+        ("own", "SELECT i.entity, i.pos, 0.0 - avg(n.lrd) / any_value(m.lrd) AS own FROM inn i JOIN lrd n ON n.entity = i.entity AND n.pos = i.near JOIN lrd m ON m.entity = i.entity AND m.pos = i.pos GROUP BY ALL"),
+        ("fin", "SELECT s.*, 0.0 - around / mine AS raw, quantile_cont(CASE WHEN s.tr THEN own END, 0.06) OVER (PARTITION BY s.entity) AS cut FROM scl s JOIN mine USING (entity, pos) LEFT JOIN own USING (entity, pos)")
+    ]
+
+
+RRZ = [c + "_rrz" for c in LOFC]
+SCALED_RRZ = (SCALED[0], re.sub("|".join(LOFC), lambda m: m[0] + "_rrz", SCALED[1]))
+DIST_RRZ = re.sub("|".join(LOFC), lambda m: m[0] + "_rrz", DIST)
+LOF_SCORED = ("scored", "SELECT *, CASE WHEN coverage_pct >= 25 THEN raw - cut END AS if_score, CAST(coalesce(coverage_pct >= 25 AND raw - cut < 0, false) AS INTEGER) AS if_anomaly_point FROM fin")
+
 CUST = ("cu", "SELECT c_nationkey, c_custkey, round(c_acctbal - 4500, 2) AS diff, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS label, c_acctbal FROM customer")
 
 
@@ -105,6 +126,8 @@ ISOTONIC = (
     "FROM n LEFT JOIN g a ON a.fold = n.fold AND a.score = s0 LEFT JOIN g b ON b.fold = n.fold AND b.score = s1"
 )
 LARGE = {
+    "d08_local_outliers_with_rules": B.sql("SELECT entity, CAST(sum(if_anomaly_point) AS BIGINT) AS anomalies, CAST(sum(pred_lameness_episode) AS BIGINT) AS episode_bins, CAST(sum(notif_lameness) AS BIGINT) AS notifications FROM rul GROUP BY entity",
+        *PRED0, SCALED_RRZ, *local_outliers(DIST_RRZ), LOF_SCORED, *FX.rules()),
     "x04_isotonic_out_of_fold": ISOTONIC,
     "x06_wilcoxon_large_groups": f"WITH RECURSIVE cu AS ({CUST[1]}), rk AS MATERIALIZED ({W_RANKS}), {counted('SELECT g, i, r FROM rk', '', False)}, "
     "o AS (SELECT g, count(*) AS n, sum(CAST(diff > 0 AS INTEGER)) AS np, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w, sum(r) AS t FROM rk GROUP BY g) "
@@ -153,14 +176,7 @@ CHECKS: dict[str, str] = {
     "x16_autocorrelation": B.sql("SELECT entity, n_obs, lag, round(rho, 6) + 0.0 AS rho FROM acf", *HOURLY, *acf("hr", 24)),
     "x16_correlation_time": B.sql("SELECT entity, n_obs, coalesce(te, 24.0)::DOUBLE AS tau_e, round(ti, 6) AS tau_int, round(n_obs / ti, 6) AS n_eff FROM (SELECT entity, n_obs, min(CASE WHEN rho < exp(-1) THEN lag END) AS te, greatest(1.0, 1.0 + 2.0 * coalesce(sum(CASE WHEN lag < coalesce(st, 99) THEN rho END), 0)) AS ti FROM "
         "(SELECT *, min(CASE WHEN rho IS NULL OR rho <= 0 THEN lag END) OVER (PARTITION BY entity) AS st FROM acf) GROUP BY ALL)", *GRID, ("rl", f"SELECT entity, bin, {B.rolling_total('steps_sum', 3, least=3)} AS x FROM grid"), *acf("rl", 24)),
-    "x18_local_outlier_factor": B.sql(f"SELECT entity, {TS('bin')}, round(CASE WHEN coverage_pct >= 25 THEN raw - cut END, 6) + 0.0 AS if_score, CAST(coalesce(coverage_pct >= 25 AND raw - cut < 0, false) AS INTEGER) AS if_anomaly_point FROM fin", *SPLIT, SCALED,
-        ("inn", f"SELECT * FROM (SELECT a.entity, a.pos, b.pos AS near, {DIST} AS d, row_number() OVER (PARTITION BY a.entity, a.pos ORDER BY {DIST}, b.pos) AS k FROM scl a JOIN scl b ON a.entity = b.entity AND a.tr AND b.tr AND a.pos <> b.pos) WHERE k <= 20"),
-        ("kd", "SELECT entity, pos, max(d) AS kd FROM inn GROUP BY ALL"),
-        ("lrd", "SELECT i.entity, i.pos, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM inn i JOIN kd ON kd.entity = i.entity AND kd.pos = i.near GROUP BY ALL"),
-        ("outr", f"SELECT * FROM (SELECT a.entity, a.pos, b.pos AS near, {DIST} AS d, row_number() OVER (PARTITION BY a.entity, a.pos ORDER BY {DIST}, b.pos) AS k FROM scl a JOIN scl b ON a.entity = b.entity AND b.tr) WHERE k <= 20"),
-        ("mine", "SELECT i.entity, i.pos, 1.0 / (avg(greatest(d, kd)) + 1e-10) AS mine, avg(lrd) AS around FROM outr i JOIN kd ON kd.entity = i.entity AND kd.pos = i.near JOIN lrd ON lrd.entity = i.entity AND lrd.pos = i.near GROUP BY ALL"),
-        ("own", "SELECT i.entity, i.pos, 0.0 - avg(n.lrd) / any_value(m.lrd) AS own FROM inn i JOIN lrd n ON n.entity = i.entity AND n.pos = i.near JOIN lrd m ON m.entity = i.entity AND m.pos = i.pos GROUP BY ALL"),
-        ("fin", "SELECT s.entity, s.bin, s.coverage_pct, 0.0 - around / mine AS raw, quantile_cont(CASE WHEN s.tr THEN own END, 0.06) OVER (PARTITION BY s.entity) AS cut FROM scl s JOIN mine USING (entity, pos) LEFT JOIN own USING (entity, pos)")),
+    "x18_local_outlier_factor": B.sql(f"SELECT entity, {TS('bin')}, round(CASE WHEN coverage_pct >= 25 THEN raw - cut END, 6) + 0.0 AS if_score, CAST(coalesce(coverage_pct >= 25 AND raw - cut < 0, false) AS INTEGER) AS if_anomaly_point FROM fin", *SPLIT, SCALED, *local_outliers(DIST)),
     "x19_robust_scaling": B.sql(f"SELECT entity, {TS('bin')}, {R6('steps_sum_scaled')}, {R6('lying_sum_scaled')} FROM scl", *SPLIT, SCALED),
     "x20_tolerant_table_diff": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority LIKE '1%' THEN '<row>' WHEN o_orderpriority LIKE '2%' THEN 'o_totalprice' ELSE 'o_orderpriority' END AS \"column\" FROM orders WHERE (o_orderstatus = 'P' AND o_orderpriority LIKE '1%') OR (o_orderpriority LIKE '2%' AND 10 > 1e-8 + 1e-7 * (o_totalprice + 10)) OR (o_orderstatus = 'F' AND o_orderpriority LIKE '3%')",
     "j01_left_with_exclusions": "SELECT d.doc_id, lang, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic, CASE WHEN quality IS NULL THEN 'score_absent' END AS exclusion_reason FROM documents d LEFT JOIN labels l USING (doc_id)",
