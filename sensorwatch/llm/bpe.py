@@ -48,17 +48,21 @@ def byte_characters() -> list[str]:
 
 
 class Pieces(dict):
-    """Piece -> its ids as packed 32-bit integers; computed on demand, kept up to ``most`` short pieces."""
+    """Piece -> its ids as packed 32-bit integers, computed on demand. Short pieces are kept in two generations
+    of up to ``most``: a full one becomes the old one, from which pieces still in use come back."""
 
     def __init__(self, bpe: Bpe, most: int):
         super().__init__()
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.old = bpe, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.bpe.merge(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.bpe.merge(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 40:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -67,7 +71,7 @@ class Pieces(dict):
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 150_000):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         vocabulary = whole["model"]["vocab"]
