@@ -75,8 +75,12 @@ def forest_task(cols: Sequence[str], n_trees: int, block: int, max_samples: int,
             slot = (tree * nodes + at)[live]
             count = np.bincount(slot, minlength=trees * nodes)
             low, high = np.full((trees * nodes, n_feat), np.inf), np.full((trees * nodes, n_feat), -np.inf)
-            np.minimum.at(low, slot, sample[live])
-            np.maximum.at(high, slot, sample[live])
+            if len(slot):
+                order = np.argsort(slot, kind="stable")
+                first = np.flatnonzero(np.diff(slot[order], prepend=-1))
+                inside = sample[live][order]
+                low[slot[order][first]] = np.minimum.reduceat(inside, first, axis=0)
+                high[slot[order][first]] = np.maximum.reduceat(inside, first, axis=0)
             usable = (high > low) & np.repeat(kept, nodes, axis=0)
             split = usable.any(axis=1) & (level < depth)
             row_slot = tree * nodes + where

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from sensorwatch.functions.scalars import attach, stable_seed
 from sensorwatch.operators.exact import label_placements, placed_sum_chances, sign_flip_p, student_tail, subset_sum_chances
-from sensorwatch.sources.readings import shared_folder
+from sensorwatch.sources.readings import stored
 
 
 def running(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), desc: bool = False) -> DataFrame:
@@ -29,8 +29,8 @@ def running(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str]
     sum of those before them.
     """
     sort = F.desc(order) if desc else F.asc(order)
-    placed = df.repartitionByRange(*[F.asc(k) for k in keys], sort).withColumn("_range", F.spark_partition_id())
-    placed = fixed(placed)
+    placed = stored(df, "running")  # the range partitioner samples its input, which would compute it twice
+    placed = fixed(placed.repartitionByRange(*[F.asc(k) for k in keys], sort).withColumn("_range", F.spark_partition_id()))
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -47,8 +47,7 @@ def running(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str]
 
 def fixed(df: DataFrame) -> DataFrame:
     """Materialise rows in the shared checkpoint folder, so a lost task cannot place them anew."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return stored(df, "fixed")
 
 
 def by_value(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
