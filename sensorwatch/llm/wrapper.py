@@ -2,18 +2,20 @@
 
 Pages of a host come together in runs of bounded length. The page with most nodes is the run's
 reference; every page's DOM tree is aligned with it by simple tree matching (runs of like siblings
-count as one repeated node). Text that stays the same at a node through most of the run is
-template; what varies is content. The content's container is the page's article or main element,
-or else the innermost node that holds most of the varying text outside links. Inside an
-article, text is kept even where it repeats, since copies of an article are content too.
+count as one repeated node). A block of text at a node of the reference is a slot. A slot that
+recurs through most of a run's different pages is template, inside an article as well; pages that
+share most of their other text are copies of each other and count once, so the paragraphs of a
+copied article are no template. A block that is most of its page's text stays, and so does a page
+that would lose everything. What is left of the article or main elements is the page's text, or
+else what the innermost node with most of the text outside links holds.
 
 Elements that never hold main text (menus, headers, footers, asides, forms, scripts, styles, and
 whatever names itself an advert, notice, sidebar or comment section) are left out first.
 
 Null html counts as empty and gives an empty text. Malformed pages are closed as browsers do: a
 block ends an open paragraph, unmatched end tags are ignored. Rows of a host are range-split, so
-a host of any size is many runs; which pages meet in a run depends on the partitioning and only
-matters for pages without an article or main element.
+a host of any size is many runs. Which pages meet in a run depends on the partitioning, and so does
+what shows itself as template in runs of few pages; a run of one or two pages has none.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,15 +209,33 @@ def match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     """Simple tree matching: size of the largest order-preserving match of two trees, and its pairs."""
     if a.label != b.label:
         return 0, []
-    m, n = len(a.children), len(b.children)
+    if a.key == b.key:
+        out = list(zip(a.walk(), b.walk(), strict=True))
+        return len(out), out
+    out, total = [(a, b)], 1
+    left, right = a.children, b.children
+    low, m, n = 0, len(left), len(right)
+    ends = []  # equal children at either end belong together in a largest match
+    while low < min(m, n) and left[low].key == right[low].key:
+        ends.append((left[low], right[low]))
+        low += 1
+    while low < min(m, n) and left[m - 1].key == right[n - 1].key:
+        m, n = m - 1, n - 1
+        ends.append((left[m], right[n]))
+    for x, y in ends:
+        score, pairs = match(x, y)
+        total += score
+        out += pairs
+    left, right = left[low:m], right[low:n]
+    m, n = len(left), len(right)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     found: dict[tuple[int, int], list] = {}
     for i in range(1, m + 1):
         for j in range(1, n + 1):
-            score, pairs = match(a.children[i - 1], b.children[j - 1])
-            found[i, j] = pairs
+            score = 0
+            if left[i - 1].label == right[j - 1].label:
+                score, found[i, j] = match(left[i - 1], right[j - 1])
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + score)
-    out = [(a, b)]
     i, j = m, n
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -224,11 +245,11 @@ def match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
         else:
             out += found[i, j]
             i, j = i - 1, j - 1
-    return best[m][n] + 1, out
+    return best[m][n] + total, out
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """Text of the article or main elements, or of the innermost node with most of the text that is not template."""
+def body(root: Node) -> list[tuple[Node, str]]:
+    """Blocks of the article or main elements, or of the whole page if these have no text."""
     mains = []
     stack = [root]
     while stack:
@@ -237,10 +258,73 @@ def main_text(root: Node, template: set[int]) -> str:
             mains.append(n)
         else:
             stack += [c for c in reversed(n.children) if not isinstance(c, str)]
-    texts = [text for n in mains for _, text in blocks(n)]
-    if texts:
-        return " ".join(texts)
-    varying = [(n, text) for n, text in blocks(root) if id(n) not in template]
+    return [b for n in mains for b in blocks(n)] or blocks(root)
+
+
+def _link_text(n: Node) -> int:
+    """Characters inside links directly below a block."""
+    return sum(len(text) for c in n.children if not isinstance(c, str) and c.tag == "a" for _, text in blocks(c))
+
+
+def _groups(alike: np.ndarray) -> np.ndarray:
+    """Group number of every page: those that are alike, directly or over others."""
+    group = np.full(len(alike), -1)
+    for number, start in enumerate(range(len(alike))):
+        if group[start] < 0:
+            new = np.arange(len(alike)) == start
+            while new.any():
+                group[new] = number
+                new = alike[new].any(axis=0) & (group < 0)
+    return group
+
+
+def templates(roots: list[Node], own: list[list[tuple[Node, str]]]) -> list[set[int]]:
+    """Of every page of a run, the places in its list of blocks that are template."""
+    fixed: list[set[int]] = [set() for _ in roots]
+    full = [i for i, page in enumerate(own) if page]
+    if len(full) < 3:  # a template shows itself in three pages or more
+        return fixed
+    shapes = {i: Shape([roots[i]]) for i in full}
+    reference = max(shapes.values(), key=lambda s: (s.key.count("("), s.key))
+    for number, s in enumerate(reference.walk()):
+        s.number = number
+    slots: dict[tuple[int, str], dict[int, list[int]]] = {}  # pages of a slot and the places of its blocks there
+    weights: dict[str, int] = {}  # characters outside links, by text
+    texts: list[set[str]] = []
+    for i in full:
+        place = {id(n): a.number for a, b in match(reference, shapes[i])[1] for n in b.nodes}
+        for k, (n, text) in enumerate(own[i]):
+            weights[text] = max(weights.get(text, 0), len(text) - _link_text(n))
+            if id(n) in place:
+                slots.setdefault((place[id(n)], text), {}).setdefault(i, []).append(k)
+        texts.append({text for _, text in own[i]})
+    column = {x: c for c, x in enumerate(x for x, n in Counter(x for page in texts for x in page).items() if n > 1)}
+    has = np.zeros((len(full), len(column)), bool)
+    for row, page in enumerate(texts):
+        has[row, [column[x] for x in page if x in column]] = True
+    weight = np.array([weights[x] for x in column], np.int64)
+    total = np.array([sum(weights[x] for x in page) for page in texts])
+    common = (has * weight) @ has.T.astype(np.int64)
+    for (_, text), pages in slots.items():
+        if len(pages) < 3:
+            continue
+        holds, w = has[:, column[text]], weights[text]
+        rest = total - w * holds
+        alike = 2 * (common - w * np.outer(holds, holds)) >= np.maximum.outer(rest, rest)
+        group = _groups(alike)
+        held = [row for row, i in enumerate(full) if i in pages]
+        if len(set(group[held])) >= max(3, 0.6 * len(set(group))):
+            for row in held:
+                if 2 * w <= total[row]:
+                    fixed[full[row]].update(pages[full[row]])
+    return [set() if len(f) == len(page) else f for f, page in zip(fixed, own, strict=True)]
+
+
+def main_text(root: Node, own: list[tuple[Node, str]], template: set[int]) -> str:
+    """What is not template of the article, or else of the innermost node with most of it."""
+    varying = [b for k, b in enumerate(own) if k not in template]
+    if holds_main(root):
+        return " ".join(text for _, text in varying)
     inside = defaultdict(int)  # text below every node that holds a block
     weight = {id(n): 0 for n, _ in varying}
     for n, text in varying:
@@ -268,37 +352,15 @@ def main_text(root: Node, template: set[int]) -> str:
         if top is None or top.tag == "p" or top.tag in INLINE or inside[id(top)] < 0.7 * inside[id(node)]:
             break
         node = top
-    own = {id(n) for n, _ in blocks(node)}
-    return " ".join(text for n, text in varying if id(n) in own)
-
-
-def _link_text(n: Node) -> int:
-    """Characters inside links directly below a block."""
-    return sum(len(text) for c in n.children if not isinstance(c, str) and c.tag == "a" for _, text in blocks(c))
+    below = {id(n) for n, _ in blocks(node)}
+    return " ".join(text for n, text in varying if id(n) in below)
 
 
 def extract(pages: list[str]) -> list[str]:
     """Main texts of a run of pages of one host."""
     roots = [prune(parse(x)) for x in pages]
-    loose = [i for i, r in enumerate(roots) if not holds_main(r)]
-    templates: dict[int, set[int]] = {i: set() for i in range(len(roots))}
-    if len(loose) > 2:  # a template shows itself in three pages or more
-        shapes = {i: Shape([roots[i]]) for i in loose}
-        reference = max(shapes.values(), key=lambda s: (s.key.count("("), s.key))
-        for number, s in enumerate(reference.walk()):
-            s.number = number
-        seen: Counter = Counter()
-        slots: dict[int, list[tuple[Node, tuple[int, str]]]] = {}
-        for i, shape in shapes.items():
-            place = {id(n): a.number for a, b in match(reference, shape)[1] for n in b.nodes}
-            own = [(n, (place[id(n)], text)) for n, text in blocks(roots[i]) if id(n) in place]
-            slots[i] = own
-            seen.update({slot for _, slot in own})
-        often = max(3, 0.6 * len(loose))
-        for i, own in slots.items():
-            fixed = {id(n) for n, slot in own if seen[slot] >= often}
-            templates[i] = fixed if len(fixed) < len({id(n) for n, _ in own}) else set()  # a page that is all template is a copy
-    return [main_text(r, templates[i]) for i, r in enumerate(roots)]
+    own = [body(r) for r in roots]
+    return [main_text(r, page, f) for r, page, f in zip(roots, own, templates(roots, own), strict=True)]
 
 
 def page_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -387,6 +387,12 @@ def test_constant_nodes_become_template():
     assert wrapper.extract(copies) == ["A copied story."] * 4
 
 
+def test_template_inside_articles():
+    pages = [page(f"<article><h1>Story {i}</h1><p>Read more on our site.</p><p>It tells of {i * 7} and of nothing else than {i}.</p></article>") for i in range(6)]
+    assert wrapper.extract(pages) == [f"Story {i} It tells of {i * 7} and of nothing else than {i}." for i in range(6)]
+    assert wrapper.extract(pages[:1] * 6) == ["Story 0 Read more on our site. It tells of 0 and of nothing else than 0."] * 6
+
+
 def test_tree_matching_counts_the_largest_match():
     shape = lambda html: wrapper.Shape([wrapper.parse(html)])
     a, b = shape("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), shape("<div><ul><li>y</ul><h2>n</h2><p>3</p></div>")
