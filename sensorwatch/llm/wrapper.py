@@ -6,8 +6,8 @@ count as one repeated node). A block of text at a node of the reference is a slo
 recurs through most of a run's different pages is template, inside an article as well; pages that
 share most of their other text are copies of each other and count once, so the paragraphs of a
 copied article are no template. A block that is most of its page's text stays, and so does a page
-that would lose everything. What is left of the article or main elements is the page's text, or
-else what the innermost node with most of the text outside links holds.
+that would lose everything. What is left of the article or main elements is the page's text; a page
+without them keeps every block that is not template.
 
 Elements that never hold main text (menus, headers, footers, asides, forms, scripts, styles, and
 whatever names itself an advert, notice, sidebar or comment section) are left out first.
@@ -21,7 +21,7 @@ what shows itself as template in runs of few pages; a run of one or two pages ha
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,13 +48,14 @@ RUN = 64
 
 
 class Node:
-    __slots__ = ("children", "kind", "label", "tag")
+    __slots__ = ("children", "form", "kind", "label", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.children = tag, []
         named = (attrs.get("class", "") + " " + attrs.get("id", "")).strip()
         self.label = f"{tag}.{named.split()[0]}" if named else tag
         self.kind = ""
+        self.form = tag == "form" or attrs.get("role") == "form"
         if tag in ("html", "body"):
             return
         role = attrs.get("role", "")
@@ -125,15 +126,32 @@ def holds_main(node: Node) -> bool:
     return False
 
 
+def _length(node: Node) -> int:
+    return sum(len(text) for _, text in blocks(node))
+
+
+def holds_page(form: Node, root: Node) -> bool:
+    """Whether a form wraps the page: the article is in it, or prose and most of the page's text."""
+    if holds_main(form):
+        return True
+    stack = [form]
+    while stack:
+        n = stack.pop()
+        if n.tag == "p" or n.tag in HEADINGS:
+            return 2 * _length(form) > sum(_length(c) for c in root.children if not isinstance(c, str) and c.tag != "head")
+        stack += [c for c in n.children if not isinstance(c, str) and c.kind != "drop"]
+    return False
+
+
 def prune(root: Node) -> Node:
-    """Drop what is never main text. A named box that holds the article itself stays."""
+    """Drop what is never main text. A named box or a form that holds the article itself stays."""
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         kept = []
         for c in node.children:
             if not isinstance(c, str):
-                if c.kind == "drop" or c.kind == "named" and not holds_main(c):
+                if c.kind == "drop" and not (c.form and holds_page(c, root)) or c.kind == "named" and not holds_main(c):
                     kept.append(" ")
                     continue
                 if c.kind == "header" and not holds_main(c):
@@ -320,47 +338,11 @@ def templates(roots: list[Node], own: list[list[tuple[Node, str]]]) -> list[set[
     return [set() if len(f) == len(page) else f for f, page in zip(fixed, own, strict=True)]
 
 
-def main_text(root: Node, own: list[tuple[Node, str]], template: set[int]) -> str:
-    """What is not template of the article, or else of the innermost node with most of it."""
-    varying = [b for k, b in enumerate(own) if k not in template]
-    if holds_main(root):
-        return " ".join(text for _, text in varying)
-    inside = defaultdict(int)  # text below every node that holds a block
-    weight = {id(n): 0 for n, _ in varying}
-    for n, text in varying:
-        weight[id(n)] += len(text) - _link_text(n)
-
-    def measure(n: Node) -> int:
-        total, todo = 0, [(n, False)]
-        while todo:
-            x, done = todo.pop()
-            below = [c for c in x.children if not isinstance(c, str)]
-            if done:
-                inside[id(x)] = max(weight.get(id(x), 0), 0) + sum(inside[id(c)] for c in below)
-            else:
-                todo.append((x, True))
-                todo += [(c, False) for c in below]
-        total = inside[id(n)]
-        return total
-
-    if not measure(root):
-        return " ".join(text for _, text in varying)
-    node = root
-    while True:
-        below = [c for c in node.children if not isinstance(c, str)]
-        top = max(below, key=lambda c: inside[id(c)], default=None)
-        if top is None or top.tag == "p" or top.tag in INLINE or inside[id(top)] < 0.7 * inside[id(node)]:
-            break
-        node = top
-    below = {id(n) for n, _ in blocks(node)}
-    return " ".join(text for n, text in varying if id(n) in below)
-
-
 def extract(pages: list[str]) -> list[str]:
     """Main texts of a run of pages of one host."""
     roots = [prune(parse(x)) for x in pages]
     own = [body(r) for r in roots]
-    return [main_text(r, page, f) for r, page, f in zip(roots, own, templates(roots, own), strict=True)]
+    return [" ".join(text for k, (_, text) in enumerate(page) if k not in f) for page, f in zip(own, templates(roots, own), strict=True)]
 
 
 def page_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

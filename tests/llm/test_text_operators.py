@@ -393,6 +393,19 @@ def test_template_inside_articles():
     assert wrapper.extract(pages[:1] * 6) == ["Story 0 Read more on our site. It tells of 0 and of nothing else than 0."] * 6
 
 
+def test_no_article_text_is_lost():
+    split = [page(f"<div><div class=a><p>{f'first {i} ' * 30}</p></div><div class=b><p>{f'second {i} ' * 10}</p></div></div>") for i in range(4)]
+    assert wrapper.extract(split) == [(f"first {i} " * 30 + f"second {i} " * 10).strip() for i in range(4)]
+    for box in ("div", "article"):  # copies with another date each
+        copies = [page(f"<{box} class=y><p>May {i}</p><p>A copied story of some length.</p><p>It has a second paragraph.</p></{box}>") for i in range(5)]
+        assert wrapper.extract(copies) == [f"May {i} A copied story of some length. It has a second paragraph." for i in range(5)]
+    mixed = [page(f"<div class=y><p>Same {i}</p><b>lines of {i}</b><p>x</p>end of it</div>") for i in range(5)]
+    assert wrapper.extract(mixed) == [f"Same {i} lines of {i}" for i in range(5)]
+    for inner in ("<article><p>One story.</p></article>", "<div><h2>One</h2><p>story.</p></div>"):
+        assert wrapper.extract([page(f"<form action=/x><input type=hidden>{inner}<form role=search><button>go</button></form></form>")]) in (["One story."], ["One story."])
+    assert wrapper.extract([page("<p>A story with some text.</p><form><p>mail</p></form>")]) == ["A story with some text."]
+
+
 def test_tree_matching_counts_the_largest_match():
     shape = lambda html: wrapper.Shape([wrapper.parse(html)])
     a, b = shape("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), shape("<div><ul><li>y</ul><h2>n</h2><p>3</p></div>")
