@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidates come from fixed patterns (assignments, access ids, long hexadecimal runs, private-key
-headers, bare high-entropy strings). Their value hashes are counted over the whole corpus by
+Candidates come from fixed patterns (assignments, access ids, long hexadecimal runs, whole private
+keys, bare high-entropy strings). Their value hashes are counted over the whole corpus by
 distinct repositories and owners: a value seen under many owners is a widely copied example, one
 that stays with its owner looks live. Base patterns are always reported; bare strings only where
 their value is owner-specific.
@@ -34,6 +34,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "private_key", "bare"]
 BASE = 3
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+# Without an END line: headers, then lines (or escaped lines) of base64 and a last, shorter one.
+KEY_BODY = re.compile(r"""(?:\s*[A-Z][A-Za-z-]+:\x20[^\n]*\n)*(?:(?:(?:\\[nr]|[\s"'+,>#*|])*[A-Za-z0-9+/]{20,}={0,2})+(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2}(?=\s|\\|["']|$))?)?""")
+KEY_JOINTS = re.compile(r"""\\[nrt]|["']\s*\+\s*["']|[^A-Za-z0-9+/=]+""")
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -49,6 +53,18 @@ def _entropy(value: str) -> float:
     return -sum(c / n * log2(c / n) for c in map(value.count, set(value)))
 
 
+def private_keys(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value): through the END line, or else to the end of the base64 text; the value is the whole body without white space and escapes."""
+    found = []
+    for m in PRIVATE_KEY.finditer(text):
+        bound = text.find("-----BEGIN", m.end())
+        bound = len(text) if bound < 0 else bound
+        last = KEY_END.search(text, m.end(), bound)
+        upto, end = last.span() if last else [KEY_BODY.match(text, m.end(), bound).end()] * 2
+        found.append((m.start(), end, KEY_JOINTS.sub("", text[m.end() : upto])))
+    return found
+
+
 def candidates(text: str, cfg: SecretConfig = SecretConfig()) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) by start, then kind; ends exclusive, in code points."""
     found = []
@@ -59,7 +75,7 @@ def candidates(text: str, cfg: SecretConfig = SecretConfig()) -> list[tuple[int,
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        found += [(3, m.start(), m.end(), text[m.end() : m.end() + 64]) for m in PRIVATE_KEY.finditer(text)]
+        found += [(3, *k) for k in private_keys(text)]
     taken = [(s, e) for _, s, e, _ in found]
     for m in BARE.finditer(text):
         value = m[0]
@@ -85,7 +101,7 @@ def scanned(docs: DataFrame, cfg: SecretConfig, key: str, text: str, repository:
             own = candidates(x, cfg)
             counts.append([sum(c[0] == k for c in own) for k in range(BASE)])
             digests.append(sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in own if k < BASE).encode()).hexdigest())
-            flat += [(s, k, e, e if KINDS[k] == "private_key" else e - len(v), _digest(v)) for k, s, e, v in own]
+            flat += [(s, k, e, s if KINDS[k] == "private_key" else e - len(v), _digest(v)) for k, s, e, v in own]
             cuts.append(len(flat))
         columns = list(zip(*flat, strict=True)) or [[]] * 5
         struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["start", "kind", "end", "at", "value"])
@@ -129,7 +145,7 @@ def redacted(docs: DataFrame, cfg: SecretConfig = SecretConfig(), key: str = "do
     """The documents with the value of every live-looking credential replaced; copied examples stay. Columns as before."""
     rows = judged(scanned(docs, cfg, key, text, repository, carry=True), cfg)
     place = docs.columns.index(text)
-    spot = F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(F.when(f["at"] < f["end"], f["at"]).otherwise(f["start"]).alias("at"), f["end"].alias("end")))
+    spot = F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(f["at"], f["end"]))
     rows = rows.select("document.*", F.array_sort(spot).alias("_live"))
     clean, dirty = rows.where("size(_live) = 0").drop("_live"), rows.where("size(_live) > 0")
 
