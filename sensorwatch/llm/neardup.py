@@ -5,7 +5,9 @@ several independent trees: at a node, one or two coordinates of its minwise
 signature are selected by the node's own hash (1/similarity of them on average), and
 the tokens found there name the child nodes. Similar sets share a node far below
 the root; unlike ones part soon. Nodes that are still large branch further, small
-nodes are compared exhaustively on byte sketches of the signatures.
+nodes are compared exhaustively on byte sketches of the signatures. Deeper trees lose
+more pairs, so the number of trees is computed from the depth; classes whose nodes
+branch further walk additional trees to that depth.
 
 Only a spanning forest of what the sketches cannot rule out leaves a node, so a group of
 copies gives as many rows as it has members. Its components are loose clusters: every
@@ -37,13 +39,14 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class NearDup:
-    """``trees`` and ``coordinates`` set the recall: a pair at the threshold is missed with a chance of about 1e-6."""
+    """A pair at the threshold is missed with a chance of at most ``missed`` at any table size; a pair in nodes that
+    branch further adds at most as much for each deeper level. The number of trees follows from it (``trees_for``)."""
 
     shingle: int = 5
     percent: int = 80  # least similarity, in hundredths; above 50
-    trees: int = 16
+    missed: float = 1e-6
     coordinates: int = 128
-    slack: float = 0.15  # ruled out when sketches say this much less than the threshold (over 4 deviations)
+    slack: float = 0.2  # ruled out when sketches say this much less than the threshold (2e-8 of pairs at it)
     node: int = 4000  # nodes up to this size are compared exhaustively
     deeper: int = 6  # levels that larger nodes may branch further
     block: int = 10_000  # texts of a cluster that one task settles
@@ -103,13 +106,38 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
 
 
-def _walk(cfg: NearDup, depth: int):
+def miss_rate(cfg: NearDup, depth: int, trees: int) -> float:
+    """Chance that two sets at the threshold share no node of a depth in any of some trees, all on the same coordinates."""
+    t, extra = cfg.coordinates, 100 / cfg.percent - 1
+    same = np.arange(t + 1)  # coordinates that agree
+    one = same / t
+    both = one * (same - 1) / (t - 1)
+    lost = np.zeros(t + 1)  # in one tree
+    for _ in range(depth):
+        lost = (1 - extra) * (1 - one + one * lost) + extra * (both * lost**2 + 2 * (one - both) * lost + 1 - 2 * one + both)
+    chance = np.array([math.comb(t, k) * (cfg.percent / 100) ** k * (1 - cfg.percent / 100) ** (t - k) for k in range(t + 1)])
+    return float(chance @ lost**trees)
+
+
+def trees_for(cfg: NearDup, depth: int) -> int:
+    """Fewest trees that miss a pair at the threshold with a chance of at most ``missed``."""
+    high = 1
+    while miss_rate(cfg, depth, high) > cfg.missed:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if miss_rate(cfg, depth, middle) <= cfg.missed else (middle, high)
+    return high
+
+
+def _walk(cfg: NearDup, depth: int, trees: range):
     extra = 100 / cfg.percent - 1
 
     def walk(batch: pa.RecordBatch) -> list[pa.Array]:
         marks = _matrix(batch.column(1), cfg.coordinates)
         ends, owners = [], []
-        for tree in range(cfg.trees):
+        for tree in trees:
             rows = np.arange(len(marks))
             paths = np.full(len(marks), C.mix(np.array([tree + 1], np.uint64))[0])
             for _ in range(depth):
@@ -308,7 +336,9 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
     reps = profile.where("sig is not null").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig"))
     reps = C.written(reps.withColumn("rep", F.xxhash64("set_key")), "classes")
     sketches = reps.select("rep", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1")).alias("sketch"))
-    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth_for(reps.count())), "path long, rep long", rows=2048)
+    depth = depth_for(reps.count())
+    trees = trees_for(cfg, depth)
+    paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth, range(trees)), "path long, rep long", rows=2048)
     forests = []
     for level in range(cfg.deeper + 1):
         paths = C.written(paths, "paths")
@@ -325,6 +355,10 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
             forests.append(C.written(_groups(split, ["path", "lo", "hi"], _loose_forest(cfg), "x long, y long"), "forest"))
             break
         paths = C.map_arrow(large.join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long", rows=8192)
+        depth, walked = depth + 1, trees
+        trees = trees_for(cfg, depth)
+        crowded = reps.select("rep", "sig").join(large.select("rep").distinct(), "rep", "left_semi")  # deeper nodes take more trees
+        paths = paths.union(C.map_arrow(crowded, _walk(cfg, depth, range(walked, trees)), "path long, rep long", rows=2048)) if trees > walked else paths
     clusters = components(reduce(DataFrame.union, forests))
     clusters = C.written(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
 

@@ -1,6 +1,7 @@
 """Text operators against plain versions, on odd rows and on the smallest data."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -109,6 +110,25 @@ def test_near_duplicates_equal_all_pairs(spark):
             assert got[i].kept == (got[i].component_id == i)
 
 
+def test_recall_holds_at_every_depth():
+    cfg = neardup.NearDup()
+    assert abs(neardup.miss_rate(cfg, 4, 16) - 1.26e-5) < 1e-7 and abs(neardup.miss_rate(cfg, 6, 16) - 2.52e-4) < 1e-6
+    assert all(neardup.miss_rate(cfg, d, neardup.trees_for(cfg, d)) <= cfg.missed < neardup.miss_rate(cfg, d, neardup.trees_for(cfg, d) - 1) for d in range(2, 13))
+    rng = np.random.default_rng(3)  # pairs at the threshold walk as deep as nodes may branch
+    left = rng.integers(0, 2**32, (1000, cfg.coordinates), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), common.binary([x.tobytes() for x in np.concatenate([left, right])])], names=["rep", "sig"])
+    paths, reps = (x.to_numpy() for x in neardup._walk(cfg, 10, range(neardup.trees_for(cfg, 10)))(batch))
+    shared = {}
+    for p, r in zip(paths.tolist(), reps.tolist(), strict=True):
+        shared.setdefault(p, set()).add(r)
+    assert {i for members in shared.values() for i in members if i < 1000 and i + 1000 in members} == set(range(1000))
+    p, least = 0.8 + 0.2 / 256, int(np.floor((0.8 - cfg.slack) * 128))
+    assert sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least)) < 1e-7  # lost by the sketch screen
+
+
 def test_components_of_a_random_graph(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 220), rng.randrange(100, 220)) for _ in range(70)] + [(7, 7)]
