@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from sensorwatch.llm import bpe as BP
 from sensorwatch.llm import common as C
 from sensorwatch.llm import hamming as HM
+from sensorwatch.llm import hnsw as HN
 from sensorwatch.llm import mixing as MX
 from sensorwatch.llm import neardup as ND
+from sensorwatch.llm import negatives as NG
+from sensorwatch.llm import prefix_trie as PT
 from sensorwatch.llm import quality as QU
 from sensorwatch.llm import secrets as SE
 from sensorwatch.llm import sharding as SH
@@ -139,6 +142,76 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) m ON m.x = d.doc_id
 """
 
+
+
+def rebuilt(seqs: DataFrame, others: int = 5, turns: int = 9) -> DataFrame:
+    """Every conversation c with the first crc32(c) % ``turns`` turns of conversation c - c % ``others`` in place of its own."""
+    heads = seqs.where(F.col("conv_id") % others == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, turns - 1).alias("head"))
+    own = seqs.withColumn("base", F.col("conv_id") - F.col("conv_id") % others).withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % turns).cast("int"))
+    rows = own.join(heads, "base", "left")
+    head = F.coalesce("head", F.slice("turns", 1, 0))
+    return rows.select("conv_id", F.concat(F.slice(head, F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+
+
+def op11_burst_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return PT.trie(rebuilt(PT.sequences(C.table(spark, d, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc(conv_id, i, bits, value) AS (
+  SELECT DISTINCT conv_id, 1, 8, xor(4294967295::BIGINT, ascii(substr(conv_id::VARCHAR, 1, 1))::BIGINT) FROM t
+  UNION ALL
+  SELECT conv_id, CASE WHEN bits = 0 THEN i + 1 ELSE i END, CASE WHEN bits = 0 THEN 8 ELSE bits - 1 END,
+         CASE WHEN bits = 0 THEN xor(value, ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT) WHEN value % 2 = 1 THEN xor(value // 2, 3988292384::BIGINT) ELSE value // 2 END
+  FROM crc WHERE bits > 0 OR i < length(conv_id::VARCHAR)),
+h AS (SELECT conv_id, xor(value, 4294967295::BIGINT) % 9 AS h FROM crc WHERE bits = 0 AND i = length(conv_id::VARCHAR)),
+r AS (
+  SELECT h.conv_id, b.p, b.role, b.text, 0 AS own FROM h JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5 AND b.p <= h.h
+  UNION ALL SELECT h.conv_id, t.p, t.role, t.text, 1 FROM h JOIN t ON t.conv_id = h.conv_id AND t.p > h.h),
+s AS (
+  SELECT conv_id, d, chain, size FROM (
+    SELECT conv_id, row_number() OVER w AS d, list({'r': role, 't': text}) OVER w AS chain, strlen(text) AS size FROM r
+    WINDOW w AS (PARTITION BY conv_id ORDER BY own, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  UNION ALL SELECT conv_id, 0, [], 0 FROM h),
+m AS (SELECT s.*, d = max(d) OVER (PARTITION BY conv_id) AS last FROM s),
+n AS (
+  SELECT chain, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM m GROUP BY chain),
+c AS (SELECT n.*, p.conv_id AS parent_conv_id, p.chain AS up FROM n LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.chain = n.chain[1:n.depth - 1]),
+k AS (SELECT chain, (SELECT count(*) FROM c x WHERE x.up = n.chain) AS n_children FROM n),
+sub AS (SELECT a.chain, sum(b.own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves
+        FROM n a JOIN n b ON b.depth >= a.depth AND b.chain[1:a.depth] = a.chain JOIN k ON k.chain = b.chain GROUP BY a.chain)
+SELECT c.conv_id, c.depth::BIGINT AS depth, c.parent_conv_id, c.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, sub.n_leaves::BIGINT AS n_leaves, sub.saved_tokens, c.ends_sha256
+FROM c JOIN k USING (chain) JOIN sub USING (chain)
+"""
+
+
+def op12_strassen_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return NG.hard_negatives(rows.withColumn("label", label), F.col("id") % 50 == 0, NG.Mining(positives=5, negatives=3, low=50, high=95, scale=256))
+
+
+OP12_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+g AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM g JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
+def op13_sharded_hnsw(spark: SparkSession, d: str) -> DataFrame:
+    return HN.nearest(C.table(spark, d, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_spot_fingerprints": op1_spot_fingerprints,
     "op2_multi_index_hamming": op2_multi_index_hamming,
@@ -150,5 +223,11 @@ QUERIES: dict[str, Query] = {
     "op9_external_shuffle": op9_external_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
+    "op11_burst_prefix_trie": op11_burst_prefix_trie,
+    "op12_strassen_hard_negatives": op12_strassen_hard_negatives,
+    "op13_sharded_hnsw": op13_sharded_hnsw,
 }
-CHECKS: dict[str, str] = {"op2_multi_index_hamming": OP2_SQL, "op5_weighted_fair_mix": OP5_SQL, "op7_chosen_path_near_duplicates": OP7_SQL}
+CHECKS: dict[str, str] = {
+    "op2_multi_index_hamming": OP2_SQL, "op5_weighted_fair_mix": OP5_SQL, "op7_chosen_path_near_duplicates": OP7_SQL,
+    "op11_burst_prefix_trie": OP11_SQL, "op12_strassen_hard_negatives": OP12_SQL,
+}
