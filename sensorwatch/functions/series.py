@@ -6,10 +6,13 @@ All of them run on binned rows, so a window partition holds at most
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 ENTITY = ("entity",)
 
@@ -73,42 +76,61 @@ def add_cusum(df: DataFrame, evidence: str, drift, out: str, keys: Sequence[str]
     return add_cusums(df, [(evidence, drift, out)], keys)
 
 
-def add_cooldowns(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = ENTITY, pos: str = "pos") -> DataFrame:
-    """Let a start fire only when the last fired one is more than ``wait`` bins away.
+NONE_YET = np.iinfo(np.int64).min
+
 
-    ``items`` are (start column, wait in bins, output name). A start further
-    than ``wait`` from the previous start always fires, so the decision is only
-    ever needed inside a burst of close starts: starts are numbered into bursts
-    and each burst is folded on its own.
+def _last_fired(items: int):
+    """Column function (first row of a key?, position, then start and wait of each item) -> struct of the position of each item's
+    last fired start before the row.
+
+    One pass over rows that arrive by key and time. All it keeps between rows is the last fired position of each item, and
+    only rows with a start cost a step in Python.
     """
-    earlier = ordered(keys).rowsBetween(Window.unboundedPreceding, -1)
-    at = {start: F.when(F.col(start) == 1, F.col(pos)) for start, _, _ in items}
-    df = df.withColumns(
-        {
-            f"_open_{out}": F.coalesce(at[start] - F.max(at[start]).over(earlier) > wait, at[start].isNotNull()).cast("int")
-            for start, wait, out in items
-        }
-    )
-    df = df.withColumns({f"_burst_{out}": F.sum(f"_open_{out}").over(so_far(keys)) for _, _, out in items})
-    df = df.withColumns(
-        {
-            f"_list_{out}": F.collect_list(at[start]).over(
-                Window.partitionBy(*keys, f"_burst_{out}").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-            )
-            for start, _, out in items
-        }
-    )
 
-    def fired(out: str, wait) -> Column:
-        never = F.lit(-(10**9)).cast("int")
-        return F.aggregate(f"_list_{out}", never, lambda last, x: F.when(x - last > wait, x).otherwise(last))
+    def run(batches):
+        held = [NONE_YET] * items
+        for first, pos, *pairs in batches:
+            opens, at = np.flatnonzero(first.to_numpy(zero_copy_only=False)), pos.to_numpy(zero_copy_only=False).astype(np.int64)
+            told = []
+            for k in range(items):
+                start, wait = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in pairs[2 * k : 2 * k + 2])
+                rows = np.flatnonzero(start == 1)
+                fired, last, key = [], held[k], 0
+                for i, p, w, own in zip(rows.tolist(), at[rows].tolist(), wait[rows].tolist(), np.searchsorted(opens, rows, "right").tolist(), strict=True):
+                    if own != key:
+                        last, key = NONE_YET, own
+                    if last == NONE_YET or p - last > w:
+                        fired.append(i)
+                        last = p
+                hit = np.array(fired, np.int64)
+                value, given = np.full(len(at) + 1, held[k]), np.zeros(len(at) + 1, bool)
+                value[hit + 1], value[opens] = at[hit], NONE_YET
+                given[hit + 1] = given[opens] = given[0] = True
+                value = value[np.maximum.accumulate(np.where(given, np.arange(len(given)), 0))]
+                held[k] = int(value[-1])
+                told.append(pa.array(value[:-1], mask=value[:-1] == NONE_YET))
+            yield pa.StructArray.from_arrays(told, [f"last{k}" for k in range(items)])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    schema = StructType([StructField(f"last{k}", LongType()) for k in range(items)])
+    return F.arrow_udf(run, schema).asNondeterministic()  # it depends on the order of rows, so the sort below it must stay
+
+
+def add_cooldowns(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = ENTITY, pos: str = "pos", last: bool = False) -> DataFrame:
+    """Let a start fire only when the last fired one is more than ``wait`` bins away.
 
-    return df.withColumns(
-        {
-            out: F.when(F.col(start) == 1, (fired(out, wait) == F.col(pos)).cast("int")).otherwise(F.lit(0))
-            for start, wait, out in items
-        }
-    ).drop(*[f"_{x}_{out}" for x in ("open", "burst", "list") for _, _, out in items])
+    ``items`` are (start column, wait in bins, output name). One ordered pass serves all of them: linear in the rows, with one
+    position per item as its state. The lag below it makes Spark bring a key's rows together. ``last`` keeps the
+    position of the last fired start before each row as ``_last_<output>``.
+    """
+    df = df.withColumn("_first", F.lag(pos).over(ordered(keys)).isNull()).sortWithinPartitions(*keys, "bin")
+    pairs = [c for start, wait, _ in items for c in (F.col(start).cast("int"), (wait if isinstance(wait, Column) else F.lit(wait)).cast("long"))]
+    df = df.withColumn("_fired", _last_fired(len(items))(F.col("_first"), F.col(pos).cast("long"), *pairs))
+    before = {f"_last_{out}": F.col(f"_fired.last{k}") for k, (_, _, out) in enumerate(items)}
+    df = df.withColumns(before).drop("_fired", "_first")
+    free = {out: F.coalesce(F.col(pos) - F.col(f"_last_{out}") > wait, F.lit(True)) for _, wait, out in items}
+    df = df.withColumns({out: F.when(F.col(start) == 1, free[out].cast("int")).otherwise(F.lit(0)) for start, _, out in items})
+    return df if last else df.drop(*before)
 
 
 def add_cooldown(

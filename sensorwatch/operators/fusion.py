@@ -12,6 +12,7 @@ from sensorwatch.functions import series as S
 from sensorwatch.functions.scalars import flag
 from sensorwatch.operators.baseline import add_reference_masks, add_reference_ratios
 from sensorwatch.operators.hypo import SCOPE, drop_candidates, drop_changes, drop_stream, drop_totals, finish_alerts
+from sensorwatch.operators.hypo import cooldowns as branch_cooldowns
 from sensorwatch.operators.instability import (
     MEASURES,
     add_densities,
@@ -23,8 +24,13 @@ from sensorwatch.operators.instability import (
 OTHER = ("_base_i", "_future_i")  # masks of the instability branch, whose fallback rule differs
 
 
-def fuse(df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY) -> DataFrame:
-    """Combine branch episodes and starts under the chosen mode."""
+def fuse(
+    df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY, waiting: Sequence[tuple] = ()
+) -> DataFrame:
+    """Combine branch episodes and starts under the chosen mode.
+
+    ``waiting`` are cooldowns that the branches have left to this step: one ordered pass then serves branches and fusion.
+    """
     mode = cfg.mode.upper()
     least = bins(cfg.sequence_min_hours, interval, 0)
     most = bins(cfg.sequence_max_hours, interval, least + 1)
@@ -74,9 +80,8 @@ def fuse(df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys:
             "hybrid_warning_scope": F.lit(SCOPE),
         }
     )
-    df = S.add_cooldown(
-        df, "hybrid_warning_start", bins(cfg.cooldown_hours, interval, 1), "hybrid_warning_notification", keys
-    )
+    own = ("hybrid_warning_start", bins(cfg.cooldown_hours, interval, 1), "hybrid_warning_notification")
+    df = S.add_cooldowns(df, [*waiting, own], keys)
     return df.drop("_h", "_i", "_hs", "_is", "_prior", "_mix", "_mix_start")
 
 
@@ -94,7 +99,8 @@ def hybrid_warning(
     and cooldowns of both are computed side by side.
     """
     if "behavioral_warning_episode" in df.columns:
-        return fuse(instability_branch(df, interval, instability, keys), interval, fusion, keys)
+        df = instability_branch(df, interval, instability, keys, notify=False)
+        return fuse(df, interval, fusion, keys, branch_cooldowns([instability_stream(interval, instability)]))
     df = add_reference_masks(df, only_if_missing=False, keys=keys)
     df = add_reference_masks(df, only_if_missing=True, keys=keys, names=OTHER)
     totals = drop_totals(df, [bins(hypo.aggregation_hours, interval, 4)], keys)
@@ -103,5 +109,6 @@ def hybrid_warning(
     df = add_reference_ratios(df, [*totals, *MEASURES], bins(24, interval, 4), keys, high=["_t_lying"], mask=mask)
     df = drop_candidates(drop_changes(df), interval, hypo, keys)
     df = instability_candidates(df, instability, OTHER[1])
-    df = finish_alerts(df, [drop_stream(interval, hypo), instability_stream(interval, instability)], keys)
-    return fuse(df.drop("_base", "_future", *OTHER), interval, fusion, keys)
+    streams = [drop_stream(interval, hypo), instability_stream(interval, instability)]
+    df = finish_alerts(df, streams, keys, notify=False)
+    return fuse(df.drop("_base", "_future", *OTHER), interval, fusion, keys, branch_cooldowns(streams))

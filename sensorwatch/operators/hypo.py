@@ -153,8 +153,13 @@ class AlertStream:
     wait: int | Column
 
 
-def finish_alerts(df: DataFrame, streams: Sequence[AlertStream], keys: Sequence[str]) -> DataFrame:
-    """CUSUM, episode, start and notification of every stream; the streams share their windows.
+def cooldowns(streams: Sequence[AlertStream]) -> list[tuple]:
+    """What ``add_cooldowns`` needs to turn the streams' starts into notifications."""
+    return [(f"{a.prefix}_start", a.wait, f"{a.prefix}_notification") for a in streams]
+
+
+def finish_alerts(df: DataFrame, streams: Sequence[AlertStream], keys: Sequence[str], notify: bool = True) -> DataFrame:
+    """CUSUM, episode, start and (if ``notify``) notification of every stream; the streams share their windows.
 
     Episode: enough candidates among exactly the last ``k`` bins, and a high CUSUM.
     """
@@ -171,7 +176,7 @@ def finish_alerts(df: DataFrame, streams: Sequence[AlertStream], keys: Sequence[
         }
     )
     df = df.withColumns({f"{a.prefix}_start": S.rising(f"{a.prefix}_episode", keys) for a in streams})
-    df = S.add_cooldowns(df, [(f"{a.prefix}_start", a.wait, f"{a.prefix}_notification") for a in streams], keys)
+    df = S.add_cooldowns(df, cooldowns(streams), keys) if notify else df
     return df.drop(*[f"_{x}_{a.prefix}" for x in ("ev", "rate") for a in streams])
 
 

@@ -124,11 +124,11 @@ def instability_stream(interval: str, cfg: InstabilityConfig) -> AlertStream:
 
 
 def instability_branch(
-    df: DataFrame, interval: str, cfg: InstabilityConfig = InstabilityConfig(), keys: Sequence[str] = S.ENTITY
+    df: DataFrame, interval: str, cfg: InstabilityConfig = InstabilityConfig(), keys: Sequence[str] = S.ENTITY, notify: bool = True
 ) -> DataFrame:
-    """Add the instability columns to an interval table."""
+    """Add the instability columns to an interval table (``notify``: with notifications)."""
     df = add_reference_masks(df, only_if_missing=True, keys=keys)
     df = add_densities(df, bins(cfg.aggregation_hours, interval, 4), keys)
     df = add_reference_ratios(df, MEASURES, bins(24, interval, 4), keys)
     df = instability_candidates(df, cfg)
-    return finish_alerts(df, [instability_stream(interval, cfg)], keys).drop("_base", "_future")
+    return finish_alerts(df, [instability_stream(interval, cfg)], keys, notify).drop("_base", "_future")

@@ -70,8 +70,6 @@ def anomaly_points(df: DataFrame) -> Column:
 
 def add_percent_rank(df: DataFrame, col: str, out: str, keys: Sequence[str] = S.ENTITY) -> DataFrame:
     """Average-tie rank of non-null values as a share of their number, in percent."""
-    from pyspark.sql import Window
-
     ranked = Window.partitionBy(*keys).orderBy(F.col(col).asc_nulls_last())
     tied = Window.partitionBy(*keys, col)
     share = (F.rank().over(ranked) + (F.count(col).over(tied) - 1) / 2.0) / F.count(col).over(S.whole(keys))
@@ -205,11 +203,8 @@ def _outputs(df: DataFrame, interval: str, cfg: RulesConfig, gate, gated, keys:
         }
     )
     wait = bins(cfg.cooldown_hours, interval, 1)
-    df = S.add_cooldown(df, "pred_lameness_start", wait, "notif_lameness", keys)
-    fired = F.max(F.when(F.col("notif_lameness") == 1, F.col("pos"))).over(
-        S.ordered(keys).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    df = df.withColumn("in_cooldown", flag(F.col("pos") - fired <= wait))
+    df = S.add_cooldowns(df, [("pred_lameness_start", wait, "notif_lameness")], keys, last=True)
+    df = df.withColumn("in_cooldown", flag(F.col("pos") - F.col("_last_notif_lameness") <= wait)).drop("_last_notif_lameness")
     critical = (F.col("if_score") <= F.col("if_score_q05")) & (F.col("if_score_pct") <= cfg.pct_crit_thr)
     level = (
         F.when(F.col("_low"), "normal")

@@ -100,6 +100,27 @@ def test_cusum_cooldown_prior_against_loops(spark):
             assert rows[i]["prior"] == int(any(xs[j][1] for j in range(max(0, i - 6), i - 1)))
 
 
+def test_cooldowns_of_many_keys_across_batches(spark):
+    """Starts without pause, keys cut anywhere by Arrow batches, null starts, waits by row, two items in one pass."""
+    rng = random.Random(5)
+    rows = [(f"k{k}", T0 + dt.timedelta(hours=i), i, rng.choice([0, 1, 1, None]), int(rng.random() < 0.2), k % 4) for k in range(9) for i in range(rng.randrange(1, 90))]
+    df = spark.createDataFrame(rows, "entity string, bin timestamp, pos int, a int, b int, w int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r["entity"], r["pos"]): r for r in S.add_cooldowns(df, [("a", F.col("w"), "x"), ("b", 6, "y")], last=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    last: dict = {}
+    for e, _, i, a, b, w in rows:
+        for name, start, wait in (("x", a, w), ("y", b, 6)):
+            before = last.get((e, name))
+            fire = int(start == 1 and (before is None or i - before > wait))
+            assert got[e, i][name] == fire and got[e, i][f"_last_{name}"] == before
+            if fire:
+                last[e, name] = i
+
+
 def hypo_table(spark):
     rows = []
     for i in range(192):
