@@ -62,14 +62,13 @@ def rising(col: str, keys: Sequence[str] = ENTITY, by: str = "bin") -> Column:
 def add_cusums(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = ENTITY) -> DataFrame:
     """One-sided CUSUMs as differences of running sums: S = C - min(0, running min of C).
 
-    ``items`` are (evidence column, drift, output name); all share two windows.
+    ``items`` are (evidence column, drift as a number or SQL text, output name); all share two windows.
     """
-    w = so_far(keys)
-    drift = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    df = df.withColumns({f"_c_{out}": F.sum(F.coalesce(F.col(e), F.lit(0.0)) - drift(x)).over(w) for e, x, out in items})
-    return df.withColumns(
-        {out: F.col(f"_c_{out}") - F.least(F.lit(0.0), F.min(f"_c_{out}").over(w)) for _, _, out in items}
-    ).drop(*[f"_c_{out}" for _, _, out in items])
+    w = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    kept = [f"`{c}`" for c in df.columns if c not in {out for *_, out in items}]
+    drift = lambda x: x if isinstance(x, str) else f"{float(x)!r}D"
+    df = df.selectExpr(*kept, *[f"sum(coalesce({e}, 0D) - {drift(x)}) {w} AS _c_{out}" for e, x, out in items])
+    return df.selectExpr(*kept, *[f"_c_{out} - least(0D, min(_c_{out}) {w}) AS {out}" for _, _, out in items])
 
 
 def add_cusum(df: DataFrame, evidence: str, drift, out: str, keys: Sequence[str] = ENTITY) -> DataFrame:
@@ -124,7 +123,8 @@ def add_cooldowns(df: DataFrame, items: Sequence[tuple], keys: Sequence[str] = E
     position of the last fired start before each row as ``_last_<output>``.
     """
     df = df.withColumn("_first", F.lag(pos).over(ordered(keys)).isNull()).sortWithinPartitions(*keys, "bin")
-    pairs = [c for start, wait, _ in items for c in (F.col(start).cast("int"), (wait if isinstance(wait, Column) else F.lit(wait)).cast("long"))]
+    items = [(start, F.expr(wait) if isinstance(wait, str) else wait if isinstance(wait, Column) else F.lit(wait), out) for start, wait, out in items]
+    pairs = [c for start, wait, _ in items for c in (F.col(start).cast("int"), wait.cast("long"))]
     df = df.withColumn("_fired", _last_fired(len(items))(F.col("_first"), F.col(pos).cast("long"), *pairs))
     before = {f"_last_{out}": F.col(f"_fired.last{k}") for k, (_, _, out) in enumerate(items)}
     df = df.withColumns(before).drop("_fired", "_first")

@@ -81,8 +81,13 @@ def attributable(
     )
     df = _island_iou(df, "_att", "_iou", minutes * 60, keys)
     df = _island_iou(df, "_ep", "_iou_raw", minutes * 60, keys)
+    return df.groupBy(*keys, *carry).agg(*event_measures(score))
+
+
+def event_measures(score: str) -> list[Column]:
+    """Measures of an event from its rows with ``_in``, ``_att``, ``_novel``, ``_iou`` and ``_iou_raw``."""
     first_new = F.min(F.when(F.col("_novel") == 1, F.col("bin")))
-    out = df.groupBy(*keys, *carry).agg(
+    return [
         F.max("_novel").alias("detected_any_overlap"),
         F.sum("_novel").cast("int").alias("novel_start_count"),
         F.max((F.col("_iou") > 0).cast("int")).alias("episode_overlap"),
@@ -94,8 +99,7 @@ def attributable(
         F.sum("_att").cast("int").alias("attributable_interval_count"),
         ((F.unix_timestamp(first_new) - F.unix_timestamp(F.min("start"))) / 3600.0).alias("onset_delay_hours"),
         F.max(F.when(F.col("_in") == 1, F.col(score))).alias("score_max"),
-    )
-    return out
+    ]
 
 
 def with_reference(pred: DataFrame, clean: DataFrame, episode: str, start: str) -> DataFrame:

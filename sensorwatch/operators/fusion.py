@@ -25,11 +25,13 @@ OTHER = ("_base_i", "_future_i")  # masks of the instability branch, whose fallb
 
 
 def fuse(
-    df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY, waiting: Sequence[tuple] = ()
+    df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY, waiting: Sequence[tuple] = (),
+    notify: bool = True,
 ) -> DataFrame:
     """Combine branch episodes and starts under the chosen mode.
 
     ``waiting`` are cooldowns that the branches have left to this step: one ordered pass then serves branches and fusion.
+    ``notify=False`` leaves the fused stream's own cooldown to the caller too.
     """
     mode = cfg.mode.upper()
     least = bins(cfg.sequence_min_hours, interval, 0)
@@ -81,7 +83,7 @@ def fuse(
         }
     )
     own = ("hybrid_warning_start", bins(cfg.cooldown_hours, interval, 1), "hybrid_warning_notification")
-    df = S.add_cooldowns(df, [*waiting, own], keys)
+    df = S.add_cooldowns(df, [*waiting, own], keys) if notify else df
     return df.drop("_h", "_i", "_hs", "_is", "_prior", "_mix", "_mix_start")
 
 

@@ -69,45 +69,62 @@ def family_weights(active: Sequence[str]) -> dict[str, float]:
     return {f: FAMILY_WEIGHTS[f] / total if f in chosen else 0.0 for f in FAMILY_WEIGHTS}
 
 
+def _sql(x) -> str:
+    """A setting as SQL: a number, or text that names a column."""
+    return x if isinstance(x, str) else repr(float(x)) + "D"
+
+
+def candidate_stages(
+    df: DataFrame, interval: str, cfg, keys: Sequence[str], weights: dict | None = None, future: str = "_future",
+    prefix: str = "behavioral_warning", changes: str = "",
+) -> list[dict[str, str]]:
+    """SQL of score, agreeing families, candidate bins and their evidence, by column name and stage by stage.
+
+    They read ``warning_change_<family><changes>`` and ``warning_ratio_<family><changes>``. Stages of several settings can be
+    put side by side: every stage is one projection over the same rows. It is text because a sweep has
+    thousands of terms, and text reaches the JVM in one call.
+    """
+    w = {f: _sql(x) for f, x in (weights or family_weights(cfg.active_families)).items()}
+    change = {f: f"warning_change_{f}{changes}" for f in w}
+    least = {f: _sql(cfg.posture_min_change if f == "posture" else cfg.family_min_change) for f in w}
+    hits = {f: f"CASE WHEN {w[f]} > 0D AND {change[f]} >= {least[f]} THEN 1 ELSE 0 END" for f in w}
+    activity = [f"CASE WHEN {w[f]} > 0D THEN warning_ratio_{f}{changes} END" for f in w if f != "posture"]
+    known = " + ".join(f"CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END" for x in activity)
+    mean = f"({' + '.join(f'coalesce({x}, 0D)' for x in activity)}) / nullif({known}, 0)"
+    lag = f"lag(_activity_{prefix}, {bins(PROGRESSIVE_HOURS, interval, 2)}) OVER (PARTITION BY {', '.join(keys)} ORDER BY bin) - _activity_{prefix}"
+    enough = f"coalesce(coverage_pct, 0D) >= {_sql(cfg.coverage_min_pct)}" if "coverage_pct" in df.columns else "true"
+    held = lambda x: f"CASE WHEN {x} < 0D THEN 0D WHEN {x} > 1D THEN 1D ELSE {x} END"
+    score = f"{prefix}_score"
+    return [
+        {
+            score: " + ".join(f"{w[f]} * coalesce({change[f]}, 0D)" for f in w),
+            f"_activity_{prefix}": mean,
+            f"{prefix}_families": " + ".join(hits.values()),
+            f"_core_{prefix}": f"greatest({hits['steps']}, {hits['motion']}, CASE WHEN {w['steps']} + {w['motion']} = 0D THEN 1 ELSE 0 END)",
+        },
+        {f"_rise_{prefix}": lag},
+        {
+            f"_drop_{prefix}": f"coalesce({held(f'_rise_{prefix}')}, 0D)",
+            f"{prefix}_candidate": f"CASE WHEN {score} >= {_sql(cfg.score_threshold)} AND {prefix}_families >= {_sql(cfg.min_families)} AND _core_{prefix} = 1 AND {enough} AND {future} THEN 1 ELSE 0 END",
+        },
+        {f"_ev_{prefix}": f"CASE WHEN {prefix}_candidate = 1 THEN {score} + {PROGRESSIVE_WEIGHT}D * _drop_{prefix} ELSE 0D END", f"{prefix}_known": held(score)},
+    ]
+
+
+def add_stages(df: DataFrame, items: Sequence[tuple[str, list[dict[str, str]]]]) -> DataFrame:
+    """Apply the stages of several (prefix, stages) side by side."""
+    for step in zip(*[stages for _, stages in items], strict=True):
+        df = df.selectExpr("*", *[f"{text} AS {name}" for stage in step for name, text in stage.items()])
+    gone = {f"{x}{p}" for p, _ in items for x in ("_activity_", "_core_", "_rise_", "_drop_")} | {f"{p}_score" for p, _ in items}
+    return df.drop(*gone).withColumnsRenamed({f"{p}_known": f"{p}_score" for p, _ in items})
+
+
 def drop_candidates(
     df: DataFrame, interval: str, cfg, keys: Sequence[str] = S.ENTITY, weights: dict | None = None, future: str = "_future"
 ) -> DataFrame:
-    """Score, agreeing families, candidate bins and their evidence."""
-    weights = weights or family_weights(cfg.active_families)
-    w = {f: x if isinstance(x, Column) else F.lit(x) for f, x in weights.items()}
-    change = {f: F.col(f"warning_change_{f}") for f in w}
-    least = {f: cfg.posture_min_change if f == "posture" else cfg.family_min_change for f in w}
-    hits = {f: flag((w[f] > 0) & (change[f] >= least[f])) for f in w}
-    activity = [F.when(w[f] > 0, F.col(f"warning_ratio_{f}")) for f in w if f != "posture"]
-    df = df.withColumns(
-        {
-            "behavioral_warning_score": reduce(lambda a, b: a + b, [w[f] * F.coalesce(change[f], F.lit(0.0)) for f in w]),
-            "_activity": row_mean(*activity),
-            "behavioral_warning_families": reduce(lambda a, b: a + b, hits.values()),
-            "_core": F.greatest(hits["steps"], hits["motion"], flag(w["steps"] + w["motion"] == 0)),
-        }
-    )
-    lag = F.lag("_activity", bins(PROGRESSIVE_HOURS, interval, 2)).over(S.ordered(keys))
-    df = df.withColumns(
-        {
-            "_drop": F.coalesce(clip(lag - F.col("_activity"), 0, 1), F.lit(0.0)),
-            "behavioral_warning_candidate": flag(
-                (F.col("behavioral_warning_score") >= cfg.score_threshold)
-                & (F.col("behavioral_warning_families") >= cfg.min_families)
-                & (F.col("_core") == 1)
-                & covered(df, cfg.coverage_min_pct)
-                & F.col(future)
-            ),
-        }
-    )
-    evidence = F.col("behavioral_warning_score") + PROGRESSIVE_WEIGHT * F.col("_drop")
-    return df.withColumns(
-        {
-            "_ev_behavioral_warning": F.when(F.col("behavioral_warning_candidate") == 1, evidence).otherwise(0.0),
-            "behavioral_warning_score": clip(F.col("behavioral_warning_score"), 0, 1),
-            "behavioral_warning_scope": F.lit(SCOPE),
-        }
-    ).drop("_activity", "_core", "_drop")
+    """Score, agreeing families, candidate bins and their evidence. Settings are numbers, or SQL text that names a column."""
+    df = add_stages(df, [("behavioral_warning", candidate_stages(df, interval, cfg, keys, weights, future))])
+    return df.withColumn("behavioral_warning_scope", F.lit(SCOPE))
 
 
 def drop_stream(interval: str, cfg, persist=None, wait=None) -> AlertStream:
@@ -122,13 +139,13 @@ def add_drop_alerts(
     cfg,
     keys: Sequence[str] = S.ENTITY,
     weights: dict | None = None,
-    persist: tuple[Sequence[int], Column | None] | None = None,
-    wait: Column | None = None,
+    persist: tuple[Sequence[int], str | None] | None = None,
+    wait: str | None = None,
 ) -> DataFrame:
     """Score, candidate, CUSUM, episode, start and notification from the family changes.
 
-    Thresholds and weights may be numbers or columns: with columns, one table
-    holding every (entity, configuration) is a whole sweep in one job.
+    Thresholds and weights may be numbers or text that names columns: with columns, one
+    table holding every (entity, configuration) is a whole sweep in one job.
     """
     df = drop_candidates(df, interval, cfg, keys, weights)
     return finish_alerts(df, [drop_stream(interval, cfg, persist, wait)], keys)
@@ -145,12 +162,12 @@ class AlertStream:
     """How candidates of one branch (``<prefix>_candidate``, ``_ev_<prefix>``) become notifications."""
 
     prefix: str
-    drift: float | Column
-    level: float | Column
+    drift: float | str  # numbers, or SQL text that names a column
+    level: float | str
     share: float
     lengths: Sequence[int]
-    length: Column | None
-    wait: int | Column
+    length: str | None
+    wait: int | str
 
 
 def cooldowns(streams: Sequence[AlertStream]) -> list[tuple]:
@@ -163,19 +180,22 @@ def finish_alerts(df: DataFrame, streams: Sequence[AlertStream], keys: Sequence[
 
     Episode: enough candidates among exactly the last ``k`` bins, and a high CUSUM.
     """
-    def rate(prefix: str, k: int) -> Column:
-        w = S.trailing(k, keys)
-        return F.when(F.count(F.lit(1)).over(w) == k, F.avg(f"{prefix}_candidate").over(w))
-
-    df = S.add_cusums(df, [(f"_ev_{a.prefix}", a.drift, f"{a.prefix}_cusum") for a in streams], keys)
-    df = df.withColumns({f"_rate_{a.prefix}": choose(a.length, {k: rate(a.prefix, k) for k in a.lengths}) for a in streams})
-    df = df.withColumns(
-        {
-            f"{a.prefix}_episode": flag((F.col(f"_rate_{a.prefix}") >= a.share) & (F.col(f"{a.prefix}_cusum") >= a.level))
-            for a in streams
-        }
-    )
-    df = df.withColumns({f"{a.prefix}_start": S.rising(f"{a.prefix}_episode", keys) for a in streams})
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY bin"
+
+    def rate(prefix: str, k: int) -> str:
+        w = f"{over} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        return f"CASE WHEN count(1) {w} = {k} THEN avg({prefix}_candidate) {w} END"
+
+    def rates(a: AlertStream) -> str:
+        if a.length is None:
+            return rate(a.prefix, a.lengths[0])
+        return f"CASE {' '.join(f'WHEN {a.length} = {k} THEN {rate(a.prefix, k)}' for k in a.lengths)} END"
+
+    df = S.add_cusums(df, [(f"_ev_{a.prefix}", _sql(a.drift), f"{a.prefix}_cusum") for a in streams], keys)
+    df = df.selectExpr("*", *[f"{rates(a)} AS _rate_{a.prefix}" for a in streams])
+    df = df.selectExpr("*", *[f"CASE WHEN _rate_{a.prefix} >= {a.share}D AND {a.prefix}_cusum >= {_sql(a.level)} THEN 1 ELSE 0 END AS {a.prefix}_episode" for a in streams])
+    rising = "CASE WHEN {0}_episode = 1 AND coalesce(lag({0}_episode) {1}), 0) = 0 THEN 1 ELSE 0 END AS {0}_start"
+    df = df.selectExpr("*", *[rising.format(a.prefix, over) for a in streams])
     df = S.add_cooldowns(df, cooldowns(streams), keys) if notify else df
     return df.drop(*[f"_{x}_{a.prefix}" for x in ("ev", "rate") for a in streams])
 

@@ -90,10 +90,10 @@ def sweep(df: DataFrame, interval: str, configs: dict[str, HypoConfig], keys: Se
     listed = F.array(*[F.struct(F.lit(n).alias("config"), *[F.lit(v).alias(k) for k, v in r.items()]) for n, r in rows.items()])
     df = df.withColumn("cfg", F.explode(F.filter(listed, lambda c: c["agg"] == F.col("agg"))))
     df = df.withColumn("config", F.col("cfg.config"))
-    cfg = SimpleNamespace(**{n: F.col(f"cfg.{n}") for n in OFAT if not n.endswith("_hours")})
-    weights = {f: F.col(f"cfg.w_{f}") for f in H.FAMILY_WEIGHTS}
+    cfg = SimpleNamespace(**{n: f"cfg.{n}" for n in OFAT if not n.endswith("_hours")})
+    weights = {f: f"cfg.w_{f}" for f in H.FAMILY_WEIGHTS}
     out = H.add_drop_alerts(
-        df, interval, cfg, (*keys, "config"), weights, (persists, F.col("cfg.persist")), F.col("cfg.wait")
+        df, interval, cfg, (*keys, "config"), weights, (persists, "cfg.persist"), "cfg.wait"
     )
     return out.drop("_base", "_future", "cfg", "agg")
 
@@ -117,7 +117,7 @@ def entity_thresholds(
     df = add_reference_masks(df, only_if_missing=False, keys=keys)
     df = H.add_drop_changes(df, interval, [bins(fixed.aggregation_hours, interval, 4)], keys)
     df = df.join(factors.select("entity", "factor"), "entity", "left")
-    own = asdict(fixed) | {"score_threshold": F.coalesce("factor", F.lit(1.0)) * fixed.score_threshold}
+    own = asdict(fixed) | {"score_threshold": f"(coalesce(factor, 1D) * {fixed.score_threshold}D)"}
     return H.add_drop_alerts(df, interval, SimpleNamespace(**own), keys).drop("_base", "_future", "factor")
 
 

@@ -10,6 +10,7 @@ from sensorwatch.operators import campaign as C
 from sensorwatch.operators import evaluate as E
 from sensorwatch.operators import fusion as FU
 from sensorwatch.operators import hypo as H
+from sensorwatch.operators import lanes as LN
 from sensorwatch.operators import report as RP
 from sensorwatch.operators import rules as R
 from sensorwatch.operators import sweep as SW
@@ -17,6 +18,7 @@ from sensorwatch.plans import tables as T
 from sensorwatch.plans.output import tidy
 from sensorwatch.plans.registry import query, shared
 from sensorwatch.sources import sinks as SK
+from sensorwatch.sources.readings import stored
 from sensorwatch.sources.tables import event_readings, table
 
 EV = ["entity", "event_id", "scenario", "expected", "start", "end"]
@@ -224,24 +226,22 @@ def _(spark, d):
     return tidy(E.explained_matches(rows, T.INTERVAL, 2, 2, 0.24, carry=("scenario", "expected")))
 
 
-def config_events(spark, d, pred):
-    """Evaluate many configurations at once; each is compared with its own untouched run."""
-    keys = ("entity", "event_id", "config")
-    return E.attributable(pred, T.INTERVAL, "behavioral_warning_episode", "behavioral_warning_start", "behavioral_warning_score", keys=keys, carry=("scenario", "expected"))
-
-
-REF = {"ref_episode": "behavioral_warning_episode", "ref_start": "behavioral_warning_start"}
+def config_events(spark, d, configs):
+    """Every setting of the drop branch evaluated on the campaign, each against its own untouched run."""
+    names = list(configs)
+    clean = stored(LN.drop_lanes(T.interval_table(spark, d), T.INTERVAL, configs, notify=True).select("entity", "bin", "dataset_split", "episodes", "starts", "notifications"), "clean_lanes")
+    adjusted = LN.drop_lanes(T.gradual_adjusted(spark, d), T.INTERVAL, configs, A.EVENT)
+    ev = LN.evaluated(adjusted, LN.reference_lanes(clean, T.INTERVAL), T.INTERVAL, names, carry=("scenario", "expected"))
+    base = LN.notified(clean, names, where=F.col("dataset_split") == "futur").withColumnRenamed("notifications", "hypo_background_notifs")
+    return ev.join(base, ["entity", "config"], "left").join(T.spans(spark, d).select("entity", "monitored_days"), "entity", "left")
 
 
 @shared("ofat_events")
 def ofat_events(spark, d):
     """Twenty-one settings x four scenarios per entity."""
-    clean = SW.ofat_sweep(T.interval_table(spark, d), T.INTERVAL)
-    ref = clean.select("entity", "config", "bin", *[F.col(v).alias(k) for k, v in REF.items()])
-    adj = SW.ofat_sweep(T.gradual_adjusted(spark, d), T.INTERVAL, A.EVENT)
-    ev = config_events(spark, d, adj.join(ref, ["entity", "config", "bin"], "left"))
-    base = clean.where("dataset_split = 'futur'").groupBy("entity", "config").agg(F.sum("behavioral_warning_notification").alias("hypo_background_notifs"))
-    return ev.join(base, ["entity", "config"], "left").join(T.spans(spark, d).select("entity", "monitored_days"), "entity", "left")
+    configs = SW.ofat_configs()
+    SW.assert_one_factor(configs)
+    return config_events(spark, d, {name: c for name, (_, _, c) in configs.items()})
 
 
 def _params():
@@ -290,12 +290,7 @@ def _(spark, d):
 @query("a26_detection_background_curve")
 def _(spark, d):
     configs = {f"{x:.2f}": HypoConfig(score_threshold=x) for x in (0.04, 0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20)}
-    clean = SW.sweep(T.interval_table(spark, d), T.INTERVAL, configs)
-    ref = clean.select("entity", "config", "bin", *[F.col(v).alias(k) for k, v in REF.items()])
-    adj = SW.sweep(T.gradual_adjusted(spark, d), T.INTERVAL, configs, keys=A.EVENT)
-    ev = config_events(spark, d, adj.join(ref, ["entity", "config", "bin"], "left"))
-    base = clean.where("dataset_split = 'futur'").groupBy("entity", "config").agg(F.sum("behavioral_warning_notification").alias("hypo_background_notifs"))
-    ev = ev.join(base, ["entity", "config"], "left").join(T.spans(spark, d).select("entity", "monitored_days"), "entity", "left")
+    ev = config_events(spark, d, configs)
     return tidy(C.curve_row(ev))
 
 
