@@ -8,7 +8,7 @@ from oracle import features as FX
 from oracle.core import BRANCH, PRED, RULES, SPLIT, SUMS, cols
 from sensorwatch.config import HypoConfig
 from sensorwatch.operators import adjust as A
-from sensorwatch.operators.sweep import INSTABILITY, OFAT
+from sensorwatch.operators.sweep import INSTABILITY, OFAT, fusion_runs
 
 SIG = ("steps", "motion", "lying", "standing", "transitions")
 FAM = A.FAMILIES
@@ -231,6 +231,41 @@ def ofat() -> dict[str, HypoConfig]:
     return {"reference": HypoConfig()} | {f"{p}__{str(v).replace('.', 'p')}": replace(HypoConfig(), **{p: v}) for p, vs in OFAT.items() for v in vs}
 
 
+def fused(runs) -> list[tuple[str, str]]:
+    """Event table ``fev`` over fusion and instability settings, each compared with its own untouched run."""
+    kinds = list(dict.fromkeys(i for i, _ in runs.values()))
+    out = [*BRANCH, SPANS, *slotted(), *series("hplan", "hadj"), *D.hypo("spl", "kh"), *D.hypo("hadj", "qh", keys=KEYS)]
+    for k, g in enumerate(kinds):
+        over = dict(agg=g.aggregation_hours, persist=g.persistence_hours, least=g.restless_motion_min_change, score=g.score_threshold, thr=g.cusum_threshold)
+        out += [*D.instability("kh", f"ki{k}", **over), *D.instability("qh", f"qi{k}", keys=KEYS, **over)]
+    parts, both = [], ("instability", "hybrid")
+    for r, (name, (i, f)) in enumerate(runs.items()):
+        k, over = kinds.index(i), dict(mode=f.mode, smin=f.sequence_min_hours, smax=f.sequence_max_hours, cool=f.cooldown_hours)
+        out += [*D.fusion(f"ki{k}", f"kf{r}", **over), *D.fusion(f"qi{k}", f"qf{r}", keys=KEYS, **over)]
+        refs = ", ".join(f"c.{b}_warning_{x} AS {b}_r{x[0]}" for b in both for x in ("episode", "start"))
+        out.append((f"qr{r}", f"SELECT q.*, {refs} FROM qf{r} q LEFT JOIN kf{r} c USING (entity, bin)"))
+        for b in both:
+            out += evaluate(f"qr{r}", f"e{r}_{b}", f"{b}_warning_episode", f"{b}_warning_start", f"{b}_warning_score", f"{b}_re", f"{b}_rs", carry="scenario, branch, expected")
+        out.append((f"kb{r}", f"SELECT entity, sum(hybrid_warning_notification) AS hybrid_background_notifs FROM kf{r} WHERE dataset_split = 'futur' GROUP BY entity"))
+        parts.append(f"SELECT '{name}' AS config, y.entity, y.branch, i.detected_any_overlap AS instability_detected_any_overlap, y.detected_any_overlap AS hybrid_detected_any_overlap, y.detected_iou20 AS hybrid_detected_iou20, "
+                     f"y.onset_delay_hours AS hybrid_onset_delay_hours, hybrid_background_notifs, monitored_days FROM e{r}_hybrid y JOIN e{r}_instability i USING (entity, event_id) LEFT JOIN kb{r} USING (entity) LEFT JOIN spn USING (entity)")
+    return [*out, ("fev", " UNION ALL ".join(parts))]
+
+
+def sensitivity() -> str:
+    kinds = {"hypo_actionable_detection": ("'HYPO'", "hybrid_detected_any_overlap"), "instability_surveillance_detection": ("'INSTABILITE'", "instability_detected_any_overlap"),
+             "instability_actionable_detection": ("'INSTABILITE'", "hybrid_detected_any_overlap"), "sequence_actionable_detection": ("'SEQUENCE'", "hybrid_detected_any_overlap"),
+             "actionable_detection": ("'HYPO', 'SEQUENCE'", "hybrid_detected_any_overlap"), "benign_control_alert_rate": ("'CONTROLE'", "hybrid_detected_any_overlap"),
+             "confound_alert_rate": ("'CONFONDANT'", "hybrid_detected_any_overlap"), "actionable_iou20": ("'HYPO', 'SEQUENCE'", "hybrid_detected_iou20")}
+    inner = ("SELECT config, count(*) AS n_events, " + ", ".join(f"avg(CASE WHEN branch IN ({b}) THEN {m} END) AS {k}" for k, (b, m) in kinds.items())
+             + ", median(CASE WHEN branch IN ('HYPO', 'SEQUENCE') THEN hybrid_onset_delay_hours END) AS actionable_delay_h_median FROM fev GROUP BY config")
+    back = "SELECT config, avg(r) AS background_per_cow_day, count(*) AS n_cows FROM (SELECT config, entity, min(hybrid_background_notifs) / min(monitored_days) AS r FROM fev GROUP BY ALL) GROUP BY config"
+    useful = "actionable_detection + 0.15 * instability_surveillance_detection + 0.25 * actionable_iou20 - 1.5 * benign_control_alert_rate - 2.0 * confound_alert_rate - 0.3 * least(1.0, background_per_cow_day)"
+    full = "actionable_detection >= 0.6 AND instability_surveillance_detection >= 0.5 AND actionable_iou20 >= 0.2"
+    cells = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in (*kinds, "actionable_delay_h_median", "background_per_cow_day"))
+    return f"SELECT config, n_events, n_cows, {cells}, round({useful}, 6) + 0.0 AS technical_utility, CAST(coalesce({full}, false) AS INTEGER) AS eligible_full_scope FROM ({inner}) JOIN ({back}) USING (config)"
+
+
 RATES = {"progressive_new_start_rate": ("detected_any_overlap", GRAD), "progressive_attributable_coverage_rate": ("episode_overlap", GRAD), "progressive_iou20_rate": ("detected_iou20", GRAD),
          "progressive_best_iou_mean": ("best_iou", GRAD), "control_new_start_rate": ("detected_any_overlap", CTRL), "control_attributable_coverage_rate": ("episode_overlap", CTRL), "control_iou20_rate": ("detected_iou20", CTRL)}
 CSUM = ("csum0", "SELECT config, count(DISTINCT entity) AS n_cows, count(*) AS n_events, median(CASE WHEN " + GRAD + " THEN onset_delay_hours END) AS dl, "
@@ -347,6 +382,7 @@ CHECKS: dict[str, str] = {
         *ADJ, *D.hypo("adj", "ahyp", keys=KEYS), *[c for h in (1, 4, 8, 24) for c in drop_eval("ahyp", f"t{h}", reach=h // 4)]),
     "d13_instability_configs": B.sql(" UNION ALL ".join(f"SELECT '{k}' AS config, CAST(sum(instability_warning_notification) AS BIGINT) AS notifications, CAST(sum(instability_warning_episode) AS BIGINT) AS episode_bins FROM c{i}" for i, k in enumerate(INSTABILITY)), *SPLIT,
         *[c for i, g in enumerate(INSTABILITY.values()) for c in D.instability("spl", f"c{i}", agg=g.aggregation_hours, persist=g.persistence_hours, least=g.restless_motion_min_change, score=g.score_threshold, thr=g.cusum_threshold)]),
+    "d13_fusion_sensitivity": B.sql(sensitivity(), *fused(fusion_runs())),
     "a39_admissibility": B.sql("SELECT entity, round(span_days, 6) AS span_days, CAST(eligible AS INTEGER) AS admissible, CAST(span_days >= 14 AS INTEGER) AS long_enough FROM spn", *SPLIT, SPANS),
     "a21_injectability": B.sql("SELECT entity, series_bins, round(injectability_score, 6) AS injectability_score, injectability_ok, round(series_length_score, 6) AS series_length_score, long_series_ok FROM inj2", *INJ),
     "a20_entity_days_count": B.sql("SELECT count(DISTINCT (entity, CAST(t AS DATE))) AS entity_days FROM raw", B.RAW),

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorwatch.config import HypoConfig, InstabilityConfig, RulesConfig, bins
+from sensorwatch.config import FusionConfig, HypoConfig, InstabilityConfig, RulesConfig, bins
 from sensorwatch.functions import series as S
 from sensorwatch.functions.scalars import attach
 from sensorwatch.operators import hypo as H
@@ -41,6 +41,22 @@ INSTABILITY = {
 }
 
 
+# Fusion variants.
+FUSIONS = {
+    "hypo_only": FusionConfig("HYPO_ONLY"),
+    "instability_only": FusionConfig("INSTABILITY_ONLY"),
+    "or": FusionConfig("OR"),
+    "hierarchical": FusionConfig("HIERARCHICAL"),
+    "sequential_24_72h": FusionConfig("SEQUENTIAL", sequence_min_hours=24.0, sequence_max_hours=72.0),
+}
+
+
+def fusion_runs() -> dict[str, tuple[InstabilityConfig, FusionConfig]]:
+    """Every fusion with the reference instability settings, and every instability variant under the hierarchical fusion."""
+    fused = {f"fusion__{name}": (InstabilityConfig(), f) for name, f in FUSIONS.items()}
+    return fused | {f"parameter__{name}": (i, FUSIONS["hierarchical"]) for name, i in INSTABILITY.items()}
+
+
 def ofat_configs() -> dict[str, tuple[str, str, HypoConfig]]:
     """Name -> (parameter, direction, settings): the reference and twenty single changes."""
     ref = HypoConfig()

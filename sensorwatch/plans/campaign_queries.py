@@ -115,11 +115,15 @@ def _(spark, d):
     return tidy(stress_events(spark, d), *EV, "fraction", *METRICS)
 
 
+@shared("hybrid_adjusted")
+def hybrid_adjusted(spark, d):
+    return T.adjusted_series(spark, d, A.slotted_plan(T.spans(spark, d), A.HYBRID, T.INTERVAL))
+
+
 @shared("hybrid_events")
 def hybrid_events(spark, d):
     """Twelve scenarios per entity, all three alert streams evaluated against the untouched run."""
-    plan = A.slotted_plan(T.spans(spark, d), A.HYBRID, T.INTERVAL)
-    pred = FU.hybrid_warning(T.adjusted_series(spark, d, plan), T.INTERVAL, keys=A.EVENT)
+    pred = FU.hybrid_warning(hybrid_adjusted(spark, d), T.INTERVAL, keys=A.EVENT)
     frames = None
     for long, short in T.ALERT_FLAGS.items():
         one = E.attributable(pred, T.INTERVAL, f"{long}_episode", f"{long}_start", f"{long}_score", f"ref_{short}_episode", f"ref_{short}_start",
@@ -294,6 +298,33 @@ def _(spark, d):
     return tidy(C.curve_row(ev))
 
 
+@shared("fusion_events")
+def fusion_events(spark, d):
+    """Fusion variants and instability variants, all streams evaluated against the untouched run of the same setting."""
+    runs = SW.fusion_runs()
+    names, streams = list(runs), {s: tuple(f"{s}_{x}" for x in LN.LANES) for s in ("instability", "hybrid")}
+    lanes = [c for s in streams.values() for c in s]
+    clean = stored(LN.fusion_lanes(T.interval_table(spark, d), T.INTERVAL, runs, notify=True).select("entity", "bin", "dataset_split", *lanes, "hybrid_notifications"), "clean_lanes")
+    carry = ["scenario", "branch", "expected"]
+    adjusted = stored(LN.fusion_lanes(hybrid_adjusted(spark, d), T.INTERVAL, runs, keys=A.EVENT).select(*A.EVENT, *carry, "pos", "bin", "start", "end", *lanes), "adjusted_lanes")
+    frames = None
+    for stream, own in streams.items():
+        ref = LN.reference_lanes(clean, T.INTERVAL, own[:2])
+        one = LN.evaluated(adjusted, ref, T.INTERVAL, names, carry=carry if frames is None else (), lanes=own)
+        one = one.withColumnsRenamed({m: f"{stream}_{m}" for m in METRICS})
+        frames = one if frames is None else frames.join(one, [*A.EVENT, "config"])
+    base = LN.notified(clean, names, "hybrid_notifications", where=F.col("dataset_split") == "futur").withColumnRenamed("notifications", "hybrid_background_notifs")
+    return frames.join(base, ["entity", "config"], "left").join(T.spans(spark, d).select("entity", "monitored_days"), "entity", "left")
+
+
+@query("d13_fusion_sensitivity")
+def _(spark, d):
+    """Detection, background and utility of every fusion and instability variant, and whether it covers the full scope."""
+    m = C.branch_metrics(fusion_events(spark, d), ["config"])
+    full = (F.col("actionable_detection") >= 0.60) & (F.col("instability_surveillance_detection") >= 0.50) & (F.col("actionable_iou20") >= 0.20)
+    return tidy(m.withColumn("eligible_full_scope", F.coalesce(full.cast("int"), F.lit(0))))
+
+
 @query("d13_match_tolerance_sweep")
 def _(spark, d):
     pred = H.hypo_branch(T.gradual_adjusted(spark, d), T.INTERVAL, keys=A.EVENT)

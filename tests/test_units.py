@@ -261,3 +261,35 @@ def test_sinks_resume_and_compare(spark):
     with pytest.raises(ValueError):
         RD.shape_of(spark.range(1))
     assert SK.same_rows(a, a).count() == 0
+
+
+def test_lanes_equal_single_settings(spark):
+    """Every lane of a sweep and of a fusion run is what the branch gives alone, notifications included."""
+    from sensorwatch.config import InstabilityConfig
+    from sensorwatch.operators import lanes as LN
+
+    rng = random.Random(11)
+    cells = "entity string, bin timestamp, dataset_split string, coverage_pct double, steps_sum double, motion_sum double, transitions_sum double, lying_sum double, standing_sum double"
+    rows = []
+    for e in ("a", "b"):
+        for i in range(160):
+            low = 0.3 if i > 110 and (i // 12) % 2 else 1.0
+            rows.append((e, T0 + dt.timedelta(hours=4 * i), "futur" if i >= 90 else "baseline", rng.choice([100.0, 100.0, 60.0, 20.0]), *(round(rng.uniform(50, 90) * low, 2) for _ in range(3)), round(rng.uniform(60, 90) / low, 2), round(rng.uniform(60, 90) * low, 2)))
+    df = spark.createDataFrame(rows, cells)
+    configs = {n: c for n, (_, _, c) in list(SW.ofat_configs().items())[::4]}
+    got = {(r["entity"], r["bin"]): r for r in LN.drop_lanes(df, "4H", configs, notify=True).collect()}
+    fired = 0
+    for k, c in enumerate(configs.values()):
+        for r in H.hypo_branch(df, "4H", c).collect():
+            own = got[r["entity"], r["bin"]]
+            assert (own["episodes"][k], own["starts"][k], own["notifications"][k]) == tuple(r[f"behavioral_warning_{x}"] for x in ("episode", "start", "notification"))
+            assert own["scores"][k] == pytest.approx(r["behavioral_warning_score"], abs=1e-12)
+            fired += r["behavioral_warning_notification"]
+    assert fired
+    runs = {"a": (InstabilityConfig(), FusionConfig("OR")), "b": (InstabilityConfig(persistence_hours=8.0), FusionConfig("HIERARCHICAL", cooldown_hours=24))}
+    got = {(r["entity"], r["bin"]): r for r in LN.fusion_lanes(df, "4H", runs, notify=True).collect()}
+    for k, (i, f) in enumerate(runs.values()):
+        for r in FU.hybrid_warning(df, "4H", HypoConfig(), i, f).collect():
+            own = got[r["entity"], r["bin"]]
+            assert [own[f"hybrid_{x}s"][k] for x in ("episode", "start", "notification")] == [r[f"hybrid_warning_{x}"] for x in ("episode", "start", "notification")]
+            assert own["instability_episodes"][k] == r["instability_warning_episode"]
