@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorwatch.config import SIGNALS
+from sensorwatch.config import SIGNALS, interval_minutes
+from sensorwatch.functions.scalars import attach
 from sensorwatch.plans import tables as T
 from sensorwatch.plans.output import tidy
 from sensorwatch.plans.registry import query
-from sensorwatch.sources.readings import scratch
+from sensorwatch.sources.readings import scratch, stored
 from sensorwatch.sources.tables import event_readings
 from sensorwatch.streaming import alerts as ST
 
@@ -40,26 +41,62 @@ def _(spark, d):
     return tidy(out, "entity", "bin", "n_raw_samples", *[f"{s}_sum" for s in SIGNALS])
 
 
+def scored(spark, feed, history, name, **settings):
+    ST.use_typed_state(spark)
+    return drained(spark, ST.score_stream(feed, stored(ST.frozen_reference(history, T.INTERVAL), "reference"), T.INTERVAL, **settings), name)
+
+
+BINS = ["entity", "bin", "n_raw_samples", "live", *[f"{s}_sum" for s in SIGNALS]]
+
+
+def live_bins(spark, d):
+    return T.interval_table(spark, d).withColumn("live", (F.col("dataset_split") == "futur").cast("int"))
+
+
 @query("st02_stateful_scorer")
 def _(spark, d):
-    df = T.interval_table(spark, d).withColumn("live", (F.col("dataset_split") == "futur").cast("int"))
-    rows = as_stream(spark, df.select("entity", "bin", "n_raw_samples", "live", *[f"{s}_sum" for s in SIGNALS]), "bins")
-    scored = ST.score_stream(ST.with_reference(rows, ST.frozen_reference(df, T.INTERVAL)), T.INTERVAL)
-    return tidy(drained(spark, scored, "scores").where("late = 0").drop("late"))
+    df = live_bins(spark, d)
+    feed = as_stream(spark, df.select(*BINS), "bins")
+    return tidy(scored(spark, feed, df, "scores", late="40 days").where("late = 0").drop("late"))
 
 
 @query("st02_scorer_with_holes")
 def _(spark, d):
     """Only bins with readings, in several micro-batches, the first one sent twice; silent bins must score as in the batch run."""
-    df = T.interval_table(spark, d).withColumn("live", (F.col("dataset_split") == "futur").cast("int"))
-    rows = df.where("n_raw_samples > 0").select("entity", "bin", "n_raw_samples", "live", *[f"{s}_sum" for s in SIGNALS])
+    df = live_bins(spark, d)
+    rows = df.where("n_raw_samples > 0").select(*BINS)
     path = scratch(spark, "holes")
     for low, high in ((0, 8), (8, 17), (17, 32), (0, 8)):
         rows.where(F.dayofmonth("bin").between(low + 1, high)).coalesce(1).write.mode("append").parquet(path)
     feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    scored = drained(spark, ST.score_stream(ST.with_reference(feed, ST.frozen_reference(df, T.INTERVAL)), T.INTERVAL), "scores")
-    late = scored.groupBy("entity").agg(F.sum("late").alias("late_rows"))
-    return tidy(scored.where("late = 0").drop("late").join(late, "entity"))
+    out = scored(spark, feed, df, "scores", late="40 days")
+    late = out.groupBy("entity").agg(F.sum("late").alias("late_rows"))
+    return tidy(out.where("late = 0").drop("late").join(late, "entity"))
+
+
+def silent_to_the_end(df, days: int):
+    """The grid of every entity prolonged by bins without readings, to ``days`` days after the newest bin of all."""
+    end = df.agg(F.max("bin").alias("newest"))
+    last = df.groupBy("entity").agg(F.max("bin").alias("bin"), F.max("pos").alias("pos"), F.first("expected_raw_per_bin").alias("expected_raw_per_bin"))
+    step = F.expr(f"INTERVAL {interval_minutes(T.INTERVAL)} MINUTES")
+    more = attach(last, end).withColumn("k", F.explode(F.sequence(F.col("bin") + step, F.col("newest") + F.expr(f"INTERVAL {days} DAYS"), step))).drop("bin", "newest").withColumnRenamed("k", "bin")
+    zero = [F.lit(0.0).alias(c) for c in ("n_raw_samples", "coverage_pct", *[f"{s}_sum" for s in SIGNALS])]
+    return df.unionByName(more.select("entity", "bin", "expected_raw_per_bin", F.lit("futur").alias("dataset_split"), F.lit(1).alias("live"), *zero), allowMissingColumns=True).drop("pos")
+
+
+@query("st02_silent_for_good")
+def _(spark, d):
+    """Every entity falls silent for good; timers score its silent bins, for ten days, without any new row of its own."""
+    df = live_bins(spark, d)
+    rows = df.where("n_raw_samples > 0").select(*BINS)
+    path = scratch(spark, "silent")
+    for low, high in ((0, 12), (12, 32)):
+        rows.where(F.dayofmonth("bin").between(low + 1, high)).coalesce(1).write.mode("append").parquet(path)
+    clock = df.agg((F.max("bin") + F.expr("INTERVAL 11 DAYS")).alias("bin"), F.lit("~").alias("entity"))  # another entity moves the watermark
+    clock.unionByName(rows.limit(0), allowMissingColumns=True).select(*BINS).coalesce(1).write.mode("append").parquet(path)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scored(spark, feed, silent_to_the_end(df, 10), "silent_scores", late="1 day")
+    return tidy(out.where("entity <> '~'").drop("late"))
 
 
 @query("st03_sliding_windows")

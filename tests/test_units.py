@@ -293,3 +293,39 @@ def test_lanes_equal_single_settings(spark):
             own = got[r["entity"], r["bin"]]
             assert [own[f"hybrid_{x}s"][k] for x in ("episode", "start", "notification")] == [r[f"hybrid_warning_{x}"] for x in ("episode", "start", "notification")]
             assert own["instability_episodes"][k] == r["instability_warning_episode"]
+
+
+def test_scorer_continues_and_forgets(spark, tmp_path):
+    """Any cut of a run gives the same scores; an entity silent for longer than the limit loses its state and starts anew."""
+    import numpy as np
+
+    from sensorwatch.streaming import alerts as AL
+
+    rng = np.random.default_rng(2)
+    rules, n = AL.Rules(HypoConfig(), "4H"), 120
+    values = rng.uniform(40, 90, (n, 5)) * np.where((np.arange(n) % 40 > 20)[:, None], [0.4, 0.4, 0.4, 1.6, 0.4], 1.0)
+    rest = (np.full(n, 5.0), np.ones(n), np.full((n, 5), 390.0), np.full(10, 1.0), 5.0)
+    whole = rules.advance(AL.Recent(), values, *(x[:n] for x in rest[:3]), *rest[3:])
+    assert whole["notification"].sum() > 0 and whole["cusum"].max() > 1
+    for cuts in ((1, 2, 3, 50), (7, 8, 60, 61), tuple(range(1, n))):
+        s, parts = AL.Recent(), []
+        for low, high in zip((0, *cuts), (*cuts, n), strict=True):
+            s = AL.Recent.of(s.row()) if s.last is not None else s
+            parts.append(rules.advance(s, values[low:high], *(x[low:high] for x in rest[:3]), *rest[3:]))
+            s.last = s.heard = AL._time(0)
+        for k, x in whole.items():
+            assert np.allclose(np.concatenate([p[k] for p in parts]), x, atol=1e-9), k
+
+    AL.use_typed_state(spark)
+    cells = "entity string, bin timestamp, n_raw_samples double, live int, " + ", ".join(f"{x}_sum double" for x in AL.SIGNALS)
+    day = lambda e, k: (e, T0 + dt.timedelta(days=k), 1.0, 1, 1.0, 1.0, 1.0, 1.0, 1.0)
+    for rows in ([day("a", 0), day("b", 0)], [day("a", 1)], [day("c", 30)], [day("c", 31), day("b", 40), day("a", 40), day("a", 40)]):
+        spark.createDataFrame(rows, cells).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    profile = "entity string, slot int, expected_raw_per_bin double, live_from timestamp, " + ", ".join([f"exp_{x} double" for x in AL.SIGNALS] + [f"floor_{k}_{x} double" for k in ("exp", "lag") for x in AL.SIGNALS])
+    feed = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    scored = AL.score_stream(feed, spark.createDataFrame([], profile), "24H", late="2 days", forget="5 days")
+    q = scored.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = sorted((r["entity"], (r["bin"] - T0).days, r["late"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [x for x in got if x[0] == "b"] == [("b", k, 0) for k in (*range(6), 40)]
+    assert [x for x in got if x[0] == "a"] == [("a", k, 0) for k in (*range(7), 40)] + [("a", 40, 1)]
