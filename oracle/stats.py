@@ -6,6 +6,7 @@ import re
 
 from oracle import base as B
 from oracle import features as FX
+from oracle import forest as FO
 from oracle.campaign import ADJ, EVENTS, SPANS, TS, rotated
 from oracle.core import BRANCH, GRID, PRED0, SPLIT
 
@@ -176,6 +177,9 @@ CHECKS: dict[str, str] = {
     "x16_autocorrelation": B.sql("SELECT entity, n_obs, lag, round(rho, 6) + 0.0 AS rho FROM acf", *HOURLY, *acf("hr", 24)),
     "x16_correlation_time": B.sql("SELECT entity, n_obs, coalesce(te, 24.0)::DOUBLE AS tau_e, round(ti, 6) AS tau_int, round(n_obs / ti, 6) AS n_eff FROM (SELECT entity, n_obs, min(CASE WHEN rho < exp(-1) THEN lag END) AS te, greatest(1.0, 1.0 + 2.0 * coalesce(sum(CASE WHEN lag < coalesce(st, 99) THEN rho END), 0)) AS ti FROM "
         "(SELECT *, min(CASE WHEN rho IS NULL OR rho <= 0 THEN lag END) OVER (PARTITION BY entity) AS st FROM acf) GROUP BY ALL)", *GRID, ("rl", f"SELECT entity, bin, {B.rolling_total('steps_sum', 3, least=3)} AS x FROM grid"), *acf("rl", 24)),
+    "x17_isolation_forest": B.sql(f"SELECT entity, {TS('bin')}, round(if_score, 6) + 0.0 AS if_score, if_anomaly_point FROM forest", *SPLIT,
+        ("bins", "SELECT entity, bin, pos, coverage_pct, CAST(dataset_split = 'baseline' AS INTEGER) AS train_point, " + ", ".join(f"{x}_sum" for x in B.SIGNALS) + " FROM spl"),
+        *FO.scores("bins", "forest", [f"{x}_sum" for x in ("steps", "motion", "lying", "standing", "transitions")])),
     "x18_local_outlier_factor": B.sql(f"SELECT entity, {TS('bin')}, round(CASE WHEN coverage_pct >= 25 THEN raw - cut END, 6) + 0.0 AS if_score, CAST(coalesce(coverage_pct >= 25 AND raw - cut < 0, false) AS INTEGER) AS if_anomaly_point FROM fin", *SPLIT, SCALED, *local_outliers(DIST)),
     "x19_robust_scaling": B.sql(f"SELECT entity, {TS('bin')}, {R6('steps_sum_scaled')}, {R6('lying_sum_scaled')} FROM scl", *SPLIT, SCALED),
     "x20_tolerant_table_diff": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority LIKE '1%' THEN '<row>' WHEN o_orderpriority LIKE '2%' THEN 'o_totalprice' ELSE 'o_orderpriority' END AS \"column\" FROM orders WHERE (o_orderstatus = 'P' AND o_orderpriority LIKE '1%') OR (o_orderpriority LIKE '2%' AND 10 > 1e-8 + 1e-7 * (o_totalprice + 10)) OR (o_orderstatus = 'F' AND o_orderpriority LIKE '3%')",

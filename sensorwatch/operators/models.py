@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.functions import series as S
+from sensorwatch.operators.forest import Forest, raw_scores
 from sensorwatch.operators.stats import running
 
 # Fixed values of the models.
 SCALE_RANGE = (0.10, 0.90)
 CONTAMINATION = 0.06
-EULER = 0.5772156649015329
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = S.ENTITY) -> DataFrame:
@@ -41,98 +41,13 @@ def flag_scores(df: DataFrame, raw: str, contamination: float, coverage_min_pct:
     return df.withColumns({"if_anomaly_point": hit, "if_pred": F.when(hit == 1, -1).otherwise(1)}).drop(raw)
 
 
-def forest_task(cols: Sequence[str], n_trees: int, block: int, max_samples: int, feature_share: float, seed: int):
-    """Function scoring one block of an entity's rows with one block of its trees.
-
-    All trees of the block grow level by level as arrays. Everything the
-    function calls is nested, so Spark ships it whole to workers that do not
-    have this package.
-    """
-
-    def usual_path(n):
-        n = np.asarray(n, float)
-        m = np.maximum(n, 2.0)
-        long = 2.0 * (np.log(np.maximum(m - 1.0, 1.0)) + 0.5772156649015329) - 2.0 * (m - 1.0) / m
-        return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
-
-    def score(key, data: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or fit.empty:
-            return pd.DataFrame({"entity": [], "pos": [], "path": []})
-        x = data[list(cols)].to_numpy(float)
-        y = fit.sort_values("t_pos")[[f"t_{c}" for c in cols]].to_numpy(float)
-        trees = min(n_trees, (key[2] + 1) * block) - key[2] * block
-        rng = np.random.default_rng([seed, key[2], *str(key[0]).encode()])
-        size, n_feat = min(max_samples, len(y)), len(cols)
-        kept = rng.random((trees, n_feat)).argsort(axis=1) < max(1, int(feature_share * n_feat))
-        sample = y[rng.integers(0, len(y), (trees, size))]
-        tree = np.arange(trees)[:, None]
-        at, live = np.zeros((trees, size), int), np.ones((trees, size), bool)
-        where, open_ = np.zeros((trees, len(x)), int), np.ones((trees, len(x)), bool)
-        path = np.zeros((trees, len(x)))
-        depth = int(np.ceil(np.log2(max(size, 2))))
-        for level in range(depth + 1):
-            nodes = 2**level
-            slot = (tree * nodes + at)[live]
-            count = np.bincount(slot, minlength=trees * nodes)
-            low, high = np.full((trees * nodes, n_feat), np.inf), np.full((trees * nodes, n_feat), -np.inf)
-            if len(slot):
-                order = np.argsort(slot, kind="stable")
-                first = np.flatnonzero(np.diff(slot[order], prepend=-1))
-                inside = sample[live][order]
-                low[slot[order][first]] = np.minimum.reduceat(inside, first, axis=0)
-                high[slot[order][first]] = np.maximum.reduceat(inside, first, axis=0)
-            usable = (high > low) & np.repeat(kept, nodes, axis=0)
-            split = usable.any(axis=1) & (level < depth)
-            row_slot = tree * nodes + where
-            stop = open_ & ~split[row_slot]
-            path[stop] = level + usual_path(count[row_slot[stop]])
-            open_ &= ~stop
-            if not split.any():
-                break
-            f = np.argmax(rng.random(usable.shape) * usable, axis=1)
-            pick = np.arange(trees * nodes)
-            with np.errstate(invalid="ignore"):
-                cut = low[pick, f] + rng.random(trees * nodes) * (high[pick, f] - low[pick, f])
-            own = tree * nodes + at
-            live &= split[own]
-            at = 2 * at + (np.take_along_axis(sample, f[own][:, :, None], axis=2)[:, :, 0] > cut[own])
-            at[~live] = 0
-            where = 2 * where + (x[np.arange(len(x))[None, :], f[row_slot]] > cut[row_slot])
-            where[~open_] = 0
-        return pd.DataFrame({"entity": data["entity"], "pos": data["pos"], "path": path.sum(axis=0)})
-
-    return score
-
-
 def isolation_scores(
     df: DataFrame, cols: Sequence[str], n_trees: int = 800, contamination: float = CONTAMINATION, max_samples: int = 256,
-    feature_share: float = 0.8, seed: int = 42, block: int = 200, rows_per_task: int = 20_000, coverage_min_pct: float = 25.0,
+    feature_share: float = 0.8, seed: int = 42, coverage_min_pct: float = 25.0,
 ) -> DataFrame:
-    """Isolation forest per entity, cut into (tree block, row block) tasks.
-
-    Each task draws its trees from the entity's training rows and adds up the
-    path lengths of its share of rows; the sums of the blocks are then averaged
-    by a plain aggregation. Trees depend on the entity and block number only, so
-    every row block sees the same trees and a repeated task the same result.
-    """
-    blocks = -(-n_trees // block)
-    feats = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]
-    rows = df.select("entity", "pos", (F.floor(F.col("pos") / rows_per_task)).cast("int").alias("part"), *feats)
-    parts = rows.select("entity", "part").distinct()
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    train = df.where("train_point = 1").select("entity", F.col("pos"), *feats).join(parts, "entity")
-    left, right = rows.withColumn("block", each), renamed(train.withColumn("block", each))
-
-    score = forest_task(tuple(cols), n_trees, block, max_samples, feature_share, seed)
-    by = ["entity", "part", "block"]
-    paths = left.groupBy(*by).cogroup(right.groupBy(*[f"t_{c}" for c in by])).applyInPandas(score, "entity string, pos int, path double")
-    mean = paths.groupBy("entity", "pos").agg((F.sum("path") / float(n_trees)).alias("_path"))
-    sizes = df.groupBy("entity").agg(F.sum("train_point").alias("_train"))
-    n = F.least(F.col("_train"), F.lit(max_samples)).cast("double")
-    usual = F.when(n > 2, 2.0 * (F.ln(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n).otherwise(F.lit(1.0))
-    out = df.join(mean, ["entity", "pos"], "left").join(sizes, "entity")
-    out = out.withColumn("_raw", -F.pow(F.lit(2.0), -F.col("_path") / usual)).drop("_path", "_train")
-    return flag_scores(out, "_raw", contamination, coverage_min_pct)
+    """Isolation forest per entity with the columns of ``flag_scores``; an entity without training rows has no score."""
+    cfg = Forest(n_trees=n_trees, max_samples=max_samples, feature_share=feature_share, seed=seed)
+    return flag_scores(raw_scores(df, cols, cfg), "_raw", contamination, coverage_min_pct)
 
 
 def renamed(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from sensorwatch.config import INTERVALS, SIGNALS, FusionConfig, HypoConfig, RulesConfig, interval_minutes
+from sensorwatch.config import INTERVALS, SIGNALS, FusionConfig, HypoConfig, RulesConfig, WatchConfig, interval_minutes
 from sensorwatch.functions import scalars as SC
 from sensorwatch.functions import series as S
 from sensorwatch.operators import baseline as BL
@@ -19,6 +19,7 @@ from sensorwatch.operators import models as M
 from sensorwatch.operators import report as RP
 from sensorwatch.operators import rules as R
 from sensorwatch.operators import sweep as SW
+from sensorwatch.pipeline import run_herd
 from sensorwatch.plans import tables as T
 from sensorwatch.plans.output import tidy
 from sensorwatch.plans.registry import query
@@ -608,10 +609,9 @@ def _(spark, d):
 
 @query("d06_pipeline_with_forest")
 def _(spark, d):
-    """The whole pipeline with the forest switched on: features, split, forest, rules, branches, fusion, summary."""
-    scored = M.isolation_scores(T.feature_table(spark, d), RP.model_features(T.feature_table(spark, d).columns), n_trees=100, block=25)
-    pred = FU.hybrid_warning(R.apply_rules(scored, T.INTERVAL), T.INTERVAL)
-    return tidy(RP.rank_entities(RP.entity_summary(pred)))
+    """The whole run as published, forest of 800 trees included: features, split, forest, rules, branches, fusion, summary."""
+    summary, _ = run_herd(event_readings(spark, d), WatchConfig(interval=T.INTERVAL))
+    return tidy(summary)
 
 
 @query("d08_local_outliers_with_rules")

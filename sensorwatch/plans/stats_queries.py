@@ -169,7 +169,7 @@ def _(spark, d):
 def _(spark, d):
     df = T.interval_table(spark, d)
     cols = [f"{s}_sum" for s in ("steps", "motion", "lying", "standing", "transitions")]
-    return tidy(M.isolation_scores(df, cols, n_trees=80, block=20), "entity", "bin", "if_score", "if_anomaly_point")
+    return tidy(M.isolation_scores(df, cols), "entity", "bin", "if_score", "if_anomaly_point")
 
 
 @query("x19_robust_scaling")

@@ -223,7 +223,7 @@ def test_forest_and_lof_find_planted_outliers(spark):
         odd = i in (250, 260, 270)
         rows.append(("a", i, 1 if i < 180 else 0, 100.0, 50.0 if odd else rng.gauss(0, 1), -40.0 if odd else rng.gauss(0, 1)))
     df = spark.createDataFrame(rows, "entity string, pos int, train_point int, coverage_pct double, x double, y double").withColumn("bin", F.col("pos"))
-    out = M.isolation_scores(df, ["x", "y"], n_trees=100, block=50)
+    out = M.isolation_scores(df, ["x", "y"], n_trees=100)
     low = [r["pos"] for r in out.orderBy("if_score").limit(3).collect()]
     assert set(low) == {250, 260, 270}
     share = out.where("train_point = 1").agg(F.avg("if_anomaly_point")).first()[0]
