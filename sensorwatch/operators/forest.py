@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.functions.scalars import stable_seed
-from sensorwatch.sources.readings import stored
 
 EULER = 0.5772156649015329
 UNIT = 1_000_000  # path lengths are counted in millionths
@@ -36,7 +35,7 @@ class Forest:
     max_samples: int = 256
     feature_share: float = 0.8
     seed: int = 42
-    block: int = 100  # trees of a fitting task
+    block: int = 400  # trees of a fitting task
     rows: int = 20_000  # bins of a scoring task
 
 
@@ -147,6 +146,12 @@ def _rows(table: pa.Table, cols: Sequence[str]) -> np.ndarray:
     return np.stack([table.column(c).to_numpy() for c in cols], axis=1).astype(float)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is large beside its rows: their number is told to Spark, which would else join small inputs in a few."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def fitted(df: DataFrame, cols: Sequence[str], cfg: Forest = Forest()) -> DataFrame:
     """One row per (entity, tree): ``features``, ``cuts`` and ``paths`` by heap number, grown on the rows with ``train_point`` 1.
 
@@ -169,7 +174,7 @@ def fitted(df: DataFrame, cols: Sequence[str], cfg: Forest = Forest()) -> DataFr
         return pa.table({"entity": entity, "tree": pa.array(trees, pa.int32()), "features": _lists(features, pa.int16()), "cuts": _lists(cuts, pa.float64()), "paths": _lists(paths, pa.int32())})
 
     kind = df.schema["entity"].dataType.simpleString()
-    return train.groupBy("entity", "block").applyInArrow(fit, f"entity {kind}, tree int, features array<smallint>, cuts array<double>, paths array<int>")
+    return train.repartition(_tasks(df), "entity", "block").groupBy("entity", "block").applyInArrow(fit, f"entity {kind}, tree int, features array<smallint>, cuts array<double>, paths array<int>")
 
 
 def mean_paths(df: DataFrame, trees: DataFrame, cols: Sequence[str], cfg: Forest = Forest()) -> DataFrame:
@@ -188,12 +193,15 @@ def mean_paths(df: DataFrame, trees: DataFrame, cols: Sequence[str], cfg: Forest
         return pa.table({"entity": own.column("entity"), "pos": own.column("pos"), "path": pa.array(sums, pa.float64(), mask=np.full(len(own), not len(forest)))})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return rows.groupBy("entity", "part").cogroup(dealt.groupBy("e", "p")).applyInArrow(score, f"entity {kinds['entity']}, pos {kinds['pos']}, path double")
+    n = _tasks(df)
+    both = rows.repartition(n, "entity", "part").groupBy("entity", "part").cogroup(dealt.repartition(n, "e", "p").groupBy("e", "p"))
+    return both.applyInArrow(score, f"entity {kinds['entity']}, pos {kinds['pos']}, path double")
 
 
-def raw_scores(df: DataFrame, cols: Sequence[str], cfg: Forest = Forest()) -> DataFrame:
-    """``_raw``: minus 2 to the power of the mean path over the usual one; the trees are fitted once and stored."""
-    trees = stored(fitted(df, cols, cfg), "forest")
+def raw_scores(df: DataFrame, cols: Sequence[str], cfg: Forest = Forest(), trees: DataFrame | None = None) -> DataFrame:
+    """``_raw``: minus 2 to the power of the mean path over the usual one. ``trees`` is a stored model of ``fitted``; without
+    it the trees are fitted here, once, and go straight to the tasks that score."""
+    trees = fitted(df, cols, cfg) if trees is None else trees
     sizes = df.groupBy("entity").agg(F.sum("train_point").alias("_train"))
     n = F.least(F.col("_train"), F.lit(cfg.max_samples)).cast("double")
     usual = F.when(n > 2, 2.0 * (F.ln(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n).otherwise(F.lit(1.0))
