@@ -43,14 +43,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables (as ``written`` returned them) that later work tables have taken the place of; nothing may read them any more."""
+    for df in tables:
+        if df.work_path in _written:
+            _written.remove(df.work_path)
+            _delete(df.sparkSession, df.work_path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the work tables this session has written, once their results are stored elsewhere."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str | StructType, rows: int = 512) -> DataFrame:

@@ -5,7 +5,7 @@ several independent trees: at a node, one or two coordinates of its minwise
 signature are selected by the node's own hash (1/similarity of them on average), and
 the tokens found there name the child nodes. Similar sets share a node far below
 the root; unlike ones part soon. Nodes that are still large branch further, small
-nodes are compared exhaustively on byte sketches of the signatures. Deeper trees lose
+nodes are compared exhaustively on sketches of the signatures (four bits a coordinate). Deeper trees lose
 more pairs, so the number of trees is computed from the depth; classes whose nodes
 branch further walk additional trees to that depth.
 
@@ -46,7 +46,7 @@ class NearDup:
     percent: int = 80  # least similarity, in hundredths; above 50
     missed: float = 1e-6
     coordinates: int = 128
-    slack: float = 0.2  # ruled out when sketches say this much less than the threshold (2e-8 of pairs at it)
+    slack: float = 0.2  # ruled out when sketches say this much less than the threshold (3e-9 of pairs at it)
     node: int = 4000  # nodes up to this size are compared exhaustively
     deeper: int = 6  # levels that larger nodes may branch further
     block: int = 10_000  # texts of a cluster that one task settles
@@ -178,18 +178,23 @@ def components(edges: DataFrame) -> DataFrame:
     left = C.written(edges.where("x <> y").select(high.alias("x"), low.alias("y")).distinct(), "edges")
     labels = left.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
-        roots = C.written(left.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")), "roots")
+        roots = held = C.written(left.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")), "roots")
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
             further = C.written(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
-            roots = further.select("node", "root")
+            C.discard(held)
+            held, roots = further, further.select("node", "root")
             if further.where("moved").isEmpty():
                 break
         over = roots.select(F.col("node").alias("label"), "root")
-        labels = C.written(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        named = C.written(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        if hasattr(labels, "work_path"):
+            C.discard(labels)
+        labels = named
         x, y = roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
         redrawn = left.join(x, "x").join(y, "y", "left").select("rx", F.coalesce("ry", "y").alias("ry")).where("rx <> ry")
-        left = C.written(redrawn.select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct(), "edges")
+        before, left = left, C.written(redrawn.select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct(), "edges")
+        C.discard(before, held)
         if left.isEmpty():
             return labels
 
@@ -239,7 +244,8 @@ def _loose_forest(cfg: NearDup):
 
     def forest(node: pa.Table) -> list[pa.Array]:
         rep, n = node.column("rep").to_numpy(), node.column("n").to_numpy()
-        sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        halves = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        sketch = np.concatenate([halves >> 4, halves & 15], axis=1)
         rest, stack, own, a, b = np.arange(len(rep)), [], [], [], []
         while len(rest) or stack:
             if not stack:
@@ -335,14 +341,16 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
     """(node, label) over the set hashes that are linked with a different set."""
     reps = profile.where("sig is not null").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig"))
     reps = C.written(reps.withColumn("rep", F.xxhash64("set_key")), "classes")
-    sketches = reps.select("rep", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1")).alias("sketch"))
+    sketches = reps.select("rep", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(.).......", "$1")).alias("sketch"))  # four bits of each coordinate
     depth = depth_for(reps.count())
     trees = trees_for(cfg, depth)
     paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth, range(trees)), "path long, rep long", rows=2048)
-    forests = []
+    forests, superseded = [], []
     for level in range(cfg.deeper + 1):
         paths = C.written(paths, "paths")
+        C.discard(*superseded)
         nodes = C.written(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
+        superseded = [paths, nodes]
         crowd = paths.join(nodes, "path")
         small = crowd.where(F.col("size") <= cfg.node).join(sketches, "rep").select("path", "rep", "n", "sketch")
         forests.append(C.written(_groups(small, ["path"], _loose_forest(cfg), "x long, y long"), "forest"))
@@ -360,6 +368,7 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
         crowded = reps.select("rep", "sig").join(large.select("rep").distinct(), "rep", "left_semi")  # deeper nodes take more trees
         paths = paths.union(C.map_arrow(crowded, _walk(cfg, depth, range(walked, trees)), "path long, rep long", rows=2048)) if trees > walked else paths
     clusters = components(reduce(DataFrame.union, forests))
+    C.discard(*superseded, *forests)
     clusters = C.written(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
 
     needed = reps.join(clusters, "rep").select("row_key").distinct()
