@@ -50,6 +50,7 @@ class NearDup:
     node: int = 4000  # nodes up to this size are compared exhaustively
     deeper: int = 6  # levels that larger nodes may branch further
     block: int = 10_000  # texts of a cluster that one task settles
+    screen: int = 1 << 18  # 64-bit words of the screen over texts that clusters need
 
     @property
     def smallest(self) -> int:
@@ -337,6 +338,19 @@ def _in_blocks(df: DataFrame, group: str, own: str, size: int) -> tuple[DataFram
     return small, split.drop("members", "blocks", "block", "other")
 
 
+def screened(rows: DataFrame, wanted: DataFrame, key: str, words: int) -> DataFrame:
+    """Rows whose key may be among the wanted ones: all that are, and few others while the keys are fewer than the bits.
+
+    The bits are a table of at most ``words`` rows whatever the input, so it can be broadcast; large
+    rows that nobody wants are left out before a join moves them.
+    """
+    slot = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(64 * words))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    masks = wanted.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    out = rows.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64)).join(F.broadcast(masks), "_word")
+    return out.where(F.col("_mask").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, label) over the set hashes that are linked with a different set."""
     reps = profile.where("sig is not null").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig"))
@@ -371,8 +385,9 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
     C.discard(*superseded, *forests)
     clusters = C.written(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
 
-    needed = reps.join(clusters, "rep").select("row_key").distinct()
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("row_key"), F.col(text).alias("text")).join(needed, "row_key", "left_semi").select("text")
+    needed = C.written(reps.join(clusters, "rep").select("row_key").distinct(), "needed")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("row_key"), F.col(text).alias("text"))
+    rows = screened(rows, needed, "row_key", cfg.screen).join(needed, "row_key", "left_semi").select("text")
 
     def sets(batch: pa.RecordBatch) -> list[pa.Array]:
         hashes, values = [], []

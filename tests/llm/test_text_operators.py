@@ -129,6 +129,15 @@ def test_recall_holds_at_every_depth():
     assert sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least)) < 1e-7  # lost by the sketch screen
 
 
+def test_screen_keeps_every_wanted_row(spark):
+    rows = spark.createDataFrame([(i if i % 50 else None, f"t{i}", "x") for i in range(-1000, 1000)], "k long, text string, _mask string")
+    wanted = rows.where("k % 7 = 0").select("k")
+    for words, most in ((1 << 12, 400), (1, 2000)):
+        kept = neardup.screened(rows.drop("_mask"), wanted, "k", words).collect()
+        assert {r["k"] for r in wanted.collect()} <= {r["k"] for r in kept} and len(kept) <= most
+    assert neardup.screened(rows.drop("_mask"), wanted.limit(0), "k", 16).count() == 0
+
+
 def test_components_of_a_random_graph(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 220), rng.randrange(100, 220)) for _ in range(70)] + [(7, 7)]
