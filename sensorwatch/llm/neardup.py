@@ -426,13 +426,14 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, cfg: NearDup = NearDup(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group (smallest id; of repeated rows one), and every document without words."""
+    """The rows of ``docs`` that stay: one of each group (smallest id; of repeated rows one), and every document without words. Other columns may have any names."""
+    row, place = C.fresh(docs, "_row"), C.fresh(docs, "_place")
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     worded = F.coalesce(F.regexp_like(F.col(text), F.lit(C.WORD)), F.lit(False))
     groups = near_duplicates(docs.where(worded), cfg, key, text)
-    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("other")).agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("_row"))
-    best = best.select("_row").distinct()
-    with_words = docs.where(worded).withColumn("_row", row_key)
-    first = Window.partitionBy("_row").orderBy(text, *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])
-    kept = with_words.withColumn("_place", F.row_number().over(first)).where("_place = 1").join(best, "_row", "left_semi")
+    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("other")).agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias(row))
+    best = best.select(row).distinct()
+    with_words = docs.where(worded).withColumn(row, row_key)
+    first = Window.partitionBy(row).orderBy(text, *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])
+    kept = with_words.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).join(best, row, "left_semi")
     return kept.select(*docs.columns).union(docs.where(~worded))

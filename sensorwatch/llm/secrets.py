@@ -6,17 +6,23 @@ distinct repositories and owners: a value seen under many owners is a widely cop
 that stays with its owner looks live. Base patterns are always reported; bare strings only where
 their value is owner-specific.
 
+A private key runs from its BEGIN line to its END line only if nothing but headers, base64 text and
+joints of string literals stands between; prose that names both lines holds no key.
+
 Repository is a column (``source``); its owner is what stands before the first "/", the whole name
 without one. Rows without a repository count as one repository of one unknown owner. A null text
-counts as empty. Counting adds up map-side first, so a value that a third of all documents share is
+counts as empty, an empty table gives an empty result, repeated rows are rows of their own, and input
+columns may have any names. A text of any length is scanned whole, in time linear in it. Counting adds up map-side first, so a value that a third of all documents share is
 a few rows per task; texts are not shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -37,6 +43,9 @@ PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 KEY_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 # Without an END line: headers, then lines (or escaped lines) of base64 and a last, shorter one.
 KEY_BODY = re.compile(r"""(?:\s*[A-Z][A-Za-z-]+:\x20[^\n]*\n)*(?:(?:(?:\\[nr]|[\s"'+,>#*|])*[A-Za-z0-9+/]{20,}={0,2})+(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2}(?=\s|\\|["']|$))?)?""")
+KEY_HEADER = re.compile(r"""(?:\\[nr]|[\s"'+,>#*|])*[A-Z][A-Za-z-]+:\x20(?:(?!\\n)[^\n])*(?:\n|\\n)""")
+KEY_BREAK = re.compile(r"""(?:\\[nrt]|[\s"',>#*|]|(?<=["'\s])\+(?=["'\s]))+""")
+KEY_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 KEY_JOINTS = re.compile(r"""\\[nrt]|["']\s*\+\s*["']|[^A-Za-z0-9+/=]+""")
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -53,14 +62,22 @@ def _entropy(value: str) -> float:
     return -sum(c / n * log2(c / n) for c in map(value.count, set(value)))
 
 
+def is_key_body(text: str, low: int, high: int) -> bool:
+    """Whether a span holds headers, then lines of base64 text (16 characters or more but for the last), and nothing else."""
+    while header := KEY_HEADER.match(text, low, high):
+        low = header.end()
+    lines = [x for x in KEY_BREAK.split(text[low:high]) if x]
+    return bool(lines) and len(lines[0]) >= 16 and all(KEY_LINE.fullmatch(x) and len(x) >= 16 for x in lines[:-1]) and bool(KEY_LINE.fullmatch(lines[-1]))
+
+
 def private_keys(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, value): through the END line, or else to the end of the base64 text; the value is the whole body without white space and escapes."""
+    """(start, end, value): through the END line if a key stands before it, or else to the end of the base64 text; the value is the whole body without white space and escapes, empty without a key."""
     found = []
     for m in PRIVATE_KEY.finditer(text):
         bound = text.find("-----BEGIN", m.end())
         bound = len(text) if bound < 0 else bound
         last = KEY_END.search(text, m.end(), bound)
-        upto, end = last.span() if last else [KEY_BODY.match(text, m.end(), bound).end()] * 2
+        upto, end = last.span() if last and is_key_body(text, m.end(), last.start()) else [KEY_BODY.match(text, m.end(), bound).end()] * 2
         found.append((m.start(), end, KEY_JOINTS.sub("", text[m.end() : upto])))
     return found
 
@@ -75,12 +92,14 @@ def candidates(text: str, cfg: SecretConfig = SecretConfig()) -> list[tuple[int,
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        found += [(3, *k) for k in private_keys(text)]
-    taken = [(s, e) for _, s, e, _ in found]
+        found += [(3, *k) for k in private_keys(text) if k[2]]
+    taken = sorted((s, e) for _, s, e, _ in found)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))  # furthest end so far
     for m in BARE.finditer(text):
         value = m[0]
         if not (value.isalpha() or value.isdigit()) and any(c.isdigit() for c in value) and value.lower() != value and value.upper() != value:
-            if not any(s < m.end() and m.start() < e for s, e in taken) and _entropy(value) >= cfg.entropy:
+            before = bisect_left(starts, m.end())
+            if not (before and reach[before - 1] > m.start()) and _entropy(value) >= cfg.entropy:
                 found.append((4, m.start(), m.end(), value))
     return sorted(found, key=lambda c: (c[1], c[0]))
 
@@ -144,10 +163,10 @@ def judged(scan: DataFrame, cfg: SecretConfig) -> DataFrame:
 def redacted(docs: DataFrame, cfg: SecretConfig = SecretConfig(), key: str = "doc_id", text: str = "text", repository: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """The documents with the value of every live-looking credential replaced; copied examples stay. Columns as before."""
     rows = judged(scanned(docs, cfg, key, text, repository, carry=True), cfg)
-    place = docs.columns.index(text)
+    place, live = docs.columns.index(text), C.fresh(docs, "_live")
     spot = F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(f["at"], f["end"]))
-    rows = rows.select("document.*", F.array_sort(spot).alias("_live"))
-    clean, dirty = rows.where("size(_live) = 0").drop("_live"), rows.where("size(_live) > 0")
+    rows = rows.select("document.*", F.array_sort(spot).alias(live))
+    clean, dirty = rows.where(F.size(live) == 0).drop(live), rows.where(F.size(live) > 0)
 
     def redact(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = []

@@ -1,6 +1,6 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of a host come together in runs of bounded length. The page with most nodes is the run's
+Pages of a host are dealt to runs of bounded size. The page with most nodes is the run's
 reference; every page's DOM tree is aligned with it by simple tree matching (runs of like siblings
 count as one repeated node). A block of text at a node of the reference is a slot. A slot that
 recurs through most of a run's different pages is template, inside an article as well; pages that
@@ -10,12 +10,18 @@ that would lose everything. What is left of the article or main elements is the
 without them keeps every block that is not template.
 
 Elements that never hold main text (menus, headers, footers, asides, forms, scripts, styles, and
-whatever names itself an advert, notice, sidebar or comment section) are left out first.
-
-Null html counts as empty and gives an empty text. Malformed pages are closed as browsers do: a
-block ends an open paragraph, unmatched end tags are ignored. Rows of a host are range-split, so
-a host of any size is many runs. Which pages meet in a run depends on the partitioning, and so does
-what shows itself as template in runs of few pages; a run of one or two pages has none.
+whatever names itself an advert, notice, sidebar or comment section) are left out first. Comments,
+teasers and the like may be marked up as articles: an article element is main text unless it or a box
+around it bears such a name, or is named as boilerplate and far shorter than the page's longest. Inside an article a box goes if a whole class name or id is
+boilerplate ("newsletter-box"), or if one word of it is and most of its text is links; a heading
+box ("entry-header") keeps its headings.
+
+Null html counts as empty and gives an empty text; an empty table gives an empty result, and of the
+input's columns only key, url and html are read, so others may have any names. Pages of any length are
+used whole. Malformed pages are closed as browsers do: a block ends an open paragraph, unmatched end
+tags are ignored. A host of n pages and b bytes has max(n / 64, b / 4 MB) runs, and a seeded hash of the
+page names its run: the runs follow from the data alone, whatever the partitioning, and a host of any size is many
+runs. Repeated rows are in one run, held and parsed once. A run of one or two different pages has no template.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorwatch.llm import common as C
+
 # Element names by role, and names by which boilerplate calls itself.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,29 +51,50 @@ NAMES = set(
     "comment comments disqus replies respond login signup search widget toolbar pagination pager".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+# Of these, names of what holds texts by or about others; and words that say nothing about a box's content.
+OTHERS = set("comment comments disqus reply replies respond related recommended teaser teasers sidebar".split())
+SURE = set("comment comments disqus advert adverts advertisement advertisements adsense sponsored cookie cookies gdpr sidebar navbar breadcrumb breadcrumbs pagination".split())
+PLAIN = set(
+    "site page post posts entry article articles story block box section area bar list item items body content text inner outer wrapper wrap container slot unit row col column "
+    "link links button buttons icon icons form thread group panel left right top bottom main primary secondary global js id the and in of new all more".split()
+)
+LAYOUT = {"has", "with", "no", "without"}  # "has-sidebar" tells of a layout and names no sidebar
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-RUN = 64
+RUN_PAGES = 64
+RUN_BYTES = 4 << 20
+
+
+def _words(name: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
 
 
 class Node:
-    __slots__ = ("children", "form", "kind", "label", "tag")
+    """``kind``: main, drop, header, named (one word of a name is boilerplate's) or none; ``sure``: a whole name is; ``others``: it names comments, teasers or a sidebar."""
+
+    __slots__ = ("children", "form", "kind", "label", "others", "sure", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.children = tag, []
         named = (attrs.get("class", "") + " " + attrs.get("id", "")).strip()
         self.label = f"{tag}.{named.split()[0]}" if named else tag
         self.kind = ""
+        self.sure = self.others = False
         self.form = tag == "form" or attrs.get("role") == "form"
         if tag in ("html", "body"):
             return
         role = attrs.get("role", "")
+        classes, own = [ws for x in attrs.get("class", "").split() if (ws := _words(x)) and ws[0] not in LAYOUT], _words(attrs.get("id", ""))
+        telling = [told for told in ([x for x in ws if x not in PLAIN] for ws in [*classes, own]) if told]
+        whole = [told for told in telling if NAMES.issuperset(told)]
+        self.others = any(not OTHERS.isdisjoint(told) for told in whole) or any(ws and ws[0] in OTHERS for ws in classes)
+        self.sure = bool(whole) or any(not SURE.isdisjoint(ws) for ws in classes)
         if tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody":
             self.kind = "main"
         elif tag in NEVER or role in ROLES or "hidden" in attrs:
             self.kind = "drop"
-        elif tag == "header":
+        elif tag == "header" or telling and all(told == ["header"] for told in telling):
             self.kind = "header"
-        elif named and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())):
+        elif not all(NAMES.isdisjoint(ws) for ws in [*classes, own]):
             self.kind = "named"
 
 
@@ -116,23 +145,66 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def holds_main(node: Node) -> bool:
-    stack = [node]
+def _lengths(root: Node) -> dict[int, tuple[int, int]]:
+    """By element: characters of text below it but white space, scripts and the like, and those of them inside links."""
+    out: dict[int, tuple[int, int]] = {}
+    stack = [(root, False, False)]
     while stack:
-        n = stack.pop()
+        n, linked, done = stack.pop()
+        linked = linked or n.tag == "a"
+        if not done:
+            stack.append((n, linked, True))
+            stack += [(c, linked, False) for c in n.children if not isinstance(c, str) and c.tag not in NEVER]
+            continue
+        whole = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        links = whole * linked
+        for c in n.children:
+            if not isinstance(c, str) and c.tag not in NEVER:
+                whole, links = whole + out[id(c)][0], links + out[id(c)][1]
+        out[id(n)] = whole, links
+    return out
+
+
+def holders(root: Node, lengths: dict[int, tuple[int, int]]) -> set[int]:
+    """Elements that are or hold main text: the article or main elements that are half as long as the page's longest
+    innermost one or longer, and all around them. Those that bear or stand in a name of comments, teasers or
+    sidebars count only on a page without others."""
+    above: dict[int, Node] = {}
+    mains: list[tuple[Node, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        n, others = stack.pop()
+        others = others or n.others and (n.kind == "main" or n.sure and n.tag != "body")
         if n.kind == "main":
-            return True
-        stack += [c for c in n.children if not isinstance(c, str)]
-    return False
+            mains.append((n, others))
+        for c in n.children:
+            if not isinstance(c, str):
+                above[id(c)] = n
+                stack.append((c, others))
+    own = [n for n, others in mains if not others] or [n for n, _ in mains]
+    around: set[int] = set()  # main elements with main elements in them
+    for n in own:
+        up = above.get(id(n))
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = above.get(id(up))
+    longest = max((lengths.get(id(n), (0, 0))[0] for n in own if id(n) not in around), default=0)
+    held: set[int] = set()
+    for n in own:
+        up = n if 2 * lengths.get(id(n), (0, 0))[0] >= longest else None
+        while up is not None and id(up) not in held:
+            held.add(id(up))
+            up = above.get(id(up))
+    return held
 
 
 def _length(node: Node) -> int:
     return sum(len(text) for _, text in blocks(node))
 
 
-def holds_page(form: Node, root: Node) -> bool:
+def holds_page(form: Node, root: Node, held: set[int]) -> bool:
     """Whether a form wraps the page: the article is in it, or prose and most of the page's text."""
-    if holds_main(form):
+    if id(form) in held:
         return True
     stack = [form]
     while stack:
@@ -143,22 +215,47 @@ def holds_page(form: Node, root: Node) -> bool:
     return False
 
 
+def headings(box: Node) -> list[Node]:
+    """Heading elements anywhere in a box."""
+    out, stack = [], [box]
+    while stack:
+        n = stack.pop()
+        if n.tag in HEADINGS or n.tag == "hgroup":
+            out.append(n)
+        else:
+            stack += [c for c in reversed(n.children) if not isinstance(c, str) and c.kind != "drop"]
+    return out
+
+
 def prune(root: Node) -> Node:
     """Drop what is never main text. A named box or a form that holds the article itself stays."""
+    lengths = _lengths(root)
+    held = holders(root, lengths)
+
+    def goes(c: Node, inside: bool) -> bool:
+        if id(c) in held:
+            return c.kind == "drop" and not c.form
+        if c.kind == "drop":
+            return not (c.form and holds_page(c, root, held))
+        if c.kind == "named" and inside and not c.sure:
+            whole, links = lengths.get(id(c), (0, 0))
+            return 2 * links > whole
+        return c.kind == "named" or c.kind == "main" and c.sure
+
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         kept = []
         for c in node.children:
             if not isinstance(c, str):
-                if c.kind == "drop" and not (c.form and holds_page(c, root)) or c.kind == "named" and not holds_main(c):
+                if goes(c, inside):
                     kept.append(" ")
                     continue
-                if c.kind == "header" and not holds_main(c):
+                if c.kind == "header" and id(c) not in held:
                     if not inside:
                         kept.append(" ")
                         continue
-                    c.children = [x for x in c.children if not isinstance(x, str) and (x.tag in HEADINGS or x.tag == "hgroup")]
+                    c.children = headings(c)
                 stack.append((c, inside or c.kind == "main"))
             kept.append(c)
         node.children = kept
@@ -348,28 +445,36 @@ def extract(pages: list[str]) -> list[str]:
 def page_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"), F.xxhash64(key, url).alias("h"))
-    rows = rows.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
+    text = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), text.alias("html"), host.alias("host"), F.xxhash64(F.lit("run"), key, url, text).alias("h"))
+    sizes = rows.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html").cast("long")).alias("b"))
+    sizes = sizes.select("of", F.greatest(F.ceil(F.col("n") / RUN_PAGES), F.ceil(F.col("b") / RUN_BYTES), F.lit(1)).cast("long").alias("runs")).where("runs > 1")
+    # a small table for most inputs, which Spark broadcasts by the size of its files; past that a join that splits hot hosts
+    rows = rows.join(C.written(sizes, "hosts"), F.col("host") == F.col("of"), "left")
+    rows = rows.select("page_id", "url", "html", "host", F.pmod("h", F.coalesce("runs", F.lit(1))).alias("run"), "h")
+    rows = rows.repartition("host", "run").sortWithinPartitions("host", "run", "h", "html", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # page_id, url, place of its html
+        different: list[str] = []
+        at, kind = None, None
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids([r[0] for r in held]), pa.array([r[1] for r in held], pa.string()), pa.array(extract([r[2] for r in held]), pa.string())], names=["page_id", "url", "text"])
+        def told() -> Iterator[pa.RecordBatch]:
+            texts = extract(different)
+            for low in range(0, len(held), 512):
+                part = held[low : low + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], kind), pa.array([r[1] for r in part], pa.string()), pa.array([texts[r[2]] for r in part], pa.string())], names=["page_id", "url", "text"])
 
-        ids = pa.array
-        size = 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            ids = lambda x, kind=kind: pa.array(x, kind)
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (held[-1][3] != row[3] or len(held) >= RUN or size > 4 << 20):
-                    yield told()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield told()
+            for page_id, address, content, *own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if own != at:
+                    yield from told()
+                    held, different, at = [], [], own
+                if not different or different[-1] != content:  # sorted: equal rows follow each other
+                    different.append(content)
+                held.append((page_id, address, len(different) - 1))
+        yield from told()
 
     kind = pages.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string")

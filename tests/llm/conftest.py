@@ -1,6 +1,6 @@
 import pytest
 
-CLASHES = ["row", "rep", "path", "size", "ids", "decoded", "document", "shard", "slot", "bucket", "place", "found", "finish", "copies", "label", "part", "full", "sig", "score"]
+CLASHES = ["row", "rep", "path", "size", "ids", "decoded", "document", "shard", "slot", "bucket", "place", "found", "finish", "copies", "label", "part", "full", "sig", "score", "_row", "_place", "_live", "language", "toxic_score"]
 
 
 @pytest.fixture(scope="session")
