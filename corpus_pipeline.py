@@ -18,7 +18,8 @@ from sensorwatch.llm.queries import remainder, vocabulary
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold of their language stay."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return toxicity.scored(docs, model).where("toxic_score < 0.5").select(*docs.columns)
+    score = common.fresh(docs, "toxic_score")  # input columns of any name are kept as they are
+    return toxicity.scored(docs, model, score, common.fresh(docs, "language")).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
