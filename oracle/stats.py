@@ -70,7 +70,7 @@ def acf(src: str, lag: int) -> list[tuple[str, str]]:
     return [
         ("ac0", f"SELECT entity, x - avg(x) OVER (PARTITION BY entity) AS xc, row_number() OVER (PARTITION BY entity ORDER BY bin) AS i FROM {src}"),
         ("ac1", "SELECT entity, count(xc) AS n_obs, avg(xc * xc) AS v FROM ac0 GROUP BY entity"),
-        ("ac2", f"SELECT a.entity, k.k AS lag, CASE WHEN count(a.xc * b.xc) >= 30 THEN avg(a.xc * b.xc) END AS c FROM ac0 a CROSS JOIN (SELECT unnest(range(1, {lag + 1})) AS k) k JOIN ac0 b ON b.entity = a.entity AND b.i = a.i + k.k GROUP BY ALL"),
+        ("ac2", f"SELECT a.entity, k.k AS lag, CASE WHEN count(a.xc * b.xc) >= 30 THEN avg(a.xc * b.xc) END AS c FROM ac0 a CROSS JOIN (SELECT unnest(range(1, {lag + 1})) AS k) k LEFT JOIN ac0 b ON b.entity = a.entity AND b.i = a.i + k.k GROUP BY ALL"),
         ("acf", "SELECT ac1.entity, n_obs, CAST(lag AS INTEGER) AS lag, CASE WHEN v > 0 THEN c / v END AS rho FROM ac1 JOIN ac2 USING (entity)"),
     ]
 
@@ -155,6 +155,9 @@ CHECKS: dict[str, str] = {
     "x03_clustered_bootstrap": B.sql("SELECT round((SELECT sum(a) / sum(b) FROM s), 6) AS value, (SELECT count(*) FROM s) AS n_groups, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS n_boot FROM "
         "(SELECT rep, sum(p.a) / sum(p.b) AS m FROM s CROSS JOIN (SELECT unnest(range(10000)) AS rep) JOIN s p ON p.i = CAST('0x' || substr(sha256('42|' || rep || '|' || s.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM s) GROUP BY rep)",
         ("s", "SELECT row_number() OVER (ORDER BY l_suppkey) - 1 AS i, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS a, count(*) AS b FROM lineitem GROUP BY l_suppkey")),
+    "x07_paired_mean_difference": B.sql("SELECT round((SELECT sum(a) / sum(b) FROM s), 6) AS value, (SELECT count(*) FROM s) AS n_groups, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS n_boot FROM "
+        "(SELECT rep, sum(p.a) / sum(p.b) AS m FROM s CROSS JOIN (SELECT unnest(range(10000)) AS rep) JOIN s p ON p.i = CAST('0x' || substr(sha256('42|' || rep || '|' || s.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM s) GROUP BY rep)",
+        UNITS, DIFF, ("s", "SELECT row_number() OVER (ORDER BY n_name) - 1 AS i, diff AS a, 1 AS b FROM dif")),
     "x05_brier_and_ece": B.sql("SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS brier, round(sum(n * abs(y - pm)) / sum(n), 6) AS ece FROM (SELECT lang, least(floor(p * 10), 9) AS b, count(*) AS n, avg(quality) AS y, avg(p) AS pm, sum((p - quality) * (p - quality)) AS s FROM (SELECT *, score / (score + 1000.0) AS p FROM lab) GROUP BY ALL) GROUP BY lang", LAB),
     "x06_x07_wilcoxon_rank_biserial": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n_informative, CAST(npos AS INTEGER) AS n_positive, round(wp, 6) AS w_plus, round(avg(CASE WHEN abs(w - tot / 2) >= abs(wp - tot / 2) - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p_value, round(least(1.0, 2.0 / power(2, n)), 6) AS p_floor, round((2 * wp - tot) / tot, 6) + 0.0 AS rank_biserial FROM "
         "(SELECT k.r_name, m.mask, any_value(k.n) AS n, sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(rk) AS tot, sum(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN rk ELSE 0 END) AS w FROM sr k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY ALL", UNITS, DIFF,
@@ -162,7 +165,7 @@ CHECKS: dict[str, str] = {
     "x08_sign_flip": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, round(o, 6) + 0.0 AS mean_difference, round(avg(CASE WHEN f >= o - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(f) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_two_sided FROM "
         "(SELECT k.r_name, m.mask, any_value(k.n) AS n, avg(diff) AS o, avg(CASE WHEN (m.mask >> k.i) & 1 = 1 THEN diff ELSE 0.0 - diff END) AS f FROM dif k JOIN masks m USING (r_name) GROUP BY k.r_name, m.mask) GROUP BY r_name, n, round(o, 6)", UNITS, DIFF, masks("dif")),
     "x09_permutation_auc": B.sql("SELECT r_name, CAST(n AS INTEGER) AS n, CAST(np AS INTEGER) AS n_pos, round(any_value(oa), 6) AS auc, round(avg(CASE WHEN pa >= oa - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN abs(pa - 0.5) >= abs(oa - 0.5) - 1e-12 THEN 1.0 WHEN pa IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations FROM perm WHERE segment = 'BUILDING' GROUP BY r_name, n, np", UNITS, LONG, RANKS, masks("rnk"), PERM),
-    "x10_max_stat_multiplicity": B.sql("SELECT b.r_name, round(any_value(o.oa), 6) AS observed_auc, round(avg(CASE WHEN m1 >= o.oa - 1e-12 THEN 1.0 WHEN m1 IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN m2 >= abs(o.oa - 0.5) - 1e-12 THEN 1.0 WHEN m2 IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations, any_value(t.nt) AS n_tests, any_value(t.nu) AS n_unique_score_vectors FROM "
+    "x10_max_stat_multiplicity": B.sql("SELECT b.r_name, round(any_value(o.oa), 6) AS observed_auc, round(avg(CASE WHEN m1 >= o.oa - 1e-12 THEN 1.0 WHEN m1 IS NOT NULL THEN 0.0 END), 6) AS p_one_sided, round(avg(CASE WHEN m2 >= abs(o.oa - 0.5) - 1e-12 THEN 1.0 WHEN m2 IS NOT NULL THEN 0.0 END), 6) AS p_two_sided, count(*) AS n_permutations, 'exact' AS method, any_value(t.nt) AS n_tests, any_value(t.nu) AS n_unique_score_vectors FROM "
         "(SELECT r_name, mask, max(pa) AS m1, max(abs(pa - 0.5)) AS m2 FROM perm GROUP BY ALL) b JOIN (SELECT r_name, any_value(oa) AS oa FROM perm WHERE segment = 'BUILDING' GROUP BY r_name) o USING (r_name) "
         "JOIN (SELECT r_name, count(*) AS nt, count(DISTINCT v) AS nu FROM (SELECT r_name, segment, list(score ORDER BY n_name) AS v FROM long GROUP BY ALL) GROUP BY r_name) t USING (r_name) GROUP BY b.r_name", UNITS, COMPLETE, RANKS, masks("rnk"), PERM),
     "x11_mann_whitney": B.sql("SELECT lang, round(u, 6) AS u, n_pos, n_neg, round(mp, 6) AS mean_pos, round(mn, 6) AS mean_neg, round(" + ERF + ", 6) AS p_normal FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM (SELECT *, greatest(abs(u - n_pos * n_neg / 2.0) - 0.5, 0) / sqrt(n_pos * n_neg / 12.0 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1)))) / sqrt(2.0) AS x FROM "
@@ -174,9 +177,9 @@ CHECKS: dict[str, str] = {
         "(SELECT *, unnest(generate_series(greatest(0, r + k - n), least(r, k))) AS x FROM (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM (SELECT lang, CAST(count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS INTEGER) AS a, CAST(count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS INTEGER) AS b, CAST(count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS INTEGER) AS c, CAST(count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS INTEGER) AS d FROM lab GROUP BY lang))))) GROUP BY lang, a, b, c, d", LAB),
     "x14_leave_one_positive_out": B.sql("SELECT lang, round(min(a), 6) AS auc_min, round(max(a), 6) AS auc_max FROM (SELECT h.lang, h.doc_id, (SELECT avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) FROM lab p JOIN lab q ON p.lang = q.lang WHERE p.lang = h.lang AND p.doc_id <> h.doc_id AND p.quality = 1 AND q.quality = 0) AS a FROM lab h WHERE h.quality = 1) GROUP BY lang", LAB),
     "x15_holm": "SELECT l_returnflag, l_linenumber, round(p, 6) AS p, round(least(1.0, max(st) OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM (SELECT *, (count(*) OVER (PARTITION BY l_returnflag) - row_number() OVER (PARTITION BY l_returnflag ORDER BY p, l_linenumber) + 1) * p AS st FROM (SELECT l_returnflag, l_linenumber, avg(l_discount) / (max(l_linenumber) * 3) AS p FROM lineitem GROUP BY l_returnflag, l_linenumber))",
-    "x16_autocorrelation": B.sql("SELECT entity, n_obs, lag, round(rho, 6) + 0.0 AS rho FROM acf", *HOURLY, *acf("hr", 24)),
-    "x16_correlation_time": B.sql("SELECT entity, n_obs, coalesce(te, 24.0)::DOUBLE AS tau_e, round(ti, 6) AS tau_int, round(n_obs / ti, 6) AS n_eff FROM (SELECT entity, n_obs, min(CASE WHEN rho < exp(-1) THEN lag END) AS te, greatest(1.0, 1.0 + 2.0 * coalesce(sum(CASE WHEN lag < coalesce(st, 99) THEN rho END), 0)) AS ti FROM "
-        "(SELECT *, min(CASE WHEN rho IS NULL OR rho <= 0 THEN lag END) OVER (PARTITION BY entity) AS st FROM acf) GROUP BY ALL)", *GRID, ("rl", f"SELECT entity, bin, {B.rolling_total('steps_sum', 3, least=3)} AS x FROM grid"), *acf("rl", 24)),
+    "x16_autocorrelation": B.sql("SELECT entity, n_obs, lag, round(rho, 6) + 0.0 AS rho FROM acf", *HOURLY, *acf("hr", 192)),
+    "x16_correlation_time": B.sql("SELECT entity, n_obs, coalesce(te, 192.0)::DOUBLE AS tau_e, round(ti, 6) AS tau_int, round(n_obs / ti, 6) AS n_eff FROM (SELECT entity, n_obs, min(CASE WHEN rho < exp(-1) THEN lag END) AS te, greatest(1.0, 1.0 + 2.0 * coalesce(sum(CASE WHEN lag < coalesce(st, 999) THEN rho END), 0)) AS ti FROM "
+        "(SELECT *, min(CASE WHEN rho IS NULL OR rho <= 0 THEN lag END) OVER (PARTITION BY entity) AS st FROM acf) GROUP BY ALL)", *GRID, ("rl", f"SELECT entity, bin, {B.rolling_total('steps_sum', 3, least=3)} AS x FROM grid"), *acf("rl", 192)),
     "x17_isolation_forest": B.sql(f"SELECT entity, {TS('bin')}, round(if_score, 6) + 0.0 AS if_score, if_anomaly_point FROM forest", *SPLIT,
         ("bins", "SELECT entity, bin, pos, coverage_pct, CAST(dataset_split = 'baseline' AS INTEGER) AS train_point, " + ", ".join(f"{x}_sum" for x in B.SIGNALS) + " FROM spl"),
         *FO.scores("bins", "forest", [f"{x}_sum" for x in ("steps", "motion", "lying", "standing", "transitions")])),

@@ -5,7 +5,6 @@ Each function handles one group of units that a grouped map hands it.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb, exp, isnan, lgamma, log
 
 import numpy as np
@@ -57,17 +56,44 @@ def sign_flip_p(values: np.ndarray) -> tuple[float, float]:
     return upper / 2**n, min(two / 2**n, 1.0)
 
 
-def label_placements(n: int, k: int, most: int, seed: int = 42) -> tuple[np.ndarray, bool]:
-    """(placements, n) 0/1 rows: all choices of ``k`` units, or ``most`` seeded random ones where there are more; and whether all."""
-    if comb(n, k) <= most:
-        rows = np.zeros((comb(n, k), n), np.int8)
-        for i, chosen in enumerate(combinations(range(n), k)):
-            rows[i, list(chosen)] = 1
-        return rows, True
-    order = np.random.default_rng(seed).random((most, n)).argpartition(k, axis=1)[:, :k]
-    rows = np.zeros((most, n), np.int8)
-    np.put_along_axis(rows, order, 1, axis=1)
-    return rows, False
+def unranked(numbers: np.ndarray, n: int, k: int) -> np.ndarray:
+    """(numbers, n) 0/1 rows: the choice of ``k`` of ``n`` units with each number from 0 to C(n, k) - 1 (combinatorial number system)."""
+    choices = np.array([[comb(i, j) for j in range(k + 1)] for i in range(n)], np.int64)
+    rest, left = numbers.astype(np.int64), np.full(len(numbers), k)
+    rows = np.zeros((len(numbers), n), np.int8)
+    for i in range(n - 1, -1, -1):
+        take = (left > 0) & (rest >= choices[i, left])
+        rest = np.where(take, rest - choices[i, left], rest)
+        left = left - take
+        rows[:, i] = take
+    return rows
+
+
+def placed_blocks(labels: list[int], ranks: list[float], primary: int | None, block: int, size: int, most: int, seed: int = 42) -> tuple:
+    """Of one block of label placements: observed AUC of the primary score, placements whose best AUC (one- and two-sided)
+    of any score reaches it, placements tried, and whether all of the group's are (otherwise ``most`` seeded random ones).
+
+    ``ranks`` holds each unit's ranks by score, unit after unit; ``primary`` counts from 1."""
+    y = np.array(labels, int)
+    n, k = len(y), int(y.sum())
+    whole = comb(n, k) <= most
+    low, high = block * size, min((block + 1) * size, comb(n, k) if whole else most)
+    count = max(high - low, 0)
+    if not 0 < k < n or not primary:
+        return None, 0, 0, count, whole
+    r = np.array(ranks, float).reshape(n, -1)
+    base, pairs = k * (k + 1) / 2, k * (n - k)
+    observed = float((y @ r[:, primary - 1] - base) / pairs)
+    if not count:
+        return observed, 0, 0, 0, whole
+    if whole:
+        rows = unranked(np.arange(low, high), n, k)
+    else:
+        rows = np.zeros((count, n), np.int8)
+        np.put_along_axis(rows, np.random.default_rng([seed, block]).random((count, n)).argpartition(k, axis=1)[:, :k], 1, axis=1)
+    auc = (rows @ r - base) / pairs
+    one, two = auc.max(axis=1), np.abs(auc - 0.5).max(axis=1)
+    return observed, int((one >= observed - 1e-12).sum()), int((two >= abs(observed - 0.5) - 1e-12).sum()), count, whole
 
 
 def student_tail(t: float, freedom: float) -> float:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sensorwatch.functions.scalars import attach, stable_seed
-from sensorwatch.operators.exact import label_placements, placed_sum_chances, sign_flip_p, student_tail, subset_sum_chances
+from sensorwatch.operators.exact import placed_blocks, placed_sum_chances, sign_flip_p, student_tail, subset_sum_chances
 from sensorwatch.sources.readings import stored
 
 
@@ -241,41 +241,45 @@ def permutation_auc(df: DataFrame, label: str, score: str, keys: Sequence[str],
     )
 
 
-def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, keys: Sequence[str], order: Sequence[str], most: int = 1_000_000) -> DataFrame:
+def max_stat(df: DataFrame, label: str, score: str, family: str, primary: str, keys: Sequence[str], order: Sequence[str], most: int = 50_000_000, cells: int = 1 << 22) -> DataFrame:
     """Multiplicity over a family of scores: the primary AUC against the best permuted AUC of any score.
 
     ``df`` is long: one row per unit and score name (column ``family``). Units that lack a
     score or the label are left out. All placements of the labels are tried up to
     ``most``; beyond that as many seeded random ones (``method`` "sampled"). Every
-    group has a row, with NULL statistics where one class is empty.
+    group has a row, with NULL statistics where one class is empty. A group's ranks are one
+    row; its placements are numbered and dealt to tasks in blocks of ``cells`` label cells,
+    which unrank their own numbers, so a task holds one block whatever the group.
     """
     units = Window.partitionBy(*keys, *order)
-    whole = F.count(F.when(F.col(label).isNotNull() & F.col(score).isNotNull(), 1)).over(units) == F.count(F.lit(1)).over(units)
-    d = df.withColumn("_whole", whole).where("_whole").drop("_whole")
+    names = F.size(F.collect_set(family).over(Window.partitionBy(*keys)))
+    whole = F.count(F.when(F.col(label).isNotNull() & F.col(score).isNotNull(), 1)).over(units) == names
+    d = df.withColumn("_whole", whole & (F.count(F.lit(1)).over(units) == names)).where("_whole").drop("_whole")
     d = average_ranks(d, score, "_rank", [*keys, family])
-    names = ["observed_auc", "p_one_sided", "p_two_sided", "n_permutations", "method"]
-
-    def test(pdf):
-        units = pdf.drop_duplicates(list(order)).sort_values(list(order))
-        place = {u: i for i, u in enumerate(units[list(order)].itertuples(index=False, name=None))}
-        y = units[label].to_numpy(int)
-        rows, whole = label_placements(len(y), int(y.sum()), most)
-        best_one, best_two, observed = np.full(len(rows), np.nan), np.full(len(rows), np.nan), None
-        n, k = len(y), int(y.sum())
-        for name, own in pdf.groupby(family) if 0 < k < n else ():
-            at = [place[u] for u in own[list(order)].itertuples(index=False, name=None)]
-            ranks = np.empty(n)
-            ranks[at] = own["_rank"].to_numpy()
-            auc = (rows @ ranks - k * (k + 1) / 2) / (k * (n - k))
-            best_one, best_two = np.fmax(best_one, auc), np.fmax(best_two, np.abs(auc - 0.5))
-            if name == primary:
-                observed = float((ranks[y == 1].sum() - k * (k + 1) / 2) / (k * (n - k)))
-        if observed is None:
-            return pd.DataFrame([[*pdf.iloc[0][list(keys)], None, None, None, len(rows), EXACT if whole else "sampled"]], columns=[*keys, *names])
-        values = [observed, float((best_one >= observed - 1e-12).mean()), float((best_two >= abs(observed - 0.5) - 1e-12).mean()), len(best_one), EXACT if whole else "sampled"]
-        return pd.DataFrame([[*pdf.iloc[0][list(keys)], *values]], columns=[*keys, *names])
-
-    out = d.groupBy(*keys).applyInPandas(test, f"{_key_ddl(d, keys)}, observed_auc double, p_one_sided double, p_two_sided double, n_permutations long, method string")
+    by_unit = d.groupBy(*keys, *order).agg(F.max(label).cast("int").alias("_y"), F.sort_array(F.collect_list(F.struct(F.col(family).alias("name"), F.col("_rank").alias("rank")))).alias("_v"))
+    group = by_unit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "_y", "_v"))).alias("_u"))
+    group = group.select(
+        *keys, F.transform("_u", lambda u: u["_y"]).alias("_y"), F.flatten(F.transform("_u", lambda u: u["_v"]["rank"])).alias("_ranks"),
+        F.array_position(F.element_at("_u", 1)["_v"]["name"], primary).cast("int").alias("_primary"),
+    )
+    n, k = F.size("_y"), F.aggregate("_y", F.lit(0), lambda x, y: x + y)
+    size = F.greatest(F.lit(1), F.floor(F.lit(cells) / n)).cast("long")
+    all_of_them = F.exp(F.least(F.lit(log(most) + 1.0), log_factorial(n) - log_factorial(k) - log_factorial(n - k))) * (1 + 1e-9)
+    blocks = F.floor(F.least(F.lit(float(most)), all_of_them) / size).cast("long")  # the last one may be empty
+    tasks = group.withColumns({"_size": size, "_block": F.explode(F.sequence(F.lit(0).cast("long"), blocks))}).repartition(*keys, "_block")
+
+    def count(frames):
+        for pdf in frames:
+            out = [[*[r[c] for c in keys], *placed_blocks(r["_y"], r["_ranks"], r["_primary"], r["_block"], r["_size"], most)] for r in pdf.to_dict("records")]
+            yield pd.DataFrame(out, columns=[*keys, "_observed", "_one", "_two", "n_permutations", "_all"])
+
+    parts = tasks.mapInPandas(count, f"{_key_ddl(df, keys)}, _observed double, _one long, _two long, n_permutations long, _all boolean")
+    total = F.sum("n_permutations")
+    share = lambda c: F.when(F.max("_observed").isNotNull(), F.sum(c) / total)
+    out = parts.groupBy(*keys).agg(
+        F.max("_observed").alias("observed_auc"), share("_one").alias("p_one_sided"), share("_two").alias("p_two_sided"), total.alias("n_permutations"),
+        F.when(F.min("_all"), EXACT).otherwise("sampled").alias("method"),
+    )
     values = df.groupBy(*keys, family).agg(F.sum(F.xxhash64(*order, F.round(F.col(score), 12)).cast("decimal(38,0)")).alias("_h"))
     tests = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tests"), F.countDistinct("_h").alias("n_unique_score_vectors"))
     return out.join(tests, list(keys))
@@ -368,23 +372,39 @@ def bootstrap_ci(units: DataFrame, num: str, den: str, n_boot: int, seed: int, u
     return bootstrap_metric(units, {"num": num, "den": den}, lambda t: t["num"] / F.nullif(t["den"].cast("double"), F.lit(0.0)), n_boot, seed, unit)
 
 
-def autocorrelation(series: DataFrame, value: str, max_lag: int, least_pairs: int = 30, keys: Sequence[str] = ("entity",)) -> DataFrame:
+def autocorrelation(series: DataFrame, value: str, max_lag: int, least_pairs: int = 30, keys: Sequence[str] = ("entity",), block: int = 4096) -> DataFrame:
     """Pairwise-complete autocorrelation by lag on a regular grid with gaps as NULL.
 
-    Lags are windowed offsets of the same sort, so a lag costs one column, not a join.
+    A series is cut into blocks; the first ``max_lag`` rows of a block are also the tail of the block
+    before it. Each block gives its sums of products and pair counts per lag, which add up, so a lag
+    costs two dot products a block and no column of the plan.
     """
+    block = max(block, max_lag)
     w = Window.partitionBy(*keys)
-    x = series.withColumn("_x", F.col(value) - F.avg(value).over(w))
-    o = w.orderBy("bin")
-    prods = [(F.col("_x") * F.lag("_x", k).over(o)).alias(f"_p{k}") for k in range(1, max_lag + 1)]
-    rows = x.select(*keys, "_x", *prods)
-    g = rows.groupBy(*keys).agg(
-        F.count("_x").alias("n_obs"), F.avg(F.col("_x") * F.col("_x")).alias("_var"),
-        *[F.when(F.count(f"_p{k}") >= least_pairs, F.avg(f"_p{k}")).alias(f"_p{k}") for k in range(1, max_lag + 1)],
-    )
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_p{k}").alias("c")) for k in range(1, max_lag + 1)])
-    g = g.select(*keys, "n_obs", "_var", F.explode(pairs).alias("_e"))
-    return g.select(*keys, "n_obs", F.col("_e.lag").alias("lag"), F.when(F.col("_var") > 0, F.col("_e.c") / F.nullif("_var", F.lit(0.0))).alias("rho"))
+    x = series.select(*keys, (F.col(value) - F.avg(value).over(w)).cast("double").alias("_x"), (F.row_number().over(w.orderBy("bin")) - 1).cast("long").alias("_i"))
+    own = F.floor(F.col("_i") / block)
+    tail = (F.col("_i") % block < max_lag) & (own > 0)
+    parts = x.withColumn("_b", F.explode(F.when(tail, F.array(own, own - 1)).otherwise(F.array(own))))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        seen = pdf["_x"].notna().to_numpy(float)
+        values = pdf["_x"].fillna(0.0).to_numpy(float)
+        n = int((pdf["_i"].to_numpy() // block == pdf["_b"].iloc[0]).sum())
+        reach = [min(n, max(len(values) - k, 0)) for k in range(max_lag + 1)]
+        out = pd.DataFrame({"lag": np.arange(max_lag + 1, dtype=np.int32)})
+        out["_s"] = [float(values[:m] @ values[k : k + m]) for k, m in enumerate(reach)]
+        out["_n"] = [int(seen[:m] @ seen[k : k + m]) for k, m in enumerate(reach)]
+        for i, c in enumerate(keys):
+            out.insert(i, c, [pdf[c].iloc[0]] * len(out))
+        return out
+
+    parts = parts.groupBy(*keys, "_b").applyInPandas(sums, f"{_key_ddl(series, keys)}, lag int, _s double, _n long")
+    g = parts.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    mean = F.when(F.col("_n") >= F.when(F.col("lag") == 0, 1).otherwise(least_pairs), F.try_divide("_s", "_n"))
+    g = g.withColumn("_c", mean)
+    g = g.withColumns({"n_obs": F.max(F.when(F.col("lag") == 0, F.col("_n"))).over(w), "_var": F.max(F.when(F.col("lag") == 0, F.col("_c"))).over(w)})
+    return g.where("lag > 0").select(*keys, "n_obs", "lag", F.when(F.col("_var") > 0, F.col("_c") / F.nullif("_var", F.lit(0.0))).alias("rho"))
 
 
 def correlation_time(acf: DataFrame, max_lag: int, keys: Sequence[str] = ("entity",)) -> DataFrame:

@@ -56,6 +56,13 @@ def _(spark, d):
     return tidy(ST.bootstrap_ci(li, "hit", "one", 10_000, 42, "l_suppkey"))
 
 
+@query("x07_paired_mean_difference")
+def _(spark, d):
+    """Mean paired difference of two segments over the nations that have both, and its interval when nations are drawn anew."""
+    u = nation_units(spark, d).select("n_name", (F.col("BUILDING") - F.col("MACHINERY")).alias("diff"), F.lit(1).cast("long").alias("one")).where("diff is not null")
+    return tidy(ST.bootstrap_ci(u, "diff", "one", 10_000, 42, "n_name"))
+
+
 @query("x04_isotonic_out_of_fold")
 def _(spark, d):
     return tidy(M.isotonic_out_of_fold(labelled(spark, d).select("doc_id", "source", "score", "quality"), "score", "quality", "source"))
@@ -112,7 +119,7 @@ def _(spark, d):
     u = nation_units(spark, d)
     segs = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     long = u.select("r_name", "n_name", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), F.col(s).alias("score")) for s in segs])).alias("x")).select("r_name", "n_name", "label", "x.*")
-    return tidy(ST.max_stat(long, "label", "score", "segment", "BUILDING", ["r_name"], ["n_name"]).drop("method"))
+    return tidy(ST.max_stat(long, "label", "score", "segment", "BUILDING", ["r_name"], ["n_name"]))
 
 
 @query("x11_mann_whitney")
@@ -149,13 +156,13 @@ def hourly(spark, d):
 
 @query("x16_autocorrelation")
 def _(spark, d):
-    return tidy(ST.autocorrelation(hourly(spark, d), "transitions", 24))
+    return tidy(ST.autocorrelation(hourly(spark, d), "transitions", 192))
 
 
 @query("x16_correlation_time")
 def _(spark, d):
-    acf = ST.autocorrelation(T.interval_table(spark, d).withColumn("x", S.rolling_total(F.col("steps_sum"), 3, least=3)), "x", 24)
-    return tidy(ST.correlation_time(acf, 24))
+    acf = ST.autocorrelation(T.interval_table(spark, d).withColumn("x", S.rolling_total(F.col("steps_sum"), 3, least=3)), "x", 192)
+    return tidy(ST.correlation_time(acf, 192))
 
 
 @query("x18_local_outlier_factor")

@@ -209,6 +209,52 @@ def test_exact_statistics_known_answers(spark):
     assert abs(ST.fisher_exact(t, ["k"]).first()["p_value"] - 0.485714) < 1e-5
 
 
+def test_max_stat_tries_every_placement(spark):
+    from itertools import combinations
+
+    import numpy as np
+
+    from sensorwatch.operators.exact import unranked
+
+    rows = unranked(np.arange(35), 7, 3)
+    assert sorted(tuple(np.flatnonzero(r)) for r in rows) == sorted(combinations(range(7), 3))
+    rng = np.random.default_rng(5)
+    cells = [("g", f"u{i}", int(i < 5), f, float(v)) for i in range(11) for f, v in zip("abc", rng.integers(0, 6, 3) + 2 * (i < 5), strict=True)] + [("h", "u", 1, "a", 1.0), ("g", "short", 1, "a", 9.0)]
+    df = spark.createDataFrame(cells, "g string, u string, y int, f string, s double")
+    own = {f: [c[4] for c in cells if c[3] == f and c[1] not in ("u", "short")] for f in "abc"}
+    ranks = {f: np.array([sum(w < v for w in x) + (sum(w == v for w in x) + 1) / 2 for v in x]) for f, x in own.items()}
+    auc = lambda chosen, f: (ranks[f][list(chosen)].sum() - 15) / 30
+    seen = auc(range(5), "a")
+    best = [(max(auc(c, f) for f in "abc"), max(abs(auc(c, f) - 0.5) for f in "abc")) for c in combinations(range(11), 5)]
+    for size in (60, 1 << 22):  # many blocks, one block
+        got = {r.g: r for r in ST.max_stat(df, "y", "s", "f", "a", ["g"], ["u"], cells=size).collect()}
+        r = got["g"]
+        assert r.n_permutations == 462 and r.method == "exact" and abs(r.observed_auc - seen) < 1e-12 and r.n_tests == 3
+        assert abs(r.p_one_sided - sum(a >= seen - 1e-12 for a, _ in best) / 462) < 1e-12 and abs(r.p_two_sided - sum(b >= abs(seen - 0.5) - 1e-12 for _, b in best) / 462) < 1e-12
+        assert got["h"].p_one_sided is None and got["h"].n_permutations == 1
+    few = {r.g: r for r in ST.max_stat(df, "y", "s", "f", "a", ["g"], ["u"], most=200).collect()}["g"]
+    assert few.method == "sampled" and few.n_permutations == 200
+    large = spark.createDataFrame([("g", i, int(i % 2 == 0), "a", float(i * i % 23)) for i in range(25)], "g string, u int, y int, f string, s double")
+    want = ST.permutation_auc(large, "y", "s", ["g"], ["u"]).first()
+    got = ST.max_stat(large, "y", "s", "f", "a", ["g"], ["u"]).first()
+    assert got.n_permutations == 5_200_300 and got.method == "exact" and abs(got.p_one_sided - want.p_one_sided) < 1e-9 and abs(got.p_two_sided - want.p_two_sided) < 1e-9
+
+
+def test_autocorrelation_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=300).cumsum()]
+    df = spark.createDataFrame([("e", i, v) for i, v in enumerate(x)] + [("f", 0, 1.0), ("n", 0, None)], "entity string, bin int, v double")
+    c = np.array([np.nan if v is None else v for v in x])
+    c = c - np.nanmean(c)
+    for block in (20, 64, 4096):
+        got = {(r.entity, r.lag): r for r in ST.autocorrelation(df, "v", 20, block=block).collect()}
+        for k in range(1, 21):
+            assert abs(got["e", k].rho - np.nanmean(c[:-k] * c[k:]) / np.nanmean(c * c)) < 1e-12
+            assert got["f", k].rho is None and got["n", k].n_obs == 0
+
+
 def test_running_totals_with_one_value_holding_most_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.col("id") % 97).cast("double").alias("v"), F.lit(1).alias("n"))
     got = {r["v"]: r["upto_n"] for r in ST.running(df.groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"]).collect()}
