@@ -172,9 +172,9 @@ def sign_flip(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str
 
 
 def wilcoxon(df: DataFrame, diff: str, keys: Sequence[str], order: Sequence[str], exact_up_to: int = 200) -> DataFrame:
-    """Signed-rank test on non-zero differences, with the mean difference of all units.
+    """Signed-rank test on non-zero differences (``bootstrap_ci`` gives the mean difference of all units and its interval).
 
-    Also the informative count, the lowest reachable p value, the rank-biserial
+    With the informative count, the lowest reachable p value, the rank-biserial
     effect, and ``method``: exact by counting rank sums, or normal for larger groups.
     """
     d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_abs", F.round(F.abs(diff), 12))
