@@ -361,16 +361,18 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
     paths = C.map_arrow(reps.select("rep", "sig"), _walk(cfg, depth, range(trees)), "path long, rep long", rows=2048)
     forests, superseded = [], []
     for level in range(cfg.deeper + 1):
-        paths = C.written(paths, "paths")
+        if level:  # the first walk is the bulk: walked anew by each reader, it never lies on disk
+            paths = C.written(paths, "paths")
         C.discard(*superseded)
         nodes = C.written(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-        superseded = [paths, nodes]
-        crowd = paths.join(nodes, "path")
-        small = crowd.where(F.col("size") <= cfg.node).join(sketches, "rep").select("path", "rep", "n", "sketch")
+        crowded = C.written(nodes.where(F.col("size") > cfg.node).select("path"), "crowded")
+        small = paths.join(nodes.where(F.col("size") <= cfg.node).select("path"), "path").join(sketches, "rep").select("path", "rep", "n", "sketch")
         forests.append(C.written(_groups(small, ["path"], _loose_forest(cfg), "x long, y long"), "forest"))
-        if nodes.where(F.col("size") > cfg.node).isEmpty():
+        superseded = [nodes, crowded] + ([paths] if level else [])
+        if crowded.isEmpty():
             break
-        large = crowd.where(F.col("size") > cfg.node).select("path", "rep")
+        large = C.written(paths.join(crowded, "path", "left_semi").select("path", "rep"), "large")
+        superseded.append(large)
         if level == cfg.deeper:
             _, split = _in_blocks(large, "path", "rep", cfg.node)
             split = split.join(sketches, "rep").select("path", "lo", "hi", "rep", "n", "sketch")
@@ -379,8 +381,8 @@ def links(docs: DataFrame, profile: DataFrame, cfg: NearDup, key: str = "doc_id"
         paths = C.map_arrow(large.join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), _deepen(cfg), "path long, rep long", rows=8192)
         depth, walked = depth + 1, trees
         trees = trees_for(cfg, depth)
-        crowded = reps.select("rep", "sig").join(large.select("rep").distinct(), "rep", "left_semi")  # deeper nodes take more trees
-        paths = paths.union(C.map_arrow(crowded, _walk(cfg, depth, range(walked, trees)), "path long, rep long", rows=2048)) if trees > walked else paths
+        in_large = reps.select("rep", "sig").join(large.select("rep").distinct(), "rep", "left_semi")  # deeper nodes take more trees
+        paths = paths.union(C.map_arrow(in_large, _walk(cfg, depth, range(walked, trees)), "path long, rep long", rows=2048)) if trees > walked else paths
     clusters = components(reduce(DataFrame.union, forests))
     C.discard(*superseded, *forests)
     clusters = C.written(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
