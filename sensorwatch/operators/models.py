@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.functions import series as S
 from sensorwatch.operators.forest import Forest, raw_scores
+from sensorwatch.operators.neighbours import nearest_rows
 from sensorwatch.operators.stats import running
 
 # Fixed values of the models.
@@ -58,29 +58,22 @@ def renamed(df: DataFrame) -> DataFrame:
 def nearest(query: DataFrame, train: DataFrame, cols: Sequence[str], k: int, rows_per_task: int, skip_self: bool) -> DataFrame:
     """The ``k`` nearest training rows of every query row within its entity.
 
-    A task holds one entity's training rows (bounded by its grid) and one block
-    of query rows; distances stay in an array and only ``k`` per row leave it.
+    A task holds one entity's training rows (bounded by its grid) and one block of query rows; the
+    neighbours come from a tree of balls (``neighbours``), equal distances by position, and only ``k``
+    per row leave it. A missing feature counts as 0, as in ``robust_scale``.
     """
     feats = list(cols)
-    q = query.select("entity", "pos", F.floor(F.col("pos") / rows_per_task).cast("int").alias("part"), *feats)
+    known = [F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0)).alias(c) for c in feats]
+    q = query.select("entity", "pos", F.floor(F.col("pos") / rows_per_task).cast("int").alias("part"), *known)
     parts = q.select("entity", "part").distinct()
-    t = renamed(train.select("entity", "pos", *feats).join(parts, "entity"))
+    t = renamed(train.select("entity", "pos", *known).join(parts, "entity"))
 
     def find(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"entity": [], "pos": [], "near": [], "dist": []})
-        b = b.sort_values("t_pos")
-        x, y, near = a[feats].to_numpy(float), b[[f"t_{c}" for c in feats]].to_numpy(float), b["t_pos"].to_numpy()
-        out = []
-        for lo in range(0, len(x), 512):
-            gap = np.sqrt(((x[lo : lo + 512, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            if skip_self:
-                gap[a["pos"].to_numpy()[lo : lo + 512, None] == near[None, :]] = np.inf
-            m = min(k, len(y) - int(skip_self))
-            pick = np.argsort(gap, axis=1, kind="stable")[:, :m]
-            rows = np.repeat(np.arange(lo, lo + len(gap)), m)
-            out.append(pd.DataFrame({"entity": key[0], "pos": a["pos"].to_numpy()[rows], "near": near[pick.ravel()], "dist": np.take_along_axis(gap, pick, 1).ravel()}))
-        return pd.concat(out)
+        own = a["pos"].to_numpy()
+        row, near, dist = nearest_rows(a[feats].to_numpy(float), own if skip_self else None, b[[f"t_{c}" for c in feats]].to_numpy(float), b["t_pos"].to_numpy(), k)
+        return pd.DataFrame({"entity": key[0], "pos": own[row], "near": near, "dist": dist})
 
     grouped = q.groupBy("entity", "part").cogroup(t.groupBy("t_entity", "t_part"))
     return grouped.applyInPandas(find, "entity string, pos int, near int, dist double")
@@ -88,7 +81,7 @@ def nearest(query: DataFrame, train: DataFrame, cols: Sequence[str], k: int, row
 
 def local_outliers(
     df: DataFrame, cols: Sequence[str], neighbours: int = 20, contamination: float = CONTAMINATION,
-    coverage_min_pct: float = 25.0, rows_per_task: int = 4096,
+    coverage_min_pct: float = 25.0, rows_per_task: int = 16_384,
 ) -> DataFrame:
     """Local outlier factor against the entity's training rows (novelty form).
 

@@ -351,17 +351,22 @@ def bootstrap_metric(units: DataFrame, sums: dict[str, str], metric: Callable[[d
     ``sums`` names the columns to add up per entity, ``metric`` turns their totals
     into the statistic (a rate, an F1, a mean paired difference). Entities are
     numbered; replicate r draws for slot i the entity number hash(seed, r, i) mod n.
-    Draws are counted per (replicate, entity) before they meet the sums.
+    A task makes whole runs of a replicate's slots, so its draws add up where they meet the sums
+    and one row a (task, replicate) is shuffled; only a table of entities that Spark finds
+    too large to send around makes the draws move to it.
     """
     one = {k: F.sum(v).alias(f"_s_{k}") for k, v in sums.items()}
     total = {k: F.sum(F.col(f"_s_{k}")) for k in sums}
-    drawn = {k: F.sum(F.col(f"_s_{k}") * F.col("_times")) for k in sums}
     by_unit = units.groupBy(unit).agg(*one.values(), F.lit(1).cast("long").alias("_one"))
     numbered = running(by_unit, unit, ["_one"]).select((F.col("upto__one") - 1).alias("_i"), F.col("all__one").alias("_n"), *[f"_s_{k}" for k in sums])
-    draws = numbered.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_rep"))
-    pick = stable_seed(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_i").cast("string"))) % F.col("_n")
-    counted = draws.groupBy("_rep", pick.alias("_i")).agg(F.count(F.lit(1)).alias("_times"))
-    boot = counted.join(numbered.drop("_n"), "_i").groupBy("_rep").agg(metric(drawn).alias("_m"))
+    numbered = stored(numbered, "units")
+    run = 4096  # slots of a run
+    spark = units.sparkSession
+    reps = attach(spark.range(0, n_boot, 1, max(1, min(n_boot, spark.sparkContext.defaultParallelism * 4))), numbered.agg(F.max("_n").alias("_n"))).where("_n > 0")
+    runs = reps.select(F.col("id").alias("_rep"), "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(run).cast("long"))).alias("_from"))
+    draws = runs.select("_rep", "_n", F.explode(F.sequence("_from", F.least(F.col("_from") + run, F.col("_n")) - 1)).alias("_slot"))
+    pick = stable_seed(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_slot").cast("string"))) % F.col("_n")
+    boot = draws.select("_rep", pick.alias("_i")).join(numbered.drop("_n"), "_i").groupBy("_rep").agg(metric(total).alias("_m"))
     ci = boot.agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"), F.count("_m").alias("n_boot"))
     point = numbered.agg(metric(total).alias("value"), F.count(F.lit(1)).alias("n_groups"))
     return attach(point, ci)

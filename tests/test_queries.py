@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["src01_csv_scan_normalise", "t02_regular_grid", "t12_chronological_split", "w03_rolling_robust_z", "w16_cooldown", "st02_scorer_with_holes", "x06_wilcoxon_large_groups", "a04_severity_matrix", "d02_hypo_branch", "d03_instability_branch",
           "d04_fusion_hierarchical", "d05_comparator_rules", "d10_attributable_evaluation", "x01_auc_by_stratum", "x09_permutation_auc", "j10_no_neighbour_within_tolerance", "x20_tolerant_table_diff",
-          "x07_paired_mean_difference", "x10_max_stat_multiplicity", "x16_autocorrelation", "x16_correlation_time"]
+          "x07_paired_mean_difference", "x18_local_outlier_factor", "j17_pareto_frontier", "x10_max_stat_multiplicity", "x16_autocorrelation", "x16_correlation_time"]
 
 
 def rows(frame):

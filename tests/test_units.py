@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from sensorwatch.operators import intervals as IV
 from sensorwatch.operators import models as M
 from sensorwatch.operators import stats as ST
 from sensorwatch.operators import sweep as SW
+from sensorwatch.operators.neighbours import nearest_rows
 from sensorwatch.sources import readings as RD
 from sensorwatch.sources import sinks as SK
 
@@ -278,6 +280,34 @@ def test_forest_and_lof_find_planted_outliers(spark):
     assert {r["pos"] for r in lof.orderBy("if_score").limit(3).collect()} == {250, 260, 270}
 
 
+@pytest.mark.parametrize("n,dim,kind", [(1, 2, "plain"), (2, 2, "plain"), (700, 5, "plain"), (700, 2, "ties"), (900, 1, "ties"), (500, 3, "copies")])
+def test_ball_tree_neighbours_equal_all_pairs(n, dim, kind):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(n, dim))
+    if kind == "ties":
+        points = np.round(points)
+    if kind == "copies":
+        points[rng.random(n) < 0.4] = 0
+    pos = rng.permutation(2 * n)[:n]
+
+    def all_pairs(query, own, k):
+        order = np.argsort(pos)
+        out = []
+        for i, q in enumerate(query):
+            gap = np.sqrt(((points[order] - q) ** 2).sum(axis=1))
+            rest = [(g, p) for g, p in zip(gap.tolist(), pos[order].tolist(), strict=True) if own is None or p != own[i]]
+            out += [(i, p) for _, p in sorted(rest)[:k]]
+        return out
+
+    query = np.vstack([points, rng.normal(size=(50, dim)).round(1)])
+    for k in (1, 20):
+        for asked, own in ((query, None), (points, pos)):
+            row, near, gap = nearest_rows(asked, own, points, pos, k)
+            assert list(zip(row.tolist(), near.tolist(), strict=True)) == all_pairs(asked, own, k)
+            at = {p: v for p, v in zip(pos.tolist(), points, strict=True)}
+            assert np.allclose(gap, [np.linalg.norm(asked[i] - at[j]) for i, j in zip(row, near, strict=True)])
+
+
 def test_sweep_configs_change_one_factor():
     configs = SW.ofat_configs()
     assert len(configs) == 21
