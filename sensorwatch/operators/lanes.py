@@ -42,6 +42,10 @@ def _drop_changes(df: DataFrame, interval: str, lengths: Sequence[int], keys: Se
 
 def drop_lanes(df: DataFrame, interval: str, configs: Mapping[str, HypoConfig], keys: Sequence[str] = S.ENTITY, notify: bool = False) -> DataFrame:
     """Rows of ``df`` with arrays ``episodes``, ``starts``, ``scores`` and, if asked for, ``notifications``: an element per configuration."""
+    return S.beside(df, [*keys, *H.BRANCH_INPUTS], lambda own: _drop_lanes(own, interval, configs, keys, notify))
+
+
+def _drop_lanes(df: DataFrame, interval: str, configs: Mapping[str, HypoConfig], keys: Sequence[str], notify: bool) -> DataFrame:
     kept = df.columns
     lengths = {name: bins(c.aggregation_hours, interval, 4) for name, c in configs.items()}
     df = add_reference_masks(df, only_if_missing=False, keys=keys)
@@ -64,9 +68,15 @@ def fusion_lanes(
 
     The drop branch runs once, the instability branch once per distinct setting, the fusion per run.
     """
+    return S.beside(df, [*keys, *H.BRANCH_INPUTS], lambda own: _fusion_lanes(own, interval, runs, hypo, keys, notify))
+
+
+def _fusion_lanes(
+    df: DataFrame, interval: str, runs: Mapping[str, tuple[InstabilityConfig, FusionConfig]], hypo: HypoConfig, keys: Sequence[str], notify: bool
+) -> DataFrame:
     kept = df.columns
-    df = H.hypo_branch(df, interval, hypo, keys)
-    held = [c for c in df.columns if c.startswith("behavioral_warning_")]
+    df = H.hypo_branch(df, interval, hypo, keys, notify=False)
+    held = [f"behavioral_warning_{x}" for x in ("score", "episode", "start")]  # what the fusion reads
     df = df.select(*kept, *([] if "pos" in kept else ["pos"]), *held)
     distinct = list(dict.fromkeys(c for c, _ in runs.values()))
     for i, cfg in enumerate(distinct):
@@ -111,12 +121,13 @@ def _run_iou(df: DataFrame, on: str, out: str, bin_s: int, keys: Sequence[str])
 
 def evaluated(
     df: DataFrame, reference: DataFrame, interval: str, names: Sequence[str], keys: Sequence[str] = ("entity", "event_id"),
-    carry: Sequence[str] = (), lanes: Sequence[str] = LANES, clean_keys: Sequence[str] = S.ENTITY,
+    carry: Sequence[str] = (), lanes: Sequence[str] = LANES, clean_keys: Sequence[str] = S.ENTITY, size: int | None = None,
 ) -> DataFrame:
     """One row per (event, configuration) with the measures of ``evaluate.attributable``.
 
     ``df`` holds every bin (``pos``, ``bin``) of every adjusted series with its window (``start``, ``end``; at least one bin of
-    the series) and lanes; ``reference`` is ``reference_lanes`` of the untouched run.
+    the series) and lanes; ``reference`` is ``reference_lanes`` of the untouched run. With ``size``, the number of rows of ``df``,
+    the tasks are as many as its lanes need.
     """
     episodes, starts, scores = lanes
     bin_s = interval_minutes(interval) * 60
@@ -126,6 +137,8 @@ def evaluated(
     every = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lane)
     rows = df.select(*keys, *carry, "pos", "bin", "start", "end", "_in", F.explode(F.filter(every, lambda x: (F.col("_in") == 1) | (x["_ep"] == 1))).alias("x")).select("*", "x.*").drop("x")
     rows = rows.withColumns({"_att": flag((F.col("_ep") == 1) & (F.col("_ref") != 1)), "_novel": flag((F.col("_in") == 1) & (F.col("_st") == 1) & (F.col("_near") == 0))})
+    if size is not None:
+        rows = S.spread(rows, size * len(names), keys, 10 * S.TASK_ROWS)  # most bins are in no window or episode, and rows are narrow
     own = (*keys, "i")
     rows = _run_iou(_run_iou(rows, "_att", "_iou", bin_s, own), "_ep", "_iou_raw", bin_s, own)
     config = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("config")

@@ -99,10 +99,21 @@ def add_family_votes(
     return df.withColumns({f"fam_{f}": flag(F.avg(f"hit_{f}").over(w) >= rate) for f in FAMILIES})
 
 
+def inputs(columns: Sequence[str], cfg: RulesConfig = RulesConfig(), keys: Sequence[str] = S.ENTITY) -> list[str]:
+    """Columns the rules read, of a table with ``columns``."""
+    flags = ("if_anomaly_point", "if_anomaly", "if_pred", "if_score")
+    wanted = {*keys, "bin", "pos", "coverage_pct", *flags, *voters(columns, cfg.vote_columns), *[c for c in SPIKE_COLUMNS if c in columns][:1]}
+    return [c for c in columns if c in wanted]
+
+
 def apply_rules(
     df: DataFrame, interval: str, cfg: RulesConfig = RulesConfig(), keys: Sequence[str] = S.ENTITY
 ) -> DataFrame:
     """Add the comparator's columns; needs rolling-z columns and, optionally, ``if_*`` scores."""
+    return S.beside(df, inputs(df.columns, cfg, keys), lambda own: _apply_rules(own, interval, cfg, keys))
+
+
+def _apply_rules(df: DataFrame, interval: str, cfg: RulesConfig, keys: Sequence[str]) -> DataFrame:
     k = bins(cfg.persist_hours, interval, 1)
     w = S.trailing(k, keys)
     if "pos" not in df.columns:

@@ -405,3 +405,55 @@ def test_scorer_continues_and_forgets(spark, tmp_path):
     got = sorted((r["entity"], (r["bin"] - T0).days, r["late"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert [x for x in got if x[0] == "b"] == [("b", k, 0) for k in (*range(6), 40)]
     assert [x for x in got if x[0] == "a"] == [("a", k, 0) for k in (*range(7), 40)] + [("a", 40, 1)]
+
+
+def test_idle_columns_travel_as_one_struct(spark):
+    """Windows of the rules and branches see few columns, and every column comes back in its place."""
+    from sensorwatch.functions import series as S
+
+    df = spark.createDataFrame([("a", i, float(i), "x", None, i % 2) for i in range(6)], "entity string, bin int, v double, n1 string, n2 int, n3 int")
+    widths = []
+
+    def step(own):
+        widths.append(len(own.columns))
+        inner = S.beside(own.withColumn("more", F.lit(1)), ["entity", "bin"], lambda x: x.withColumn("k", F.row_number().over(S.ordered())))
+        return inner.withColumn("v", F.col("v") * 2)
+
+    out = S.beside(df, ["entity", "bin", "v"], step)
+    assert out.columns == ["entity", "bin", "v", "n1", "n2", "n3", "more", "k"] and widths == [4]
+    assert [tuple(r) for r in out.orderBy("bin").collect()] == [("a", i, 2.0 * i, "x", None, i % 2, 1, i + 1) for i in range(6)]
+
+
+def test_tasks_grow_with_rows(spark):
+    """A key's rows stay together and the number of tasks follows the rows, whatever they shuffle to."""
+    from sensorwatch.functions import series as S
+
+    df = spark.range(3000).select((F.col("id") % 300).cast("string").alias("entity"), "id")
+    few, many = S.spread(df, 600_000), S.spread(df, 6_000_000)
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (10, 100)
+    homes = many.groupBy("entity", F.spark_partition_id().alias("p")).count()
+    assert homes.count() == 300
+
+
+def test_streams_are_evaluated_side_by_side(spark):
+    """Several streams in one pass give what each gives alone; runs are bounded without a sort of their own."""
+    import datetime
+
+    from sensorwatch.operators import evaluate as E
+
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda i: t0 + datetime.timedelta(hours=4 * i)
+    ep, ref = [0, 1, 1, 0, 1, 1, 1, 0], [0, 0, 0, 0, 0, 0, 1, 0]
+    rising = lambda x: [int(v and not (i and x[i - 1])) for i, v in enumerate(x)]
+    rows = [("a", e, at(i), at(2), at(5), ep[i], rising(ep)[i], 0.5, ref[i], rising(ref)[i], 1 - ep[i], ep[i], 0.1 * i) for e in ("e1", "e2") for i in range(8)]
+    df = spark.createDataFrame(rows, "entity string, event_id string, bin timestamp, start timestamp, end timestamp, ep int, st int, sc double, r_ep int, r_st int, ep2 int, st2 int, sc2 double")
+    streams = {"x_": ("ep", "st", "sc", "r_ep", "r_st"), "y_": ("ep2", "st2", "sc2", "r_ep", "r_st")}
+    both = E.attributable_streams(df, "4H", streams)
+    for p, s in streams.items():
+        one = E.attributable(df, "4H", *s)
+        names = [c for c in one.columns if c not in ("entity", "event_id")]
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, both.select("entity", "event_id", *[f"{p}{c}" for c in names]).collect()))
+    r = both.where("event_id = 'e1'").first()
+    assert r["x_best_iou"] == pytest.approx(2 / 4) and r["x_best_iou_raw"] == pytest.approx(2 / 5) and r["x_attributable_interval_count"] == 4
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 3
