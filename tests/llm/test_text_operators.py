@@ -17,7 +17,7 @@ from sensorwatch.llm import bpe, common, hamming, mixing, neardup, quality, secr
 from sensorwatch.llm.queries import CHECKS, QUERIES, vocabulary
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages labels conversations".split()
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
 
 
@@ -53,7 +53,7 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA).toPandas(), con.execute(CHECKS[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
-    key = lambda f: sorted(tuple(round(float(v), 6) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
+    key = lambda f: sorted(tuple(v if isinstance(v, str) else float("-inf") if str(v) in ("<NA>", "nan", "None") else round(float(v), 6) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
     assert key(got) == key(want)
 
 
