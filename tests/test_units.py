@@ -457,3 +457,12 @@ def test_streams_are_evaluated_side_by_side(spark):
     assert r["x_best_iou"] == pytest.approx(2 / 4) and r["x_best_iou_raw"] == pytest.approx(2 / 5) and r["x_attributable_interval_count"] == 4
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") <= 3
+
+
+def test_bootstrap_never_sends_its_draws_around(spark, capsys):
+    units = spark.range(3000).select(F.col("id").alias("entity"), (F.col("id") % 7).alias("hit"), F.lit(1).cast("long").alias("one"))
+    ci = ST.bootstrap_ci(units, "hit", "one", 5, 1)
+    ci.explain()  # 15,000 draws come from 5 rows, which Spark takes for their size
+    assert "BuildLeft" not in capsys.readouterr().out
+    row = ci.first()
+    assert row["n_groups"] == 3000 and row["n_boot"] == 5 and row["ci_low"] <= row["ci_high"] and abs(row["value"] - 2.999) < 0.01
