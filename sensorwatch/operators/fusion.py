@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.config import FusionConfig, HypoConfig, InstabilityConfig, bins
@@ -24,6 +24,17 @@ from sensorwatch.operators.instability import (
 OTHER = ("_base_i", "_future_i")  # masks of the instability branch, whose fallback rule differs
 
 
+def fused(mode: str, h: Column, hs: Column, i: Column, i_start: Column, seq: Column, mix_start: Column) -> tuple[Column, Column]:
+    """Episode and start under a mode, from episodes and starts of both branches, sequence starts and starts of mixed runs."""
+    return {
+        "HYPO_ONLY": (h, hs),
+        "INSTABILITY_ONLY": (i, i_start),
+        "OR": (F.greatest(h, i), F.greatest(hs, i_start)),
+        "SEQUENTIAL": (seq, seq),
+        "HIERARCHICAL": (h, F.greatest(hs, mix_start, seq)),
+    }[mode]
+
+
 def fuse(
     df: DataFrame, interval: str, cfg: FusionConfig = FusionConfig(), keys: Sequence[str] = S.ENTITY, waiting: Sequence[tuple] = (),
     notify: bool = True,
@@ -59,13 +70,7 @@ def fuse(
         }
     )
     h, i, seq, mix = (F.col(c) for c in ("_h", "_i", "hybrid_warning_sequence_start", "_mix"))
-    episode, start = {
-        "HYPO_ONLY": (h, F.col("_hs")),
-        "INSTABILITY_ONLY": (i, F.col("_is")),
-        "OR": (F.greatest(h, i), F.greatest(F.col("_hs"), F.col("_is"))),
-        "SEQUENTIAL": (seq, seq),
-        "HIERARCHICAL": (h, F.greatest(F.col("_hs"), F.col("_mix_start"), seq)),
-    }[mode]
+    episode, start = fused(mode, h, F.col("_hs"), i, F.col("_is"), seq, F.col("_mix_start"))
     df = df.withColumns(
         {
             "hybrid_warning_score": F.greatest("behavioral_warning_score", "instability_warning_score"),

@@ -67,25 +67,29 @@ NAMES = (*MOVEMENTS, *FAMILY_WEIGHTS)
 MEASURES = tuple(f"_i_{x}" for x in NAMES)
 
 
-def instability_candidates(df: DataFrame, cfg: InstabilityConfig, future: str = "_future") -> DataFrame:
-    """Excesses, score, agreeing families, the coordinated-activity veto, candidates and evidence."""
+def instability_changes(df: DataFrame) -> DataFrame:
+    """Ratios and excesses per family, and the rises of steps and motion: what no setting of the alerts changes."""
     gone = {*MEASURES, *[f"_ratio_{m}" for m in MEASURES]}
     df = df.selectExpr(*[f"`{c}`" for c in df.columns if c not in gone], *[f"_ratio__i_{x} AS instability_ratio_{x}" for x in NAMES])
     over = lambda x, cap: f"CASE WHEN instability_ratio_{x} - 1D < 0D THEN 0D {cap} ELSE instability_ratio_{x} - 1D END"
     capped = lambda x: over(x, f"WHEN instability_ratio_{x} - 1D > {EXCESS_CAP}D THEN {EXCESS_CAP}D")
-    df = df.selectExpr("*", *[f"{capped(f)} AS instability_change_{f}" for f in FAMILY_WEIGHTS], *[f"{over(m, '')} AS _up_{m}" for m in ("steps", "motion")])
+    return df.selectExpr("*", *[f"{capped(f)} AS instability_change_{f}" for f in FAMILY_WEIGHTS], *[f"{over(m, '')} AS _up_{m}" for m in ("steps", "motion")])
+
+
+def add_decisions(df: DataFrame, cfg: InstabilityConfig, future: str, prefix: str = "instability_warning", coordinated: str = "instability_coordinated_activity") -> DataFrame:
+    """Score, agreeing families, the coordinated-activity veto, candidates and evidence under one setting, from ``instability_changes``."""
     hit = {f: flag(F.col(f"instability_change_{f}") >= getattr(cfg, f"{f}_min_change")) for f in FAMILY_WEIGHTS}
     score = reduce(
         lambda a, b: a + b,
         [F.lit(w) * F.coalesce(F.col(f"instability_change_{f}"), F.lit(0.0)) for f, w in FAMILY_WEIGHTS.items()],
     )
-    df = df.withColumns({"instability_warning_score": score} | {f"_hit_{f}": h for f, h in hit.items()})
+    df = df.withColumns({f"{prefix}_score": score} | {f"_hit_{f}": h for f, h in hit.items()})
     h = {f: F.col(f"_hit_{f}") for f in FAMILY_WEIGHTS}
     least = cfg.coordinated_activity_min_change
     df = df.withColumns(
         {
-            "instability_warning_families": reduce(lambda a, b: a + b, h.values()),
-            "instability_coordinated_activity": flag(
+            f"{prefix}_families": reduce(lambda a, b: a + b, h.values()),
+            coordinated: flag(
                 (F.col("_up_steps") >= least)
                 & (F.col("_up_motion") >= least)
                 & (F.abs(F.col("_up_motion") - F.col("_up_steps")) <= cfg.coordinated_activity_tolerance)
@@ -95,30 +99,35 @@ def instability_candidates(df: DataFrame, cfg: InstabilityConfig, future: str =
         }
     )
     df = df.withColumn(
-        "instability_warning_candidate",
+        f"{prefix}_candidate",
         flag(
-            (F.col("instability_warning_score") >= cfg.score_threshold)
-            & (F.col("instability_warning_families") >= cfg.min_families)
+            (F.col(f"{prefix}_score") >= cfg.score_threshold)
+            & (F.col(f"{prefix}_families") >= cfg.min_families)
             & (h["restless_motion"] == 1)
             & (F.greatest(h["transition_density"], h["fragmentation"], h["posture_volatility"]) == 1)
-            & (F.col("instability_coordinated_activity") == 0)
+            & (F.col(coordinated) == 0)
             & covered(df, cfg.coverage_min_pct)
             & F.col(future)
         ),
     )
-    on = F.col("instability_warning_candidate") == 1
+    on = F.col(f"{prefix}_candidate") == 1
     return df.withColumns(
         {
-            "_ev_instability_warning": F.when(on, F.col("instability_warning_score")).otherwise(0.0),
-            "instability_warning_score": clip(F.col("instability_warning_score"), 0, 1),
-            "instability_warning_scope": F.lit(SCOPE),
+            f"_ev_{prefix}": F.when(on, F.col(f"{prefix}_score")).otherwise(0.0),
+            f"{prefix}_score": clip(F.col(f"{prefix}_score"), 0, 1),
         }
-    ).drop("_up_steps", "_up_motion", *[f"_hit_{f}" for f in h])
+    ).drop(*[f"_hit_{f}" for f in h])
+
+
+def instability_candidates(df: DataFrame, cfg: InstabilityConfig, future: str = "_future") -> DataFrame:
+    """Excesses, score, agreeing families, the coordinated-activity veto, candidates and evidence."""
+    df = add_decisions(instability_changes(df), cfg, future)
+    return df.withColumn("instability_warning_scope", F.lit(SCOPE)).drop("_up_steps", "_up_motion")
 
 
-def instability_stream(interval: str, cfg: InstabilityConfig) -> AlertStream:
+def instability_stream(interval: str, cfg: InstabilityConfig, prefix: str = "instability_warning") -> AlertStream:
     return AlertStream(
-        "instability_warning", cfg.cusum_drift, cfg.cusum_threshold, PERSISTENCE_SHARE,
+        prefix, cfg.cusum_drift, cfg.cusum_threshold, PERSISTENCE_SHARE,
         [bins(cfg.persistence_hours, interval, 2)], None, bins(cfg.cooldown_hours, interval, 1),
     )
 

@@ -75,21 +75,52 @@ def _fusion_lanes(
     df: DataFrame, interval: str, runs: Mapping[str, tuple[InstabilityConfig, FusionConfig]], hypo: HypoConfig, keys: Sequence[str], notify: bool
 ) -> DataFrame:
     kept = df.columns
-    df = H.hypo_branch(df, interval, hypo, keys, notify=False)
-    held = [f"behavioral_warning_{x}" for x in ("score", "episode", "start")]  # what the fusion reads
-    df = df.select(*kept, *([] if "pos" in kept else ["pos"]), *held)
     distinct = list(dict.fromkeys(c for c, _ in runs.values()))
-    for i, cfg in enumerate(distinct):
-        before = df.columns
-        df = I.instability_branch(df, interval, cfg, keys, notify=False)
-        df = df.select(*before, *[F.col(f"instability_warning_{x}").alias(f"_i{i}_{x}") for x in ("episode", "start", "score")])
-    names = []
+    lengths = [bins(c.aggregation_hours, interval, 4) for c in distinct]
+    df = add_reference_masks(df, only_if_missing=False, keys=keys)
+    df = add_reference_masks(df, only_if_missing=True, keys=keys, names=FU.OTHER)
+    totals, held = H.drop_totals(df, [bins(hypo.aggregation_hours, interval, 4)], keys), [*df.columns]
+    for n in dict.fromkeys(lengths):
+        own = totals if n == lengths[0] else {}  # the drop branch shares the first length's windows
+        df = I.add_densities(df, n, keys, more=own)
+        df = add_reference_ratios(df, [*own, *I.MEASURES], bins(24, interval, 4), keys, high=["_t_lying"], mask={m: FU.OTHER[0] for m in I.MEASURES})
+        if own:
+            df = H.drop_candidates(H.drop_changes(df), interval, hypo, keys)
+            held += ["behavioral_warning_score", "behavioral_warning_candidate", "_ev_behavioral_warning"]
+        df = I.instability_changes(df)
+        for k, cfg in enumerate(distinct):
+            if lengths[k] == n:
+                df = I.add_decisions(df, cfg, FU.OTHER[1], f"_i{k}", f"_veto{k}")
+                held += [f"_i{k}_score", f"_i{k}_candidate", f"_ev__i{k}"]
+        df = df.select(*[f"`{c}`" for c in held])
+    df = H.finish_alerts(df, [H.drop_stream(interval, hypo), *[I.instability_stream(interval, c, f"_i{k}") for k, c in enumerate(distinct)]], keys, notify=False)
+    return _fused_lanes(df, interval, runs, distinct, kept, keys, notify)
+
+
+def _fused_lanes(
+    df: DataFrame, interval: str, runs: Mapping[str, tuple[InstabilityConfig, FusionConfig]], distinct: Sequence[InstabilityConfig], kept: Sequence[str], keys: Sequence[str], notify: bool
+) -> DataFrame:
+    """``fuse`` of every run side by side: mixed runs once per instability setting, earlier starts once per setting and reach."""
+    steady = {f"{p}_{x}": F.coalesce(F.col(f"{p}_{x}").cast("int"), F.lit(0)) for p in ("behavioral_warning", *[f"_i{k}" for k in range(len(distinct))]) for x in ("episode", "start")}
+    df = df.withColumns(steady)
+    h, hs = F.col("behavioral_warning_episode"), F.col("behavioral_warning_start")
+    df = df.withColumns({f"_mix{k}": flag((h == 1) & (F.col(f"_i{k}_episode") == 1)) for k in range(len(distinct))})
+    reach = {}
     for r, (cfg, fusion) in enumerate(runs.values()):
-        i, before = distinct.index(cfg), df.columns
-        own = df.withColumns({f"instability_warning_{x}": F.col(f"_i{i}_{x}") for x in ("episode", "start", "score")})
-        own = FU.fuse(own, interval, fusion, keys, notify=False)
-        df = own.select(*before, *[F.col(f"hybrid_warning_{x}").alias(f"_h{r}_{x}") for x in ("episode", "start", "score")])
-        names.append((f"_i{i}", f"_h{r}", bins(fusion.cooldown_hours, interval, 1)))
+        least = bins(fusion.sequence_min_hours, interval, 0)
+        reach[r] = (distinct.index(cfg), least, bins(fusion.sequence_max_hours, interval, least + 1))
+    earlier = {x: f"_prior{j}" for j, x in enumerate(dict.fromkeys(reach.values()))}
+    for (k, least, most), out in earlier.items():
+        df = S.add_prior_event(df, f"_i{k}_start", least, most, out, keys)
+    df = df.withColumns({f"_mixed{k}": S.rising(f"_mix{k}", keys) for k in range(len(distinct))})
+    names, lanes = [], {}
+    for r, (_, fusion) in enumerate(runs.values()):
+        k = reach[r][0]
+        seq = flag((hs == 1) & (F.col(earlier[reach[r]]) == 1))
+        episode, start = FU.fused(fusion.mode.upper(), h, hs, F.col(f"_i{k}_episode"), F.col(f"_i{k}_start"), seq, F.col(f"_mixed{k}"))
+        lanes |= {f"_h{r}_episode": episode, f"_h{r}_start": start, f"_h{r}_score": F.greatest("behavioral_warning_score", f"_i{k}_score")}
+        names.append((f"_i{k}", f"_h{r}", bins(fusion.cooldown_hours, interval, 1)))
+    df = df.withColumns(lanes)
     if notify:
         df = S.add_cooldowns(df, [(f"{h}_start", wait, f"{h}_notification") for _, h, wait in names], keys)
     packed = {f"{label}_{x}s": F.array(*[F.col(f"{n[k]}_{x}") for n in names]) for k, label in enumerate(("instability", "hybrid")) for x in ("episode", "start", "score")}

@@ -466,3 +466,32 @@ def test_bootstrap_never_sends_its_draws_around(spark, capsys):
     assert "BuildLeft" not in capsys.readouterr().out
     row = ci.first()
     assert row["n_groups"] == 3000 and row["n_boot"] == 5 and row["ci_low"] <= row["ci_high"] and abs(row["value"] - 2.999) < 0.01
+
+
+def test_fusion_runs_share_their_windows(spark, capsys):
+    """Runs of two aggregation lengths and every mode are what the branches give alone, and add no sorts of their own."""
+    from sensorwatch.config import InstabilityConfig
+    from sensorwatch.operators import lanes as LN
+
+    rng = random.Random(5)
+    cells = "entity string, bin timestamp, dataset_split string, coverage_pct double, steps_sum double, motion_sum double, transitions_sum double, lying_sum double, standing_sum double"
+    rows = []
+    for i in range(200):
+        low, wild = 0.3 if i > 120 and (i // 12) % 2 else 1.0, 3.0 if i > 110 and (i // 9) % 2 else 1.0
+        rows.append(("a", T0 + dt.timedelta(hours=4 * i), "futur" if i >= 100 else "baseline", rng.choice([100.0, 60.0, 20.0]), round(rng.uniform(50, 90) * low, 2), *(round(rng.uniform(50, 90) * low * wild, 2) for _ in range(2)), round(rng.uniform(60, 90) / low, 2), round(rng.uniform(60, 90) * low, 2)))
+    df = spark.createDataFrame(rows, cells)
+    slow = InstabilityConfig(aggregation_hours=36.0)
+    runs = SW.fusion_runs() | {"slow": (slow, FusionConfig("HIERARCHICAL")), "slow_sequence": (slow, FusionConfig("SEQUENTIAL", sequence_min_hours=8.0))}
+    got = {r["bin"]: r for r in LN.fusion_lanes(df, "4H", runs, notify=True).collect()}
+    fired = set()
+    for k, (name, (i, f)) in enumerate(runs.items()):
+        for r in FU.hybrid_warning(df, "4H", HypoConfig(), i, f).collect():
+            own = got[r["bin"]]
+            assert [own[f"hybrid_{x}s"][k] for x in ("episode", "start", "notification")] == [r[f"hybrid_warning_{x}"] for x in ("episode", "start", "notification")], name
+            assert [own[f"instability_{x}s"][k] for x in ("episode", "start")] == [r[f"instability_warning_{x}"] for x in ("episode", "start")], name
+            assert own["hybrid_scores"][k] == pytest.approx(r["hybrid_warning_score"], abs=1e-12)
+            fired |= {name} if r["hybrid_warning_start"] else set()
+    assert len(fired) > 5
+    windows = lambda settings: (LN.fusion_lanes(df, "4H", settings).explain(), capsys.readouterr().out.count("Window ["))[1]
+    capsys.readouterr()
+    assert windows(SW.fusion_runs()) <= windows({"one": next(iter(runs.values()))}) + 1
