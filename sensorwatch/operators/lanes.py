@@ -158,10 +158,14 @@ def evaluated(
 
     ``df`` holds every bin (``pos``, ``bin``) of every adjusted series with its window (``start``, ``end``; at least one bin of
     the series) and lanes; ``reference`` is ``reference_lanes`` of the untouched run. With ``size``, the number of rows of ``df``,
-    the tasks are as many as its lanes need.
+    the tasks are as many as its lanes need, those of the join with ``reference`` too: lanes pack to a few bytes a row, so Spark would
+    send the untouched run of whole tables around, or deal it to tasks by its packed size.
     """
     episodes, starts, scores = lanes
     bin_s = interval_minutes(interval) * 60
+    if size is not None:
+        df, reference = (S.spread(x, size, (*clean_keys, "bin")) for x in (df, reference))
+        reference = reference.hint("merge")
     df = df.join(reference, [*clean_keys, "bin"], "left").withColumn("_in", flag((F.col("bin") >= F.col("start")) & (F.col("bin") <= F.col("end"))))
     zero = lambda c, i: F.coalesce(F.get(c, i).cast("int"), F.lit(0))
     lane = lambda i: F.struct(i.alias("i"), zero(episodes, i).alias("_ep"), zero(starts, i).alias("_st"), F.get(scores, i).alias("score"), zero("ref_episodes", i).alias("_ref"), zero("near_starts", i).alias("_near"))

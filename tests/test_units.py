@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -495,3 +496,23 @@ def test_fusion_runs_share_their_windows(spark, capsys):
     windows = lambda settings: (LN.fusion_lanes(df, "4H", settings).explain(), capsys.readouterr().out.count("Window ["))[1]
     capsys.readouterr()
     assert windows(SW.fusion_runs()) <= windows({"one": next(iter(runs.values()))}) + 1
+
+
+def test_lanes_meet_the_untouched_run_in_tasks_by_rows(spark, capsys):
+    """A known size deals the join by rows, whatever the tables' bytes; results are those without it."""
+    from sensorwatch.operators import lanes as LN
+
+    at = lambda i: T0 + dt.timedelta(hours=4 * i)
+    runs = {"a": {4, 5, 6, 11}, "b": {5, 7, 8}}  # bins in an episode of lane 0; lane 1 has one bin more at its end
+    lane = lambda e, i: [int(i in runs[e]), int(i in runs[e] or i - 1 in runs[e])]
+    start = lambda e, i: [int(x == 1 and (i == 0 or y == 0)) for x, y in zip(lane(e, i), lane(e, i - 1), strict=True)]
+    rows = [(e, f"{e}1", i, at(i), at(3), at(8), lane(e, i), start(e, i), [i / 20, i / 10]) for e in runs for i in range(14)]
+    df = spark.createDataFrame(rows, "entity string, event_id string, pos int, bin timestamp, start timestamp, end timestamp, episodes array<int>, starts array<int>, scores array<double>")
+    clean = spark.createDataFrame([("a", at(i), [int(i == 6)] * 2, [int(i == 6)] * 2) for i in range(14)], "entity string, bin timestamp, episodes array<int>, starts array<int>")
+    measured = lambda size: LN.evaluated(df, LN.reference_lanes(clean, "4H"), "4H", ["x", "y"], size=size)
+    got = {(r["event_id"], r["config"]): r.asDict() for r in measured(len(rows)).collect()}
+    assert got == {(r["event_id"], r["config"]): r.asDict() for r in measured(None).collect()} and len(got) == 4
+    assert [got[k]["attributable_interval_count"] for k in (("a1", "x"), ("a1", "y"), ("b1", "x"), ("b1", "y"))] == [3, 5, 3, 5]
+    measured(6_000_000).explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and len(re.findall(r"hashpartitioning\(entity#\d+, bin#\d+, 100\), REPARTITION_BY_NUM", plan)) == 2
