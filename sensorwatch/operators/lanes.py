@@ -3,25 +3,25 @@
 A setting is a lane, an element of array columns, not another copy of the rows. All lanes share
 the exchange, the sort and the windows of their series: every lane's running sums, persistence
 and starts are further columns of the same window. Ratios are computed once per distinct
-aggregation length. Evaluation keeps, of every lane, only the bins inside the event window and
-those in an episode; runs are found on these by their positions.
+aggregation length. The lanes of the fusion, and the evaluation of all lanes, are each one pass over whole series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorwatch.config import FusionConfig, HypoConfig, InstabilityConfig, bins, interval_minutes
+from sensorwatch.functions import blocks as B
 from sensorwatch.functions import series as S
-from sensorwatch.functions.scalars import flag
 from sensorwatch.operators import evaluate as E
 from sensorwatch.operators import fusion as FU
 from sensorwatch.operators import hypo as H
 from sensorwatch.operators import instability as I
-from sensorwatch.operators.baseline import add_reference_masks, add_reference_ratios
+from sensorwatch.operators.baseline import add_reference_masks, add_reference_ratios, masks
 
 LANES = ("episodes", "starts", "scores")
 
@@ -74,58 +74,39 @@ def fusion_lanes(
 def _fusion_lanes(
     df: DataFrame, interval: str, runs: Mapping[str, tuple[InstabilityConfig, FusionConfig]], hypo: HypoConfig, keys: Sequence[str], notify: bool
 ) -> DataFrame:
-    kept = df.columns
-    distinct = list(dict.fromkeys(c for c, _ in runs.values()))
+    df = df if "pos" in df.columns else S.add_position(df, keys)
+    labelled, distinct = "dataset_split" in df.columns, list(dict.fromkeys(c for c, _ in runs.values()))
     lengths = [bins(c.aggregation_hours, interval, 4) for c in distinct]
-    df = add_reference_masks(df, only_if_missing=False, keys=keys)
-    df = add_reference_masks(df, only_if_missing=True, keys=keys, names=FU.OTHER)
-    totals, held = H.drop_totals(df, [bins(hypo.aggregation_hours, interval, 4)], keys), [*df.columns]
-    for n in dict.fromkeys(lengths):
-        own = totals if n == lengths[0] else {}  # the drop branch shares the first length's windows
-        df = I.add_densities(df, n, keys, more=own)
-        df = add_reference_ratios(df, [*own, *I.MEASURES], bins(24, interval, 4), keys, high=["_t_lying"], mask={m: FU.OTHER[0] for m in I.MEASURES})
-        if own:
-            df = H.drop_candidates(H.drop_changes(df), interval, hypo, keys)
-            held += ["behavioral_warning_score", "behavioral_warning_candidate", "_ev_behavioral_warning"]
-        df = I.instability_changes(df)
-        for k, cfg in enumerate(distinct):
-            if lengths[k] == n:
-                df = I.add_decisions(df, cfg, FU.OTHER[1], f"_i{k}", f"_veto{k}")
-                held += [f"_i{k}_score", f"_i{k}_candidate", f"_ev__i{k}"]
-        df = df.select(*[f"`{c}`" for c in held])
-    df = H.finish_alerts(df, [H.drop_stream(interval, hypo), *[I.instability_stream(interval, c, f"_i{k}") for k, c in enumerate(distinct)]], keys, notify=False)
-    return _fused_lanes(df, interval, runs, distinct, kept, keys, notify)
-
-
-def _fused_lanes(
-    df: DataFrame, interval: str, runs: Mapping[str, tuple[InstabilityConfig, FusionConfig]], distinct: Sequence[InstabilityConfig], kept: Sequence[str], keys: Sequence[str], notify: bool
-) -> DataFrame:
-    """``fuse`` of every run side by side: mixed runs once per instability setting, earlier starts once per setting and reach."""
-    steady = {f"{p}_{x}": F.coalesce(F.col(f"{p}_{x}").cast("int"), F.lit(0)) for p in ("behavioral_warning", *[f"_i{k}" for k in range(len(distinct))]) for x in ("episode", "start")}
-    df = df.withColumns(steady)
-    h, hs = F.col("behavioral_warning_episode"), F.col("behavioral_warning_start")
-    df = df.withColumns({f"_mix{k}": flag((h == 1) & (F.col(f"_i{k}_episode") == 1)) for k in range(len(distinct))})
-    reach = {}
-    for r, (cfg, fusion) in enumerate(runs.values()):
-        least = bins(fusion.sequence_min_hours, interval, 0)
-        reach[r] = (distinct.index(cfg), least, bins(fusion.sequence_max_hours, interval, least + 1))
-    earlier = {x: f"_prior{j}" for j, x in enumerate(dict.fromkeys(reach.values()))}
-    for (k, least, most), out in earlier.items():
-        df = S.add_prior_event(df, f"_i{k}_start", least, most, out, keys)
-    df = df.withColumns({f"_mixed{k}": S.rising(f"_mix{k}", keys) for k in range(len(distinct))})
-    names, lanes = [], {}
-    for r, (_, fusion) in enumerate(runs.values()):
-        k = reach[r][0]
-        seq = flag((hs == 1) & (F.col(earlier[reach[r]]) == 1))
-        episode, start = FU.fused(fusion.mode.upper(), h, hs, F.col(f"_i{k}_episode"), F.col(f"_i{k}_start"), seq, F.col(f"_mixed{k}"))
-        lanes |= {f"_h{r}_episode": episode, f"_h{r}_start": start, f"_h{r}_score": F.greatest("behavioral_warning_score", f"_i{k}_score")}
-        names.append((f"_i{k}", f"_h{r}", bins(fusion.cooldown_hours, interval, 1)))
-    df = df.withColumns(lanes)
-    if notify:
-        df = S.add_cooldowns(df, [(f"{h}_start", wait, f"{h}_notification") for _, h, wait in names], keys)
-    packed = {f"{label}_{x}s": F.array(*[F.col(f"{n[k]}_{x}") for n in names]) for k, label in enumerate(("instability", "hybrid")) for x in ("episode", "start", "score")}
-    packed |= {"hybrid_notifications": F.array(*[F.col(f"{h}_notification") for _, h, _ in names])} if notify else {}
-    return df.select(*kept, *[c.alias(k) for k, c in packed.items()])
+
+    def fn(b: B.Block, given: dict) -> dict:
+        slots = B.Slots(b, given["slot"][0])
+        base, future = masks(b, given, False, labelled)
+        base_i, future_i = masks(b, given, True, labelled)
+        drop = H.drop_evidence(b, given, interval, hypo, base, future, slots)
+        told = H.alerts(b, drop, H.drop_stream(interval, hypo))
+        h, hs, drop_score = told["episode"], told["start"], drop.columns["behavioral_warning_score"]
+        changes = {n: I.excesses(b, given, interval, n, base_i, slots) for n in dict.fromkeys(lengths)}
+        other = {}
+        for cfg, n in zip(distinct, lengths, strict=True):
+            own = I.decided(b, given, changes[n], cfg, future_i)
+            x = H.alerts(b, own, I.instability_stream(interval, cfg))
+            other[cfg] = (x["episode"], x["start"], own.columns["instability_warning_score"], B.rising(h & x["episode"]))
+        out = {f"{label}_{x}": [] for label in ("instability", "hybrid") for x in LANES}
+        for cfg, fusion in runs.values():
+            i, i_start, score, mixed = other[cfg]
+            seq = hs & B.within(i_start, *FU.sequence_reach(interval, fusion))
+            episode, start = FU.fused(fusion.mode.upper(), h, hs, i, i_start, seq, mixed, FU.any_of)
+            for label, lane in (("instability", (i, i_start, score)), ("hybrid", (episode, start, np.maximum(drop_score, score)))):
+                for x, value in zip(LANES, lane, strict=True):
+                    out[f"{label}_{x}"].append(value)
+        if notify:
+            waits = [bins(fusion.cooldown_hours, interval, 1) for _, fusion in runs.values()]
+            out["hybrid_notifications"] = [B.fired(x, b.whole(given["pos"]), wait) for x, wait in zip(out["hybrid_starts"], waits, strict=True)]
+        return out
+
+    kinds = dict(zip(LANES, ("array<int>", "array<int>", "array<double>"), strict=True))
+    outputs = ", ".join([*[f"{label}_{x} {kind}" for label in ("instability", "hybrid") for x, kind in kinds.items()], *["hybrid_notifications array<int>"] * notify])
+    return B.series_pass(df, keys, H.branch_inputs(df), outputs, fn)
 
 
 def reference_lanes(clean: DataFrame, interval: str, lanes: Sequence[str] = LANES[:2], keys: Sequence[str] = S.ENTITY, tolerance_hours: float = E.MATCH_TOLERANCE_HOURS) -> DataFrame:
@@ -141,43 +122,49 @@ def reference_lanes(clean: DataFrame, interval: str, lanes: Sequence[str] = LANE
     return rows.select(*keys, "bin", "ref_episodes", marked.alias("near_starts"))
 
 
-def _run_iou(df: DataFrame, on: str, out: str, bin_s: int, keys: Sequence[str]) -> DataFrame:
-    """IoU between a flagged row's run of consecutive bins and the event window; rows between flagged ones may be missing."""
-    place = F.row_number().over(Window.partitionBy(*keys, on).orderBy("pos"))
-    df = df.withColumn("_run", F.when(F.col(on) == 1, F.col("pos") - place))
-    w = Window.partitionBy(*keys, on, "_run")
-    value = E.iou(F.col("start"), F.col("end"), F.min("bin").over(w), F.max("bin").over(w), bin_s)
-    return df.withColumn(out, F.when(F.col(on) == 1, value).otherwise(F.lit(0.0))).drop("_run")
-
-
 def evaluated(
     df: DataFrame, reference: DataFrame, interval: str, names: Sequence[str], keys: Sequence[str] = ("entity", "event_id"),
-    carry: Sequence[str] = (), lanes: Sequence[str] = LANES, clean_keys: Sequence[str] = S.ENTITY, size: int | None = None,
+    carry: Sequence[str] = (), lanes: Sequence[str] | Mapping[str, Sequence[str]] = LANES, clean_keys: Sequence[str] = S.ENTITY, size: int | None = None,
 ) -> DataFrame:
     """One row per (event, configuration) with the measures of ``evaluate.attributable``.
 
-    ``df`` holds every bin (``pos``, ``bin``) of every adjusted series with its window (``start``, ``end``; at least one bin of
-    the series) and lanes; ``reference`` is ``reference_lanes`` of the untouched run. With ``size``, the number of rows of ``df``,
-    the tasks are as many as its lanes need, those of the join with ``reference`` too: lanes pack to a few bytes a row, so Spark would
-    send the untouched run of whole tables around, or deal it to tasks by its packed size.
+    ``df`` holds every bin of every adjusted series with its window (``start``, ``end``; at least one bin of
+    the series) and lanes; ``reference`` is ``reference_lanes`` of the untouched run. Several streams are evaluated side by side if
+    ``lanes`` names them: prefix -> lanes, with the prefix before the columns of ``reference`` and before the measures. With ``size``,
+    the number of rows of ``df``, the tasks are as many as its rows need, those of the join with ``reference`` too: lanes pack to a
+    few bytes a row, so Spark would send the untouched run of whole tables around, or deal it to tasks by its packed size.
     """
-    episodes, starts, scores = lanes
-    bin_s = interval_minutes(interval) * 60
+    streams, bin_s = lanes if isinstance(lanes, Mapping) else {"": lanes}, interval_minutes(interval) * 60
     if size is not None:
         df, reference = (S.spread(x, size, (*clean_keys, "bin")) for x in (df, reference))
         reference = reference.hint("merge")
-    df = df.join(reference, [*clean_keys, "bin"], "left").withColumn("_in", flag((F.col("bin") >= F.col("start")) & (F.col("bin") <= F.col("end"))))
-    zero = lambda c, i: F.coalesce(F.get(c, i).cast("int"), F.lit(0))
-    lane = lambda i: F.struct(i.alias("i"), zero(episodes, i).alias("_ep"), zero(starts, i).alias("_st"), F.get(scores, i).alias("score"), zero("ref_episodes", i).alias("_ref"), zero("near_starts", i).alias("_near"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lane)
-    rows = df.select(*keys, *carry, "pos", "bin", "start", "end", "_in", F.explode(F.filter(every, lambda x: (F.col("_in") == 1) | (x["_ep"] == 1))).alias("x")).select("*", "x.*").drop("x")
-    rows = rows.withColumns({"_att": flag((F.col("_ep") == 1) & (F.col("_ref") != 1)), "_novel": flag((F.col("_in") == 1) & (F.col("_st") == 1) & (F.col("_near") == 0))})
-    if size is not None:
-        rows = S.spread(rows, size * len(names), keys, 10 * S.TASK_ROWS)  # most bins are in no window or episode, and rows are narrow
-    own = (*keys, "i")
-    rows = _run_iou(_run_iou(rows, "_att", "_iou", bin_s, own), "_ep", "_iou_raw", bin_s, own)
-    config = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("config")
-    return rows.groupBy(*keys, *carry, config).agg(*E.event_measures("score"))
+    rows = df.join(reference, [*clean_keys, "bin"], "left")
+    rows = rows if size is None else S.spread(rows, size, keys)
+    inputs = E.event_inputs()
+    for p, (episodes, starts, scores) in streams.items():
+        whole = {"ep": episodes, "st": starts, "ref": f"{p}ref_episodes", "near": f"{p}near_starts"}
+        inputs |= {f"{p}{x}": F.col(c).cast("array<int>") for x, c in whole.items()} | {f"{p}score": F.col(scores).cast("array<double>")}
+
+    def fn(b: B.Block, given: dict) -> dict:
+        window = E.EventWindow(b, given, bin_s)
+        out: dict[str, list] = {"_kept": []}
+        for i in range(len(names)):
+            kept = True
+            for p in streams:
+                own = {x: (given[f"{p}{x}"][0][:, i], given[f"{p}{x}"][1]) if given[f"{p}{x}"][0].shape[1] else (np.zeros(len(b.row), int), given[f"{p}{x}"][1]) for x in ("ep", "st", "ref", "near", "score")}
+                ep, st, ref, near = (b.whole(own[x]) == 1 for x in ("ep", "st", "ref", "near"))
+                for m, x in window.measures(ep, st, ref, near, b.known(own["score"])).items():
+                    out.setdefault(f"{p}{m}", []).append(x)
+                kept = kept & (window.inside | ep).any(axis=1, keepdims=True)
+            out["_kept"].append(kept)
+        return out
+
+    outputs = ", ".join(["_kept array<int>", *[f"{p}{m} array<{kind}>" for p in streams for m, kind in E.MEASURES.items()]])
+    told = B.series_reduce(rows, keys, carry, inputs, outputs, fn)
+    measures = [f"{p}{m}" for p in streams for m in E.MEASURES]
+    config = F.array(*[F.lit(n) for n in names]).alias("config")
+    each = told.select(*keys, *carry, F.explode(F.arrays_zip(config, "_kept", *measures)).alias("x"))
+    return each.where("x._kept = 1").select(*keys, *carry, "x.config", *[f"x.{m}" for m in measures])
 
 
 def notified(clean: DataFrame, names: Sequence[str], lane: str = "notifications", keys: Sequence[str] = S.ENTITY, where: Column | None = None) -> DataFrame:
