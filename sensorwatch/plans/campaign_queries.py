@@ -127,10 +127,11 @@ def hybrid_adjusted(spark, d):
 def hybrid_events(spark, d):
     """Twelve scenarios per entity, all three alert streams evaluated against the untouched run."""
     rows = hybrid_adjusted(spark, d)
-    rows = S.spread(rows.select(*T.series_columns(), *T.REFS), rows.count())
+    size = rows.count()
+    rows = S.spread(rows.select(*T.series_columns(), *T.REFS), size)
     pred = FU.hybrid_warning(rows, T.INTERVAL, keys=A.EVENT, notify=False, only=[c for own in T.ALERTS.values() for c in own])
     streams = {f"{short}_": (f"{long}_episode", f"{long}_start", f"{long}_score", f"ref_{short}_episode", f"ref_{short}_start") for long, short in T.ALERT_FLAGS.items()}
-    return T.with_background(spark, d, E.attributable_streams(pred, T.INTERVAL, streams, carry=T.EVENT_COLS[2:]))
+    return T.with_background(spark, d, E.attributable_streams(S.spread(pred, size, A.EVENT), T.INTERVAL, streams, carry=T.EVENT_COLS[2:]))
 
 
 @query("d12_hybrid_campaign")
